@@ -316,7 +316,7 @@ def industry_context(df, cs, group, ret, prefix="industry") -> DataFrame:
 
 
 def cs_zscore(df, cs, name, limit=10.0, out="zscore") -> DataFrame:
-    df = group_values(df, cs, {"_mean": F.avg(name), "_sd": F.stddev_pop(name)})
+    df = group_values(df, cs, {"_mean": F.avg(name), "_sd": F.stddev_samp(name)})
     z = ratio(F.col(name) - F.col("_mean"), "_sd")
     return df.withColumn(out, clip(z, -limit, limit)).drop("_mean", "_sd")
 

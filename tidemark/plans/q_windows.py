@@ -205,7 +205,7 @@ def _(t):
 
 @query("cs_zscore", "day:d slot:s code:i zscore:r",
        """SELECT day, slot, code, CASE WHEN s <> 0 THEN CASE WHEN (ret - m) / s > 10 THEN 10 WHEN (ret - m) / s < -10 THEN -10 ELSE (ret - m) / s END END AS zscore FROM (
-       SELECT *, avg(ret) OVER w AS m, stddev_pop(ret) OVER w AS s FROM panel WINDOW w AS (PARTITION BY day, slot))""")
+       SELECT *, avg(ret) OVER w AS m, stddev_samp(ret) OVER w AS s FROM panel WINDOW w AS (PARTITION BY day, slot))""")
 def _(t):
     return op.cs_zscore(t.panel, CS, "ret")
 
@@ -260,9 +260,9 @@ def _(t):
 @query("cumulative_equity_drawdown", "fold:i day:d equity:r peak:r drawdown:r max_drawdown:r",
        """SELECT *, min(drawdown) OVER (PARTITION BY fold ORDER BY day) AS max_drawdown FROM (SELECT *, (equity / peak - 1) * 100 AS drawdown FROM (
        SELECT *, greatest(max(equity) OVER (PARTITION BY fold ORDER BY day), 1) AS peak FROM (
-       SELECT fold, day, product(1 + r / 100) OVER (PARTITION BY fold ORDER BY day) AS equity FROM (SELECT fold, day, avg(net) AS r FROM scored GROUP BY fold, day))))""")
+       SELECT fold, day, product(1 + r / 100) OVER (PARTITION BY fold ORDER BY day) AS equity FROM (SELECT fold, day, avg(net) / 10 AS r FROM scored GROUP BY fold, day))))""")
 def _(t):
-    daily = t.scored.groupBy("fold", "day").agg(F.avg("net").alias("r"))
+    daily = t.scored.groupBy("fold", "day").agg((F.avg("net") / 10).alias("r"))
     return op.cumulative_equity_drawdown(daily, ["fold"], "day", "r")
 
 
