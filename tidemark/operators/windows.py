@@ -360,13 +360,14 @@ def slot_leader_context(df, cs, score, tie, cols=()) -> DataFrame:
         "slot_max": F.max(score),
         "slot_median": ("quantile", score, 0.5),
         "slot_q90": ("quantile", score, 0.9),
-        "slot_std": F.stddev_pop(score),
+        "slot_std": F.stddev_samp(score),
         "_second": F.max(F.when(F.col("slot_rank") == 2, F.col(score))),
     }
     aggs |= {f"{c}_slot_max": F.max(c) for c in cols}
     df = group_values(df, cs, aggs)
     return df.withColumns(
         {
+            "slot_std": F.coalesce("slot_std", F.lit(0.0)),
             "gap_to_top": F.col("slot_max") - F.col(score),
             "margin_to_second": F.when(F.col("slot_rank") == 1, F.col(score) - F.coalesce("_second", F.lit(0.0))),
         }

@@ -54,7 +54,7 @@ def _(t):
 
 
 H = "CAST('0x' || substr(md5(concat_ws('|', day, slot, code, {})), 1, 15) AS BIGINT)"
-FRONTIER = f"""SELECT *, list_aggregate(list_filter([CASE WHEN e THEN 'exploration' END, CASE WHEN a THEN 'p' END, CASE WHEN b THEN 'q' END, CASE WHEN c THEN 'risk' END], x -> x IS NOT NULL), 'string_agg', '|') AS source_list
+FRONTIER = f"""SELECT *, concat_ws('|', CASE WHEN e THEN 'exploration' END, CASE WHEN a THEN 'p' END, CASE WHEN b THEN 'q' END, CASE WHEN c THEN 'risk' END) AS source_list
   FROM (SELECT day, slot, code, net, win, severe, row_number() OVER (PARTITION BY day, slot ORDER BY p DESC, code) <= 6 AS a, row_number() OVER (PARTITION BY day, slot ORDER BY q DESC, code) <= 6 AS b,
   row_number() OVER (PARTITION BY day, slot ORDER BY risk, code) <= 6 AS c, row_number() OVER (PARTITION BY day, slot ORDER BY {H.format(7)}, code) <= 4 AS e FROM scored) WHERE a OR b OR c OR e"""
 
