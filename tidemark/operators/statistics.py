@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import clip, hash_int, ratio, share
 from .spread import average_rank, group_table, group_values, percentile_rank, position, running
@@ -216,12 +217,12 @@ def t_upper_tail(t: float, df: float) -> float:
     return tail if t > 0 else 1 - tail
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or b < 1 else t_upper_tail(a, b) for a, b in zip(t, df)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _normal_two_sided(z: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) else math.erfc(abs(a) / math.sqrt(2)) for a in z], dtype="float64")
 
