@@ -247,12 +247,12 @@ def threshold_drift(thresholds, value="threshold", events="events") -> DataFrame
 
 def promotion_gate(metrics, checks: Gates) -> DataFrame:
     """Named checks as rows plus the overall verdict; a missing metric fails."""
-    items = [F.struct(F.lit(n).alias("check"), gate_column(g).alias("passed")) for n, g in checks.items()]
+    items = [F.struct(F.lit(n).alias("check_name"), gate_column(g).alias("passed")) for n, g in checks.items()]
     wide = metrics.withColumn("_c", F.array(*items))
     bad = F.filter("_c", lambda x: ~x["passed"])
     keep = [c for c in metrics.columns]
     return wide.select(
-        *keep, (F.size(bad) == 0).alias("promoted"), F.array_join(F.transform(bad, lambda x: x["check"]), "|").alias("failed_checks"), F.inline("_c")
+        *keep, (F.size(bad) == 0).alias("promoted"), F.array_join(F.transform(bad, lambda x: x["check_name"]), "|").alias("failed_checks"), F.inline("_c")
     )
 
 

@@ -66,14 +66,14 @@ def _(t):
     return op.policy_grid_metrics(t.scored, GRID, PASS(), LOOSE(), cap=3, **COLS)
 
 
-SELECT_GATES = {"events": ("events", ">=", 30.0), "win": ("win_rate", ">=", 0.4)}
+SELECT_GATES = {"events": ("events", ">=", 30.0), "win": ("win_rate", ">=", 0.2)}
 BEST = "ORDER BY wilson_lower DESC, win_rate DESC, mean_net DESC, profit_factor DESC, policy"
 
 
 @query("nested_policy_select", "policy:i events:i win_rate:r mean_net:r confirmed:b confirm_events:i confirm_win_rate:r",
        f"""WITH d AS (SELECT policy, {EM} FROM ({grid_first("(SELECT * FROM scored WHERE year(day) < 1999) d")}) GROUP BY policy), c AS (SELECT policy, {EM} FROM ({grid_first("(SELECT * FROM scored WHERE year(day) >= 1999) d")}) GROUP BY policy),
-       b AS (SELECT * FROM d WHERE events >= 30 AND win_rate >= 0.4 {BEST} LIMIT 1)
-       SELECT b.policy, b.events, b.win_rate, b.mean_net, coalesce(c.events >= 30 AND c.win_rate >= 0.4, false) AS confirmed, c.events AS confirm_events, c.win_rate AS confirm_win_rate FROM b LEFT JOIN c ON c.policy = b.policy""")
+       b AS (SELECT * FROM d WHERE events >= 30 AND win_rate >= 0.2 {BEST} LIMIT 1)
+       SELECT b.policy, b.events, b.win_rate, b.mean_net, coalesce(c.events >= 30 AND c.win_rate >= 0.2, false) AS confirmed, c.events AS confirm_events, c.win_rate AS confirm_win_rate FROM b LEFT JOIN c ON c.policy = b.policy""")
 def _(t):
     return op.nested_policy_select(
         t.scored.filter(F.year("day") < 1999), t.scored.filter(F.year("day") >= 1999), GRID, PASS(), LOOSE(), SELECT_GATES, **COLS)
@@ -160,10 +160,10 @@ def _(t):
     return op.threshold_drift(events)
 
 
-@query("promotion_gate", "slot:s promoted:b failed_checks:s check:s passed:b",
+@query("promotion_gate", "slot:s promoted:b failed_checks:s check_name:s passed:b",
        """WITH m AS (SELECT slot, avg(win::INT) >= 0.45 AS a, avg(net) >= 0 AS b, count(*) >= 5000 AS c FROM scored GROUP BY slot), v AS (SELECT *, a AND b AND c AS promoted,
        concat_ws('|', CASE WHEN NOT a THEN 'win_rate' END, CASE WHEN NOT b THEN 'mean_net' END, CASE WHEN NOT c THEN 'events' END) AS failed_checks FROM m)
-       SELECT slot, promoted, failed_checks, 'win_rate' AS check, a AS passed FROM v UNION ALL SELECT slot, promoted, failed_checks, 'mean_net', b FROM v UNION ALL SELECT slot, promoted, failed_checks, 'events', c FROM v""")
+       SELECT slot, promoted, failed_checks, 'win_rate' AS check_name, a AS passed FROM v UNION ALL SELECT slot, promoted, failed_checks, 'mean_net', b FROM v UNION ALL SELECT slot, promoted, failed_checks, 'events', c FROM v""")
 def _(t):
     m = op.event_metrics(t.scored, ["slot"], "net", "day")
     return op.promotion_gate(m, {"win_rate": ("win_rate", ">=", 0.45), "mean_net": ("mean_net", ">=", 0.0), "events": ("events", ">=", 5000.0)})
