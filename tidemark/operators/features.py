@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import all_of, clip, holds, log1p_floor, pct, ratio, share, signed_log
 from .aggregates import basket_rollup
 from .joins import lookback_join, prev_period_join, require_unique, shifted_days
-from .spread import best_rows, group_values, position, tie_ranks
+from .spread import best_rows, group_values, measured_once, position, tie_ranks
 
 
 def basket_regime_frame(df, cs, eligible, order, n, min_n, **spec) -> DataFrame:
@@ -262,6 +262,7 @@ def _without_self(df, group, value, qs, code, tag):
     return df.withColumns(out).drop(*picks, f"_{tag}r")
 
 
+@measured_once
 def loo_peer_features(universe, cands, cs, group, code, ret="ret", tail="tail_ret", amount="amount", prefix="peer") -> DataFrame:
     """Twenty statistics of a candidate's group without the candidate."""
     g, keys = [*cs, group], [*cs, code]
@@ -309,7 +310,7 @@ def loo_peer_features(universe, cands, cs, group, code, ret="ret", tail="tail_re
     return found.na.fill(0, [f"{prefix}_{n}" for n in zero])
 
 
-def hierarchical_shrinkage(df, metrics, fine="fine", coarse="coarse", pseudo=6.0, least_fine=3, least_coarse=5) -> DataFrame:
+def hierarchical_shrinkage(df, metrics, fine="fine", coarse="coarse", pseudo=6.0, least_fine=2, least_coarse=4) -> DataFrame:
     """Blend fine-group and coarse-group statistics; a thin fine group leans on the coarse."""
     nf = F.greatest(F.coalesce(F.col(f"{fine}_count").cast("double"), F.lit(0.0)), F.lit(0.0))
     nc = F.greatest(F.coalesce(F.col(f"{coarse}_count").cast("double"), F.lit(0.0)), F.lit(0.0))

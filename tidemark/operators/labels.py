@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import all_of, holds, pct, ratio
 from .joins import require_unique
-from .spread import group_values, percentile_rank
+from .spread import group_table, group_values, measured_once, percentile_rank
 
 
 @dataclass(frozen=True)
@@ -51,6 +51,7 @@ def exit_fillable(df, close="t1_close", vol="t1_vol", down="t1_down_limit", out=
     return df.withColumn(out, all_of([F.col(close).isNotNull(), F.col(vol) > 0, free]))
 
 
+@measured_once
 def supervised_labels(df, cs, cfg: Execution, eligible="eligible", entry_ref="entry_ref", exit_price="exit_price", signal="price", truth=None) -> DataFrame:
     """Three-way outcome labels; rows whose truth is not out yet stay NULL.
 
@@ -209,8 +210,6 @@ def truth_hydration(pending, truth, on, due, asof, cols) -> DataFrame:
 
 def paired_contract_delta(a, b, pk, day, value) -> DataFrame:
     """Challenger minus baseline on common identities, row level and day-equal."""
-    from .spread import group_table
-
     pair = a.select(*pk, F.col(value).alias("_a")).join(b.select(*pk, F.col(value).alias("_b")), pk)
     pair = pair.filter("_a is not null and _b is not null").withColumn("_d", F.col("_b") - F.col("_a"))
     rows = group_table(

@@ -3,7 +3,7 @@
 A plain Spark window puts a whole group into one task. That is the cheapest plan
 while groups are small, so each function here first checks the largest group:
 
-* the optimizer's size estimate of the input is already below the limit, or
+* the scanned inputs are below the limit by the optimizer's size statistics, or
 * a key-only ``groupBy.count`` (map-side combined, memoised) says so, or
 * the caller passes ``bound``, a known largest group size.
 
@@ -21,7 +21,8 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
-from functools import reduce
+from contextvars import ContextVar
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,15 +34,18 @@ DEFAULT_LIMIT = 1_000_000
 BYTES_PER_ROW = 64
 
 _measured: dict = {}
+_known: ContextVar = ContextVar("known_group_bounds", default=None)
 
 
 def group_limit(spark) -> int:
     return int(spark.conf.get(LIMIT, str(DEFAULT_LIMIT)))
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of the scanned inputs after pruning; joins are not multiplied out."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
     except Exception:  # no JVM handle on a remote session
         return None
 
@@ -59,12 +63,32 @@ def largest_group(df: DataFrame, by: list[str]) -> int:
 def fits(df: DataFrame, by: list[str], bound: int | None = None) -> bool:
     """True when every group is small enough for one task."""
     limit = group_limit(df.sparkSession)
-    if bound is not None:
-        return bound <= limit
-    size = estimated_bytes(df)
-    if size is not None and size <= limit * BYTES_PER_ROW:
-        return True
-    return largest_group(df, by) <= limit
+    known = _known.get()
+    if bound is None and known is not None:
+        bound = known.get(tuple(by))
+    if bound is None:
+        size = input_bytes(df)
+        small = size is not None and size <= limit * BYTES_PER_ROW
+        bound = 1 if small else largest_group(df, by)
+        if known is not None:
+            known[tuple(by)] = bound
+    return bound <= limit
+
+
+def measured_once(fn):
+    """For operators that never add rows: measure each key set on its first use only."""
+
+    @wraps(fn)
+    def call(*args, **kwargs):
+        if _known.get() is not None:
+            return fn(*args, **kwargs)
+        token = _known.set({})
+        try:
+            return fn(*args, **kwargs)
+        finally:
+            _known.reset(token)
+
+    return call
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -10,7 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import clip, hash_int, ratio, share
-from .spread import average_rank, group_table, group_values, percentile_rank, position, running
+from .spread import (
+    average_rank,
+    group_table,
+    group_values,
+    measured_once,
+    nearby,
+    percentile_rank,
+    position,
+    running,
+)
 
 Z95 = 1.959963984540054  # fixed value: two-sided 95 % normal quantile
 INF = float("inf")
@@ -227,6 +236,7 @@ def _normal_two_sided(z: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) else math.erfc(abs(a) / math.sqrt(2)) for a in z], dtype="float64")
 
 
+@measured_once
 def hac_mean_test(df, by, day, ret, max_lag=5) -> DataFrame:
     """One-sided Newey-West test that the mean daily return is positive.
 
@@ -236,8 +246,6 @@ def hac_mean_test(df, by, day, ret, max_lag=5) -> DataFrame:
     days = df.filter(F.col(ret).isNotNull()).groupBy(*by, day).agg(F.avg(ret).alias("_m"))
     days = group_values(days, by, {"_mean": F.avg("_m"), "_n": _count()})
     days = days.withColumn("_c", F.col("_m") - F.col("_mean"))
-    from .spread import nearby
-
     days = nearby(
         days, by, [F.col(day)],
         lambda w: {f"_x{k}": F.col("_c") * F.lag("_c", k).over(w) for k in range(1, max_lag + 1)}, back=max_lag,
@@ -271,6 +279,7 @@ def z_mean_test(df, by, value) -> DataFrame:
     return t.withColumn("p_value", F.coalesce(_normal_two_sided(F.col("z")), flat)).drop("_sd")
 
 
+@measured_once
 def benjamini_hochberg(df, p, tie, by=(), out="q_value") -> DataFrame:
     """False-discovery q-values; a missing p counts as 1."""
     by = list(by)
@@ -329,6 +338,7 @@ def calibration_table(df, y, p, day, bins=10, samples=500, seed=0) -> DataFrame:
 # ---- rank evidence ---------------------------------------------------------
 
 
+@measured_once
 def rank_ic_sections(df, cs, score, ret, tie, min_n=2) -> DataFrame:
     """Spearman correlation and best-minus-worst return of each cross-section."""
     clean = df.filter(F.col(score).isNotNull() & F.col(ret).isNotNull())
@@ -388,6 +398,7 @@ def feature_family_summary(df, family, strength, feature="feature") -> DataFrame
     ).select(family, "features", F.col(f"_b.{feature}").alias("best_feature"), F.col(f"_b.{strength}").alias("best_strength"))
 
 
+@measured_once
 def composite_rank(df, cs, weights: dict[str, float], out="composite") -> DataFrame:
     """Weighted sum of cross-section percentile ranks; a negative weight ranks descending."""
     total = F.lit(0.0)
@@ -490,6 +501,7 @@ def one_sided_residual_quantile(df, slot, resid, q=0.1, min_n=100) -> DataFrame:
     return t.select(slot, "n", F.least(value, F.lit(0.0)).alias("adjustment"))
 
 
+@measured_once
 def weighted_quantile(df, by, value, weight, q) -> DataFrame:
     """Smallest value whose cumulative weight reaches q of the total; 0 without weight."""
     by = list(by)

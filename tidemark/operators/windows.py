@@ -14,6 +14,7 @@ from .spread import (
     average_rank,
     group_table,
     group_values,
+    measured_once,
     nearby,
     percentile_rank,
     position,
@@ -32,6 +33,7 @@ def _guard(value, seen, least):
 # ---- own history -----------------------------------------------------------
 
 
+@measured_once
 def lagged_returns(df, key, order, price, ks=(1, 2, 3, 5, 10, 20), shift=1) -> DataFrame:
     def build(w):
         return {f"ret_{k}": pct(F.lag(price, shift).over(w), F.lag(price, k + shift).over(w)) for k in ks}
@@ -39,6 +41,7 @@ def lagged_returns(df, key, order, price, ks=(1, 2, 3, 5, 10, 20), shift=1) -> D
     return nearby(df, key, _cols(order), build, back=max(ks) + shift)
 
 
+@measured_once
 def rolling_positive_share(df, key, order, ret, windows=(5, 10, 20), mins=(3, 7, 15)) -> DataFrame:
     """Share of positive returns; a missing return counts as not positive."""
 
@@ -53,6 +56,7 @@ def rolling_positive_share(df, key, order, ret, windows=(5, 10, 20), mins=(3, 7,
     return nearby(df, key, _cols(order), build, back=max(windows) - 1)
 
 
+@measured_once
 def rolling_volatility(df, key, order, ret, n=20, min_n=15, downside=False, out="volatility") -> DataFrame:
     """Sample deviation; the downside form sets non-negative and missing returns to 0."""
     value = F.when(F.col(ret) < 0, F.col(ret)).otherwise(0.0) if downside else F.col(ret)
@@ -64,6 +68,7 @@ def rolling_volatility(df, key, order, ret, n=20, min_n=15, downside=False, out=
     return nearby(df, key, _cols(order), build, back=n - 1)
 
 
+@measured_once
 def rolling_drawdown(df, key, order, price, n=20, min_n=15, out="drawdown") -> DataFrame:
     """Prior price against the highest of the n prior prices."""
 
@@ -82,6 +87,7 @@ def _rolling_mean(w, name, n, least):
     return _guard(F.avg(name).over(frame), F.count(name).over(frame), least)
 
 
+@measured_once
 def rolling_amount_ratio(df, key, order, amount, short=(5, 3), long=(20, 15)) -> DataFrame:
     df = nearby(df, key, _cols(order), lambda w: {"_prior": F.lag(amount).over(w)})
 
@@ -96,6 +102,7 @@ def rolling_amount_ratio(df, key, order, amount, short=(5, 3), long=(20, 15)) ->
     return nearby(df, key, _cols(order), build, back=long[0] - 1).drop("_prior")
 
 
+@measured_once
 def prior_day_shape(df, key, order, o="open", h="high", lo="low", c="close", pc="pre_close") -> DataFrame:
     """Shape of the previous bar: gap, body, close position, wicks, 5-bar mean amplitude."""
     width = F.col(h) - F.col(lo)
@@ -115,6 +122,7 @@ def prior_day_shape(df, key, order, o="open", h="high", lo="low", c="close", pc=
     )
 
 
+@measured_once
 def lagged_fundamentals(df, key, order, cols: dict, ratio_of: str, n=20, min_n=15) -> DataFrame:
     """Unit-scaled columns lagged one row; ``ratio_of`` also against its own lagged mean."""
     df = nearby(
@@ -131,6 +139,7 @@ def lagged_fundamentals(df, key, order, cols: dict, ratio_of: str, n=20, min_n=1
 # ---- inside a session ------------------------------------------------------
 
 
+@measured_once
 def expanding_path(df, key, order, o="open", h="high", lo="low", c="close", amount="amount") -> DataFrame:
     """Session so far: range, position, amount-weighted price, drawdown, rebound, shares."""
     order = _cols(order)
@@ -169,6 +178,7 @@ def _log_steps(df, key, order, o, c):
     )
 
 
+@measured_once
 def expanding_moments(df, key, order, o="open", c="close") -> DataFrame:
     order = _cols(order)
     df = _log_steps(df, key, order, o, c)
@@ -194,6 +204,7 @@ def expanding_moments(df, key, order, o="open", c="close") -> DataFrame:
     ).drop("_r", "_n", "_s", "_ss", "_sa", "_up", "_dn", "_first")
 
 
+@measured_once
 def expanding_trend(df, key, order, c="close") -> DataFrame:
     """Least-squares slope and r2 of log close on bar number, bars so far."""
     order = _cols(order)
@@ -214,6 +225,7 @@ def expanding_trend(df, key, order, c="close") -> DataFrame:
     ).drop("_n", "_sy", "_syy", "_sxy")
 
 
+@measured_once
 def trailing_bar_window(df, key, order, h="high", lo="low", c="close", amount="amount", ns=(1, 2, 4)) -> DataFrame:
     def build(w):
         out = {}
@@ -231,6 +243,7 @@ def trailing_bar_window(df, key, order, h="high", lo="low", c="close", amount="a
     return nearby(df, key, _cols(order), build, back=max(*ns, 3))
 
 
+@measured_once
 def bar_anatomy(df, o="open", h="high", lo="low", c="close") -> DataFrame:
     return df.withColumns(
         {
@@ -242,6 +255,7 @@ def bar_anatomy(df, o="open", h="high", lo="low", c="close") -> DataFrame:
     )
 
 
+@measured_once
 def group_first_transform(df, key, order, name, out) -> DataFrame:
     """First non-NULL value of the group on every row."""
     first = running(df, key, _cols(order), {"_f": ("first", F.col(name))})
@@ -249,6 +263,7 @@ def group_first_transform(df, key, order, name, out) -> DataFrame:
     return group_values(first, key, {out: F.max("_f")}).drop("_f")
 
 
+@measured_once
 def calendar_index(df, date, k=5) -> DataFrame:
     """Dense day index with neighbours and the k previous open days.
 
@@ -271,23 +286,27 @@ def calendar_index(df, date, k=5) -> DataFrame:
 # ---- cross-section ---------------------------------------------------------
 
 
+@measured_once
 def cs_percentile_rank(df, cs, cols, desc=()) -> DataFrame:
     for c in cols:
         df = percentile_rank(df, cs, c, f"{c}_rank", desc=c in desc)
     return df
 
 
+@measured_once
 def cs_first_rank(df, cs, name, tie, out="first_rank", desc=True) -> DataFrame:
     """Ordinal rank; equal values are ordered by ``tie``."""
     value = F.col(name).desc_nulls_last() if desc else F.col(name).asc_nulls_last()
     return position(df, cs, [value, *_cols(tie)], out)
 
 
+@measured_once
 def score_decile(df, cs, name, out="decile") -> DataFrame:
     ranked = percentile_rank(df, cs, name, "_pr")
     return ranked.withColumn(out, clip(F.ceil(F.col("_pr") * 10), 1, 10).cast("int")).drop("_pr")
 
 
+@measured_once
 def quantile_bucket(df, name, n, tie, out="bucket") -> DataFrame:
     """Equal-count buckets of ordinal ranks, edges at linear quantiles of 1..rows."""
     df = position(df, [], [F.col(name), *_cols(tie)], "_r")
@@ -296,6 +315,7 @@ def quantile_bucket(df, name, n, tie, out="bucket") -> DataFrame:
     return df.withColumn(out, clip(F.ceil(F.round(at, 9)), 1, n).cast("int")).drop("_r", "_rows")
 
 
+@measured_once
 def market_context(df, cs, ret, medians=(), thresholds=(0.0, 2.0, 5.0), near=(), prefix="market") -> DataFrame:
     """Median, breadth over all rows, sample deviation and near-limit counts per row."""
     aggs: dict = {f"{prefix}_return": ("quantile", ret, 0.5), f"{prefix}_dispersion": F.stddev_samp(ret)}
@@ -305,6 +325,7 @@ def market_context(df, cs, ret, medians=(), thresholds=(0.0, 2.0, 5.0), near=(),
     return group_values(df, cs, aggs)
 
 
+@measured_once
 def industry_context(df, cs, group, ret, prefix="industry") -> DataFrame:
     """Group median and breadth; rows without a group get NULL."""
     known = F.col(group).isNotNull() & (F.trim(F.col(group).cast("string")) != "")
@@ -315,18 +336,21 @@ def industry_context(df, cs, group, ret, prefix="industry") -> DataFrame:
     return df.withColumns({f"{prefix}_{n}": F.when(known, F.col(f"{prefix}_{n}")) for n in ("return", "breadth")})
 
 
+@measured_once
 def cs_zscore(df, cs, name, limit=10.0, out="zscore") -> DataFrame:
     df = group_values(df, cs, {"_mean": F.avg(name), "_sd": F.stddev_samp(name)})
     z = ratio(F.col(name) - F.col("_mean"), "_sd")
     return df.withColumn(out, clip(z, -limit, limit)).drop("_mean", "_sd")
 
 
+@measured_once
 def cs_change_from_first_slot(df, day, slot, name, first_slot, out="change") -> DataFrame:
     """Cross-section value minus its value in the day's first slot; NULL without that slot."""
     df = group_values(df, day, {"_f": F.max(F.when(F.col(slot) == first_slot, F.col(name)))})
     return df.withColumn(out, F.col(name) - F.col("_f")).drop("_f")
 
 
+@measured_once
 def slot_history(df, day, code, order, cols, hit_rules: dict) -> DataFrame:
     """Per stock-day across slots: step change, change from first, running mean, min, std, hits."""
     key, order = [*day, *code], _cols(order)
@@ -352,6 +376,7 @@ def slot_history(df, day, code, order, cols, hit_rules: dict) -> DataFrame:
     return df.withColumns(out).drop(*[f"_{c}_{x}" for c in cols for x in ("f", "n", "s", "ss")])
 
 
+@measured_once
 def slot_leader_context(df, cs, score, tie, cols=()) -> DataFrame:
     """Rank in the slot, slot statistics, gap to the top and the leader's margin to second."""
     df = position(df, cs, [F.col(score).desc_nulls_last(), *_cols(tie)], "slot_rank")
@@ -374,6 +399,7 @@ def slot_leader_context(df, cs, score, tie, cols=()) -> DataFrame:
     ).drop("_second")
 
 
+@measured_once
 def leader_persistence(df, day, code, order, score, rank) -> DataFrame:
     key, order = [*day, *code], _cols(order)
     df = nearby(df, key, order, lambda w: {"score_delta": F.coalesce(F.col(score) - F.lag(score).over(w), F.lit(0.0))})
@@ -387,6 +413,7 @@ def leader_persistence(df, day, code, order, score, rank) -> DataFrame:
     return df.withColumn("mean_so_far", ratio("_s", "_n")).drop("_s", "_n")
 
 
+@measured_once
 def path_context(df, cs, day, code, slot_minute, cols) -> DataFrame:
     """Slot rank of each path column, its change since the stock's last appearance, and the wait."""
     df = cs_percentile_rank(df, cs, cols)
@@ -399,6 +426,7 @@ def path_context(df, cs, day, code, slot_minute, cols) -> DataFrame:
     return nearby(df, [*day, *code], [F.col(slot_minute)], build)
 
 
+@measured_once
 def max_streak(df, key, order, cond, out="max_streak") -> DataFrame:
     """Longest run of true per key; runs are numbered by the false rows before them."""
     df = running(df.withColumn("_ok", share(cond)), key, _cols(order), {"_run": ("sum", 1 - F.col("_ok"))})
@@ -406,6 +434,7 @@ def max_streak(df, key, order, cond, out="max_streak") -> DataFrame:
     return runs.groupBy(*key).agg(F.max("_len").alias(out))
 
 
+@measured_once
 def cumulative_equity_drawdown(df, by, day, ret) -> DataFrame:
     """Compounded equity of daily percent returns, its peak and the worst drawdown so far."""
     growth = 1 + F.col(ret) / 100
@@ -416,6 +445,7 @@ def cumulative_equity_drawdown(df, by, day, ret) -> DataFrame:
     return running(df, by, [F.col(day)], {"max_drawdown": ("min", F.col("drawdown"))}).drop("_peak")
 
 
+@measured_once
 def next_term_contract(df, family, month, value, out=None) -> DataFrame:
     """Contract with the next later month in its family, one row per (family, month)."""
     return nearby(
@@ -424,4 +454,3 @@ def next_term_contract(df, family, month, value, out=None) -> DataFrame:
     )
 
 
-__all__ = [n for n in dir() if not n.startswith("_")] + ["average_rank", "group_table"]

@@ -49,10 +49,10 @@ def _(t):
 
 
 @query("log_and_ratio_features", "day:d slot:s code:i amount_log:r amount_ratio:r relative:r",
-       "SELECT day, slot, code, ln(1 + greatest(slot_amount, 0)) AS amount_log, slot_amount / nullif(t1_vol, 0) AS amount_ratio, ret - gap AS relative FROM panel")
+       "SELECT day, slot, code, ln(1 + greatest(slot_amount, 0)) AS amount_log, slot_amount / nullif(prev_close, 0) AS amount_ratio, ret - gap AS relative FROM panel")
 def _(t):
     return op.log_and_ratio_features(
-        t.panel, {"amount_log": "slot_amount"}, {"amount_ratio": ("slot_amount", "t1_vol")}, {"relative": ("ret", "gap")})
+        t.panel, {"amount_log": "slot_amount"}, {"amount_ratio": ("slot_amount", "prev_close")}, {"relative": ("ret", "gap")})
 
 
 @query("price_parity", "day:d slot:s code:i parity_ok:b parity_ok_bps:r",
@@ -164,7 +164,7 @@ SHRUNK = ["return_median", "positive_share", "own_excess"]
 
 
 @query("hierarchical_shrinkage", "day:d slot:s code:i log_fine_count:r fine_available:r any_available:r fine_shallow:r coarse_shallow:r fine_weight:r fine_share:r shrunk_return_median:r shrunk_positive_share:r shrunk_own_excess:r",
-       f"""SELECT day, slot, code, ln(1 + nf) AS log_fine_count, (nf > 0)::INT AS fine_available, (nf > 0 OR nc > 0)::INT AS any_available, (nf < 3)::INT AS fine_shallow, (nc < 5)::INT AS coarse_shallow,
+       f"""SELECT day, slot, code, ln(1 + nf) AS log_fine_count, (nf > 0)::INT AS fine_available, (nf > 0 OR nc > 0)::INT AS any_available, (nf < 2)::INT AS fine_shallow, (nc < 4)::INT AS coarse_shallow,
        CASE WHEN nf > 0 AND nc > 0 THEN nf / (nf + 6) ELSE (nf > 0)::INT END AS fine_weight, coalesce(least(nf / nullif(nc, 0), 1), 0) AS fine_share,
        {", ".join(f"coalesce(nf / (nf + 6) * fine_{m} + (1 - nf / (nf + 6)) * coarse_{m}, fine_{m}, coarse_{m}, 0) AS shrunk_{m}" for m in SHRUNK)}
        FROM (SELECT *, fine_count::DOUBLE AS nf, coarse_count::DOUBLE AS nc FROM ({loo_sql('nation', 'fine')}) JOIN ({loo_sql('region', 'coarse')}) USING (day, slot, code))""")
@@ -201,7 +201,7 @@ def _(t):
     return op.causal_event_projection(first_events(t), SLOTS, "120 minutes")
 
 
-@query("candidate_event_state", "day:d slot:s code:i own_touch:b own_open:b own_down:b minutes_since_touch:r minutes_since_open:r touch_count:i",
+@query("candidate_event_state", "day:d slot:s code:i own_touch:b own_open:b own_down:b minutes_since_touch:m minutes_since_open:m touch_count:i",
        f"""SELECT f.day, f.slot, f.code, touch = 1 AS own_touch, open = 1 AS own_open, down = 1 AS own_down, CASE WHEN touch = 1 THEN date_diff('microsecond', first_touch, cut) / 60e6::DOUBLE END AS minutes_since_touch,
        CASE WHEN open = 1 THEN date_diff('microsecond', first_open, cut) / 60e6::DOUBLE END AS minutes_since_open, touch_count FROM ({FLAGS}) f JOIN ({PROJ}) p USING (day, slot)""")
 def _(t):
@@ -223,7 +223,7 @@ def _(t):
 @query("event_window_features", "code:i day:d touch_count:i touch_active:i touch_latest_age:i touch_value_log:r touch_value_max:r open_count:i open_active:i open_weighted_value:r",
        f"""SELECT u.code, u.day, coalesce(tc, 0) AS touch_count, (coalesce(tc, 0) > 0)::INT AS touch_active, ta AS touch_latest_age, ln(1 + tv) AS touch_value_log, tm AS touch_value_max, coalesce(oc, 0) AS open_count, (coalesce(oc, 0) > 0)::INT AS open_active, ow AS open_weighted_value
        FROM user_days u LEFT JOIN (SELECT u.code, u.day, count(*) FILTER (WHERE tag = 'touch') AS tc, min(c.idx - d.idx) FILTER (WHERE tag = 'touch') AS ta, sum(value) FILTER (WHERE tag = 'touch') AS tv, max(value) FILTER (WHERE tag = 'touch') AS tm,
-       count(*) FILTER (WHERE tag = 'open') AS oc, sum(value * second(e.ts)) FILTER (WHERE tag = 'open') / nullif(sum(second(e.ts)) FILTER (WHERE tag = 'open'), 0) AS ow FROM {LOOK} GROUP BY u.code, u.day) h ON h.code = u.code AND h.day = u.day""")
+       count(*) FILTER (WHERE tag = 'open') AS oc, coalesce(sum(value * second(e.ts)) FILTER (WHERE tag = 'open') / nullif(sum(second(e.ts)) FILTER (WHERE tag = 'open'), 0), avg(value) FILTER (WHERE tag = 'open')) AS ow FROM {LOOK} GROUP BY u.code, u.day) h ON h.code = u.code AND h.day = u.day""")
 def _(t):
     events = t.tape.withColumns({"source": F.col("tag"), "w": F.second("ts").cast("double")})
     aggs = {
