@@ -394,7 +394,7 @@ def slot_leader_context(df, cs, score, tie, cols=()) -> DataFrame:
         {
             "slot_std": F.coalesce("slot_std", F.lit(0.0)),
             "gap_to_top": F.col("slot_max") - F.col(score),
-            "margin_to_second": F.when(F.col("slot_rank") == 1, F.col(score) - F.coalesce("_second", F.lit(0.0))),
+            "top_margin": F.coalesce(F.col("slot_max") - F.col("_second"), F.lit(0.0)),
         }
     ).drop("_second")
 

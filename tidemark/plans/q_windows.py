@@ -226,8 +226,8 @@ def _(t):
     return op.slot_history(t.scored, ["day"], ["code"], ["slot"], ["p"], {"strong": F.col("p") > 0.7})
 
 
-@query("slot_leader_context", "day:d slot:s code:i slot_rank:i slot_size:i slot_max:r slot_median:r slot_q90:r slot_std:r gap_to_top:r margin_to_second:r ret_slot_max:r",
-       """SELECT *, m - p AS gap_to_top, CASE WHEN slot_rank = 1 THEN p - coalesce(max(CASE WHEN slot_rank = 2 THEN p END) OVER (PARTITION BY day, slot), 0) END AS margin_to_second FROM (
+@query("slot_leader_context", "day:d slot:s code:i slot_rank:i slot_size:i slot_max:r slot_median:r slot_q90:r slot_std:r gap_to_top:r top_margin:r ret_slot_max:r",
+       """SELECT *, m - p AS gap_to_top, coalesce(m - max(CASE WHEN slot_rank = 2 THEN p END) OVER (PARTITION BY day, slot), 0) AS top_margin FROM (
        SELECT day, slot, code, p, row_number() OVER (PARTITION BY day, slot ORDER BY p DESC, code) AS slot_rank, count(*) OVER w AS slot_size, max(p) OVER w AS slot_max, max(p) OVER w AS m,
        median(p) OVER w AS slot_median, quantile_cont(p, 0.9) OVER w AS slot_q90, coalesce(stddev_samp(p) OVER w, 0) AS slot_std, max(ret) OVER w AS ret_slot_max FROM scored WINDOW w AS (PARTITION BY day, slot))""")
 def _(t):
