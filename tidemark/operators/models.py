@@ -59,10 +59,10 @@ def fit_logistic_blend(train, features, label, weight, iterations=10, depth=3, s
     rows = train.filter(F.col(label).isNotNull()).withColumn("_y", F.col(label).cast("double"))
     prepare = Pipeline(stages=_vectors(features)).fit(rows)
     ready = prepare.transform(rows).select("_x", "_y", weight).persist()
-    tree = GBTClassifier(
-        featuresCol="_x", labelCol="_y", weightCol=weight, maxIter=iterations, maxDepth=depth, seed=seed,
-        probabilityCol="_tprob", rawPredictionCol="_traw",
-    ).fit(ready)
+    tree = (
+        GBTClassifier(featuresCol="_x", labelCol="_y", weightCol=weight, maxIter=iterations, maxDepth=depth, seed=seed)
+        .setProbabilityCol("_tprob").setRawPredictionCol("_traw").fit(ready)
+    )
     linear = LogisticRegression(
         featuresCol="_x", labelCol="_y", weightCol=weight, regParam=0.01, maxIter=25, probabilityCol="_lprob",
         rawPredictionCol="_lraw", predictionCol="_lpred",

