@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import all_of, holds, pct, ratio
 from .joins import require_unique
-from .spread import group_table, group_values, measured_once, percentile_rank
+from .spread import group_table, group_values, measured_once, percentile_ranks
 
 
 @dataclass(frozen=True)
@@ -83,8 +83,7 @@ def supervised_labels(df, cs, cfg: Execution, eligible="eligible", entry_ref="en
         }
     )
     df = df.withColumns({"_all": F.when(F.col("_all") == 1, F.col("net_return")), "_cond": F.when(trip, net)})
-    df = percentile_rank(df, cs, "_all", "net_rank")
-    df = percentile_rank(df, cs, "_cond", "conditional_rank")
+    df = percentile_ranks(df, cs, {"net_rank": "_all", "conditional_rank": "_cond"})
     df = group_values(df, cs, {"_median": ("quantile", "_cond", 0.5)})
     return df.withColumns(
         {

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clip
 from .selection import union_families
-from .spread import best_rows, percentile_rank
+from .spread import best_rows, percentile_ranks
 
 TREE_SHARE = 0.70  # fixed value: weight of the tree in every blend
 
@@ -205,15 +205,12 @@ def ensemble_combine(df, members, cs, penalty=-10.0, adjustment=None) -> DataFra
             "expected_utility_lower": F.col("expected_utility") + low,
         }
     )
-    parts = []
     # fixed values: weights of the five member ranks
+    ranked = {}
     for i, m in enumerate(members):
-        for j, (source, w) in enumerate(((f"_e{i}", 0.35), (f"ret_{m}", 0.25), (f"pos_{m}", 0.20), (f"_w{i}", 0.05))):
-            df = percentile_rank(df, cs, source, f"_q{i}_{j}")
-            parts.append(F.coalesce(F.col(f"_q{i}_{j}"), F.lit(0.0)) * w)
-        df = percentile_rank(df, cs, f"rank_{m}", f"_q{i}_r")
-        parts.append(F.coalesce(F.col(f"_q{i}_r"), F.lit(0.0)) * 0.15)
-    score = sum(parts, F.lit(0.0)) / len(members)
+        ranked |= {f"_e{i}": 0.35, f"ret_{m}": 0.25, f"pos_{m}": 0.20, f"rank_{m}": 0.15, f"_w{i}": 0.05}
+    df = percentile_ranks(df, cs, {f"_q_{c}": c for c in ranked})
+    score = sum((F.coalesce(F.col(f"_q_{c}"), F.lit(0.0)) * w for c, w in ranked.items()), F.lit(0.0)) / len(members)
     out = df.withColumn("selection_score", score)
     return out.drop(*[n for n in out.columns if n.startswith("_")])
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import all_of, holds, ratio, share
 from .joins import grid_cross_join, grid_rows
 from .selection import first_signal_daily_cap
-from .spread import best_rows, group_values, percentile_rank, position
+from .spread import average_ranks, best_rows, group_values, percentile_rank, percentile_ranks, position
 from .statistics import profit_factor_of, wilson_bounds
 
 # a gate is (column, ">=" or "<=", limit)
@@ -196,8 +196,7 @@ def topn_cohorts(df, cs, score, tie, ns, day, code, slot, ret) -> DataFrame:
 
 def feature_tail_audit(df, cs, features, tails, day, code, slot, ret) -> DataFrame:
     """Cohort metrics of the highest and lowest share of every feature."""
-    for i, f in enumerate(features):
-        df = percentile_rank(df, cs, f, f"_t{i}")
+    df = percentile_ranks(df, cs, {f"_t{i}": f for i, f in enumerate(features)})
     hits = []
     for i, f in enumerate(features):
         for tail in tails:
@@ -233,10 +232,7 @@ def threshold_calibrate(df, fold, day, score, rate, windows=None) -> DataFrame:
 
 def threshold_drift(thresholds, value="threshold", events="events") -> DataFrame:
     """Spread of fold thresholds and their rank correlation with event counts."""
-    from .spread import average_rank
-
-    t = average_rank(thresholds, [], value, "_a")
-    t = average_rank(t, [], events, "_b")
+    t = average_ranks(thresholds, [], {"_a": value, "_b": events})
     s = t.agg(
         _count().alias("scored_folds"), F.count(F.when(F.col(events) == 0, 1)).alias("zero_folds"),
         F.min(value).alias("threshold_min"), F.max(value).alias("threshold_max"), F.stddev_pop(value).alias("threshold_std"),

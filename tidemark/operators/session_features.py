@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import all_of, clip, holds, pct, ratio, share
 from .joins import require_unique
-from .spread import best_rows, group_values, measured_once, nearby, position, running
+from .spread import average_ranks, best_rows, group_values, measured_once, nearby, position, running
 
 INTRADAY = ("open", "high", "low", "close", "amount", "vol")
 
@@ -397,12 +397,9 @@ def snapshot_batch_pick(df, by, ts, code, window, min_codes=50) -> DataFrame:
 @measured_once
 def rank_regime_normalize(df, by, rank, score, tie, max_ordinal=2000.0) -> DataFrame:
     """Decide per batch whether ``rank`` is an ordinal or a legacy score; normalise to 1..n."""
-    from .spread import average_rank
-
     paired = F.col(rank).isNotNull() & F.col(score).isNotNull()
     df = df.withColumns({"_pr": F.when(paired, F.col(rank)), "_ps": F.when(paired, F.col(score))})
-    df = average_rank(df, by, "_pr", "_a")
-    df = average_rank(df, by, "_ps", "_b")
+    df = average_ranks(df, by, {"_a": "_pr", "_b": "_ps"})
     # count(distinct) is not a window function: ties are counted by the first of each value
     df = position(df, by, [F.col(rank).desc_nulls_last(), F.col(tie)], "_first")
     df = nearby(df, by, [F.col("_first")], lambda w: {"_new": F.col(rank).isNotNull() & ~F.col(rank).eqNullSafe(F.lag(rank).over(w))})

@@ -42,9 +42,12 @@ def group_limit(spark) -> int:
 
 
 def input_bytes(df: DataFrame) -> int | None:
-    """Bytes of the scanned inputs after pruning; joins are not multiplied out."""
+    """Bytes of the scanned inputs; joins are not multiplied out.
+
+    Read off the analyzed plan, so the check costs no optimizer run.
+    """
     try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
         return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
     except Exception:  # no JVM handle on a remote session
         return None
@@ -359,16 +362,48 @@ def tie_ranks(df, by, value: Column, prefix="_", bound=None) -> DataFrame:
     return group_values(found, by, {n: F.count(hi)}, bound)
 
 
+def _middle_rank(by, value: Column) -> Column:
+    """Average-tie rank of a value as one window expression; NULL stays NULL."""
+    upto = Window.partitionBy(*by).orderBy(value.asc_nulls_last())
+    below = F.count(value).over(upto.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return F.when(value.isNotNull(), (F.rank().over(upto) + below) / 2)
+
+
+def percentile_ranks(df, by, ranks: dict, bound=None) -> DataFrame:
+    """Average-tie percentile ranks in (0, 1]; NULL stays NULL.
+
+    ``ranks`` maps an output to a column or to ``(column, descending)``.
+    """
+    spec = {n: v if isinstance(v, tuple) else (v, False) for n, v in ranks.items()}
+    values = {n: -col(c) if down else col(c) for n, (c, down) in spec.items()}
+    if fits(df, by, bound):
+        w = Window.partitionBy(*by)
+        return df.withColumns(
+            {n: F.try_divide(_middle_rank(by, v), F.count(v).over(w)) for n, v in values.items()}
+        )
+    for n, v in values.items():
+        df = tie_ranks(df, by, v, "_pr_", bound)
+        middle = (F.col("_pr_lo") + F.col("_pr_hi")) / 2
+        df = df.withColumn(n, F.try_divide(middle, F.col("_pr_n"))).drop("_pr_lo", "_pr_hi", "_pr_n")
+    return df
+
+
 def percentile_rank(df, by, value, out, desc=False, bound=None) -> DataFrame:
-    """Average-tie percentile rank in (0, 1]; NULL stays NULL."""
-    ranked = tie_ranks(df, by, -col(value) if desc else col(value), "_pr_", bound)
-    middle = (F.col("_pr_lo") + F.col("_pr_hi")) / 2
-    return ranked.withColumn(out, F.try_divide(middle, F.col("_pr_n"))).drop("_pr_lo", "_pr_hi", "_pr_n")
+    return percentile_ranks(df, by, {out: (value, desc)}, bound)
+
+
+def average_ranks(df, by, ranks: dict, bound=None) -> DataFrame:
+    """Average-tie ranks, ``{output: column}``."""
+    if fits(df, by, bound):
+        return df.withColumns({n: _middle_rank(by, col(c)) for n, c in ranks.items()})
+    for n, c in ranks.items():
+        df = tie_ranks(df, by, col(c), "_ar_", bound)
+        df = df.withColumn(n, (F.col("_ar_lo") + F.col("_ar_hi")) / 2).drop("_ar_lo", "_ar_hi", "_ar_n")
+    return df
 
 
 def average_rank(df, by, value, out, bound=None) -> DataFrame:
-    ranked = tie_ranks(df, by, col(value), "_ar_", bound)
-    return ranked.withColumn(out, (F.col("_ar_lo") + F.col("_ar_hi")) / 2).drop("_ar_lo", "_ar_hi", "_ar_n")
+    return average_ranks(df, by, {out: value}, bound)
 
 
 def best_rows(df, by, order, k: int) -> DataFrame:

@@ -11,12 +11,12 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import clip, hash_int, ratio, share
 from .spread import (
-    average_rank,
+    average_ranks,
     group_table,
     group_values,
     measured_once,
     nearby,
-    percentile_rank,
+    percentile_ranks,
     position,
     running,
 )
@@ -342,8 +342,7 @@ def calibration_table(df, y, p, day, bins=10, samples=500, seed=0) -> DataFrame:
 def rank_ic_sections(df, cs, score, ret, tie, min_n=2) -> DataFrame:
     """Spearman correlation and best-minus-worst return of each cross-section."""
     clean = df.filter(F.col(score).isNotNull() & F.col(ret).isNotNull())
-    clean = average_rank(clean, cs, score, "_rs")
-    clean = average_rank(clean, cs, ret, "_rr")
+    clean = average_ranks(clean, cs, {"_rs": score, "_rr": ret})
     t = clean.groupBy(*cs).agg(
         _count().alias("n"), F.covar_pop("_rs", "_rr").alias("_cov"),
         F.stddev_pop("_rs").alias("_a"), F.stddev_pop("_rr").alias("_b"),
@@ -401,10 +400,8 @@ def feature_family_summary(df, family, strength, feature="feature") -> DataFrame
 @measured_once
 def composite_rank(df, cs, weights: dict[str, float], out="composite") -> DataFrame:
     """Weighted sum of cross-section percentile ranks; a negative weight ranks descending."""
-    total = F.lit(0.0)
-    for i, (c, w) in enumerate(weights.items()):
-        df = percentile_rank(df, cs, c, f"_w{i}", desc=w < 0)
-        total = total + abs(w) * F.col(f"_w{i}")
+    df = percentile_ranks(df, cs, {f"_w{i}": (c, w < 0) for i, (c, w) in enumerate(weights.items())})
+    total = sum((abs(w) * F.col(f"_w{i}") for i, w in enumerate(weights.values())), F.lit(0.0))
     return df.withColumn(out, total).drop(*[f"_w{i}" for i in range(len(weights))])
 
 

@@ -11,12 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions import clip, pct, ratio, safe_ln, share
 from .spread import (
-    average_rank,
-    group_table,
     group_values,
     measured_once,
     nearby,
     percentile_rank,
+    percentile_ranks,
     position,
     running,
 )
@@ -288,9 +287,7 @@ def calendar_index(df, date, k=5) -> DataFrame:
 
 @measured_once
 def cs_percentile_rank(df, cs, cols, desc=()) -> DataFrame:
-    for c in cols:
-        df = percentile_rank(df, cs, c, f"{c}_rank", desc=c in desc)
-    return df
+    return percentile_ranks(df, cs, {f"{c}_rank": (c, c in desc) for c in cols})
 
 
 @measured_once
