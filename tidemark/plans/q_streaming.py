@@ -53,7 +53,7 @@ def _(t):
     return op.drain(op.stream_dedup_bars(twice, ["event_id"], "ts", "1 hour"))
 
 
-AGE = "CAST(value AS BIGINT)"
+AGE = "floor(value)"
 
 
 @query("stream_freshness", "slot_end:s bars:i stale_bars:i codes:i coverage:r",
@@ -114,7 +114,7 @@ def _(t):
 
 
 @query("stream_late_tier", "event_id:i tier:s prospective:b",
-       """SELECT event_id, CASE WHEN w <= 3600 THEN 'prospective' WHEN CAST(ts + w * INTERVAL 1 SECOND AS DATE) = CAST(ts AS DATE) THEN 'same_day_recovered' ELSE 'late' END AS tier, w <= 3600 AS prospective FROM (SELECT *, CAST(value AS BIGINT) * 100 AS w FROM events)""")
+       """SELECT event_id, CASE WHEN w <= 3600 THEN 'prospective' WHEN CAST(ts + w * INTERVAL 1 SECOND AS DATE) = CAST(ts AS DATE) THEN 'same_day_recovered' ELSE 'late' END AS tier, w <= 3600 AS prospective FROM (SELECT *, CAST(floor(value) AS BIGINT) * 100 AS w FROM events)""")
 def _(t):
     s = live(t).withColumn("arrival", F.expr("ts + make_dt_interval(0, 0, 0, cast(value as bigint) * 100)"))
     return op.drain(op.stream_late_tier(s.select("event_id", "ts", "arrival"), "ts", "arrival", 3600))
