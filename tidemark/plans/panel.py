@@ -60,7 +60,7 @@ def causal_panel(src: Sources, cfg: labels.Execution) -> DataFrame:
     df = df.join(groups.select("code", "day", F.col("coarse").alias("industry")), ["code", "day"], "left")
     truth = src.daily.select("code", "day", F.col("close").alias("t1_close"), F.col("vol").alias("t1_vol"), F.col("adj").alias("t1_adj"))
     df = joins.next_period_join(df, truth, src.calendar, ["code"])
-    df = features.slot_price_features(df)
+    df = features.slot_price_features(df, prev="pre_close")
     df = windows.market_context(df, cs, "ret_from_prev_close")
     df = windows.industry_context(df, cs, "industry", "ret_from_prev_close")
     df = percentile_ranks(df, cs, {"return_rank": "ret_from_prev_close", "amount_rank": "path_amount"})
