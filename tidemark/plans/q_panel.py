@@ -23,8 +23,8 @@ vola AS (SELECT code, day, CASE WHEN count(r) OVER w >= 15 THEN stddev_samp(r) O
 path AS (SELECT code, day, ts, close, (close / first_value(open) OVER v - 1) * 100 AS path_return, min(dd) OVER v AS path_max_drawdown, sum(amount) OVER v AS path_amount FROM (SELECT *, (close / max(close) OVER ({M}) - 1) * 100 AS dd FROM mbars) WINDOW v AS ({M})),
 c AS (SELECT day, slot, code, {CUT_SQL} AS cut FROM slot_bars),
 snap AS (SELECT c.day, c.slot, c.code, p.close AS price, path_return, path_max_drawdown, path_amount FROM c ASOF JOIN path p ON p.code = c.code AND p.day = c.day AND c.cut >= p.ts),
-base AS (SELECT s.*, pre_close, h.adj, day_open, prev_5d_return, amount_ratio, prev_20d_volatility, m.coarse AS industry, k.next_day, n.close AS t1_close, n.vol AS t1_vol, n.adj AS t1_adj, down_limit * 0.9::DOUBLE AS t1_down,
-  (price / pre_close - 1) * 100 AS ret_from_prev_close, (day_open / pre_close - 1) * 100 AS gap_open, (up_limit / price - 1) * 100 AS dist_up
+base AS (SELECT s.*, h.pre_close, h.adj, day_open, prev_5d_return, amount_ratio, prev_20d_volatility, m.coarse AS industry, k.next_day, n.close AS t1_close, n.vol AS t1_vol, n.adj AS t1_adj, down_limit * 0.9::DOUBLE AS t1_down,
+  (price / h.pre_close - 1) * 100 AS ret_from_prev_close, (day_open / h.pre_close - 1) * 100 AS gap_open, (up_limit / price - 1) * 100 AS dist_up
   FROM snap s JOIN hist h ON h.code = s.code AND h.day = s.day JOIN vola v ON v.code = s.code AND v.day = s.day LEFT JOIN limits l ON l.code = s.code AND l.day = s.day
   LEFT JOIN membership m ON m.code = s.code AND m.valid_from <= s.day AND (m.valid_to IS NULL OR m.valid_to > s.day) JOIN calendar k ON k.day = s.day LEFT JOIN daily n ON n.code = s.code AND n.day = k.next_day),
 ctx AS (SELECT *, median(ret_from_prev_close) OVER w AS market_return, avg(coalesce((ret_from_prev_close > 0)::INT, 0)) OVER w AS market_breadth_0, median(ret_from_prev_close) OVER (PARTITION BY day, slot, industry) AS industry_return,
