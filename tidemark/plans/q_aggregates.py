@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from ..functions import hash_unit
 from ..operators import aggregates as op
+from ..operators.features import basket_regime_frame
+from ..operators.spread import best_rows, position
 from .registry import query
 
 
@@ -81,17 +83,24 @@ def _(t):
     return op.stock_day_rollup(t.scored, ["day"], ["code"], {"best_q": F.max("q"), "best_p": F.max("p"), "least_risk": F.min("risk")})
 
 
-@query("basket_rollup", "day:d slot:s members:i member_list:s ret_median:r ret_iqr:r up_breadth:r basket_mean:r basket_min:r positive_share:r target_good:i target_margin:i target_severe:i",
-       """SELECT *, (basket_mean > 0 AND positive_share > 0.5)::INT AS target_good, (basket_mean > 0.5 AND positive_share > 0.5)::INT AS target_margin, (basket_min <= -2)::INT AS target_severe FROM (
-       SELECT day, slot, count(*) AS members, string_agg(CAST(code AS VARCHAR), '|' ORDER BY r) AS member_list, median(ret) AS ret_median, quantile_cont(ret, 0.75) - quantile_cont(ret, 0.25) AS ret_iqr,
-       avg(coalesce((ret > 1)::INT, 0)) AS up_breadth, avg(net) AS basket_mean, min(net) AS basket_min, avg((net > 0)::INT) AS positive_share
-       FROM (SELECT *, row_number() OVER (PARTITION BY day, slot ORDER BY p DESC, code) AS r FROM scored WHERE entry_ok) WHERE r <= 10 GROUP BY day, slot HAVING count(*) >= 5)""")
+BASKET_OUT = "day:d slot:s members:i member_list:s ret_median:r ret_iqr:r up_breadth:r basket_mean:r basket_min:r positive_share:r target_good:i target_margin:i target_severe:i"
+BASKET_SPEC = {"code": "code", "medians": ["ret"], "iqrs": ["ret"], "breadth": {"up": ("ret", 1.0)}, "net": "net"}
+BASKET = """SELECT *, (basket_mean > 0 AND positive_share > 0.5)::INT AS target_good, (basket_mean > 0.5 AND positive_share > 0.5)::INT AS target_margin, (basket_min <= -2)::INT AS target_severe FROM (
+  SELECT day, slot, count(*) AS members, string_agg(CAST(code AS VARCHAR), '|' ORDER BY r) AS member_list, median(ret) AS ret_median, quantile_cont(ret, 0.75) - quantile_cont(ret, 0.25) AS ret_iqr,
+  avg(coalesce((ret > 1)::INT, 0)) AS up_breadth, avg(net) AS basket_mean, min(net) AS basket_min, avg((net > 0)::INT) AS positive_share
+  FROM (SELECT *, row_number() OVER (PARTITION BY day, slot ORDER BY p DESC, code) AS r FROM scored WHERE {}) WHERE r <= 10 GROUP BY day, slot HAVING count(*) >= 5)"""
+
+
+@query("basket_rollup", BASKET_OUT, BASKET.format("true"))
 def _(t):
-    from ..operators.features import basket_regime_frame
+    order = [F.col("p").desc(), F.col("code")]
+    ranked = position(best_rows(t.scored, ["day", "slot"], order, 10), ["day", "slot"], order, "_rank", bound=10)
+    return op.basket_rollup(ranked, ["day", "slot"], min_members=5, n=10, **BASKET_SPEC)
 
-    return basket_regime_frame(
-        t.scored, ["day", "slot"], F.col("entry_ok"), [F.col("p").desc(), F.col("code")], 10, 5,
-        code="code", medians=["ret"], iqrs=["ret"], breadth={"up": ("ret", 1.0)}, net="net")
+
+@query("basket_regime_frame", BASKET_OUT, BASKET.format("entry_ok"))
+def _(t):
+    return basket_regime_frame(t.scored, ["day", "slot"], F.col("entry_ok"), [F.col("p").desc(), F.col("code")], 10, 5, **BASKET_SPEC)
 
 
 @query("group_member_counts", "day:d slot:s nation:i members:i",
