@@ -12,14 +12,24 @@ from .spread import average_ranks, best_rows, group_values, measured_once, nearb
 INTRADAY = ("open", "high", "low", "close", "amount", "vol")
 
 
-def _visible(cands, bars, pk, by, cutoff, start=None, time="ts") -> DataFrame:
-    """Bars of the stock-day up to each candidate's cutoff, keyed by the candidate."""
+def _session(bars, by, start=None, time="ts") -> DataFrame:
+    """Bars of each stock-day from ``start`` on, with floored amounts."""
     b = bars.select(*by, F.col(time).alias("_ts"), *[c for c in INTRADAY if c in bars.columns])
-    keys = cands.select(*pk, F.col(cutoff).alias("_cut"))
-    seen = keys.join(b, list(by)).filter(F.col("_ts") <= F.col("_cut"))
     if start is not None:
-        seen = seen.filter(F.date_format("_ts", "HH:mm") >= start)
-    return seen
+        b = b.filter(F.date_format("_ts", "HH:mm") >= start)
+    floored = {c: F.greatest(F.coalesce(F.col(c), F.lit(0.0)), F.lit(0.0)) for c in ("amount", "vol") if c in b.columns}
+    return b.withColumns(floored)
+
+
+def _visible(cands, session, pk, by, cutoff) -> DataFrame:
+    """Session rows up to each candidate's cutoff with their number ``_n``.
+
+    Everything that looks back only from a bar is computed per bar before this join, once
+    for all candidates of the stock-day.
+    """
+    keys = cands.select(*pk, F.col(cutoff).alias("_cut"))
+    seen = keys.join(session, list(by)).filter(F.col("_ts") <= F.col("_cut"))
+    return group_values(seen, list(pk), {"_n": F.max("_i")})
 
 
 def _last(value, k=0) -> Column:
@@ -46,33 +56,33 @@ def _span_mean(value, lo, hi) -> Column:
 
 
 @measured_once
-def _numbered(df, pk) -> DataFrame:
+def _numbered(df, by) -> DataFrame:
     order = [F.col("_ts")]
-    df = df.withColumns({c: F.greatest(F.coalesce(F.col(c), F.lit(0.0)), F.lit(0.0)) for c in ("amount", "vol") if c in df.columns})
-    df = position(df, pk, order, "_i")
-    df = group_values(df, pk, {"_n": F.count(F.lit(1))})
-    df = nearby(df, pk, order, lambda w: {"_pc": F.lag("close").over(w)})
+    df = position(df, by, order, "_i")
+    df = nearby(df, by, order, lambda w: {"_pc": F.lag("close").over(w)})
     df = df.withColumn("_r", ratio("close", "_pc") - 1)
-    return nearby(df, pk, order, lambda w: {"_pr": F.lag("_r").over(w)})
+    return nearby(df, by, order, lambda w: {"_pr": F.lag("_r").over(w)})
 
 
 @measured_once
-def _with_streaks(df, pk) -> DataFrame:
+def _with_streaks(df, by) -> DataFrame:
     order = [F.col("_ts")]
     df = running(
-        df, pk, order,
+        df, by, order,
         {
             "_peak": ("max", F.col("close")),
             "_not_up": ("max", F.when(~holds(F.col("_r") > 0), F.col("_i"))),
             "_not_down": ("max", F.when(~holds(F.col("_r") < 0), F.col("_i"))),
         },
     )
-    return running(df, pk, order, {"_ph": ("max", F.col("high")), "_pl": ("min", F.col("low"))}, current=False)
+    return running(df, by, order, {"_ph": ("max", F.col("high")), "_pl": ("min", F.col("low"))}, current=False)
 
 
 def minute_microstructure(cands, bars, pk, by=("code", "day"), cutoff="cutoff", start="13:55", base="14:00") -> DataFrame:
     """Shape of the minute bars from ``start`` to the cutoff, one row per candidate."""
-    df = _with_streaks(_numbered(_visible(cands, bars, pk, by, cutoff, start), list(pk)), list(pk))
+    by = list(by)
+    session = _with_streaks(_numbered(_session(bars, by, start), by), by)
+    df = _visible(cands, session, pk, by, cutoff)
     r, amount = F.col("_r"), F.col("amount")
     n = F.count(F.lit(1))
     total, volume = F.sum("amount"), F.sum("vol")
@@ -121,6 +131,25 @@ def _gain(a, b) -> Column:
     return F.coalesce(F.when(b > 0, pct(a, b)), F.lit(0.0))
 
 
+@measured_once
+def _segments(df, by, lunch, opening, late) -> DataFrame:
+    """Segment flags, the return inside each segment, the running peak and the prior return."""
+    order, clock = [F.col("_ts")], F.date_format("_ts", "HH:mm")
+    df = df.withColumns(
+        {"_am": clock <= lunch[0], "_pm": clock >= lunch[1], "_op": clock <= opening, "_late": clock >= late, "_r": F.coalesce("_r", F.lit(0.0))}
+    )
+
+    def build(w):
+        out = {"_pr": F.lag("_r").over(w)}
+        for s in ("am", "pm", "late"):
+            inside = F.when(F.lag(f"_{s}").over(w), F.col("_r")).otherwise(0.0)
+            out[f"_r_{s}"] = F.when(F.col(f"_{s}"), inside)
+        return out
+
+    df = nearby(df, by, order, build)
+    return running(df, by, order, {"_peak": ("max", F.col("close"))})
+
+
 def full_session_path(cands, bars, pk, by=("code", "day"), cutoff="cutoff", expected=None, min_coverage=0.9, max_bps=50.0, price="price", lunch=("11:30", "13:00"), opening="10:00", late="14:00", recent=30) -> DataFrame:
     """Path of the whole session up to the cutoff with completeness and price parity.
 
@@ -128,18 +157,8 @@ def full_session_path(cands, bars, pk, by=("code", "day"), cutoff="cutoff", expe
     statistics read 0, so the family is never NULL.
     """
     pk = list(pk)
-    df = _numbered(_visible(cands, bars, pk, by, cutoff), pk)
-    clock = F.date_format("_ts", "HH:mm")
-    df = df.withColumns({"_am": clock <= lunch[0], "_pm": clock >= lunch[1], "_op": clock <= opening, "_late": clock >= late, "_r": F.coalesce("_r", F.lit(0.0))})
-    # prior bar inside the same segment, for segment-wise signed amounts
-    seg = {s: F.when(F.col(f"_{s}"), F.col("_ts")) for s in ("am", "pm", "late")}
-
-    def build(w):
-        return {f"_r_{s}": F.when(F.col(f"_{s}"), F.when(F.lag(f"_{s}").over(w), F.col("_r")).otherwise(0.0)) for s in seg}
-
-    df = nearby(df, pk, [F.col("_ts")], build)
-    df = running(df, pk, [F.col("_ts")], {"_peak": ("max", F.col("close"))})
-    df = nearby(df, pk, [F.col("_ts")], lambda w: {"_pr": F.lag("_r").over(w)})
+    session = _segments(_numbered(_session(bars, list(by)), list(by)), list(by), lunch, opening, late)
+    df = _visible(cands, session, pk, by, cutoff)
     df = group_values(df, pk, {"_tot": F.sum("amount"), "_wp": F.sum(F.col("close") * F.col("amount")), "_ac": F.avg("close")})
     df = df.withColumn("_vwap", F.when(F.col("_tot") > 0, ratio("_wp", "_tot")).otherwise(F.col("_ac")))
     r, amount, zero = F.col("_r"), F.col("amount"), F.lit(0.0)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import features, joins, labels, policy, selection, statistics, windows
-from ..operators.spread import percentile_ranks
+from ..operators.spread import measured_once, percentile_ranks
 
 
 @dataclass
@@ -41,6 +41,7 @@ def daily_history(daily: DataFrame) -> DataFrame:
     )
 
 
+@measured_once
 def causal_panel(src: Sources, cfg: labels.Execution) -> DataFrame:
     """One row per (day, slot, code) with features visible at the slot and outcome labels.
 
