@@ -51,12 +51,19 @@ def input_bytes(df: DataFrame) -> int | None:
         leaves = df._jdf.queryExecution().analyzed().collectLeaves()
         found = [leaves.apply(i) for i in range(leaves.size())]
         # a table that the plan reads several times counts once
-        sizes = {leaf.semanticHash(): int(leaf.stats().sizeInBytes().toString()) for leaf in found}
+        sizes = {_source_name(leaf): int(str(leaf.stats().sizeInBytes())) for leaf in found}
         return sum(sizes.values())
     except Exception:  # no JVM handle on a remote session
         return None
 
 
+def _source_name(leaf) -> str:
+    try:
+        return leaf.relation().location().rootPaths().toString()
+    except Exception:  # not a file relation
+        return str(leaf.semanticHash())
+
+
 def largest_group(df: DataFrame, by: list[str]) -> int:
     keys = df.select(*by) if by else df.select(F.lit(1).alias("_k"))
     names = keys.columns

@@ -16,7 +16,7 @@ from ..functions import hash_unit, pct
 
 # unit price in 1/10000; line order inside a month: day, then order line, then price, as one
 # long, so that first and last price are hash aggregates and ties have equal prices
-UNITS = "cast(round(l_extendedprice * 100) as bigint) * 100 {div} cast(l_quantity as bigint)"
+UNITS = "cast(floor(l_extendedprice * 100 + 0.5) as bigint) * 100 {div} cast(l_quantity as bigint)"
 LINE_ORDER = (
     "dayofmonth(l_shipdate) * 1125899906842624 + ((l_orderkey * 8 + l_linenumber) % 16777216) * 67108864 + (" + UNITS + ")"
 )
@@ -35,7 +35,7 @@ _OHLC = """arg_min(price, o) AS open, max(price) AS high, min(price) AS low, arg
 VIEWS = {
     "lines": """SELECT l_suppkey AS code, CAST(date_trunc('month', l_shipdate) AS DATE) AS day,
   day(l_shipdate) AS dom, (""" + UNITS.format(div="//") + """) / 10000.0::DOUBLE AS price, l_quantity AS qty,
-  CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, l_returnflag, l_linestatus,
+  CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS cents, l_returnflag, l_linestatus,
   """ + LINE_ORDER.format(div="//") + " AS o FROM lineitem",
     "bars": f"SELECT code, day, {_OHLC} FROM lines GROUP BY code, day",
     "mbars": f"""SELECT code, day, day + INTERVAL 570 MINUTE + (dom - 1) * INTERVAL 10 MINUTE AS ts, {_OHLC}
@@ -104,7 +104,7 @@ class Tables:
             F.dayofmonth("l_shipdate").alias("dom"),
             (F.expr(UNITS.format(div="div")) / F.lit(10000.0)).alias("price"),
             F.col("l_quantity").alias("qty"),
-            F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
+            F.expr("cast(floor(l_extendedprice * 100 + 0.5) as bigint)").alias("cents"),
             "l_returnflag",
             "l_linestatus",
             F.expr(LINE_ORDER.format(div="div")).alias("o"),
