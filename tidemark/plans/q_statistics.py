@@ -156,10 +156,10 @@ def _(t):
 
 
 @query("feature_family_summary", "family:s features:i best_feature:s best_strength:r",
-       f"""SELECT CASE WHEN feature IN ('p', 'q') THEN 'score' ELSE 'price' END AS family, count(*) AS features, arg_max(feature, abs(mean_ic)) AS best_feature, max(abs(mean_ic)) AS best_strength FROM ({SCREEN}) GROUP BY 1""")
+       f"""SELECT CASE WHEN feature IN ('p', 'q') THEN 'score' ELSE 'price' END AS family, count(*) AS features, arg_max(feature, ROW(round(abs(mean_ic), 9), feature)) AS best_feature, max(abs(mean_ic)) AS best_strength FROM ({SCREEN}) GROUP BY 1""")
 def _(t):
     family = F.when(F.col("feature").isin("p", "q"), "score").otherwise("price")
-    return op.feature_family_summary(screen(t).withColumns({"family": family, "strength": F.abs("mean_ic")}), "family", "strength")
+    return op.feature_family_summary(screen(t).withColumns({"family": family, "strength": F.round(F.abs("mean_ic"), 9)}), "family", "strength")
 
 
 @query("composite_rank", "day:d slot:s code:i composite:r",
