@@ -17,12 +17,51 @@ from .labels import labelled_sample
 
 #: Labelled examples at most, terms at most, neighbours asked, examples in a block.
 EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 6000, 512, 15, 64
-#: A term tells when its likelihood ratio statistic and its log odds are at least these.
-MIN_RATIO, MIN_ODDS = 12.0, 1.0
+#: A term tells when its likelihood ratio statistic and its log odds are at least these: so high
+#: that chance, tried on every word of the sample, does not reach them.
+MIN_RATIO, MIN_ODDS = 40.0, 2.0
 #: Weight of the examples without any telling term against the votes.
 PRIOR_WEIGHT = 0.25
 
 
+#: Beginnings of longer words that are terms too (bytes), so that inflected forms meet.
+STEMS = (4, 5, 6)
+
+
+def bag_of(text: bytes) -> Counter:
+    """Term counts of a whole text: words, and stems of words, marked with a star."""
+    out = Counter(words(text))
+    for w, c in list(out.items()):
+        for n in STEMS:
+            if len(w) > n:
+                out[w[:n] + b"*"] += c
+    return out
+
+
+class KnownTerms:
+    """Counts of given terms in a text; most texts have none, which sets tell at once."""
+
+    def __init__(self, terms):
+        self.words = {t for t in terms if not t.endswith(b"*")}
+        self.stems = {n: {t[:-1] for t in terms if t.endswith(b"*") and len(t) == n + 1} for n in STEMS}
+
+    def counts(self, text: bytes) -> dict[bytes, int]:
+        found = words(text)
+        own = set(found)
+        hit = {w for w in own if w in self.words}
+        heads = {n: {h for w in own if len(w) > n and (h := w[:n]) in stems} for n, stems in self.stems.items() if stems}
+        if not hit and not any(heads.values()):
+            return {}
+        out: Counter = Counter()
+        for w in found:
+            if w in hit:
+                out[w] += 1
+            for n, some in heads.items():
+                if len(w) > n and w[:n] in some:
+                    out[w[:n] + b"*"] += 1
+        return dict(out)
+
+
 class BlockMaxIndex:
     """Inverted lists of unit TF-IDF vectors, with the largest weight of each term in each block."""
 
@@ -122,7 +161,7 @@ def _logit(p):
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES, max_terms: int = TERMS) -> BlockMaxIndex | None:
     """Index of at most ``examples`` labelled documents; None without labels.
 
-    Terms (words, A-Z lower-cased) are those whose presence tells the label by a likelihood
+    Terms (words, A-Z lower-cased, and their stems) are those whose presence tells the label by a likelihood
     ratio test on the sample, ``max_terms`` of the strongest; their document frequencies for the
     IDF are counted over all documents. Term counts of the sample and frequencies are aggregated
     by Spark; the driver gets ``max_terms`` terms and ``examples`` short vectors.
@@ -131,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [Counter(words(t.as_buffer().to_pybytes())) for t in batch.column("text")]
+            got = [bag_of(t.as_buffer().to_pybytes()) for t in batch.column("text")]
             kind = pa.list_(pa.struct([("w", pa.binary()), ("c", pa.int64())]))
             bag = pa.array([[{"w": w, "c": c} for w, c in g.items()] for g in got], kind)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), bag], names=["doc_id", "y", "bag"])
@@ -174,12 +213,13 @@ def _frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarray, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = held.value
+        known = KnownTerms(at)
         seen: Counter = Counter()
         for batch in batches:
             seen[-1] += batch.num_rows
             for t in batch.column("text"):
                 if t.is_valid:
-                    seen.update([at[w] for w in at.keys() & set(words(t.as_buffer().to_pybytes()))])
+                    seen.update([at[w] for w in known.counts(t.as_buffer().to_pybytes())])
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["k", "n"])
 
     out = {r.k: r.n for r in docs.select("text").mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
@@ -200,13 +240,11 @@ def score(docs: DataFrame, index: BlockMaxIndex | None, text: str = "text", thre
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
-        known = index.terms.keys() if index else set()
+        known = KnownTerms(index.terms if index else ())
         for batch in batches:
             scores, notes = [], []
             for t in batch.column(text):
-                raw = words(t.as_buffer().to_pybytes()) if t.is_valid else []
-                hit = known & set(raw)
-                counts = Counter(w for w in raw if w in hit) if hit else {}
+                counts = known.counts(t.as_buffer().to_pybytes()) if t.is_valid else {}
                 s, sims, at = index.score(counts) if index else (0.5, [], [])
                 scores.append(s)
                 notes.append([{"doc": str(index.ids[j]), "label": int(index.y[j]), "cosine": float(c)} for c, j in zip(sims[:evidence], at[:evidence])])
