@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, decontamination, quality, sharding, token_counts, toxicity, warc
+from . import bpe, decontamination, minhash, quality, sharding, token_counts, toxicity, warc
 from .common import table
 from .labels import held_out
 
@@ -45,6 +45,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -57,6 +61,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
     "op6_decontamination": op6_decontamination,
+    "op9_minhash": op9_minhash,
     "op10_toxicity": op10_toxicity,
     "op7_warc": op7_warc,
 }
