@@ -40,11 +40,11 @@ def forest_edges(n: int, alike: Callable[[int, np.ndarray], np.ndarray]) -> list
 
 
 def deal_to_tiles(rows: DataFrame, pieces: Column) -> DataFrame:
-    """``rows`` with ``_i`` and ``_j``, copied so that any two rows with a key meet in one tile.
+    """``rows`` with ``_part``, ``_i`` and ``_j``, copied so that any two rows with a key meet in one tile.
 
     ``pieces`` is the number of parts that the key's rows are cut into. A row's part is a hash of
     its ``id``; it goes to the tiles of its part with every part, so tasks stay as large as a
     part however large the key is.
     """
     spread = rows.withColumn("_part", F.pmod(F.xxhash64("id"), pieces).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), (pieces - 1).cast("int"))))
-    return spread.withColumn("_i", F.least("_part", "_other")).withColumn("_j", F.greatest("_part", "_other")).drop("_part", "_other")
+    return spread.withColumn("_i", F.least("_part", "_other")).withColumn("_j", F.greatest("_part", "_other")).drop("_other")

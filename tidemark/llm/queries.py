@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, decontamination, minhash, quality, sharding, token_counts, toxicity, warc
+from . import bpe, decontamination, minhash, quality, rotation, sharding, token_counts, toxicity, warc
 from .common import table
 from .labels import held_out
 
@@ -20,6 +20,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
 
 
+def op2_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotation.near_vectors(table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS, SLOTS)
 
@@ -57,6 +61,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_rotation_codes": op2_rotation_codes,
     "op3_sharding": op3_sharding,
     "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
