@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, decontamination, minhash, quality, rotation, sharding, token_counts, toxicity, warc
+from . import bpe, decontamination, minhash, quality, rotation, sharding, suffixes, token_counts, toxicity, warc
 from .common import table
 from .labels import held_out
 
@@ -49,6 +49,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
     "op6_decontamination": op6_decontamination,
+    "op8_suffixes": op8_suffixes,
     "op9_minhash": op9_minhash,
     "op10_toxicity": op10_toxicity,
     "op7_warc": op7_warc,
