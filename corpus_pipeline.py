@@ -1,24 +1,69 @@
-"""Corpus pipeline: each stage takes (spark, docs, sf_dir) and returns the documents it keeps."""
+"""Corpus pipeline: each stage takes (spark, docs, sf_dir) and returns the documents it keeps.
+
+A stage works on all that the one before it kept, and its rows are written before the next one
+starts. Null and empty texts are scored, deduplicated and encoded like any others.
+"""
 
 from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination
+from tidemark.llm import bpe, decontamination, minhash, quality, suffixes
 from tidemark.llm.common import shared_dir, table
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones among them, doesn't reject."""
+    params = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, params).where("predicted = 1").select(docs.columns)
+
+
+def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies."""
+    gone = minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def suffix_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of 50 bytes or more that a smaller document has; none left: gone."""
+    cut = suffixes.remove_repeats(docs)
+    cut = cut.where("n_removed = 0 OR text RLIKE '\\\\S'")
+    return _recounted(cut, docs, F.col("n_removed") > 0)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    """Texts without what they share with test items; mostly shared: gone."""
+    clean = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return _recounted(clean, docs, F.lit(True))
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their token ids, and the text that these decode to."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.decode(bpe.encode(docs, path), path).withColumn("n_tokens", F.size("token_ids").cast("long"))
+
+
+def _recounted(out: DataFrame, docs: DataFrame, changed) -> DataFrame:
+    """The columns of ``docs``, with ``n_chars`` of the text as it is now where it changed."""
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(changed & F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast(kind))
+    return out.select(docs.columns)
 
 
 STAGES = [
+    ("quality classifier", quality_classifier),
+    ("MinHash near-dedup", near_deduplication),
+    ("suffix-array dedup", suffix_deduplication),
     ("benchmark decontamination", benchmark_decontamination),
+    ("BPE encoding and decoding", bpe_encoding),
 ]
 
-#: The classifier of the first stage has no SQL form; the stages are tested one by one.
+#: SQL can't express the classifier; tests hold every stage against a plain version instead.
 ORACLE_SQL = None
 
 

@@ -9,6 +9,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -170,19 +171,18 @@ class MergeList:
 
 
 class Decoder:
-    """Byte-to-text state machine: takes tokens one at a time and gives text as it completes.
+    """Byte-to-text state machine: takes tokens in any portions and gives text as it completes.
 
-    A word end becomes a space; bytes that aren't UTF-8 become U+FFFD.
+    ``spelt`` has each token's bytes, a space for a word end. Bytes of an unfinished character
+    are the only state; bytes that aren't UTF-8 become U+FFFD, unknown tokens nothing.
     """
 
-    def __init__(self, end: str):
-        self.end, self.bytes = end, {c: b for b, c in _byte_letters().items()}
-        self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
+    def __init__(self, spelt: dict[int, bytes]):
+        self.spelt, self.utf8 = spelt, codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, token: str) -> str:
-        stem = token.removesuffix(self.end) if self.end else token
-        raw = b"".join(bytes([self.bytes[c]]) if c in self.bytes else c.encode() for c in stem)
-        return self.utf8.decode(raw + (b" " if len(stem) < len(token) else b""))
+    def feed(self, ids: list[int]) -> str:
+        spelt = self.spelt
+        return self.utf8.decode(b"".join([spelt[i] for i in ids if i in spelt]))
 
     def finish(self) -> str:
         return self.utf8.decode(b"", True)
@@ -205,14 +205,19 @@ class Encoder:
         self.end = model["end_of_word_suffix"] or ""
         merges = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
         self.merges = MergeList(merges, self.vocab, self.end)
+        self.letters = _byte_letters()
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.token = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
+        own = {c: b for b, c in self.letters.items()}
+        self.spelt = {
+            i: b"".join([bytes([own[c]]) if c in own else c.encode() for c in t.removesuffix(self.end)]) + b" " * t.endswith(self.end)
+            for t, i in self.vocab.items()
+        } | {i: t.encode() + b" " for t, i in self.special.items()}
         self.decimal = {i: str(i) for i in self.token}
         marks = sorted(self.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.pattern = _pattern(pattern)
-        self.letters = _byte_letters()
         self.memo: dict[str, tuple[str, str, int]] = {}
         self.word_memo: dict[str, tuple[int, ...]] = {}
 
@@ -260,14 +265,14 @@ class Encoder:
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for e in self.entries(text) if e[2] for x in e[0].split(" ")]
+        return np.fromstring(" ".join([e[0] for e in self.entries(text) if e[2]]), np.int32, sep=" ").tolist()
 
     def decode(self, ids: list[int], plain: bool = False) -> str:
         """Tokens joined by spaces, as a file without a decoder says; ``plain``: readable text."""
         if not plain:
             return " ".join([self.token[i] for i in ids if i in self.token])
-        machine = Decoder(self.end)
-        return "".join([machine.feed(self.token[i]) for i in ids if i in self.token]) + machine.finish()
+        machine = Decoder(self.spelt)
+        return "".join([machine.feed(ids[k : k + 4096]) for k in range(0, len(ids), 4096)]) + machine.finish()
 
 
 def _encoder(path: str) -> Encoder:

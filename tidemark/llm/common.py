@@ -29,11 +29,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[app]
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that what follows starts there."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+class Scratch:
+    """A folder of its own in the shared folder for the steps of one operator."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` and read it back, so that what follows starts there."""
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self, result: DataFrame) -> DataFrame:
+        """Write the result beside this folder, remove the folder's steps, and give the result."""
+        kept = Scratch(self.spark).cut(result, "result")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return kept
 
 
 def total_bytes(df: DataFrame, text: str) -> int:
@@ -41,15 +54,15 @@ def total_bytes(df: DataFrame, text: str) -> int:
     return df.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges ``(a, b)``: rows ``(node, component)``.
 
     Alternates large-star and small-star steps, which pull every node to the smallest node it
     can reach; the edges never grow in number and every step is a partial aggregate and a
-    join. Each round is written to the shared folder. Loops and nulls are ignored; no edges
+    join. Each round is written to ``scratch``. Loops and nulls are ignored; no edges
     give no rows.
     """
-    now = cut(
+    now = scratch.cut(
         edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges",
     )
@@ -65,7 +78,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         )
-        now = cut(small, "edges")
+        now = scratch.cut(small, "edges")
         before, mark = mark, _mark(now)
         if mark == before:
             break

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import Scratch, components
 from .forest import deal_to_tiles, forest_edges
 
 #: Signature coordinates, and how many of them a pair must share. A pair of similarity 0.75
@@ -97,7 +97,7 @@ def _matches(sig: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
     return (sig[:, others] == sig[:, i : i + 1]).sum(0)
 
 
-def candidate_edges(sketches: DataFrame) -> DataFrame:
+def candidate_edges(sketches: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges ``(a, b)`` that connect all documents with ``MATCHES`` or more equal coordinates.
 
     ``sketches`` has one row ``(id, sig)`` per distinct set. Each coordinate and its value is a
@@ -108,14 +108,14 @@ def candidate_edges(sketches: DataFrame) -> DataFrame:
     tiles; inside one, matches are counted by comparing signatures, and only a forest is given.
     """
     token = F.transform(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda k: F.struct(k.alias("k"), F.substring("sig", k * 4 + 1, F.lit(4)).alias("v")))
-    posted = cut(sketches.select("id", F.explode(token).alias("t")).select("id", "t.k", "t.v").select("id", F.concat(F.chr("k").cast("binary"), "v").alias("t")), "posted")
+    posted = scratch.cut(sketches.select("id", F.explode(token).alias("t")).select("id", "t.k", "t.v").select("id", F.concat(F.chr("k").cast("binary"), "v").alias("t")), "posted")
     shared = posted.groupBy("t").agg(F.count("*").alias("n")).where("n > 1")
     # a document's coordinates that others share, rarest first; those that nobody shares come before them
     mine = posted.join(shared, "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("ts"))
     mine = mine.where(F.size("ts") >= MATCHES)
     prefix = F.slice("ts", F.lit(1), F.size("ts") - (MATCHES - 1))
     lists = mine.select("id", F.explode(prefix).alias("x")).select("id", "x.t")
-    lists = cut(lists.join(sketches.select("id", "sig"), "id"), "lists")
+    lists = scratch.cut(lists.join(sketches.select("id", "sig"), "id"), "lists")
     sizes = lists.groupBy("t").agg(F.count("*").alias("n")).where("n > 1")
     tiles = deal_to_tiles(lists.join(sizes, "t"), F.ceil(F.col("n") / TILE_ROWS).cast("long"))
 
@@ -189,18 +189,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     count as kept if it is the smallest; null ids link with nothing and are kept. Other columns
     stay behind.
     """
-    sketches = cut(sketch(docs, doc_id, text), "sketches")
+    scratch = Scratch(docs.sparkSession)
+    sketches = scratch.cut(sketch(docs, doc_id, text), "sketches")
     linked = sketches.where("id IS NOT NULL AND key IS NOT NULL")
-    sets = cut(linked.groupBy("key").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("n").alias("n")), "sets")
+    sets = scratch.cut(linked.groupBy("key").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("n").alias("n")), "sets")
     # an id that repeats with other texts has several sets; its first stands for it in the lists
     own = sets.groupBy("id").agg(F.first("sig").alias("sig"), F.max("n").alias("n"))
-    near = components(candidate_edges(own))
+    near = components(candidate_edges(own, scratch), scratch)
     groups = near.join(own, near["node"] == own["id"]).select("id", F.col("component").alias("group"), "n", "sig")
-    links = components(confirmed_edges(docs, groups, doc_id, text))
+    links = components(confirmed_edges(docs, groups, doc_id, text), scratch)
     rep = sets.select("key", F.col("id").alias("_rep"))
     rows = sketches.join(rep, "key", "left").join(links.select(F.col("node").alias("_rep"), "component"), "_rep", "left")
     component = F.coalesce("component", "_rep", "id")
-    return rows.select(
+    return scratch.close(rows.select(
         F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
-    )
+    ))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import Scratch
 from .labels import labelled_sample
 
 #: Hash buckets of words, structure and metadata features after them, and interaction rank.
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
     n = F.col("n_chars") if stated else F.lit(None)
     rows = rows.select("doc_id", "text", "y", n.cast("long").alias("n"), F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(PARTS)).cast("int").alias("part"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    sample = cut(rows.mapInArrow(extract, f"part int, doc_id {kind}, y int, idx array<int>, val array<double>"), "quality")
+    sample = Scratch(docs.sparkSession).cut(rows.mapInArrow(extract, f"part int, doc_id {kind}, y int, idx array<int>, val array<double>"), "quality")
     if sample.isEmpty():
         return None
     model = FactorisationMachine()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import Scratch, components
 from .forest import deal_to_tiles
 
 #: Bits in a bucket key at least, the chance that a pair at the limit shares no bucket at most,
@@ -115,8 +115,9 @@ def near_vectors(vectors: DataFrame, limit: float = 0.9, vec_id: str = "vec_id",
                 raw.append(y.tobytes() if len(y) and np.isfinite(y).all() and y.any() else None)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(raw, pa.binary())], names=["id", "raw"])
 
-    rows = cut(given.mapInArrow(clean, "id long, raw binary").withColumn("key", F.sha2("raw", 256)), "vectors")
-    one = cut(rows.where("raw IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("raw").alias("raw")), "distinct")
+    scratch = Scratch(vectors.sparkSession)
+    rows = scratch.cut(given.mapInArrow(clean, "id long, raw binary").withColumn("key", F.sha2("raw", 256)), "vectors")
+    one = scratch.cut(rows.where("raw IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("raw").alias("raw")), "distinct")
     bits, keys = plan_keys(one.count(), limit)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,19 +134,19 @@ def near_vectors(vectors: DataFrame, limit: float = 0.9, vec_id: str = "vec_id",
     posted = coded.select("key", "id", "copies", "raw", F.posexplode("codes").alias("t", "code"))
     full = posted.groupBy("t", "code").agg(F.count("*").alias("n")).where("n > 1")
     tiles = deal_to_tiles(posted.join(full, ["t", "code"]), F.ceil(F.col("n") / TILE_ROWS).cast("long"))
-    found = cut(
+    found = scratch.cut(
         tiles.select("t", "code", "_i", "_j", "_part", "key", "id", "copies", "raw").groupBy("t", "code", "_i", "_j")
         .applyInArrow(_linker(limit, bits, kind), "key string, id long, links long, other long"), "links",
     )
     links = found.where("links > 0").groupBy("key").agg(F.sum("links").alias("links"))
-    groups = components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
+    groups = components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")), scratch)
     out = rows.join(one.select("key", F.col("id").alias("_rep"), "copies"), "key", "left").join(links, "key", "left")
     out = out.join(groups.select(F.col("node").alias("_rep"), "component"), "_rep", "left")
     component = F.coalesce("component", "_rep", "id")
-    return out.select(
+    return scratch.close(out.select(
         F.col("id").alias(vec_id), (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"),
         component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
-    )
+    ))
 
 
 def _linker(limit: float, bits: int, kind: str):

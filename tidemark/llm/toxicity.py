@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import Scratch
 from .decontamination import words
 from .labels import labelled_sample
 
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), bag], names=["doc_id", "y", "bag"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    sample = cut(rows.mapInArrow(bags, f"doc_id {kind}, y int, bag array<struct<w: binary, c: bigint>>"), "toxicity")
+    sample = Scratch(docs.sparkSession).cut(rows.mapInArrow(bags, f"doc_id {kind}, y int, bag array<struct<w: binary, c: bigint>>"), "toxicity")
     n = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 + n0:
