@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -119,18 +118,50 @@ def candidate_edges(sketches: DataFrame, scratch: Scratch) -> DataFrame:
     sizes = lists.groupBy("t").agg(F.count("*").alias("n")).where("n > 1")
     tiles = deal_to_tiles(lists.join(sizes, "t"), F.ceil(F.col("n") / TILE_ROWS).cast("long"))
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
-        ids = pdf["id"].to_numpy()
-        sig = _signatures(pdf["sig"])
-
-        def alike(i: int, others: np.ndarray) -> np.ndarray:
-            return others[_matches(sig, i, others) >= MATCHES]
-
-        edges = forest_edges(len(ids), alike)
-        return pd.DataFrame({"a": [ids[i] for i, _ in edges], "b": [ids[j] for _, j in edges]}, dtype="int64")
-
-    return tiles.select("t", "_i", "_j", "id", "sig").groupBy("t", "_i", "_j").applyInPandas(count, "a long, b long")
+    lists = tiles.select("t", "_i", "_j", "id", "sig").repartition("t", "_i", "_j").sortWithinPartitions("t", "_i", "_j", "id")
+    return lists.mapInArrow(_count, "a long, b long")
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Match counts inside each list of a sorted stream of lists; edges of a forest for each."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        key = _list_keys(batch)
+        if held and key[0] == _list_keys(held[-1].slice(held[-1].num_rows - 1))[0]:
+            same = next((k for k, x in enumerate(key) if x != key[0]), len(key))
+        else:
+            same = 0
+        if same < len(key):  # the list that was held ends here, and the last one of this batch is held
+            last = next(k for k in range(len(key) - 1, -1, -1) if k == 0 or key[k - 1] != key[-1])
+            if held or last:
+                yield _counted([*held, batch.slice(0, last)])
+            held = [batch.slice(last)]
+        else:
+            held.append(batch)
+    if held:
+        yield _counted(held)
+
+
+def _list_keys(batch: pa.RecordBatch) -> list[tuple]:
+    return list(zip(*[batch.column(c).to_pylist() for c in ("t", "_i", "_j")]))
+
+
+def _counted(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    rows = pa.Table.from_batches(batches)
+    keys = [k for b in batches for k in _list_keys(b)]
+    ids, sig = rows.column("id").to_numpy(), _signatures(rows.column("sig").to_pylist())
+    cuts = [0, *[k for k in range(1, len(keys)) if keys[k] != keys[k - 1]], len(keys)]
+    out: list[tuple[int, int]] = []
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        own = sig[:, lo:hi]
+        if hi - lo <= 64:
+            near = (own[:, :, None] == own[:, None, :]).sum(0) >= MATCHES
+            edges = forest_edges(hi - lo, lambda i, others, near=near: others[near[i, others]]) if near.sum() > hi - lo else []
+        else:
+            edges = forest_edges(hi - lo, lambda i, others, own=own: others[_matches(own, i, others) >= MATCHES])
+        out += [(lo + i, lo + j) for i, j in edges]
+    a, b = np.array(out, np.int64).reshape(-1, 2).T
+    return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
 
 
 def confirmed_edges(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -200,7 +231,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     links = components(confirmed_edges(docs, groups, doc_id, text), scratch)
     rep = sets.select("key", F.col("id").alias("_rep"))
     rows = sketches.join(rep, "key", "left").join(links.select(F.col("node").alias("_rep"), "component"), "_rep", "left")
-    component = F.coalesce("component", "_rep", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "_rep", "id"))
     return scratch.close(rows.select(
         F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
