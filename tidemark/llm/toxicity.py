@@ -19,13 +19,13 @@ from .labels import labelled_sample
 EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 6000, 512, 15, 64
 #: A term tells when its likelihood ratio statistic and its log odds are at least these: so high
 #: that chance, tried on every word of the sample, does not reach them.
-MIN_RATIO, MIN_ODDS = 40.0, 2.0
+MIN_RATIO, MIN_ODDS = 25.0, 1.5
 #: Weight of the examples without any telling term against the votes.
 PRIOR_WEIGHT = 0.25
 
 
 #: Beginnings of longer words that are terms too (bytes), so that inflected forms meet.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8, 10)
 
 
 def bag_of(text: bytes) -> Counter:

@@ -140,11 +140,19 @@ def _member(data: bytes, more) -> tuple[dict, bytes, int] | None:
     return fields, block[:size], used - len(inflate.unused_data)
 
 
+def _begins(data: bytes) -> bool:
+    """Whether a member begins here whose first inflated bytes are a WARC header's."""
+    try:
+        return data.startswith(_MAGIC) and zlib.decompressobj(31).decompress(data, 5) == b"WARC/"
+    except zlib.error:
+        return False
+
+
 def read_range(file, start: int, stop: int) -> Iterator[tuple[int, dict, bytes]]:
     """Records whose first byte lies in ``[start, stop)``, in order: offset, header, block.
 
     The range is searched for the gzip magic; a candidate counts only if a whole WARC record
-    decodes from it and the file ends there or another magic follows, so that bytes inside a
+    decodes from it and the file ends there or another WARC header follows, so that bytes inside a
     compressed member that look like a start are passed over. After a record the next one is
     expected at its end.
     """
@@ -167,10 +175,9 @@ def read_range(file, start: int, stop: int) -> Iterator[tuple[int, dict, bytes]]
         got = _member(w.held, more)
         if got is not None:
             fields, block, length = got
-            while len(w.held) < length + 3 and w.more():
+            while len(w.held) < length + 512 and w.more():
                 pass
-            after = w.held[length : length + 3]
-            if after in (b"", _MAGIC):
+            if len(w.held) == length or _begins(w.held[length : length + 512]):
                 yield w.at, fields, block
                 w.drop(length)
                 continue
