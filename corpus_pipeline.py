@@ -44,7 +44,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids, and the text that these decode to."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    return bpe.decode(bpe.encode(docs, path), path).withColumn("n_tokens", F.size("token_ids").cast("long"))
+    return bpe.encode(docs, path, decoded="decoded").withColumn("n_tokens", F.size("token_ids").cast("long"))
 
 
 def _recounted(out: DataFrame, docs: DataFrame, changed) -> DataFrame:

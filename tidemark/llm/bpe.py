@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import release_memory
+
 #: Entries of a worker's memo of encoded chunks, and the longest chunk it keeps.
-MEMO_SIZE, MEMO_CHARS = 300_000, 64
+MEMO_SIZE, MEMO_CHARS = 150_000, 64
 #: Letters and numbers of the ``regex`` module's Unicode version that the
 #: splitter's version doesn't have yet, and lower case that Python's version doesn't know yet.
 _NEWER = (
@@ -274,6 +276,12 @@ class Encoder:
         machine = Decoder(self.spelt)
         return "".join([machine.feed(ids[k : k + 4096]) for k in range(0, len(ids), 4096)]) + machine.finish()
 
+    def rest(self) -> None:
+        """Forget the memos and free their memory at the end of a task."""
+        self.memo.clear()
+        self.word_memo.clear()
+        release_memory()
+
 
 def _encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
@@ -285,18 +293,27 @@ def _replaced(docs: DataFrame, names: list[str]) -> DataFrame:
     return docs.select(*[c for c in docs.columns if c not in names])
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """``docs`` with an array of token ids (null and empty texts: no ids). No shuffle."""
-    docs = _replaced(docs, [ids])
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with an array of token ids (null and empty texts: no ids). No shuffle.
+
+    ``decoded`` names a further column for the text that the ids decode to, if wanted.
+    """
+    docs = _replaced(docs, [ids, decoded])
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    if decoded:
+        schema = schema.add(decoded, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                out = pa.array([encoder.encode(t.as_py() or "") for t in part.column(text)], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*part.schema.names, ids])
+                found = [encoder.encode(t.as_py() or "") for t in part.column(text)]
+                cols = [*part.columns, pa.array(found, pa.list_(pa.int32()))]
+                if decoded:
+                    cols.append(pa.array([encoder.decode(x, plain=True) for x in found], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+        encoder.rest()
 
     return docs.mapInArrow(run, schema)
 
@@ -337,5 +354,6 @@ def round_trip_digest(docs: DataFrame, path: str, doc_id: str = "doc_id", text:
                 [batch.column("_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                 names=["_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        encoder.rest()
 
     return rows.mapInArrow(run, schema).withColumnRenamed("_id", doc_id)

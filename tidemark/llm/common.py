@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,14 @@ class Scratch:
         return kept
 
 
+def release_memory() -> None:
+    """Give a worker's unused memory back at the end of a task: workers outlive tasks and share an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def total_bytes(df: DataFrame, text: str) -> int:
     """Bytes of a text column over all rows, for choosing how many pieces the work needs."""
     return df.agg(F.sum(F.octet_length(text))).first()[0] or 0

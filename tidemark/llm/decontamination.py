@@ -164,14 +164,14 @@ def scan_documents(
     docs = docs.select(*[c for c in docs.columns if c not in ADDED])
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in ADDED.items()]])
     out = docs
-    for first, automaton in [(i == 0, a) for i, a in enumerate(_automata(items, item_id, item_text, window, item_bytes))]:
-        out = out.mapInArrow(_scanner(automaton, text, first), schema)
-    if out is docs:
-        out = docs.mapInArrow(_scanner(None, text, True), schema)
+    for k, automaton in enumerate(_automata(items, item_id, item_text, window, item_bytes) or [None]):
+        out = out.mapInArrow(_scanner(automaton, text, k == 0), schema)
     return out
 
 
-def _scanner(automaton, text: str, first: bool):
+def _scanner(automaton, text: str, first: bool, finish=None):
+    """Scans batches with one automaton; ``finish`` may turn a scanned batch into another."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton.value if automaton is not None else None
         for batch in batches:
@@ -185,18 +185,19 @@ def _scanner(automaton, text: str, first: bool):
                 counts.append(len(w))
                 spans.append([list(x) for x in hit])
                 items.append(sorted(found))
-            base = [(n, batch.column(n)) for n in batch.schema.names if n not in ADDED]
-            cols = [
-                *base, ("n_words", pa.array(counts, pa.int64())), ("hit_spans", pa.array(spans, pa.list_(pa.list_(pa.int32())))),
+            cols = [(n, batch.column(n)) for n in batch.schema.names if n not in ADDED]
+            cols += [
+                ("n_words", pa.array(counts, pa.int64())), ("hit_spans", pa.array(spans, pa.list_(pa.list_(pa.int32())))),
                 ("hit_items", pa.array(items, pa.list_(pa.string()))),
             ]
-            yield pa.RecordBatch.from_arrays([c for _, c in cols], names=[n for n, _ in cols])
+            scanned = pa.RecordBatch.from_arrays([c for _, c in cols], names=[n for n, _ in cols])
+            yield finish(scanned) if finish else scanned
 
     return run
 
 
 def decontaminate(
-    docs: DataFrame, items: DataFrame, text: str = "text", max_coverage: float = 0.5, window: int = 10, **scan
+    docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", max_coverage: float = 0.5, window: int = 10, item_bytes: int = ITEM_BYTES,
 ) -> DataFrame:
     """``docs`` without the words that test items share with them.
 
@@ -205,19 +206,21 @@ def decontaminate(
     null and empty texts included, stay as they are.
     """
     names = [f"_own_{c}" if c in ADDED else c for c in docs.columns]
-    scanned = scan_documents(docs.toDF(*names), items, text, window=window, **scan)
-    hit = F.aggregate("hit_spans", F.lit(0).cast("bigint"), lambda n, s: n + s[1] - s[0] + 1)
-    kept = scanned.where(hit <= F.lit(max_coverage) * F.col("n_words"))
-
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [
-                _without(t.as_py(), s.as_py()) if t.is_valid and len(s) else t.as_py()
-                for t, s in zip(batch.column(text), batch.column("hit_spans"))
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == text else batch.column(n) for n in names], names=names)
-
-    return kept.mapInArrow(remove, docs.toDF(*names).schema).toDF(*docs.columns)
+    own = docs.toDF(*names)
+    schema = T.StructType([*own.schema.fields, *[T.StructField(n, t) for n, t in ADDED.items()]])
+
+    def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
+        spans, n_words = batch.column("hit_spans").to_pylist(), batch.column("n_words").to_pylist()
+        keep = [sum(b - a + 1 for a, b in s) <= max_coverage * n for s, n in zip(spans, n_words)]
+        out = [_without(t.as_py(), s) if s and k else t.as_py() for t, s, k in zip(batch.column(text), spans, keep)]
+        cols = [pa.array(out, pa.string()) if n == text else batch.column(n) for n in names]
+        return pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
+
+    automata = _automata(items, item_id, item_text, window, item_bytes) or [None]
+    for k, automaton in enumerate(automata):
+        last = k == len(automata) - 1
+        own = own.mapInArrow(_scanner(automaton, text, k == 0, finish if last else None), T.StructType(schema.fields[: len(names)]) if last else schema)
+    return own.toDF(*docs.columns)
 
 
 def _without(text: str, spans: list) -> str:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, release_memory
 from .forest import deal_to_tiles, forest_edges
 
 #: Signature coordinates, and how many of them a pair must share. A pair of similarity 0.75
@@ -38,7 +38,7 @@ class _WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 300_000:
+        if len(self) < 200_000:
             self[word] = h
         return h
 
@@ -83,6 +83,8 @@ def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["id", "n", "key", "sig"],
             )
+        _HASHES.clear()
+        release_memory()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("_text"))
     return rows.mapInArrow(run, "id long, n long, key binary, sig binary")
@@ -181,6 +183,8 @@ def confirmed_edges(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id",
                 part = batch.slice(k, 256)
                 sh = pa.array([shingles(t.as_buffer().to_pybytes()).tobytes() for t in part.column("_text")], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("group"), part.column("id"), part.column("_p"), part.column("sig"), sh], names=["group", "id", "_p", "sig", "sh"])
+        _HASHES.clear()
+        release_memory()
 
     sent = deal_to_tiles(rows.mapInArrow(sets, "group long, id long, _p long, sig binary, sh binary"), F.col("_p"))
 

@@ -11,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import release_memory
+
 #: Distinct pre-tokens whose counts a worker remembers, and the longest that it remembers.
-MEMO_SIZE, MEMO_CHARS = 300_000, 64
+MEMO_SIZE, MEMO_CHARS = 200_000, 64
 #: What a character outside the vocabulary scores below the worst piece.
 UNKNOWN_PENALTY = 10.0
 _MODELS: dict[str, "Pieces"] = {}
@@ -159,5 +161,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", chars_at_once:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(n_pre, pa.int64()), pa.array(n_tok, pa.int64())], names=[*batch.schema.names, "n_pretokens", "n_tokens"],
             )
+        pieces.memo.clear()
+        release_memory()
 
     return docs.mapInArrow(run, schema)
