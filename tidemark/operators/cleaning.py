@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import all_of, holds, minute_of_day, number, truthy
+from .policy import gate_column
 from .spread import nearby, running
 
 # fixed values: code prefixes of each board
@@ -140,29 +141,14 @@ def observation_slots(df, slot_ts, back=6, ahead=1, step="5 minutes", out="obs_t
     return df.withColumn(out, F.explode(F.sequence(lo, hi, gap)))
 
 
-def execution_eligibility(df, cfg: dict, out="execution_eligible") -> DataFrame:
-    """All execution predicates; a NULL input fails, an absent optional column is skipped."""
-    conds = [
-        F.col("price").between(cfg["min_price"], cfg["max_price"]),
-        F.col("listing_days") >= cfg["min_listing_days"],
-        F.col("prev_20d_amount") >= cfg["min_prev_20d_amount"],
-        F.col("slot_amount") >= cfg["min_slot_amount"],
-        F.col("slot_amount") * cfg["max_entry_pct_of_slot_amount"] >= cfg["order_notional"],
-        F.col("dist_up") >= cfg["min_dist_up"],
-        F.col("dist_down") >= cfg["min_dist_down"],
-    ]
-    for flag in ("is_st", "is_suspended", "one_word_up_limit"):
-        if flag in df.columns:
-            conds.append(~truthy(flag))
-    if cfg.get("board") and "board" in df.columns:
-        conds.append(F.col("board") == cfg["board"])
-    if "adj" in df.columns:
-        conds.append(F.col("adj") > 0)
-    if "bar_lag_minutes" in df.columns:
-        conds.append(F.col("bar_lag_minutes").between(0, 5))
-    if "snapshot_count" in df.columns:
-        conds.append(F.col("snapshot_count") >= cfg["min_snapshot_count"])
-    return df.withColumn(out, all_of(conds))
+def execution_eligibility(df, gates: dict, barred: list[str] = (), out="execution_eligible") -> DataFrame:
+    """Whether a row passes every gate and carries none of the barring flags.
+
+    ``gates`` are named ``(column, sign, limit)`` triples as for ``apply_thresholds``; a NULL
+    fails its gate. A NULL flag does not bar.
+    """
+    open_gates = [gate_column(g) for g in gates.values()]
+    return df.withColumn(out, all_of([*open_gates, *[~truthy(flag) for flag in barred]]))
 
 
 def freshness_gate(df, age, lo=-60, hi=600, null_ok=False, out="fresh") -> DataFrame:

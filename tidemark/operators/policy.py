@@ -13,7 +13,7 @@ from .selection import first_signal_daily_cap
 from .spread import average_ranks, best_rows, group_values, percentile_rank, percentile_ranks, position
 from .statistics import profit_factor_of, wilson_bounds
 
-# a gate is (column, ">=" or "<=", limit)
+# a gate is (column, ">=", ">" or "<=", limit)
 Gates = dict[str, tuple[str, str, float]]
 
 
@@ -23,7 +23,8 @@ def _count():
 
 def gate_column(gate) -> Column:
     column, sign, limit = gate
-    return holds(F.col(column) >= limit if sign == ">=" else F.col(column) <= limit)
+    tests = {">=": F.col(column) >= limit, ">": F.col(column) > limit, "<=": F.col(column) <= limit}
+    return holds(tests[sign])
 
 
 def apply_thresholds(df, gates: Gates, out="passes") -> DataFrame:
@@ -45,7 +46,7 @@ def gate_distance(df, gates: Gates) -> DataFrame:
     failed, gap = F.lit(0), F.lit(0.0)
     for column, sign, limit in gates.values():
         failed = failed + (~gate_column((column, sign, limit))).cast("int")
-        short = F.lit(limit) - F.col(column) if sign == ">=" else F.col(column) - F.lit(limit)
+        short = F.lit(limit) - F.col(column) if sign in (">=", ">") else F.col(column) - F.lit(limit)
         gap = gap + F.when(short > 0, short).when(short <= 0, 0.0)
     return df.withColumns({"failed_gate_count": failed, "failed_gate_distance": gap})
 

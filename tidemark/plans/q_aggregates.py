@@ -17,13 +17,12 @@ def _(t):
 
 @query("pair_quality_rollup", "code:i day:d bars:i valid_bars:i first_bar:s last_bar:s has_close:b covered:b",
        """SELECT p.code, p.day, coalesce(n, 0) AS bars, coalesce(v, 0) AS valid_bars, f AS first_bar, l AS last_bar, coalesce(l = '14:20', false) AS has_close,
-       coalesce(l = '14:20' AND v >= 3, false) AS covered FROM (SELECT DISTINCT code, day FROM slot_bars WHERE slot = '14:50') p LEFT JOIN
-       (SELECT code, day, count(*) AS n, count(*) FILTER (WHERE amount > 30000) AS v, min(strftime(ts, '%H:%M')) AS f, max(strftime(ts, '%H:%M')) AS l FROM mbars WHERE amount > 10000 GROUP BY 1, 2) b
+       coalesce(l = '14:20' AND v >= 3, false) AS covered FROM (SELECT DISTINCT code, day FROM slot_bars) p LEFT JOIN
+       (SELECT code, day, count(*) AS n, count(*) FILTER (WHERE amount > 30000) AS v, min(strftime(ts, '%H:%M')) AS f, max(strftime(ts, '%H:%M')) AS l FROM mbars GROUP BY 1, 2) b
        ON b.code = p.code AND b.day = p.day""")
 def _(t):
-    bars = t.mbars.filter("amount > 10000").withColumn("clock", F.date_format("ts", "HH:mm"))
-    pairs = t.slot_bars.filter("slot = '14:50'")
-    return op.pair_quality_rollup(bars, pairs, ["code", "day"], F.col("amount") > 30000, "clock", "14:20", 3)
+    bars = t.mbars.withColumn("clock", F.date_format("ts", "HH:mm"))
+    return op.pair_quality_rollup(bars, t.slot_bars, ["code", "day"], F.col("amount") > 30000, "clock", "14:20", 3)
 
 
 @query("first_event_times", "code:i day:d first_touch:s first_open:s first_down:s",

@@ -210,9 +210,9 @@ def _(t):
 
 
 ELIGIBLE = {
-    "min_price": 950.0, "max_price": 1800.0, "min_listing_days": 200, "min_prev_20d_amount": 200000.0,
-    "min_slot_amount": 20000.0, "max_entry_pct_of_slot_amount": 0.1, "order_notional": 3000.0,
-    "min_dist_up": 0.5, "min_dist_down": 0.5,
+    "price_floor": ("price", ">=", 950.0), "price_ceiling": ("price", "<=", 1800.0), "seasoned": ("listing_days", ">=", 200),
+    "traded_before": ("prev_20d_amount", ">=", 200000.0), "traded_now": ("slot_amount", ">=", 20000.0), "room_for_order": ("entry_room", ">=", 3000.0),
+    "below_ceiling": ("dist_up", ">=", 0.5), "above_floor": ("dist_down", ">=", 0.5), "adjusted": ("adj", ">", 0.0),
 }
 
 
@@ -222,8 +222,8 @@ ELIGIBLE = {
        AND NOT (region = 3) AND adj > 0, false) AS execution_eligible FROM panel""")
 def _(t):
     df = op.listing_age_days(t.panel, "day", F.to_date(F.lit("1995-01-01")))
-    df = df.withColumn("is_st", F.col("region") == 3).withColumn("prev_20d_amount", F.col("slot_amount") * 3)
-    return op.execution_eligibility(df, ELIGIBLE)
+    df = df.withColumns({"is_st": F.col("region") == 3, "prev_20d_amount": F.col("slot_amount") * 3, "entry_room": F.col("slot_amount") * 0.1})
+    return op.execution_eligibility(df, ELIGIBLE, ["is_st"])
 
 
 @query("freshness_gate", "event_id:i fresh:b fresh_or_null:b",

@@ -136,11 +136,11 @@ def _(t):
 
 
 CAL = """SELECT fold, greatest(1, ceil(0.5::DOUBLE * count(*))) AS target_days, max(m) FILTER (WHERE r = least(greatest(1, ceil(0.5::DOUBLE * c)), c)) AS threshold FROM (
-  SELECT *, row_number() OVER (PARTITION BY fold ORDER BY m DESC, day) AS r, count(*) OVER (PARTITION BY fold) AS c FROM (SELECT fold, day, max(p) AS m FROM scored WHERE risk < 0.3 GROUP BY fold, day)) GROUP BY fold"""
+  SELECT *, row_number() OVER (PARTITION BY fold ORDER BY m DESC, day) AS r, count(*) OVER (PARTITION BY fold) AS c FROM (SELECT fold, day, max(p) AS m FROM scored GROUP BY fold, day)) GROUP BY fold"""
 
 
 def calibrated(t):
-    return op.threshold_calibrate(t.scored.filter("risk < 0.3"), "fold", "day", "p", 0.5)
+    return op.threshold_calibrate(t.scored, "fold", "day", "p", 0.5)
 
 
 @query("threshold_calibrate", "fold:i target_days:i threshold:r", CAL)
@@ -169,7 +169,7 @@ def _(t):
     return op.promotion_gate(m, {"win_rate": ("win_rate", ">=", 0.45), "mean_net": ("mean_net", ">=", 0.0), "events": ("events", ">=", 5000.0)})
 
 
-SELECTED = "SELECT * FROM scored WHERE p > 0.9"
+SELECTED = "SELECT * FROM scored"
 
 
 @query("selected_contract_check", "rule:s violations:i",
@@ -178,13 +178,13 @@ SELECTED = "SELECT * FROM scored WHERE p > 0.9"
        UNION ALL SELECT 'incomplete', count(*) FROM ({SELECTED}) WHERE NOT coalesce(exit_ok, false)""")
 def _(t):
     return op.selected_contract_check(
-        t.scored.filter("p > 0.9"), "day", "code", "slot", ["14:20", "14:35", "14:50"], 30, F.col("exit_ok"))
+        t.scored, "day", "code", "slot", ["14:20", "14:35", "14:50"], 30, F.col("exit_ok"))
 
 
 @query("day_status_fill", "day:d candidates:i status:s",
        """SELECT c.day, coalesce(n, 0) AS candidates, CASE WHEN n > 0 THEN 'QUALIFIED' ELSE 'NO_SIGNAL' END AS status FROM calendar c LEFT JOIN
-       (SELECT day, count(*) AS n FROM scored WHERE p > 0.97 AND q > 0.7 GROUP BY day) USING (day)""")
+       (SELECT day, count(*) AS n FROM scored GROUP BY day) USING (day)""")
 def _(t):
-    return op.day_status_fill(t.scored.filter("p > 0.97 and q > 0.7"), t.calendar, "day")
+    return op.day_status_fill(t.scored, t.calendar, "day")
 
 

@@ -32,9 +32,9 @@ def _(t):
 
 @query("universe_coverage", "day:d expected:i observed:i coverage:r passed:b",
        """SELECT day, count(*) AS expected, count(s.code) AS observed, count(s.code) / count(*)::DOUBLE AS coverage, count(s.code) / count(*)::DOUBLE >= 0.8 AS passed FROM bars b LEFT JOIN
-       (SELECT DISTINCT day, code FROM slot_bars WHERE slot = '14:20') s USING (day, code) GROUP BY day""")
+       (SELECT DISTINCT day, code FROM slot_bars) s USING (day, code) GROUP BY day""")
 def _(t):
-    return op.universe_coverage(t.slot_bars.filter("slot = '14:20'"), t.bars, "day", "code", 0.8)
+    return op.universe_coverage(t.slot_bars, t.bars, "day", "code", 0.8)
 
 
 @query("snapshot_gap_list", "code:i day:d snapshots:i",
@@ -98,9 +98,9 @@ def _(t):
 
 @query("cross_section_probe", "day:d rows:i duplicates:i required_present:i numeric_coverage:r passed:b",
        """SELECT day, sum(n) AS rows, sum(n - 1) AS duplicates, count(*) FILTER (WHERE code IN (1, 2, 3)) AS required_present, least(sum(kr) / sum(n)::DOUBLE, sum(kt) / sum(n)::DOUBLE) AS numeric_coverage,
-       sum(n) >= 50 AND sum(n - 1) = 0 AND count(*) FILTER (WHERE code IN (1, 2, 3)) = 3 AS passed FROM (SELECT day, code, count(*) AS n, count(ret) AS kr, count(t1_close) AS kt FROM panel WHERE slot = '14:20' GROUP BY ALL) GROUP BY day""")
+       sum(n) >= 50 AND sum(n - 1) = 0 AND count(*) FILTER (WHERE code IN (1, 2, 3)) = 3 AS passed FROM (SELECT day, code, count(*) AS n, count(ret) AS kr, count(t1_close) AS kt FROM panel GROUP BY ALL) GROUP BY day""")
 def _(t):
-    return op.cross_section_probe(t.panel.filter("slot = '14:20'"), "day", "code", [1, 2, 3], ["ret", "t1_close"], 50)
+    return op.cross_section_probe(t.panel, "day", "code", [1, 2, 3], ["ret", "t1_close"], 50)
 
 
 @query("stock_slot_audit", "day:d slot:s rows:i codes:i ret_coverage:r nation_large_groups:i region_large_groups:i",
@@ -112,10 +112,10 @@ def _(t):
 
 
 @query("mapping_exactness", "expected:i mapped:i missing:i unexpected:i ambiguous:i",
-       """WITH h AS (SELECT day, slot, count(*) AS n FROM slot_bars WHERE code < 40 GROUP BY ALL), w AS (SELECT DISTINCT day, s FROM bars, (VALUES ('14:00'), ('14:20'), ('14:35')) v(s)), b AS (SELECT w.s, h.n FROM w FULL JOIN h ON h.day = w.day AND h.slot = w.s)
+       """WITH h AS (SELECT day, slot, count(*) AS n FROM slot_bars GROUP BY ALL), w AS (SELECT DISTINCT day, s FROM bars, (VALUES ('14:00'), ('14:20'), ('14:35')) v(s)), b AS (SELECT w.s, h.n FROM w FULL JOIN h ON h.day = w.day AND h.slot = w.s)
        SELECT count(s) AS expected, count(n) AS mapped, count(*) FILTER (WHERE n IS NULL) AS missing, count(*) FILTER (WHERE s IS NULL) AS unexpected, count(*) FILTER (WHERE n > 1) AS ambiguous FROM b""")
 def _(t):
-    return op.mapping_exactness(t.slot_bars.filter("code < 40"), t.bars, ["14:00", "14:20", "14:35"], "day", "slot")
+    return op.mapping_exactness(t.slot_bars, t.bars, ["14:00", "14:20", "14:35"], "day", "slot")
 
 
 @query("outcome_consistency", "slot:s rows:i availability_mismatch:i label_mismatch:i",
@@ -126,7 +126,7 @@ def _(t):
 
 
 LEDGER = """SELECT day, code, CASE WHEN p > 0.9 THEN 'QUALIFIED' ELSE 'OBSERVATION' END AS cohort, CASE WHEN NOT entry_ok THEN 'NON_FILL' WHEN risk > 0.9 THEN 'PENDING' ELSE 'SETTLED' END AS status,
-  CASE WHEN u < 0.95 AND (entry_ok OR q > 0.9) THEN price END AS entry_price FROM scored WHERE p > 0.8"""
+  CASE WHEN u < 0.95 AND (entry_ok OR q > 0.9) THEN price END AS entry_price FROM scored"""
 
 
 @query("ledger_invariants", "rule:s violations:i",
@@ -136,7 +136,7 @@ LEDGER = """SELECT day, code, CASE WHEN p > 0.9 THEN 'QUALIFIED' ELSE 'OBSERVATI
        UNION ALL SELECT 'unknown_status', 0 UNION ALL SELECT 'count_mismatch', count(*) FROM (SELECT day, count(*) AS n, count(*) FILTER (WHERE status <> 'PENDING') AS d FROM l GROUP BY day) WHERE n <> d""")
 def _(t):
     status = F.when(~F.col("entry_ok"), "NON_FILL").when(F.col("risk") > 0.9, "PENDING").otherwise("SETTLED")
-    ledger = t.scored.filter("p > 0.8").select(
+    ledger = t.scored.select(
         "day", "code", F.when(F.col("p") > 0.9, "QUALIFIED").otherwise("OBSERVATION").alias("cohort"), status.alias("status"),
         F.when((F.col("u") < 0.95) & (F.col("entry_ok") | (F.col("q") > 0.9)), F.col("price")).alias("entry_price"))
     declared = ledger.groupBy("day").agg(F.count(F.when(F.col("status") != "PENDING", 1)).alias("candidates"))

@@ -89,12 +89,12 @@ def _(t):
 
 
 @query("nth_threshold", "fold:i target_days:i threshold:r",
-       """WITH d AS (SELECT fold, day, max(p) AS m FROM scored WHERE q > 0.97 GROUP BY 1, 2), n AS (SELECT fold, count(DISTINCT day) AS total FROM scored GROUP BY 1),
+       """WITH d AS (SELECT fold, day, max(p) AS m FROM scored GROUP BY 1, 2), n AS (SELECT fold, count(DISTINCT day) AS total FROM scored GROUP BY 1),
        r AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY m DESC, day) AS r, count(*) OVER (PARTITION BY fold) AS c FROM d)
        SELECT n.fold, greatest(1, ceil(0.7::DOUBLE * total)) AS target_days, coalesce(r.m, 'inf'::DOUBLE) AS threshold FROM n LEFT JOIN r ON r.fold = n.fold AND r.r = least(greatest(1, ceil(0.7::DOUBLE * total)), r.c)""")
 def _(t):
     totals = t.scored.groupBy("fold").agg(F.countDistinct("day").alias("total_days"))
-    return op.nth_threshold(t.scored.filter("q > 0.97"), ["fold"], "day", "p", 0.7, totals)
+    return op.nth_threshold(t.scored, ["fold"], "day", "p", 0.7, totals)
 
 
 @query("deterministic_sample", "day:d slot:s code:i",

@@ -227,9 +227,9 @@ def _(t):
 
 
 @query("compounded_return", "fold:i complete_days:i compounded:r",
-       "SELECT fold, count(*) AS complete_days, (product(1 + m / 100) - 1) * 100 AS compounded FROM (SELECT fold, day, avg(net) / 10 AS m FROM scored WHERE slot = '14:50' AND q > 0.8 GROUP BY fold, day HAVING min((risk > 0.05)::INT) = 1) GROUP BY fold")
+       "SELECT fold, count(*) AS complete_days, (product(1 + m / 100) - 1) * 100 AS compounded FROM (SELECT fold, day, avg(net) / 10 AS m FROM scored GROUP BY fold, day HAVING min((risk > 0.0005)::INT) = 1) GROUP BY fold")
 def _(t):
-    df = t.scored.filter("slot = '14:50' and q > 0.8").withColumns({"ok": F.col("risk") > 0.05, "r": F.col("net") / 10})
+    df = t.scored.withColumns({"ok": F.col("risk") > 0.0005, "r": F.col("net") / 10})
     return op.compounded_return(df, ["fold"], "day", "r", "ok")
 
 
