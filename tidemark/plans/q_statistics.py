@@ -67,21 +67,21 @@ def draw(n, seed, sample="s", block="b"):
 @query("block_bootstrap_days", "slot:s days:i observations:i win_rate_lower:r win_rate_upper:r mean_lower:r mean_upper:r",
        f"""WITH d AS (SELECT slot, day, sum(win::INT) AS w, count(*) AS o, sum(net) AS r, row_number() OVER (PARTITION BY slot ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY slot) AS n FROM scored GROUP BY slot, day),
        g AS (SELECT slot, n, sum(o) AS obs FROM d GROUP BY slot, n),
-       x AS (SELECT slot, n, s, b, k, ({draw('n', 20260727)} + k) % n AS i FROM g, range(400) a(s), range(CAST(ceil(n / 5.0) AS BIGINT)) c(b), range(5) e(k) WHERE b * 5 + k < n),
+       x AS (SELECT slot, n, s, b, k, ({draw('n', 20260727)} + k) % n AS i FROM g, range(4000) a(s), range(CAST(ceil(n / 5.0) AS BIGINT)) c(b), range(5) e(k) WHERE b * 5 + k < n),
        m AS (SELECT x.slot, s, sum(w)::DOUBLE / sum(o) AS wr, sum(r) / sum(o) AS mr FROM x JOIN d USING (slot, i) GROUP BY x.slot, s)
        SELECT m.slot, any_value(n) AS days, any_value(obs) AS observations, quantile_cont(wr, 0.025) AS win_rate_lower, quantile_cont(wr, 0.975) AS win_rate_upper, quantile_cont(mr, 0.025) AS mean_lower, quantile_cont(mr, 0.975) AS mean_upper
        FROM m JOIN g USING (slot) GROUP BY m.slot""")
 def _(t):
-    return op.block_bootstrap_days(t.scored, ["slot"], "day", "net", samples=400)
+    return op.block_bootstrap_days(t.scored, ["slot"], "day", "net", samples=4000)
 
 
 @query("iid_day_bootstrap", "slot:s days:i q05:r q50:r q95:r",
        f"""WITH d AS (SELECT slot, day, avg(p) AS m, row_number() OVER (PARTITION BY slot ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY slot) AS n FROM scored GROUP BY slot, day),
-       x AS (SELECT slot, n, s, {draw('n', 5)} AS i FROM (SELECT DISTINCT slot, n FROM d), range(300) a(s), range(n) c(b)),
+       x AS (SELECT slot, n, s, {draw('n', 5)} AS i FROM (SELECT DISTINCT slot, n FROM d), range(2000) a(s), range(n) c(b)),
        m AS (SELECT x.slot, s, any_value(x.n) AS n, avg(m) AS v FROM x JOIN d USING (slot, i) GROUP BY x.slot, s)
        SELECT slot, any_value(n) AS days, quantile_cont(v, 0.05) AS q05, quantile_cont(v, 0.5) AS q50, quantile_cont(v, 0.95) AS q95 FROM m GROUP BY slot""")
 def _(t):
-    return op.iid_day_bootstrap(t.scored, ["slot"], "day", "p", samples=300, seed=5)
+    return op.iid_day_bootstrap(t.scored, ["slot"], "day", "p", samples=2000, seed=5)
 
 
 @query("hac_mean_test", "slot:s n:i mean:r se:r t_stat:r lags:i",
@@ -117,12 +117,12 @@ def _(t):
 @query("calibration_table", "bin:i bin_left:r rows:i days:i win_rate:r wilson_lower:r clustered_lower:r",
        f"""WITH s AS (SELECT *, CAST(least(floor(p * 10), 9) AS INT) AS bin FROM scored),
        d AS (SELECT bin, day, sum(win::INT) AS w, count(*) AS o, row_number() OVER (PARTITION BY bin ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY bin) AS n FROM s GROUP BY bin, day),
-       x AS (SELECT bin, s, {draw('n', 3)} AS i FROM (SELECT DISTINCT bin, n FROM d), range(200) a(s), range(n) c(b)),
+       x AS (SELECT bin, s, {draw('n', 3)} AS i FROM (SELECT DISTINCT bin, n FROM d), range(500) a(s), range(n) c(b)),
        m AS (SELECT x.bin, s, sum(w)::DOUBLE / sum(o) AS v FROM x JOIN d USING (bin, i) GROUP BY x.bin, s)
        SELECT bin, bin / 10.0::DOUBLE AS bin_left, count(*) AS rows, count(DISTINCT day) AS days, avg(win::INT) AS win_rate, {wilson('sum(win::INT)', 'count(*)', 'lower')} AS wilson_lower, any_value(c) AS clustered_lower
        FROM s JOIN (SELECT bin, quantile_cont(v, 0.025) AS c FROM m GROUP BY bin) USING (bin) GROUP BY bin""")
 def _(t):
-    return op.calibration_table(t.scored, "win", "p", "day", samples=200, seed=3)
+    return op.calibration_table(t.scored, "win", "p", "day", samples=500, seed=3)
 
 
 def sections(score, extra="", min_n=2):
@@ -184,13 +184,13 @@ RANKED = "SELECT day, net, row_number() OVER (PARTITION BY day ORDER BY p DESC,
        f"""WITH k AS (SELECT * FROM ({RANKED}) WHERE r <= 5), a AS (SELECT r, avg(net) AS m FROM k GROUP BY r),
        w AS (SELECT day, sum(net * (r - 3) / 10.0::DOUBLE) AS slope, max(net) FILTER (WHERE r = 1) - max(net) FILTER (WHERE r = 5) AS spread FROM k GROUP BY day HAVING count(*) = 5),
        d AS (SELECT *, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n FROM w),
-       x AS (SELECT s, ({draw('n', 9)} + k) % n AS i FROM (SELECT DISTINCT n FROM d), range(300) a(s), range(CAST(ceil(n / 5.0) AS BIGINT)) c(b), range(5) e(k) WHERE b * 5 + k < n),
+       x AS (SELECT s, ({draw('n', 9)} + k) % n AS i FROM (SELECT DISTINCT n FROM d), range(2000) a(s), range(CAST(ceil(n / 5.0) AS BIGINT)) c(b), range(5) e(k) WHERE b * 5 + k < n),
        v AS (SELECT s, avg(slope) AS v FROM x JOIN d USING (i) GROUP BY s)
        SELECT (SELECT sum((m >= nx)::INT) FROM (SELECT m, lead(m) OVER (ORDER BY r) AS nx FROM a)) AS ordered_pairs, (SELECT m FROM a WHERE r = 1) AS mean_1, (SELECT m FROM a WHERE r = 5) AS mean_5,
        (SELECT count(*) FROM w) AS complete_days, (SELECT avg(slope) FROM w) AS slope_mean, (SELECT avg(spread) FROM w) AS spread_mean, quantile_cont(v, 0.025) AS slope_lower, quantile_cont(v, 0.975) AS slope_upper, avg((v < 0)::INT) AS p_slope_negative FROM v""")
 def _(t):
     ranked = windows.cs_first_rank(t.scored, ["day"], "p", ["slot", "code"], "r")
-    return op.rank_monotonicity(ranked, "day", "r", "net", 5, samples=300, seed=9)
+    return op.rank_monotonicity(ranked, "day", "r", "net", 5, samples=2000, seed=9)
 
 
 @query("policy_overfit_probability", "splits:i overfit_probability:r",
