@@ -33,12 +33,17 @@ def test_anchors_cover_all_starts_and_depend_on_the_match_alone():
     rng = random.Random(4)
     for n in (0, 49, 50, 51, 400):
         raw = np.frombuffer(rng.randbytes(n), np.uint8)
-        h, a, b = suffixes.anchors(raw, 50)
-        starts = [s for x, y in zip(a, b) for s in range(x, y + 1)]
+        runs = list(suffixes.runs_of(raw, 50))
+        starts = [s for r in runs for x, y in zip(r.first, r.last) for s in range(x, y + 1)]
         assert starts == list(range(max(0, n - 49)))
-        for x, y, z in zip(h, a, b):
-            for s in (y, z):
-                assert suffixes.anchors(raw[s : s + 50].copy(), 50)[0].tolist() == [x]
+        for r in runs:
+            assert r.starts()[0].tolist() == starts
+            for x, y, z in zip(r.anchor, r.first, r.last):
+                for s in (y, z):
+                    own = next(suffixes.runs_of(raw[s : s + 50].copy(), 50))
+                    assert own.anchor.tolist() == [x] and own.key[0] == r.starts()[1][s]
+    loop = next(suffixes.runs_of(np.frombuffer(b"ab" * 500, np.uint8), 50))
+    assert (loop.last - loop.first).max() < 31 and len(set(loop.key.tolist())) <= 4
 
 
 def _plain(rows, length):

@@ -7,13 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import total_bytes
+from .common import release_memory, total_bytes
 
 #: Bytes of an anchor; with matches of ``length`` bytes there are ``length - ANCHOR + 1`` of them
 #: in each, and the one with the smallest hash stands for the match.
@@ -56,21 +55,46 @@ def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(h) - width + 1], out[width - have :]) if have < width else out
 
 
-def anchors(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of match starts that share an anchor: anchor hash, first start, last start.
+class Runs:
+    """Runs of neighbouring match starts that share an anchor, over some stretch of a text.
 
     Start s is the match ``raw[s : s + length]``; its anchor is the smallest hash among the
-    anchors inside it, which only depends on those bytes. Equal matches have equal anchors.
+    anchors inside it, which only depends on those bytes, so equal matches have equal anchors. A
+    run goes from start ``first`` to start ``last``, ``length - ANCHOR + 1`` starts at most;
+    ``anchor`` is the hash and ``key`` names all bytes of its matches.
     """
-    width, got = length - ANCHOR + 1, []
+
+    def __init__(self, raw: np.ndarray, base: int, length: int):
+        width = length - ANCHOR + 1
+        self.hashes, self.base, self.length = _anchor_hashes(raw), base, length
+        low = _sliding_min(self.hashes, width)
+        head = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+        size = np.diff(np.append(head, len(low)))
+        parts = -(-size // width)  # only texts that repeat themselves make longer runs
+        head = np.repeat(head, parts) + (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * width
+        last = np.append(head[1:], len(low)) - 1
+        self.anchor, self.first, self.last = low[head], head + base, last + base
+        self.key = self._named(head, last + length)
+
+    def _named(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Names of byte ranges of ``length`` to ``4 * ANCHOR`` bytes, from the hashes that cover them."""
+        end, out = stop - ANCHOR, (stop - start).astype(np.uint64)
+        for at in (start, start + ANCHOR, np.minimum(start + 2 * ANCHOR, end), end):
+            out = _mix(out * _BASE ^ self.hashes[at])
+        return out
+
+    def starts(self) -> tuple[np.ndarray, np.ndarray]:
+        """All starts, and the names of their single matches."""
+        at = np.arange(len(self.hashes) - self.length + ANCHOR)
+        return at + self.base, self._named(at, at + self.length)
+
+
+def runs_of(raw: np.ndarray, length: int) -> Iterator[Runs]:
+    """The runs of a whole text, stretch by stretch."""
+    if 4 * ANCHOR < 2 * length - ANCHOR or length < ANCHOR:
+        raise ValueError(f"matches need {ANCHOR} to {5 * ANCHOR // 2} bytes")
     for k in range(0, max(0, len(raw) - length + 1), _STRIDE):
-        low = _sliding_min(_anchor_hashes(raw[k : k + _STRIDE + length - 1]), width)
-        first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-        got.append((low[first], first + k, np.concatenate((first[1:] - 1, [len(low) - 1])) + k))
-    if not got:
-        none = np.empty(0, np.int64)
-        return np.empty(0, np.uint64), none, none
-    return tuple(np.concatenate(x) for x in zip(*got))
+        yield Runs(raw[k : k + _STRIDE + length - 1], k, length)
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -262,13 +286,15 @@ class _Stages:
     def __init__(self, doc_id: str, text: str, length: int, buckets: int, hot_blocks: int):
         self.doc_id, self.text, self.length, self.buckets, self.hot_blocks = doc_id, text, length, buckets, hot_blocks
 
-    def runs(self, table: pa.Table):
-        """Documents that can match, with the runs of starts that share an anchor."""
-        for k, raw in _documents(table, self.doc_id, self.text):
-            if k is not None and len(raw) >= self.length:
-                yield k, raw, anchors(raw, self.length)
-            else:
-                yield k, raw, None
+    def documents(self, data) -> Iterator[tuple[int, np.ndarray]]:
+        """Documents of a block that can match."""
+        for table in _tables(data):
+            for k, raw in _documents(table, self.doc_id, self.text):
+                if k is not None and len(raw) >= self.length:
+                    yield k, raw
+
+    def bucket(self, tag: np.ndarray) -> np.ndarray:
+        return (tag % np.uint64(self.buckets)).astype(np.int64)
 
     def mark(self):
         """A block's distinct anchors to their buckets, and whether several documents have them."""
@@ -276,21 +302,15 @@ class _Stages:
         def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = [np.empty(0, np.uint64)]
             for batch in batches:
-                for table in _tables(batch.column("_data")):
-                    found += [np.unique(r[0]) for _, _, r in self.runs(table) if r is not None]
+                for _, raw in self.documents(batch.column("_data")):
+                    found.append(np.unique(np.concatenate([r.anchor for r in runs_of(raw, self.length)])))
             h, n = np.unique(np.concatenate(found), return_counts=True)
-            bucket = (h % np.uint64(self.buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            h, n, bucket = h[order], n[order], bucket[order]
-            cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
-            out = {k: [] for k in ("bucket", "block", "n", "anchors", "many")}
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                values = (bucket[lo], key[0].as_py(), hi - lo, _zipped(np.diff(h[lo:hi], prepend=np.uint64(0))), _zipped(n[lo:hi] > 1))
-                for name, v in zip(out, values):
-                    out[name].append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v, t) for v, t in zip(out.values(), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=list(out),
-            )
+            rows = [
+                (b, key[0].as_py(), len(some), _zipped(np.diff(h[some], prepend=np.uint64(0))), _zipped(n[some] > 1))
+                for b, some in _split(self.bucket(h))
+            ]
+            yield from _emitted(_MARKED, rows)
+            release_memory()
 
         return run
 
@@ -312,158 +332,195 @@ class _Stages:
             shared, hot = np.empty(len(h), bool), np.empty(len(h), bool)
             shared[order] = np.repeat((count > 1) | (several > 0), count)
             hot[order] = np.repeat(count > self.hot_blocks, count)
-            out, at = ([], [], [], []), 0
+            rows, at = [], 0
             for b, part in zip(blocks, parts):
                 keep = np.flatnonzero(shared[at : at + len(part)])
                 if len(keep):
-                    for to, v in zip(out, (b, len(keep), _zipped(part[keep]), _zipped(hot[at : at + len(part)][keep]))):
-                        to.append(v)
+                    rows.append((b, len(keep), _zipped(np.diff(part[keep], prepend=np.uint64(0))), _zipped(hot[at : at + len(part)][keep])))
                 at += len(part)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v, t) for v, t in zip(out, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["_block", "n", "anchors", "hot"],
-            )
+            yield from _emitted(_SHARED, rows)
+            release_memory()
 
         return run
 
-    def pick(self):
-        """A block's distinct strings around shared anchors, with their least and largest document."""
+    def name(self):
+        """A block's distinct runs around shared anchors, by name, with their least and largest document.
+
+        Hot anchors' matches are named one by one and dealt by their own names.
+        """
 
         def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-            shared = [_array(a, n, np.uint64) for n, a in zip(right.column("n").to_pylist(), right.column("anchors").to_pylist())]
-            hots = [_array(x, n, bool) for n, x in zip(right.column("n").to_pylist(), right.column("hot").to_pylist())]
-            known = np.concatenate([np.empty(0, np.uint64), *shared])
+            parts = [(np.cumsum(_array(a, n, np.uint64), dtype=np.uint64), _array(x, n, bool)) for n, a, x in _columns(right, "n", "anchors", "hot")]
+            known = np.concatenate([np.empty(0, np.uint64), *[p[0] for p in parts]])
             order = np.argsort(known)
-            known, hot = known[order], np.concatenate([np.empty(0, bool), *hots])[order]
-            seen: dict[bytes, int] = {}
-            lo, hi, anchor, deal = [], [], [], []
-            for table in _tables(left.column("_data")) if len(known) else ():
-                for k, raw, got in self.runs(table):
-                    if got is None:
-                        continue
-                    at = np.minimum(np.searchsorted(known, got[0]), len(known) - 1)
-                    hits = np.flatnonzero(known[at] == got[0])
-                    data = raw.tobytes()
-                    for h, a, b, one in zip(got[0][hits].tolist(), got[1][hits].tolist(), got[2][hits].tolist(), hot[at[hits]].tolist()):
-                        for s in (data[c : c + self.length] for c in range(a, b + 1)) if one else (data[a : b + self.length],):
-                            i = seen.get(s)
-                            if i is None:
-                                seen[s] = len(lo)
-                                lo.append(k)
-                                hi.append(k)
-                                anchor.append(h)
-                                deal.append(xxhash.xxh3_64_intdigest(s) if one else h)
-                            elif k < lo[i]:
-                                lo[i] = k
-                            elif k > hi[i]:
-                                hi[i] = k
-            deal = np.array(deal, np.uint64)
-            bucket = (deal % np.uint64(self.buckets)).astype(np.int64)
-            order = np.lexsort((deal, bucket))
-            strings, anchor = list(seen), np.array(anchor, np.uint64)
-            lo, hi = np.array(lo, np.int64), np.array(hi, np.int64)
-            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
-            out = [[] for _ in _PICKED]
-            for x, y in zip(cuts[:-1], cuts[1:]):
-                some = order[x:y]
-                own = [strings[i] for i in some]
-                values = (
-                    bucket[some[0]], key[0].as_py(), len(some), _zipped(anchor[some]), _zipped(deal[some] - anchor[some]), _zipped(lo[some]),
-                    _zipped(hi[some] - lo[some]), _zipped(np.array([len(s) for s in own], np.int64)), sum(map(len, own)), _zipped(b"".join(own)),
-                )
-                for to, v in zip(out, values):
-                    to.append(v)
-            return pa.table({n: pa.array(v, t) for (n, t), v in zip(_PICKED.items(), out)})
+            known, hot = known[order], np.concatenate([np.empty(0, bool), *[p[1] for p in parts]])[order]
+            tags, keys, docs = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for k, raw in self.documents(left.column("_data")) if len(known) else ():
+                for r in runs_of(raw, self.length):
+                    at = _found(known, r.anchor)
+                    hit = at >= 0
+                    single = hit & hot[at]
+                    hit &= ~single
+                    got = [(r.anchor[hit], r.key[hit])]
+                    if single.any():
+                        names = r.starts()[1][_spread(r.first[single] - r.base, r.last[single] - r.first[single] + 1)]
+                        got.append((names, names))
+                    for tag, name in got:
+                        tags.append(tag)
+                        keys.append(name)
+                        docs.append(np.full(len(tag), k, np.int64))
+            tag, name, doc = np.concatenate(tags), np.concatenate(keys), np.concatenate(docs)
+            order = np.lexsort((doc, name, tag))
+            tag, name, doc = tag[order], name[order], doc[order]
+            head = np.flatnonzero(_changes(tag, name))
+            last = np.append(head[1:], len(tag)) - 1
+            tag, name, lo, hi = tag[head], name[head], doc[head], doc[last] if len(head) else doc[head]
+            rows = [
+                (b, key[0].as_py(), len(some), _zipped(np.diff(tag[some], prepend=np.uint64(0))), _zipped(name[some]), _zipped(lo[some]), _zipped(hi[some] - lo[some]))
+                for b, some in _split(self.bucket(tag))
+            ]
+            return _table(_NAMED, rows)
 
         return run
 
-    def decide(self):
-        """Suffix-sorts a bucket's strings; to each block, the starts that an earlier document has."""
+    @staticmethod
+    def named(rows) -> tuple[np.ndarray, ...]:
+        """Tag, name, least and largest document of all named runs, and their rows' numbers."""
+        parts = [
+            (np.cumsum(_array(t, n, np.uint64), dtype=np.uint64), _array(k, n, np.uint64), lo := _array(x, n, np.int64), lo + _array(y, n, np.int64), np.full(n, i))
+            for i, (n, t, k, x, y) in enumerate(rows)
+        ]
+        return tuple(np.concatenate(p) for p in zip(*parts))
+
+    def ask(self):
+        """Where runs of an anchor differ, one block with each is asked for its bytes."""
 
         def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: dict[bytes, int] = {}
-            least, deals, blocks = [], [], []
+            rows, blocks = [], []
             for batch in batches:
-                for row in batch.to_pylist():
-                    n, at = row["n"], 0
-                    anchor, lo = _array(row["anchors"], n, np.uint64), _array(row["lo"], n, np.int64)
-                    deal, hi = anchor + _array(row["deals"], n, np.uint64), lo + _array(row["his"], n, np.int64)
-                    data, ids = _unzipped(row["strings"], row["n_bytes"]), np.empty(n, np.int64)
-                    for j, (size, k, d) in enumerate(zip(_array(row["sizes"], n, np.int64).tolist(), lo.tolist(), deal.tolist())):
-                        s = data[at : at + size]
-                        at += size
-                        i = ids[j] = seen.setdefault(s, len(least))
-                        if i == len(least):
-                            least.append(k)
-                            deals.append(d)
-                        elif k < least[i]:
-                            least[i] = k
-                    blocks.append((row["block"], anchor, anchor != deal, ids, hi))
-            strings = list(seen)
-            seen.clear()
-            keys = np.array([xxhash.xxh3_64_intdigest(s) for s in strings], np.uint64)
-            runs = self._owned_runs(strings, np.array(least, np.int64), np.array(deals, np.uint64))
-            first = np.searchsorted(runs[0], np.arange(len(strings) + 1))
-            out = [[] for _ in _DECIDED]
-            for block, anchor, hot, ids, hi in blocks:
-                many = first[ids + 1] - first[ids]
-                at = np.repeat(np.arange(len(ids)), many)
-                pick = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[ids], many)
-                drop = runs[3][pick] < hi[at]
-                at, pick = at[drop], pick[drop]
-                if len(at):
-                    values = (
-                        block, len(at), _zipped(anchor[at]), _zipped(hot[at]), _zipped(keys[ids[at]]), _zipped(runs[1][pick].astype(np.int64)),
-                        _zipped(runs[2][pick].astype(np.int64)), _zipped(runs[3][pick]),
-                    )
-                    for to, v in zip(out, values):
-                        to.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, _DECIDED.values())], names=list(_DECIDED))
+                rows += _columns(batch, "n", "tags", "keys", "lo", "his")
+                blocks += batch.column("block").to_pylist()
+            tag, name, lo, _, row = self.named(rows)
+            order = np.lexsort((lo, name, tag))
+            tag, name, row = tag[order], name[order], row[order]
+            distinct = np.flatnonzero(_changes(tag, name))
+            tag, name, row = tag[distinct], name[distinct], row[distinct]
+            differ = np.concatenate((tag[1:] == tag[:-1], [False]))
+            differ[1:] |= differ[:-1]
+            name, block = name[differ], np.array(blocks, np.int64)[row[differ]]
+            yield from _emitted(_ASKED, [(b, len(some), _zipped(name[some])) for b, some in _split(block)])
+
+        return run
+
+    def spell(self):
+        """The bytes of the runs that a block was asked for."""
+
+        def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            known = np.unique(np.concatenate([np.empty(0, np.uint64), *[_array(k, n, np.uint64) for n, k in _columns(right, "n", "keys")]]))
+            tags, names, strings = [], [], []
+            done = np.zeros(len(known), bool)
+            for _, raw in self.documents(left.column("_data")) if len(known) else ():
+                for r in runs_of(raw, self.length):
+                    at = _found(known, r.key)
+                    hits = np.flatnonzero((at >= 0) & ~done[at])
+                    for i in hits.tolist():
+                        if not done[at[i]]:
+                            done[at[i]] = True
+                            tags.append(r.anchor[i])
+                            names.append(r.key[i])
+                            strings.append(raw[r.first[i] : r.last[i] + self.length].tobytes())
+            name, rows = np.array(names, np.uint64), []
+            for b, some in _split(self.bucket(np.array(tags, np.uint64))):
+                own = [strings[i] for i in some]
+                rows.append((b, len(own), _zipped(name[some]), _zipped(np.array([len(x) for x in own], np.int64)), sum(map(len, own)), _zipped(b"".join(own))))
+            return _table(_SPELT, rows)
+
+        return run
+
+    def decide(self):
+        """For each named run, the starts whose match an earlier document has; to the blocks with it.
+
+        A run that is all its anchor has belongs to its least document. The others' bytes are
+        suffix-sorted, and each start belongs to the least document with an equal match.
+        """
+
+        def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows:
+                return _table(_DECIDED, [])
+            blocks = left.column("block").to_pylist()
+            tag, name, lo, hi, row = self.named(_columns(left, "n", "tags", "keys", "lo", "his"))
+            order = np.lexsort((lo, name, tag))
+            tag, name, lo, hi, row = tag[order], name[order], lo[order], hi[order], row[order]
+            new = _changes(tag, name)
+            which = np.cumsum(new) - 1
+            head = np.flatnonzero(new)
+            least, tags, names = lo[head], tag[head], name[head]
+            spelt = [(_array(k, n, np.uint64), _array(z, n, np.int64), _unzipped(x, m)) for n, k, z, m, x in _columns(right, "n", "keys", "sizes", "n_bytes", "strings")]
+            own = np.concatenate([np.empty(0, np.uint64), *[p[0] for p in spelt]])
+            strings = [x[e - z : e] for _, sizes, x in spelt for e, z in zip(np.cumsum(sizes).tolist(), sizes.tolist())]
+            by = np.argsort(own)
+            at = _found(own[by], names)
+            sorted_ones = np.flatnonzero(at >= 0)
+            runs = self._owned_runs([strings[by[i]] for i in at[sorted_ones]], least[sorted_ones], tags[sorted_ones])
+            runs[0] = sorted_ones[runs[0]]
+            whole = np.setdiff1d(np.arange(len(head)), sorted_ones, assume_unique=True)
+            runs = [np.concatenate((x, y)) for x, y in zip(runs, (whole, np.zeros(len(whole), np.int64), np.full(len(whole), -1), least[whole]))]
+            sort = np.lexsort((runs[1], runs[0]))
+            runs = [x[sort] for x in runs]
+            first = np.searchsorted(runs[0], np.arange(len(head) + 1))
+            many = first[which + 1] - first[which]
+            pick = _spread(first[which], many)
+            entry = np.repeat(np.arange(len(which)), many)
+            drop = runs[3][pick] < hi[entry]
+            entry, pick = entry[drop], pick[drop]
+            rows = []
+            for b, some in _split(np.array(blocks, np.int64)[row[entry]]):
+                k = np.argsort(name[entry[some]], kind="stable")
+                e, p = entry[some][k], pick[some][k]
+                rows.append((b, len(e), _zipped(np.diff(name[e], prepend=np.uint64(0))), *[_zipped(runs[c][p].astype(t)) for c, t in ((1, np.int32), (2, np.int32), (3, np.int64))]))
+            return _table(_DECIDED, rows)
 
         return run
 
-    def _owned_runs(self, strings: list[bytes], least: np.ndarray, deals: np.ndarray) -> list[np.ndarray]:
-        """String number, offset, length and least owner of each run of starts with one owner.
+    def _owned_runs(self, strings: list[bytes], least: np.ndarray, tags: np.ndarray) -> list[np.ndarray]:
+        """String number, offset, length and least owner of each stretch of starts with one owner.
 
-        Equal matches were dealt by one number, so strings are sorted some numbers at a time.
+        Equal matches have equal tags, so strings are sorted some tags at a time; tags ascend.
         """
-        order = np.argsort(deals, kind="stable")
-        sizes = np.cumsum([len(strings[i]) + 1 for i in order])
-        group = np.flatnonzero(np.concatenate((deals[order][1:] != deals[order][:-1], [True]))) + 1  # ends of numbers
+        sizes = np.cumsum([len(x) + 1 for x in strings])
+        ends = np.flatnonzero(np.concatenate((tags[1:] != tags[:-1], [True]))) + 1 if len(tags) else tags
         out, lo = [], 0
-        while lo < len(order):
+        while lo < len(strings):
             base = sizes[lo - 1] if lo else 0
-            k = np.searchsorted(group, max(lo + 1, np.searchsorted(sizes, base + SORT_BYTES)))
-            hi = group[min(k, len(group) - 1)]
-            some = order[lo:hi]
-            which, offset, owner = first_owners([strings[i] for i in some], least[some], self.length)
+            k = np.searchsorted(ends, max(lo + 1, np.searchsorted(sizes, base + SORT_BYTES)))
+            hi = int(ends[min(k, len(ends) - 1)])
+            which, offset, owner = first_owners(strings[lo:hi], least[lo:hi], self.length)
             sort = np.lexsort((offset, which))
-            which, offset, owner = some[which[sort]], offset[sort], owner[sort]
-            if len(which):
-                new = np.concatenate(([True], (which[1:] != which[:-1]) | (owner[1:] != owner[:-1])))
-                head = np.flatnonzero(new)
-                out.append((which[head], offset[head], np.diff(np.append(head, len(which))), owner[head]))
+            which, offset, owner = which[sort] + lo, offset[sort], owner[sort]
+            head = np.flatnonzero(_changes(which, owner))
+            out.append((which[head], offset[head], np.diff(np.append(head, len(which))), owner[head]))
             lo = hi
         if not out:
-            return [np.empty(0, np.int64)] * 4
-        runs = [np.concatenate(x) for x in zip(*out)]
-        sort = np.lexsort((runs[1], runs[0]))
-        return [r[sort] for r in runs]
+            return [np.empty(0, np.int64) for _ in range(4)]
+        return [np.concatenate(x) for x in zip(*out)]
 
     def remove(self, digest: bool, schema: pa.Schema):
         """A block's documents without the bytes that earlier documents have."""
 
         def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-            cols = [[_array(row[c], row["n"], t) for row in right.to_pylist()] for c, t in _REPLY.items()]
-            anchor, hot, keys, offset, size, owner = [np.concatenate([np.empty(0, t), *c]) for c, t in zip(cols, _REPLY.values())]
-            known, hots = np.unique(anchor), np.unique(anchor[hot])
-            reply: dict[int, list[int]] = {}
-            for i, k in enumerate(keys.tolist()):
-                reply.setdefault(k, []).append(i)
+            parts = [
+                (np.cumsum(_array(k, n, np.uint64), dtype=np.uint64), _array(o, n, np.int32), _array(z, n, np.int32), _array(w, n, np.int64))
+                for n, k, o, z, w in _columns(right, "n", "keys", "offsets", "lengths", "owners")
+            ]
+            reply = [np.concatenate(x) for x in zip(*parts)] if parts else []
+            if reply:
+                order = np.argsort(reply[0], kind="stable")
+                reply = [x[order] for x in reply]
             out = []
             for table in _tables(left.column("_data")):
                 kept, n_bytes, n_removed, n_spans = [], [], [], []
-                for k, raw, got in self.runs(table):
-                    starts = self._dropped(k, raw, got, known, hots, reply, offset, size, owner) if got is not None and len(known) else []
+                for k, raw in _documents(table, self.doc_id, self.text):
+                    starts = self._dropped(k, raw, reply) if reply and k is not None and len(raw) >= self.length else None
                     data, gone, spans = _without(raw, starts, self.length)
                     kept.append(data)
                     n_bytes.append(len(raw))
@@ -483,39 +540,85 @@ class _Stages:
 
         return run
 
-    def _dropped(self, k, raw, got, known, hots, reply, offset, size, owner) -> list[tuple[int, int]]:
-        """Ranges of match starts (first, last) that a smaller document has."""
-        h = got[0]
-        hits = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
-        single = np.isin(h[hits], hots).tolist()
-        data, out = raw.tobytes(), []
-        for a, b, one in zip(got[1][hits].tolist(), got[2][hits].tolist(), single):
-            for c, d in ((c, c) for c in range(a, b + 1)) if one else ((a, b),):
-                for i in reply.get(xxhash.xxh3_64_intdigest(data[c : d + self.length]), ()):
-                    if owner[i] < k:
-                        out.append((c + int(offset[i]), c + int(offset[i]) + int(size[i]) - 1))
-        return out
+    def _dropped(self, k: int, raw: np.ndarray, reply: list[np.ndarray]) -> np.ndarray:
+        """Ranges of match starts (first, stop) that a smaller document has, as two columns."""
+        keys, offset, size, owner = reply
+        out = [np.empty((0, 2), np.int64)]
+        for r in runs_of(raw, self.length):
+            names = [(r.first, r.last - r.first + 1, r.key)]
+            if self.singles(reply):
+                at, name = r.starts()
+                names.append((at, np.ones(len(at), np.int64), name))
+            for first, n, name in names:
+                lo = np.searchsorted(keys, name)
+                hit = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == name)
+                many = np.searchsorted(keys, name[hit], "right") - lo[hit]
+                pick, run = _spread(lo[hit], many), np.repeat(hit, many)
+                ours = owner[pick] < k
+                pick, run = pick[ours], run[ours]
+                begin = first[run] + offset[pick]
+                out.append(np.column_stack((begin, begin + np.where(size[pick] < 0, n[run], size[pick]))))
+        return np.concatenate(out)
+
+    def singles(self, reply: list[np.ndarray]) -> bool:
+        """Whether matches may have been named one by one: only if there are more blocks than make an anchor hot."""
+        return self.buckets > self.hot_blocks
+
+
+_MARKED = {"bucket": pa.int32(), "block": pa.int32(), "n": pa.int64(), "anchors": pa.binary(), "many": pa.binary()}
+_SHARED = {"_block": pa.int32(), "n": pa.int64(), "anchors": pa.binary(), "hot": pa.binary()}
+_NAMED = {"bucket": pa.int32(), "block": pa.int32(), "n": pa.int64(), "tags": pa.binary(), "keys": pa.binary(), "lo": pa.binary(), "his": pa.binary()}
+_ASKED = {"_block": pa.int32(), "n": pa.int64(), "keys": pa.binary()}
+_SPELT = {"bucket": pa.int32(), "n": pa.int64(), "keys": pa.binary(), "sizes": pa.binary(), "n_bytes": pa.int64(), "strings": pa.binary()}
+_DECIDED = {"_block": pa.int32(), "n": pa.int64(), "keys": pa.binary(), "offsets": pa.binary(), "lengths": pa.binary(), "owners": pa.binary()}
+
+
+def _split(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each group number with its positions, which stay in order."""
+    order = np.argsort(group, kind="stable")
+    cuts = np.flatnonzero(np.diff(group[order], prepend=-1, append=-1)) if len(group) else []
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        yield int(group[order[lo]]), order[lo:hi]
+
+
+def _changes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where a sorted pair of columns differs from the row before."""
+    return np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
+
+
+def _found(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Positions of values in a sorted array, -1 where they aren't in it."""
+    if not len(known):
+        return np.full(len(values), -1)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return np.where(known[at] == values, at, -1)
+
+
+def _spread(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """``first``, ``first + 1`` and so on, ``many`` of each, one after the other."""
+    return np.arange(many.sum()) + np.repeat(first - np.cumsum(many) + many, many)
+
+
+def _columns(rows, *names: str) -> list[tuple]:
+    return list(zip(*[rows.column(c).to_pylist() for c in names]))
+
+
+def _table(columns: dict, rows: list[tuple]) -> pa.Table:
+    release_memory()
+    return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(columns.items())})
 
 
-_PICKED = {
-    "bucket": pa.int32(), "block": pa.int32(), "n": pa.int64(), "anchors": pa.binary(), "deals": pa.binary(), "lo": pa.binary(),
-    "his": pa.binary(), "sizes": pa.binary(), "n_bytes": pa.int64(), "strings": pa.binary(),
-}
-_DECIDED = {
-    "_block": pa.int32(), "n": pa.int64(), "anchors": pa.binary(), "hot": pa.binary(), "keys": pa.binary(), "offsets": pa.binary(),
-    "lengths": pa.binary(), "owners": pa.binary(),
-}
-_REPLY = {"anchors": np.uint64, "hot": bool, "keys": np.uint64, "offsets": np.int64, "lengths": np.int64, "owners": np.int64}
+def _emitted(columns: dict, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    yield from _table(columns, rows).to_batches()
 
 
-def _without(raw: np.ndarray, starts: list[tuple[int, int]], length: int) -> tuple[bytes, int, int]:
+def _without(raw: np.ndarray, starts: np.ndarray | None, length: int) -> tuple[bytes, int, int]:
     """Bytes outside the ranges of matches, how many are gone, and in how many runs."""
-    if not starts:
+    if starts is None or not len(starts):
         return raw.tobytes(), 0, 0
     edge = np.zeros(len(raw) + 1, np.int64)
-    first, last = np.array(starts).T
-    np.add.at(edge, first, 1)
-    np.add.at(edge, last + length, -1)
+    np.add.at(edge, starts[:, 0], 1)
+    np.add.at(edge, starts[:, 1] - 1 + length, -1)
     gone = np.cumsum(edge[:-1]) > 0
     return raw[~gone].tobytes(), int(gone.sum()), int((gone & ~np.concatenate(([False], gone[:-1]))).sum())
 
@@ -540,21 +643,24 @@ def remove_repeats(
 
     Method: every match has an anchor, the smallest hash of ``ANCHOR`` bytes in it. Blocks of
     documents send their distinct anchors to buckets, which answer with those that several
-    documents have. Around these, blocks send the bytes of the matches, each distinct string
-    once with its smallest document, however many documents hold it. Buckets sort their suffixes
-    and give every match that an earlier document has back to the blocks that hold it. Anchors
-    that very many blocks have are dealt match by match, so that one passage's varied
-    surroundings don't meet in one task. Texts are shuffled once, compressed.
+    documents have. Around these, blocks name their runs of matches, each distinct run once with
+    its smallest document, however many documents hold it. Where runs of an anchor differ, one
+    block with each sends its bytes; buckets sort their suffixes and tell the blocks which starts
+    an earlier document has. Anchors that very many blocks have are dealt match by match, so that
+    one passage's varied surroundings don't meet in one task. Texts are shuffled once,
+    compressed; names are 64 bits of hash, compared within a bucket or a block.
     """
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] if digest else ["n_bytes", "n_removed", "n_spans"]
     docs = docs.select(doc_id, text) if digest else docs.select(*[c for c in docs.columns if c not in added])
     blocks = max(1, -(-total_bytes(docs, text) // block_bytes))
     packed = pack(docs, blocks, doc_id, text)
     stages = _Stages(doc_id, text, length, blocks, hot_blocks)
-    marked = packed.groupBy("_block").applyInArrow(stages.mark(), "bucket int, block int, n long, anchors binary, many binary")
-    shared = marked.groupBy("bucket").applyInArrow(stages.share(), "_block int, n long, anchors binary, hot binary")
-    picked = packed.groupBy("_block").cogroup(shared.groupBy("_block")).applyInArrow(stages.pick(), _ddl(_PICKED))
-    decided = picked.groupBy("bucket").applyInArrow(stages.decide(), _ddl(_DECIDED))
+    marked = packed.groupBy("_block").applyInArrow(stages.mark(), _ddl(_MARKED))
+    shared = marked.groupBy("bucket").applyInArrow(stages.share(), _ddl(_SHARED))
+    named = packed.groupBy("_block").cogroup(shared.groupBy("_block")).applyInArrow(stages.name(), _ddl(_NAMED))
+    asked = named.groupBy("bucket").applyInArrow(stages.ask(), _ddl(_ASKED))
+    spelt = packed.groupBy("_block").cogroup(asked.groupBy("_block")).applyInArrow(stages.spell(), _ddl(_SPELT))
+    decided = named.groupBy("bucket").cogroup(spelt.groupBy("bucket")).applyInArrow(stages.decide(), _ddl(_DECIDED))
     if digest:
         fields = [docs.schema[doc_id], *[T.StructField(n, T.LongType()) for n in added[:3]], T.StructField("kept_sha256", T.StringType())]
     else:
