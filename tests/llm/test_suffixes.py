@@ -37,11 +37,12 @@ def test_anchors_cover_all_starts_and_depend_on_the_match_alone():
         starts = [s for r in runs for x, y in zip(r.first, r.last) for s in range(x, y + 1)]
         assert starts == list(range(max(0, n - 49)))
         for r in runs:
-            assert r.starts()[0].tolist() == starts
+            at, names = r.single(np.ones(len(r.key), bool))
+            assert at.tolist() == starts
             for x, y, z in zip(r.anchor, r.first, r.last):
                 for s in (y, z):
                     own = next(suffixes.runs_of(raw[s : s + 50].copy(), 50))
-                    assert own.anchor.tolist() == [x] and own.key[0] == r.starts()[1][s]
+                    assert own.anchor.tolist() == [x] and own.key[0] == names[s]
     loop = next(suffixes.runs_of(np.frombuffer(b"ab" * 500, np.uint8), 50))
     assert (loop.last - loop.first).max() < 31 and len(set(loop.key.tolist())) <= 4
 

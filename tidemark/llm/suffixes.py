@@ -83,9 +83,9 @@ class Runs:
             out = _mix(out * _BASE ^ self.hashes[at])
         return out
 
-    def starts(self) -> tuple[np.ndarray, np.ndarray]:
-        """All starts, and the names of their single matches."""
-        at = np.arange(len(self.hashes) - self.length + ANCHOR)
+    def single(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The starts of some runs, and the names of their single matches."""
+        at = _spread(self.first[runs], (self.last - self.first)[runs] + 1) - self.base
         return at + self.base, self._named(at, at + self.length)
 
 
@@ -354,29 +354,30 @@ class _Stages:
             known = np.concatenate([np.empty(0, np.uint64), *[p[0] for p in parts]])
             order = np.argsort(known)
             known, hot = known[order], np.concatenate([np.empty(0, bool), *[p[1] for p in parts]])[order]
-            tags, keys, docs = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            tags, keys, docs, own = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
             for k, raw in self.documents(left.column("_data")) if len(known) else ():
                 for r in runs_of(raw, self.length):
                     at = _found(known, r.anchor)
                     hit = at >= 0
                     single = hit & hot[at]
                     hit &= ~single
-                    got = [(r.anchor[hit], r.key[hit])]
+                    got = [(r.anchor[hit], r.key[hit], np.zeros(hit.sum(), np.uint64))]
                     if single.any():
-                        names = r.starts()[1][_spread(r.first[single] - r.base, r.last[single] - r.first[single] + 1)]
-                        got.append((names, names))
-                    for tag, name in got:
+                        names = r.single(single)[1]
+                        got.append((names, names, np.repeat(r.anchor[single], r.last[single] - r.first[single] + 1)))
+                    for tag, name, anchor in got:
                         tags.append(tag)
                         keys.append(name)
                         docs.append(np.full(len(tag), k, np.int64))
-            tag, name, doc = np.concatenate(tags), np.concatenate(keys), np.concatenate(docs)
+                        own.append(anchor)
+            tag, name, doc, own = np.concatenate(tags), np.concatenate(keys), np.concatenate(docs), np.concatenate(own)
             order = np.lexsort((doc, name, tag))
-            tag, name, doc = tag[order], name[order], doc[order]
+            tag, name, doc, own = tag[order], name[order], doc[order], own[order]
             head = np.flatnonzero(_changes(tag, name))
             last = np.append(head[1:], len(tag)) - 1
             tag, name, lo, hi = tag[head], name[head], doc[head], doc[last] if len(head) else doc[head]
             rows = [
-                (b, key[0].as_py(), len(some), _zipped(np.diff(tag[some], prepend=np.uint64(0))), _zipped(name[some]), _zipped(lo[some]), _zipped(hi[some] - lo[some]))
+                (b, key[0].as_py(), len(some), _zipped(np.diff(tag[some], prepend=np.uint64(0))), _zipped(name[some]), _zipped(lo[some]), _zipped(hi[some] - lo[some]), _zipped(own[head][some]))
                 for b, some in _split(self.bucket(tag))
             ]
             return _table(_NAMED, rows)
@@ -385,10 +386,10 @@ class _Stages:
 
     @staticmethod
     def named(rows) -> tuple[np.ndarray, ...]:
-        """Tag, name, least and largest document of all named runs, and their rows' numbers."""
+        """Tag, name, least and largest document, own anchor and row of all named runs."""
         parts = [
-            (np.cumsum(_array(t, n, np.uint64), dtype=np.uint64), _array(k, n, np.uint64), lo := _array(x, n, np.int64), lo + _array(y, n, np.int64), np.full(n, i))
-            for i, (n, t, k, x, y) in enumerate(rows)
+            (np.cumsum(_array(t, n, np.uint64), dtype=np.uint64), _array(k, n, np.uint64), lo := _array(x, n, np.int64), lo + _array(y, n, np.int64), _array(a, n, np.uint64), np.full(n, i))
+            for i, (n, t, k, x, y, a) in enumerate(rows)
         ]
         return tuple(np.concatenate(p) for p in zip(*parts))
 
@@ -398,9 +399,9 @@ class _Stages:
         def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, blocks = [], []
             for batch in batches:
-                rows += _columns(batch, "n", "tags", "keys", "lo", "his")
+                rows += _columns(batch, "n", "tags", "keys", "lo", "his", "anchors")
                 blocks += batch.column("block").to_pylist()
-            tag, name, lo, _, row = self.named(rows)
+            tag, name, lo, _, _, row = self.named(rows)
             order = np.lexsort((lo, name, tag))
             tag, name, row = tag[order], name[order], row[order]
             distinct = np.flatnonzero(_changes(tag, name))
@@ -448,9 +449,9 @@ class _Stages:
             if not left.num_rows:
                 return _table(_DECIDED, [])
             blocks = left.column("block").to_pylist()
-            tag, name, lo, hi, row = self.named(_columns(left, "n", "tags", "keys", "lo", "his"))
+            tag, name, lo, hi, anchor, row = self.named(_columns(left, "n", "tags", "keys", "lo", "his", "anchors"))
             order = np.lexsort((lo, name, tag))
-            tag, name, lo, hi, row = tag[order], name[order], lo[order], hi[order], row[order]
+            tag, name, lo, hi, anchor, row = tag[order], name[order], lo[order], hi[order], anchor[order], row[order]
             new = _changes(tag, name)
             which = np.cumsum(new) - 1
             head = np.flatnonzero(new)
@@ -477,7 +478,7 @@ class _Stages:
             for b, some in _split(np.array(blocks, np.int64)[row[entry]]):
                 k = np.argsort(name[entry[some]], kind="stable")
                 e, p = entry[some][k], pick[some][k]
-                rows.append((b, len(e), _zipped(np.diff(name[e], prepend=np.uint64(0))), *[_zipped(runs[c][p].astype(t)) for c, t in ((1, np.int32), (2, np.int32), (3, np.int64))]))
+                rows.append((b, len(e), _zipped(np.diff(name[e], prepend=np.uint64(0))), *[_zipped(runs[c][p].astype(t)) for c, t in ((1, np.int32), (2, np.int32), (3, np.int64))], _zipped(anchor[e])))
             return _table(_DECIDED, rows)
 
         return run
@@ -509,13 +510,13 @@ class _Stages:
 
         def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
             parts = [
-                (np.cumsum(_array(k, n, np.uint64), dtype=np.uint64), _array(o, n, np.int32), _array(z, n, np.int32), _array(w, n, np.int64))
-                for n, k, o, z, w in _columns(right, "n", "keys", "offsets", "lengths", "owners")
+                (np.cumsum(_array(k, n, np.uint64), dtype=np.uint64), _array(o, n, np.int32), _array(z, n, np.int32), _array(w, n, np.int64), _array(a, n, np.uint64))
+                for n, k, o, z, w, a in _columns(right, "n", "keys", "offsets", "lengths", "owners", "anchors")
             ]
             reply = [np.concatenate(x) for x in zip(*parts)] if parts else []
             if reply:
                 order = np.argsort(reply[0], kind="stable")
-                reply = [x[order] for x in reply]
+                reply = [*[x[order] for x in reply[:4]], np.unique(reply[4][reply[4] > 0])]
             out = []
             for table in _tables(left.column("_data")):
                 kept, n_bytes, n_removed, n_spans = [], [], [], []
@@ -542,12 +543,13 @@ class _Stages:
 
     def _dropped(self, k: int, raw: np.ndarray, reply: list[np.ndarray]) -> np.ndarray:
         """Ranges of match starts (first, stop) that a smaller document has, as two columns."""
-        keys, offset, size, owner = reply
+        keys, offset, size, owner, hot = reply
         out = [np.empty((0, 2), np.int64)]
         for r in runs_of(raw, self.length):
             names = [(r.first, r.last - r.first + 1, r.key)]
-            if self.singles(reply):
-                at, name = r.starts()
+            single = _found(hot, r.anchor) >= 0
+            if single.any():
+                at, name = r.single(single)
                 names.append((at, np.ones(len(at), np.int64), name))
             for first, n, name in names:
                 lo = np.searchsorted(keys, name)
@@ -560,17 +562,13 @@ class _Stages:
                 out.append(np.column_stack((begin, begin + np.where(size[pick] < 0, n[run], size[pick]))))
         return np.concatenate(out)
 
-    def singles(self, reply: list[np.ndarray]) -> bool:
-        """Whether matches may have been named one by one: only if there are more blocks than make an anchor hot."""
-        return self.buckets > self.hot_blocks
-
 
 _MARKED = {"bucket": pa.int32(), "block": pa.int32(), "n": pa.int64(), "anchors": pa.binary(), "many": pa.binary()}
 _SHARED = {"_block": pa.int32(), "n": pa.int64(), "anchors": pa.binary(), "hot": pa.binary()}
-_NAMED = {"bucket": pa.int32(), "block": pa.int32(), "n": pa.int64(), "tags": pa.binary(), "keys": pa.binary(), "lo": pa.binary(), "his": pa.binary()}
+_NAMED = {"bucket": pa.int32(), "block": pa.int32(), "n": pa.int64(), "tags": pa.binary(), "keys": pa.binary(), "lo": pa.binary(), "his": pa.binary(), "anchors": pa.binary()}
 _ASKED = {"_block": pa.int32(), "n": pa.int64(), "keys": pa.binary()}
 _SPELT = {"bucket": pa.int32(), "n": pa.int64(), "keys": pa.binary(), "sizes": pa.binary(), "n_bytes": pa.int64(), "strings": pa.binary()}
-_DECIDED = {"_block": pa.int32(), "n": pa.int64(), "keys": pa.binary(), "offsets": pa.binary(), "lengths": pa.binary(), "owners": pa.binary()}
+_DECIDED = {"_block": pa.int32(), "n": pa.int64(), "keys": pa.binary(), "offsets": pa.binary(), "lengths": pa.binary(), "owners": pa.binary(), "anchors": pa.binary()}
 
 
 def _split(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
