@@ -1,11 +1,14 @@
 """Group-wise building blocks that stay exact when one group is huge.
 
 A plain Spark window puts a whole group into one task. That is the cheapest plan
-while groups are small, so each function here first checks the largest group:
+while groups are small. Whether they are is declared where a data contract says it, so the
+same plan is chosen for every input and choosing it costs no job:
 
-* the scanned inputs are below the limit by the optimizer's size statistics, or
-* a key-only ``groupBy.count`` (map-side combined, memoised) says so, or
-* the caller passes ``bound``, a known largest group size.
+* ``bound``, or ``known_groups``, gives the largest size of these groups, or
+* a group key is in ``CONTRACT``: one instrument or one trading day bounds its rows.
+
+Groups by other keys alone have no contract: a key-only ``groupBy.count`` (map-side
+combined, memoised) tells their size, unless all scanned inputs are below the limit.
 
 Above ``spark.tidemark.maxGroupRows`` rows the group is cut into range partitions on
 ``(by, order)``. Each piece is scanned by its own task, and only the running totals of
@@ -34,6 +37,10 @@ LIMIT = "spark.tidemark.maxGroupRows"
 DEFAULT_LIMIT = 1_000_000
 BYTES_PER_ROW = 64
 
+#: Largest number of rows that one value of a key has by contract: an instrument's history
+#: in five-minute bars, and a day's bars and snapshots of all instruments.
+CONTRACT = {"code": 500_000, "day": 500_000}
+
 _measured: dict = {}
 _known: ContextVar = ContextVar("known_group_bounds", default=None)
 
@@ -80,6 +87,8 @@ def fits(df: DataFrame, by: list[str], bound: int | None = None) -> bool:
     known = _known.get()
     if bound is None and known is not None:
         bound = known.get(tuple(by))
+    if bound is None:
+        bound = min((CONTRACT[k] for k in by if k in CONTRACT), default=None)
     if bound is None:
         size = input_bytes(df)
         small = size is not None and size <= limit * BYTES_PER_ROW
