@@ -54,8 +54,8 @@ def gate_distance(df, gates: Gates) -> DataFrame:
 def sequential_funnel(df, stages: dict[str, Column], day, code, slot, score, cap=None, on=()) -> DataFrame:
     """Rows, days and codes that remain after each stage, and rows lost at it.
 
-    The first failed stage of a row is computed once; one aggregate then counts all
-    stages. ``cap`` adds a last stage: first occurrence per day, at most ``cap`` a day.
+    The first failed stage of a row is computed once; days and codes remain as far as
+    their farthest row. ``cap`` adds a last stage: first occurrence per day, at most ``cap`` a day.
     """
     names = list(stages)
     first = F.coalesce(*[F.when(~holds(c), F.lit(i)) for i, c in enumerate(stages.values(), 1)], F.lit(len(names) + 1))
@@ -69,17 +69,23 @@ def sequential_funnel(df, stages: dict[str, Column], day, code, slot, score, cap
         )
         names.append("daily_cap")
     labels = ["source", *names]
+    # one row per day and code first; rows, days and codes are then counted on that
+    cells = df.groupBy(F.col(day).alias("_day"), F.col(code).alias("_code")).agg(
+        F.max("_stop").alias("_far"), *[F.count(F.when(F.col("_stop") == j, 1)).alias(f"_h{j}") for j in range(len(labels) + 1)]
+    )
+    rows = cells.agg(*[F.coalesce(F.sum(f"_h{j}"), F.lit(0)).alias(f"_h{j}") for j in range(len(labels) + 1)])
+    for key, tag in (("_day", "_d"), ("_code", "_c")):
+        far = cells.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max("_far").alias("_far"))
+        rows = rows.crossJoin(far.agg(*[F.count(F.when(F.col("_far") > i, 1)).alias(f"{tag}{i}") for i in range(len(labels))]))
     stats = [
         F.struct(
             F.lit(i).alias("stage_order"), F.lit(n).alias("stage"),
-            F.count(F.when(F.col("_stop") > i, 1)).alias("rows_remaining"),
-            F.countDistinct(F.when(F.col("_stop") > i, F.col(day))).alias("days_remaining"),
-            F.countDistinct(F.when(F.col("_stop") > i, F.col(code))).alias("codes_remaining"),
-            F.count(F.when(F.col("_stop") == i, 1)).alias("rejected"),
+            reduce(lambda x, y: x + y, [F.col(f"_h{j}") for j in range(i + 1, len(labels) + 1)]).alias("rows_remaining"),
+            F.col(f"_d{i}").alias("days_remaining"), F.col(f"_c{i}").alias("codes_remaining"), F.col(f"_h{i}").alias("rejected"),
         )
         for i, n in enumerate(labels)
     ]
-    t = df.agg(F.array(*stats).alias("_a"))
+    t = rows.select(F.array(*stats).alias("_a"))
     source = F.col("_a")[0]
     t = t.select(source["rows_remaining"].alias("_r"), source["days_remaining"].alias("_d"), F.inline("_a"))
     return t.withColumns(
