@@ -19,9 +19,9 @@ from .labels import labelled_sample
 
 #: Hash buckets of words, structure and metadata features after them, and interaction rank.
 BUCKETS, RANK = 1 << 14, 6
-#: Labelled rows that the model is fitted on at most, parts they are trained in, rounds and
-#: passes over a part in a round.
-SAMPLE_ROWS, PARTS, ROUNDS, PASSES = 8000, 4, 3, 3
+#: Labelled rows that the model is fitted on at most, parts they are trained in, rounds, passes
+#: over a part in a round, rows in a step, and steps in a round at least (more passes, if need be).
+SAMPLE_ROWS, PARTS, ROUNDS, PASSES, BATCH, STEPS = 8000, 4, 3, 3, 64, 60
 _SYMBOLS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _STRUCTURE = 12 + len(_SYMBOLS) + 1
 WIDTH = BUCKETS + _STRUCTURE
@@ -86,7 +86,7 @@ class FactorisationMachine:
         squares = np.add.reduceat(vx * vx, starts)
         return self.params[WIDTH, 0] + np.add.reduceat(p[:, 0] * val, starts) + 0.5 * (sums * sums - squares).sum(1)
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray, int]], passes: int, seed: int, rate: float = 0.1, ridge: float = 1e-5, batch: int = 64) -> None:
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray, int]], passes: int, seed: int, rate: float = 0.1, ridge: float = 1e-5, batch: int = BATCH) -> None:
         """AdaGrad over mini-batches, in an order that ``seed`` fixes."""
         rng, scale = np.random.default_rng(seed), np.full_like(self.params, 1e-2)
         for _ in range(passes):
@@ -150,7 +150,7 @@ def _trainer(now, seed: int):
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id", kind="stable")
         own = FactorisationMachine(now.value.copy())
-        own.fit([(np.asarray(i, np.int64), np.asarray(v), y) for i, v, y in zip(pdf.idx, pdf.val, pdf.y)], PASSES, seed)
+        own.fit([(np.asarray(i, np.int64), np.asarray(v), y) for i, v, y in zip(pdf.idx, pdf.val, pdf.y)], max(PASSES, -(-STEPS // -(-len(pdf) // BATCH))), seed)
         out = io.BytesIO()
         np.save(out, own.params)
         return pd.DataFrame({"n": [len(pdf)], "params": [out.getvalue()]})
