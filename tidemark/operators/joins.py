@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import holds
-from .spread import best_rows, running
+from .spread import running
 
 
 def require_unique(df: DataFrame, on: list[str], side: str) -> None:
@@ -196,15 +196,23 @@ def grid_cross_join(df, grid: list[dict], pass_expr, loosest: Column | None = No
     return df.select("*", F.inline(grid_rows(grid))).filter(holds(pass_expr))
 
 
-def pairwise_self_join(df, cs, key, features, target, order, k=5) -> DataFrame:
-    """Difference examples from the k shortlisted rows of each cross-section.
+def bounded_array(column: Column, largest: int) -> Column:
+    """An array column that fails the query where it is longer than declared."""
+    message = F.concat(F.lit("a cross-section has more rows than declared: "), F.size(column).cast("string"))
+    return F.when(F.size(column) > largest, F.raise_error(message)).otherwise(column)
 
-    The shortlist bounds a cross-section at k rows, so pairs are built inside one small
-    array and no join is needed. Pairs with equal targets are skipped.
+
+def pairwise_self_join(df, cs, key, features, target, largest=64) -> DataFrame:
+    """Difference examples from all labelled rows of each cross-section.
+
+    The caller brings a shortlist (``topk_per_group``). A cross-section of more than
+    ``largest`` rows fails, so pairs are built inside one small array and no join is
+    needed. Pairs with equal targets are skipped.
     """
-    short = best_rows(df.filter(F.col(target).isNotNull()), cs, order, k)
+    short = df.filter(F.col(target).isNotNull())
     fields = F.struct(*[F.col(c).alias(f"k_{c}") for c in key], F.col(target).alias("_y"), *features)
     packed = short.groupBy(*cs).agg(F.sort_array(F.collect_list(fields)).alias("_m"))
+    packed = packed.withColumn("_m", bounded_array(F.col("_m"), largest))
     left = packed.select(*cs, "_m", F.posexplode("_m").alias("_i", "_a"))
     right = F.explode(F.slice("_m", F.col("_i") + 2, F.greatest(F.size("_m") - F.col("_i") - 1, F.lit(0))))
     pairs = left.select(*cs, F.size("_m").alias("_n"), "_a", right.alias("_b"))

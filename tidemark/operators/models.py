@@ -10,12 +10,13 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clip
+from .joins import bounded_array
 from .selection import union_families
-from .spread import best_rows, percentile_ranks
+from .spread import percentile_ranks
 
 TREE_SHARE = 0.70  # fixed value: weight of the tree in every blend
 
@@ -137,18 +138,16 @@ def pairwise_rank_fit(pairs, features, weight="weight") -> dict[str, float]:
     return dict(zip(features, (float(c) for c in model.coefficients)))
 
 
-def pairwise_rank_score(df, cs, key, weights: dict[str, float], order, k=5, out="rank_score") -> DataFrame:
-    """Mean win probability of each shortlisted row against its slot rivals; alone: 0.5.
+def pairwise_rank_score(df, cs, weights: dict[str, float], out="rank_score", largest=64) -> DataFrame:
+    """Mean win probability of each row against its cross-section's others; alone: 0.5.
 
-    The shortlist holds at most k rows per slot, so rivals are one small array per row
-    and no pair table exists.
+    Every row of ``df``, a shortlist (``topk_per_group``), gets a score. A cross-section of
+    more than ``largest`` rows fails, so rivals are one small array per row and no pair table
+    exists.
     """
-    from pyspark.sql import Window
-
-    short = best_rows(df, cs, order, k)
     linear = sum((F.coalesce(F.col(f), F.lit(0.0)) * F.lit(w) for f, w in weights.items()), F.lit(0.0))
-    short = short.withColumn("_s", linear)
-    rivals = short.withColumn("_all", F.collect_list("_s").over(Window.partitionBy(*cs)))
+    rivals = df.withColumn("_s", linear).withColumn("_all", F.collect_list("_s").over(Window.partitionBy(*cs)))
+    rivals = rivals.withColumn("_all", bounded_array(F.col("_all"), largest))
     # the row meets itself once with probability one half
     wins = F.aggregate("_all", F.lit(0.0), lambda acc, s: acc + 1 / (1 + F.exp(s - F.col("_s")))) - 0.5
     n = F.size("_all") - 1

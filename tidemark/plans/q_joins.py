@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import joins as op
+from ..operators.selection import topk_per_group
 from .registry import query
 
 
@@ -152,8 +153,8 @@ def _(t):
        1.0::DOUBLE / (n * (n - 1)) AS weight FROM s a JOIN s b ON a.day = b.day AND a.slot = b.slot AND a.code < b.code
        JOIN n ON n.day = a.day AND n.slot = a.slot WHERE NOT (abs(a.net - b.net) <= 1e-8 + 1e-5 * abs(b.net))""")
 def _(t):
-    return op.pairwise_self_join(
-        t.scored, ["day", "slot"], ["code"], ["p", "q"], "net", [F.col("p").desc(), F.col("code")], 5)
+    short = topk_per_group(t.scored.filter("net IS NOT NULL"), ["day", "slot"], [F.col("p").desc(), F.col("code")], 5)
+    return op.pairwise_self_join(short, ["day", "slot"], ["code"], ["p", "q"], "net")
 
 
 @query("session_forward_bar_join", "code:i ts:s fwd_open:r fwd_amount:r",

@@ -8,6 +8,7 @@ from ..functions import hash_unit
 from ..operators import folds as fd
 from ..operators import joins
 from ..operators import models as md
+from ..operators.selection import topk_per_group
 from .registry import query
 from .tables import _unit
 
@@ -126,7 +127,7 @@ WEIGHTS = {"p": 1.5, "q": -0.5, "u": 2.0}
        """WITH s AS (SELECT day, slot, code, 1.5 * p - 0.5 * q + 2 * u AS s FROM scored QUALIFY row_number() OVER (PARTITION BY day, slot ORDER BY p DESC, code) <= 5)
        SELECT a.day, a.slot, a.code, coalesce(avg(1 / (1 + exp(b.s - a.s))), 0.5) AS rank_score FROM s a LEFT JOIN s b ON b.day = a.day AND b.slot = a.slot AND b.code <> a.code GROUP BY 1, 2, 3""")
 def _(t):
-    return md.pairwise_rank_score(t.scored, CS, ["code"], WEIGHTS, SHORT(), 5)
+    return md.pairwise_rank_score(topk_per_group(t.scored, CS, SHORT(), 5), CS, WEIGHTS)
 
 
 FEATURES = ["ret", "gap", "ret_open", "dist_up", "p", "q"]
@@ -162,9 +163,10 @@ def _(t):
 
 @query("pairwise_rank_fit", "day:d slot:s code:i rank_score:r")
 def _(t):
-    pairs = joins.pairwise_self_join(t.scored.filter("fold < 5"), CS, ["code"], ["p", "q", "u"], "net", SHORT(), 5)
+    short = topk_per_group(t.scored.filter("net IS NOT NULL"), CS, SHORT(), 5)
+    pairs = joins.pairwise_self_join(short.filter("fold < 5"), CS, ["code"], ["p", "q", "u"], "net")
     weights = md.pairwise_rank_fit(pairs, ["p", "q", "u"])
-    return md.pairwise_rank_score(t.scored.filter("fold >= 5"), CS, ["code"], weights, SHORT(), 5)
+    return md.pairwise_rank_score(topk_per_group(t.scored.filter("fold >= 5"), CS, SHORT(), 5), CS, weights)
 
 
 @query("walk_forward_score", "fold:i day:d slot:s code:i e_net:r")
