@@ -106,3 +106,15 @@ def test_contract_checks_raise(spark):
         joins.left_join_checked(twice, twice, ["k"])
     with pytest.raises(ValueError):
         quality.assert_outcome_blind(spark.createDataFrame([(1,)], "net_return_pct int"))
+
+
+def test_erfc_column(spark):
+    import math
+
+    from tidemark.functions import erfc
+
+    xs = [0.0, 1e-9, 0.3, 1.0, 2.4999, 2.5, 3.7, 6.0, 12.0]
+    rows = spark.createDataFrame([(x,) for x in xs] + [(None,)], "x double").select("x", erfc(F.col("x")).alias("y")).collect()
+    assert rows[-1].y is None
+    for r in rows[:-1]:
+        assert abs(r.y - math.erfc(r.x)) <= 1e-11 * math.erfc(r.x)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions import clip, hash_int, ratio, share
+from ..functions import clip, erfc, hash_int, ratio, share
 from .spread import (
     average_ranks,
     group_table,
@@ -231,11 +231,6 @@ def _t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or b < 1 else t_upper_tail(a, b) for a, b in zip(t, df)], dtype="float64")
 
 
-@F.pandas_udf(DoubleType())
-def _normal_two_sided(z: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(a) else math.erfc(abs(a) / math.sqrt(2)) for a in z], dtype="float64")
-
-
 @measured_once
 def hac_mean_test(df, by, day, ret, max_lag=5) -> DataFrame:
     """One-sided Newey-West test that the mean daily return is positive.
@@ -276,7 +271,7 @@ def z_mean_test(df, by, value) -> DataFrame:
     se = F.col("_sd") / F.sqrt(F.col("n"))
     t = t.withColumn("z", F.when(F.col("n") >= 3, ratio(F.abs("mean"), se)))
     flat = F.when((F.col("n") >= 3) & (F.col("mean") != 0), 0.0).otherwise(1.0)
-    return t.withColumn("p_value", F.coalesce(_normal_two_sided(F.col("z")), flat)).drop("_sd")
+    return t.withColumn("p_value", F.coalesce(erfc(F.col("z") / math.sqrt(2)), flat)).drop("_sd")
 
 
 @measured_once

@@ -93,8 +93,9 @@ def _(t):
     return op.hac_mean_test(t.scored, ["slot"], "day", "net")
 
 
-@query("z_mean_test", "code:i n:i mean:r z:r",
-       "SELECT code, count(*) AS n, avg(net) AS mean, CASE WHEN count(*) >= 3 THEN abs(avg(net)) / (stddev_samp(net) / sqrt(count(*))) END AS z FROM scored GROUP BY code")
+@query("z_mean_test", "code:i n:i mean:r z:r p_value:r",
+       """SELECT *, CASE WHEN z IS NOT NULL THEN 1 - 2 / sqrt(pi()) * exp(-z * z / 2) * list_sum(list_transform(range(80), lambda k: exp(k * ln(4) + lgamma(k + 1) - lgamma(2 * k + 2) + (2 * k + 1) * ln(greatest(z, 1e-300) / sqrt(2)))))
+       WHEN n >= 3 AND mean <> 0 THEN 0 ELSE 1 END AS p_value FROM (SELECT code, count(*) AS n, avg(net) AS mean, CASE WHEN count(*) >= 3 THEN abs(avg(net)) / (stddev_samp(net) / sqrt(count(*))) END AS z FROM scored GROUP BY code)""")
 def _(t):
     return op.z_mean_test(t.scored, ["code"], "net")
 
