@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from .common import release_memory
 
 #: Entries of a worker's memo of encoded chunks, and the longest chunk it keeps.
-MEMO_SIZE, MEMO_CHARS = 150_000, 64
+MEMO_SIZE, MEMO_CHARS = 80_000, 64
 #: Letters and numbers of the ``regex`` module's Unicode version that the
 #: splitter's version doesn't have yet, and lower case that Python's version doesn't know yet.
 _NEWER = (
