@@ -90,3 +90,48 @@ def test_toxicity(spark, tables, odd_docs, no_docs):
     assert toxicity.fit(docs, labels.limit(0)) is None and {r.score for r in toxicity.score(odd_docs, None).collect()} == {0.5}
     nothing = toxicity.fit(docs, labels.withColumn("toxic", F.lit(0)))
     assert max(r.score for r in toxicity.score(docs, nothing).collect()) < 0.5
+
+
+def test_every_word_is_indexed(spark):
+    """A near copy of one toxic example, made of words that only that example has, finds it."""
+    rng = np.random.default_rng(5)
+    plain = lambda: " ".join(f"word{k}" for k in rng.zipf(1.3, 60) % 400)
+    ids = [k for k in range(160) if not _out(k)]
+    toxic = set(ids[::9])
+    rare = {k: " ".join(f"slur{k}x{j}" for j in range(12)) for k in toxic}
+    docs = [(k, f"{plain()} {rare[k]}" if k in toxic else plain()) for k in ids]
+    one = min(toxic)
+    extra = [(1000, f"new {rare[one]} text"), (1001, "unheard ofwords"), (1002, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    index = toxicity.fit(frame, spark.createDataFrame([(k, int(k in toxic)) for k in ids], "doc_id long, toxic int"))
+    assert len(index.ids) == len(ids) and {w.encode() for _, t in docs for w in t.split()} <= set(index.terms)
+    near, unknown, empty = toxicity.score(spark.createDataFrame(extra, "doc_id long, text string").coalesce(1), index).collect()
+    assert near.evidence[0].doc == str(one) and near.evidence[0].label == 1 and near.score > unknown.score
+    assert unknown.evidence == empty.evidence == [] and unknown.score == empty.score
+
+
+def test_lists_and_blocks_together_are_exact():
+    """Rare terms in lists, common ones in blocks, copies, and one left out, against all cosines."""
+    rng = np.random.default_rng(8)
+    terms = [b"%d" % k for k in range(3000)]
+    bag = lambda: {terms[t]: int(c) for t, c in zip(np.unique(rng.zipf(1.2, 80) % 3000), rng.integers(1, 5, 80))}
+    bags = [bag() for _ in range(900)]
+    bags[500:540] = [bags[7]] * 40
+    index = BlockMaxIndex(terms, rng.uniform(1, 50, 3000), [(k, k % 2, b) for k, b in enumerate(bags)], 0.1)
+    dense = np.zeros((900, 3000))
+    for k, b in enumerate(bags):
+        t, w = index.vector(b)
+        dense[k, t] = w
+    asked = [*bags[:60], *[bag() for _ in range(60)], {}]
+    leave = [*range(60), *[-1] * 61]
+    for q, j, (sims, docs) in zip(asked, leave, index.nearest_of([index.vector(q) for q in asked], leave)):
+        t, w = index.vector(q)
+        cos = np.round(dense[:, t] @ w, 9)
+        want = [k for k in np.lexsort((np.arange(900), -cos)) if cos[k] > 0 and k != j][:15]
+        assert docs.tolist() == want and np.allclose(sims, cos[want])
+
+
+def _out(k):
+    import zlib
+
+    return zlib.crc32(str(k).encode()) % 5 == 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -11,132 +12,218 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import release_memory
 from .decontamination import words
 from .labels import labelled_sample
 
-#: Labelled examples at most, terms at most, neighbours asked, examples in a block.
-EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 6000, 512, 15, 64
-#: A term tells when its likelihood ratio statistic and its log odds are at least these: so high
-#: that chance, tried on every word of the sample, does not reach them.
-MIN_RATIO, MIN_ODDS = 25.0, 1.5
-#: Weight of the examples without any telling term against the votes.
+#: Labelled examples at most, neighbours asked, examples in a block, texts scored together.
+EXAMPLES, NEIGHBOURS, BLOCK, TOGETHER = 6000, 15, 64, 128
+#: A term weighs 1 + its likelihood ratio statistic over this: chance alone (mean 1) hardly
+#: changes a weight, and every term keeps one.
+RATIO_SCALE = 10.0
+#: Weight of the rate of the label against the votes.
 PRIOR_WEIGHT = 0.25
+#: Layout only, results don't depend on it: terms in this share of the examples at least, and at
+#: most so many, are held as dense blocks, the others as inverted lists; clusters that bring
+#: similar examples into the same blocks; blocks looked at first.
+DENSE_SHARE, DENSE_TERMS, CLUSTERS, FIRST = 0.05, 2048, 64, 8
+#: More than the rounding error of a cosine summed in single precision.
+ROUNDING = 1e-4
+#: Words whose terms a task remembers.
+MEMO = 200_000
 
 
 #: Beginnings of longer words that are terms too (bytes), so that inflected forms meet.
 STEMS = (4, 5, 6, 7, 8, 10)
 
 
-def bag_of(text: bytes) -> Counter:
-    """Term counts of a whole text: words, and stems of words, marked with a star."""
-    out = Counter(words(text))
-    for w, c in list(out.items()):
-        for n in STEMS:
-            if len(w) > n:
-                out[w[:n] + b"*"] += c
+def terms_of(word: bytes) -> list[bytes]:
+    """A word and its stems, which are marked with a star."""
+    return [word, *[word[:n] + b"*" for n in STEMS if len(word) > n]]
+
+
+def bag_of(found: dict[bytes, int]) -> Counter:
+    """Term counts of a text from its word counts."""
+    out: Counter = Counter()
+    for w, c in found.items():
+        for t in terms_of(w):
+            out[t] += c
     return out
 
 
 class KnownTerms:
-    """Counts of given terms in a text; most texts have none, which sets tell at once."""
-
-    def __init__(self, terms):
-        self.words = {t for t in terms if not t.endswith(b"*")}
-        self.stems = {n: {t[:-1] for t in terms if t.endswith(b"*") and len(t) == n + 1} for n in STEMS}
-
-    def counts(self, text: bytes) -> dict[bytes, int]:
-        found = words(text)
-        own = set(found)
-        hit = {w for w in own if w in self.words}
-        heads = {n: {h for w in own if len(w) > n and (h := w[:n]) in stems} for n, stems in self.stems.items() if stems}
-        if not hit and not any(heads.values()):
-            return {}
-        out: Counter = Counter()
-        for w in found:
-            if w in hit:
-                out[w] += 1
-            for n, some in heads.items():
-                if len(w) > n and w[:n] in some:
-                    out[w[:n] + b"*"] += 1
-        return dict(out)
+    """Counts of the index's terms in a whole text."""
+
+    def __init__(self, terms: dict[bytes, int]):
+        self.terms, self.memo, self.sums = terms, {}, np.zeros(len(terms))
+
+    def counts(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Terms (ascending, distinct) and their counts."""
+        found = Counter(words(text))
+        if len(self.memo) >= MEMO:
+            self.memo.clear()
+        memo = self.memo
+        if not found:
+            return np.empty(0, np.int64), np.empty(0)
+        try:
+            own = [memo[w] for w in found]
+        except KeyError:
+            for w in found:
+                if w not in memo:
+                    memo[w] = np.array([self.terms[t] for t in terms_of(w) if t in self.terms], np.int64)
+            own = [memo[w] for w in found]
+        at = np.concatenate(own)
+        np.add.at(self.sums, at, np.repeat(np.fromiter(found.values(), float, len(found)), list(map(len, own))))
+        at.sort()
+        idx = at[np.diff(at, prepend=-1) > 0]
+        times = self.sums[idx]
+        self.sums[idx] = 0
+        return idx, times
 
 
 class BlockMaxIndex:
-    """Inverted lists of unit TF-IDF vectors, with the largest weight of each term in each block."""
-
-    def __init__(self, terms: list[bytes], idf: np.ndarray, examples: list[tuple], prior: float):
-        #: examples: (id, label, {term: count}), only such with terms; order decides ties.
-        self.terms, self.idf, self.prior = {t: k for k, t in enumerate(terms)}, idf, prior
-        self.ids = [e[0] for e in examples]
-        self.y = np.array([e[1] for e in examples], float)
-        self.blocks = -(-len(examples) // BLOCK)
-        self.slope, self.offset = 1.0, 0.0
-        lists: list[list[tuple[int, float]]] = [[] for _ in terms]
-        for at, (_, _, counts) in enumerate(examples):
-            for t, w in zip(*self.vector(counts)):
-                lists[t].append((at, w))
-        self.start = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
-        self.doc = np.array([p[0] for x in lists for p in x], np.int64)
-        self.weight = np.array([p[1] for x in lists for p in x])
-        self.top = np.zeros((len(terms), max(1, self.blocks)))
-        #: Where the postings of a block begin in each term's list.
-        self.cuts = np.zeros((len(terms), self.blocks + 1), np.int64)
-        for t in range(len(terms)):
-            docs = self.doc[self.start[t] : self.start[t + 1]]
-            np.maximum.at(self.top[t], docs // BLOCK, self.weight[self.start[t] : self.start[t + 1]])
-            self.cuts[t] = self.start[t] + np.searchsorted(docs, np.arange(self.blocks + 1) * BLOCK)
-
-    def vector(self, counts: dict) -> tuple[np.ndarray, np.ndarray]:
-        at = sorted((self.terms[t], c) for t, c in counts.items() if t in self.terms)
-        idx = np.array([t for t, _ in at], np.int64)
-        w = (1 + np.log([c for _, c in at])) * self.idf[idx]
-        return idx, w / np.sqrt((w * w).sum())
-
-    def nearest(self, counts: dict, leave: int = -1, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` most similar examples, exactly, ties to the smaller position: cosines, positions.
-
-        Blocks are visited by falling upper bound (the query times the block's largest weights),
-        until no bound reaches the k-th best cosine so far.
+    """Unit TF-IDF vectors in blocks, with the largest weight of each common term in each block."""
+
+    def __init__(self, terms: list[bytes], idf: np.ndarray, examples, prior: float):
+        #: examples: (id, label, counts as in ``vector``), only such with terms; order decides ties.
+        self.terms, self.idf, self.prior = {t: k for k, t in enumerate(terms)}, np.asarray(idf, float), prior
+        self.slope, self.offset, self.layout = 1.0, 0.0, None
+        self.ids, y, cols, vals = [], [], [], []
+        for name, label, counts in examples:
+            idx, w = self.vector(counts)
+            self.ids.append(name)
+            y.append(label)
+            cols.append(idx.astype(np.int32))
+            vals.append(w)
+        self.y = np.array(y, float)
+        self.start = np.concatenate(([0], np.cumsum([len(c) for c in cols]))).astype(np.int64)
+        self.col = np.concatenate(cols) if cols else np.empty(0, np.int32)
+        self.val = np.concatenate(vals) if vals else np.empty(0)
+        #: The first example with the same vector; copies are compared once.
+        first: dict[bytes, int] = {}
+        self.same = np.array([first.setdefault(blake2b(c.tobytes() + v.tobytes(), digest_size=16).digest(), k) for k, (c, v) in enumerate(zip(cols, vals))], np.int64)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"layout": None}  # laid out again where it is used
+
+    def vector(self, counts) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vector of ``{term: count}``, or of term numbers (ascending) and their counts."""
+        if isinstance(counts, dict):
+            at = sorted((self.terms[t], c) for t, c in counts.items() if t in self.terms)
+            counts = np.array([t for t, _ in at], np.int64), np.array([c for _, c in at], float)
+        idx, times = counts
+        w = (1 + np.log(times)) * self.idf[idx]
+        return idx, w / np.sqrt((w * w).sum()) if len(w) else w
+
+    def _lay(self) -> tuple:
+        """Dense blocks, their maxima, lists of the other terms, and where each example went."""
+        if self.layout is not None:
+            return self.layout
+        n, size = len(self.ids), len(self.idf)
+        rows = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.start))
+        df = np.bincount(self.col, minlength=size)
+        common = np.argsort(-df, kind="stable")[:DENSE_TERMS]
+        common = common[df[common] >= max(1, DENSE_SHARE * n)]
+        number = np.full(size, -1, np.int32)
+        number[common] = np.arange(len(common))
+        held = number[self.col]
+        inside = held >= 0
+        blocks = -(-n // BLOCK)
+        dense = np.zeros((blocks * BLOCK, len(common)), np.float32)
+        dense[rows[inside], held[inside]] = self.val[inside]
+        order = np.concatenate((_similar_together(dense[:n]), np.arange(n, blocks * BLOCK)))
+        slot = np.argsort(order)
+        dense = dense[order].reshape(blocks, BLOCK, len(common))
+        top = dense.max(axis=1)
+        used = [np.flatnonzero(x) for x in top]
+        dense = [np.ascontiguousarray(x[:, u]) for x, u in zip(dense, used)]
+        rare = np.flatnonzero(~inside)
+        rare = rare[np.argsort(self.col[rare], kind="stable")]
+        begin = np.concatenate(([0], np.cumsum(np.bincount(self.col[rare], minlength=size)))).astype(np.int64)
+        self.layout = number, list(zip(used, dense)), top, begin, slot[rows[rare]], self.val[rare].astype(np.float32), order, slot
+        return self.layout
+
+    def nearest(self, counts, leave: int = -1, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        """The ``k`` most similar examples, exactly, ties to the smaller position: cosines, positions."""
+        return self.nearest_of([self.vector(counts)], [leave], k)[0]
+
+    def nearest_of(self, vectors: list[tuple], leave: list[int], k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` for several vectors.
+
+        Lists of the rarer terms are summed whole. A block's bound is the best of those sums in
+        it plus the query times the block's largest weights; the blocks of highest bound come
+        first, then all whose bound reaches the k-th best so far. What may be among the k best
+        is compared again in double precision.
         """
-        idx, q = self.vector(counts)
-        bound = q @ self.top[idx]
-        order = np.argsort(-bound, kind="stable")
-        sims, docs = np.empty(0), np.empty(0, np.int64)
-        step = 4
-        for k0 in range(0, self.blocks, step):
-            part = order[k0 : k0 + step]
-            part = part[bound[part] > 0]
-            if len(sims) >= k:
-                part = part[bound[part] >= sims[k - 1] - 1e-12]
-            if not len(part):
-                break
-            scores = np.zeros((len(part), BLOCK))
-            for row, b in enumerate(part):
-                for t, w in zip(idx, q):
-                    lo, hi = self.cuts[t, b], self.cuts[t, b + 1]
-                    if lo < hi:
-                        scores[row, self.doc[lo:hi] - b * BLOCK] += w * self.weight[lo:hi]
-            at = (part[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            flat = scores.ravel()
-            keep = (flat > 0) & (at != leave)
-            sims, docs = np.concatenate((sims, flat[keep])), np.concatenate((docs, at[keep]))
-            best = np.lexsort((docs, -np.round(sims, 12)))[:k]
-            sims, docs = sims[best], docs[best]
-        return sims, docs
-
-    def vote(self, counts: dict, leave: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """Votes weighted by closeness, with the prior of documents without telling terms."""
-        if not counts or not self.blocks:
-            return self.prior, np.empty(0), np.empty(0, np.int64)
-        sims, docs = self.nearest(counts, leave)
-        w = 1 / (1.02 - np.minimum(sims, 1.0))  # 1 / distance, kept finite
-        near = w * sims
-        return (near @ self.y[docs] + PRIOR_WEIGHT * self.prior) / (near.sum() + PRIOR_WEIGHT), sims, docs
-
-    def score(self, counts: dict) -> tuple[float, np.ndarray, np.ndarray]:
-        vote, sims, docs = self.vote(counts)
-        return float(1 / (1 + np.exp(-(self.slope * _logit(vote) + self.offset)))), sims, docs
+        number, dense, top, begin, at, weight, order, slot = self._lay()
+        blocks, n = len(dense), len(self.ids)
+        if not blocks:
+            return [(np.empty(0), np.empty(0, np.int64)) for _ in vectors]
+        sums = np.zeros((len(vectors), blocks * BLOCK), np.float32)
+        asked = np.zeros((len(vectors), top.shape[1]), np.float32)
+        for r, (idx, q) in enumerate(vectors):
+            held = number[idx]
+            inside = held >= 0
+            asked[r, held[inside]] = q[inside]
+            rest, ends = idx[~inside], begin[idx[~inside] + 1]
+            sizes = ends - begin[rest]
+            total = np.cumsum(sizes)
+            if len(total) and total[-1]:
+                post = np.arange(total[-1]) + np.repeat(ends - total, sizes)
+                sums[r] = np.bincount(at[post], weight[post] * np.repeat(q[~inside].astype(np.float32), sizes), sums.shape[1])
+        cells = sums.reshape(len(vectors), blocks, BLOCK)
+        bound = cells.max(axis=2) + asked @ top.T
+        open_ = np.zeros(bound.shape, bool)
+        first = min(FIRST, blocks)
+        best = np.argpartition(-bound, first - 1, axis=1)[:, :first]
+        np.put_along_axis(open_, best, True, axis=1)
+        seen, turned = np.zeros_like(open_), np.ascontiguousarray(asked.T)
+        for last in (False, True):
+            for b in np.flatnonzero(open_.any(axis=0)):
+                who = np.flatnonzero(open_[:, b])
+                used, part = dense[b]
+                weights = turned[used]
+                if 2 * len(who) < len(vectors):
+                    cells[who, b] += (part @ weights[:, who]).T
+                else:
+                    cells[who, b] += (part @ weights).T[who]
+            seen |= open_
+            if not last:
+                for r, j in enumerate(leave):
+                    if j >= 0:
+                        sums[r, slot[j]] = -1.0  # what is added stays below zero or about it
+                some = np.take_along_axis(cells, best[:, :, None], axis=1).reshape(len(vectors), -1)
+                least = np.partition(some, -k, axis=1)[:, -k] if some.shape[1] > k else np.zeros(len(vectors))
+                open_ = (bound > 0) & (bound >= least[:, None] - ROUNDING) & ~seen
+        cells[~seen] = 0
+        out, q = [], np.zeros(len(self.idf))
+        for r, (idx, w) in enumerate(vectors):
+            mine = np.flatnonzero(sums[r] >= max(least[r] - ROUNDING, 1e-30))
+            if len(mine) > k:
+                mine = mine[sums[r, mine] >= np.partition(sums[r, mine], -k)[-k] - ROUNDING]
+            docs = order[mine]
+            docs = np.sort(docs[(docs < n) & (docs != leave[r])])
+            q[idx] = w
+            own, back = np.unique(self.same[docs], return_inverse=True)
+            ranges = [slice(self.start[j], self.start[j + 1]) for j in own]
+            sims = np.array([q[self.col[x]] @ self.val[x] for x in ranges])[back] if len(docs) else np.empty(0)
+            q[idx] = 0
+            few = np.lexsort((docs, -np.round(sims, 12)))[:k]
+            out.append((sims[few], docs[few]))
+        return out
+
+    def votes(self, vectors: list, leave: list[int] | None = None) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Votes weighted by closeness, with the rate of the label; only that for a text without known terms."""
+        out = []
+        for k in range(0, len(vectors), TOGETHER):
+            part = vectors[k : k + TOGETHER]
+            for sims, docs in self.nearest_of(part, leave[k : k + TOGETHER] if leave else [-1] * len(part)):
+                near = sims / (1.02 - np.minimum(sims, 1.0))  # closeness over distance, kept finite
+                out.append(((near @ self.y[docs] + PRIOR_WEIGHT * self.prior) / (near.sum() + PRIOR_WEIGHT), sims, docs))
+        return out
+
+    def scores(self, counts: list) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        return [(float(1 / (1 + np.exp(-(self.slope * _logit(v) + self.offset)))), sims, docs) for v, sims, docs in self.votes([self.vector(c) for c in counts])]
 
     def calibrate(self, votes: np.ndarray, y: np.ndarray) -> None:
         """Logistic calibration of leave-one-out votes, slope kept positive."""
@@ -158,80 +245,81 @@ def _logit(p):
     return np.log(p / (1 - p))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES, max_terms: int = TERMS) -> BlockMaxIndex | None:
+def _similar_together(rows: np.ndarray) -> np.ndarray:
+    """An order of the rows that brings similar ones together (a few rounds of spherical means)."""
+    n = len(rows)
+    if n <= BLOCK or not rows.shape[1]:
+        return np.arange(n)
+    means = rows[np.linspace(0, n - 1, min(CLUSTERS, n)).astype(int)]
+    for _ in range(4):
+        near = (rows @ means.T).argmax(axis=1)
+        means = np.stack([rows[near == c].sum(axis=0) if (near == c).any() else means[c] for c in range(len(means))])
+        means /= np.maximum(np.sqrt((means * means).sum(axis=1, keepdims=True)), 1e-9)
+    return np.argsort(near, kind="stable")
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES) -> BlockMaxIndex | None:
     """Index of at most ``examples`` labelled documents; None without labels.
 
-    Terms (words, A-Z lower-cased, and their stems) are those whose presence tells the label by a likelihood
-    ratio test on the sample, ``max_terms`` of the strongest; their document frequencies for the
-    IDF are counted over all documents. Term counts of the sample and frequencies are aggregated
-    by Spark; the driver gets ``max_terms`` terms and ``examples`` short vectors.
+    Terms are all words (A-Z lower-cased) of the sample and their stems, with the IDF of the
+    sample. How well a term's presence tells the label (likelihood ratio on the sample) raises
+    its weight; none is left out. Spark counts the words; the driver gets the counts.
     """
     rows = labelled_sample(docs, labels, label, examples)
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [bag_of(t.as_buffer().to_pybytes()) for t in batch.column("text")]
-            kind = pa.list_(pa.struct([("w", pa.binary()), ("c", pa.int64())]))
-            bag = pa.array([[{"w": w, "c": c} for w, c in g.items()] for g in got], kind)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), bag], names=["doc_id", "y", "bag"])
+            got = [Counter(words(t.as_buffer().to_pybytes())) for t in batch.column("text")]
+            found = pa.array([b" ".join(g) for g in got], pa.binary())
+            times = pa.array([np.fromiter(g.values(), np.int32, len(g)).tobytes() for g in got], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), found, times], names=["doc_id", "y", "found", "times"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    sample = Scratch(docs.sparkSession).cut(rows.mapInArrow(bags, f"doc_id {kind}, y int, bag array<struct<w: binary, c: bigint>>"), "toxicity")
-    n = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = n.get(1, 0), n.get(0, 0)
-    if not n1 + n0:
+    few = rows.mapInArrow(bags, f"doc_id {kind}, y int, found binary, times binary").collect()  # bounded by ``examples``
+    if not few:
         return None
-    told = _telling(sample.select("y", F.explode("bag.w").alias("w")).groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")), n1, n0)
-    terms = [bytes(r.w) for r in told.orderBy(F.desc("g"), "w").limit(max_terms).collect()]
-    df, total = _frequencies(docs, terms)
-    idf = np.log((1 + total) / (1 + df)) + 1
-    known = F.filter("bag", lambda x: x["w"].isin(terms)) if terms else F.slice("bag", 1, 0)
-    few = sample.select("doc_id", "y", known.alias("bag")).collect()  # bounded by ``examples`` and ``max_terms``
-    few.sort(key=lambda r: (str(r.doc_id), r.y))
-    bare = [r.y for r in few if not r.bag]
-    prior = (sum(bare) + 1) / (len(bare) + 2) if bare else (n1 + 1) / (n1 + n0 + 2)
-    kept = [(r.doc_id, r.y, {bytes(x.w): x.c for x in r.bag}) for r in few if r.bag]
-    index = BlockMaxIndex(terms, idf, kept, prior)
-    votes = [index.vote(counts, leave=at)[0] for at, (_, _, counts) in enumerate(kept)] + [prior] * len(bare)
-    index.calibrate(np.array(votes), np.array([e[1] for e in kept] + bare, float))
+    few.sort(key=lambda r: (str(r.doc_id), r.y, bytes(r.found), bytes(r.times)))
+    known: dict[bytes, int] = {}
+    kept, bare = [], []
+    for r in few:
+        bag = bag_of(dict(zip(bytes(r.found).split(), np.frombuffer(r.times, np.int32).tolist())))
+        if not bag:
+            bare.append(r.y)
+            continue
+        idx = np.fromiter((known.setdefault(t, len(known)) for t in bag), np.int32, len(bag))
+        order = np.argsort(idx)
+        kept.append((r.doc_id, r.y, (idx[order], np.fromiter(bag.values(), np.int32, len(bag))[order])))
+    n, n1 = len(few), sum(r.y for r in few)
+    del few
+    prior = (n1 + 1) / (n + 2)
+    a, b = (np.bincount(np.concatenate([np.empty(0, np.int32), *[c[0] for _, y, c in kept if y == side]]), minlength=len(known)) for side in (1, 0))
+    idf = np.log((1 + n) / (1 + a + b)) + 1
+    terms = list(known)
+    del known
+    kept.reverse()
+    index = BlockMaxIndex(terms, idf * (1 + _ratio(a, b, n1, n - n1) / RATIO_SCALE), (kept.pop() for _ in range(len(kept))), prior)
+    own = [(index.col[s:e], index.val[s:e]) for s, e in zip(index.start, index.start[1:])]
+    votes = [v for v, _, _ in index.votes(own, list(range(len(own))))] + [prior] * len(bare)
+    index.calibrate(np.array(votes), np.array([*index.y, *bare], float))
+    index.layout = None
+    release_memory()
     return index
 
 
-def _telling(counts: DataFrame, n1: int, n0: int) -> DataFrame:
-    """Terms by the likelihood ratio statistic of their presence, where it and the odds are large."""
-    part = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
-    a, b, n = F.col("a"), F.col("b"), n1 + n0
-    m = a + b
+def _ratio(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Likelihood ratio statistic of terms that ``a`` of ``n1`` and ``b`` of ``n0`` examples have."""
+    part = lambda k, e: np.where(k > 0, k * np.log(np.maximum(k, 1) / np.where(k > 0, e, 1)), 0.0)
+    m, n = a + b, n1 + n0
     g = 2 * (part(a, m * n1 / n) + part(b, m * n0 / n) + part(n1 - a, (n - m) * n1 / n) + part(n0 - b, (n - m) * n0 / n))
-    odds = F.log((a + 0.5) * (n0 - b + 0.5) / ((b + 0.5) * (n1 - a + 0.5)))
-    return counts.select("w", g.alias("g"), odds.alias("o")).where((F.col("g") >= MIN_RATIO) & (F.abs("o") >= MIN_ODDS))
-
-
-def _frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarray, int]:
-    """In how many documents each term is, and how many documents there are."""
-    held = docs.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(terms)})
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = held.value
-        known = KnownTerms(at)
-        seen: Counter = Counter()
-        for batch in batches:
-            seen[-1] += batch.num_rows
-            for t in batch.column("text"):
-                if t.is_valid:
-                    seen.update([at[w] for w in known.counts(t.as_buffer().to_pybytes())])
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["k", "n"])
-
-    out = {r.k: r.n for r in docs.select("text").mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    return np.array([out.get(k, 0) for k in range(len(terms))], float), out.get(-1, 0)
+    return np.maximum(g, 0.0)
 
 
 def score(docs: DataFrame, index: BlockMaxIndex | None, text: str = "text", threshold: float = 0.5, evidence: int = 3) -> DataFrame:
     """``docs`` with ``score``, ``predicted`` and ``evidence``; no shuffle.
 
     ``evidence`` lists the nearest examples that voted: id (as text), label and cosine. A text
-    without telling terms, empty and null ones too, gets the calibrated prior of such texts and
-    no evidence. Without an index every score is 0.5. Columns of these names are replaced.
+    without any word of the sample, empty and null ones too, gets the calibrated rate of the
+    label and no evidence. Without an index every score is 0.5. Columns of these names are replaced.
     """
     docs = docs.select(*[c for c in docs.columns if c not in ("score", "predicted", "evidence")])
     seen = T.StructType([T.StructField("doc", T.StringType()), T.StructField("label", T.IntegerType()), T.StructField("cosine", T.DoubleType())])
@@ -240,14 +328,16 @@ def score(docs: DataFrame, index: BlockMaxIndex | None, text: str = "text", thre
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
-        known = KnownTerms(index.terms if index else ())
+        known = KnownTerms(index.terms if index else {})
         for batch in batches:
             scores, notes = [], []
-            for t in batch.column(text):
-                counts = known.counts(t.as_buffer().to_pybytes()) if t.is_valid else {}
-                s, sims, at = index.score(counts) if index else (0.5, [], [])
-                scores.append(s)
-                notes.append([{"doc": str(index.ids[j]), "label": int(index.y[j]), "cosine": float(c)} for c, j in zip(sims[:evidence], at[:evidence])])
+            column = batch.column(text)
+            for k in range(0, len(column), TOGETHER):
+                part = column[k : k + TOGETHER]
+                counts = [known.counts(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in part] if index else []
+                for s, sims, at in index.scores(counts) if index else [(0.5, [], [])] * len(part):
+                    scores.append(s)
+                    notes.append([{"doc": str(index.ids[j]), "label": int(index.y[j]), "cosine": float(c)} for c, j in zip(sims[:evidence], at[:evidence])])
             arrow = pa.list_(pa.struct([("doc", pa.string()), ("label", pa.int32()), ("cosine", pa.float64())]))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(notes, arrow)],
