@@ -140,14 +140,14 @@ def weighted(t):
 @query("fit_logistic_blend", "day:d slot:s code:i p_win:r p_win_spread:r")
 def _(t):
     df = weighted(t)
-    model = md.fit_logistic_blend(df.filter("fold < 5"), FEATURES, "win", "w", iterations=3)
+    model = md.fit_logistic_blend(df.filter("fold < 5"), FEATURES, "win", "w")
     return model.score(df.filter("fold >= 5"), "p_win")
 
 
 @query("fit_return_blend", "day:d slot:s code:i e_net:r e_net_spread:r")
 def _(t):
     df = weighted(t)
-    model = md.fit_return_blend(df.filter("fold < 5"), FEATURES, "net", "w", iterations=3)
+    model = md.fit_return_blend(df.filter("fold < 5"), FEATURES, "net", "w")
     return model.score(df.filter("fold >= 5"), "e_net")
 
 
@@ -176,6 +176,6 @@ def _(t):
     numbers = sorted(r[0] for r in folds.select("fold").collect())  # a handful of folds
     return md.walk_forward_score(
         rows, numbers,
-        lambda train: md.fit_return_blend(train, FEATURES, "net", "w", iterations=2, depth=2),
+        lambda train: md.fit_return_blend(train, FEATURES, "net", "w"),
         lambda model, test: model.score(test, "e_net"),
     )
