@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, decontamination, minhash, quality, rotation, sharding, suffixes, token_counts, toxicity, warc
+from . import bpe, decontamination, merkle, minhash, quality, rotation, sharding, suffixes, token_counts, toxicity, warc
 from .common import table
 from .labels import held_out
 
@@ -63,6 +63,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_rotation_codes": op2_rotation_codes,
@@ -74,10 +78,13 @@ QUERIES = {
     "op9_minhash": op9_minhash,
     "op10_toxicity": op10_toxicity,
     "op7_warc": op7_warc,
+    "op12_merkle": op12_merkle,
 }
 
 _FOLD = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+_SIZED = "coalesce(octet_length(encode({0}::VARCHAR))::VARCHAR || ':' || {0}::VARCHAR, '-')"
+
 ORACLES = {
     "op2_rotation_codes": """
 WITH RECURSIVE v AS (
@@ -150,4 +157,35 @@ g AS (SELECT b, max(page_id) AS top, count(*) AS n FROM p WHERE octet_length(b)
 SELECT page_id, octet_length(p.b)::BIGINT AS payload_bytes, sha1(p.b) AS payload_digest,
   CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to
 FROM p LEFT JOIN g ON p.b = g.b""",
+    "op12_merkle": f"""
+WITH RECURSIVE c AS (
+  SELECT *, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS k,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+    xor(4294967295, list_reduce(flatten(list_transform(range(len(doc_id::VARCHAR)), lambda i: [unicode(substr(doc_id::VARCHAR, i + 1, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END, 4294967295::BIGINT)) AS crc
+  FROM documents
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id, k, leaf, CASE WHEN crc % 3 = 0 THEN sha256(head || {_SIZED.format('low')}) ELSE leaf END AS tried,
+    row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY k) AS n
+  FROM (SELECT *, sha256(head || {_SIZED.format('text')}) AS leaf FROM (SELECT *, {' || '.join(map(_SIZED.format, ('doc_id', 'source', 'lang', 'n_chars')))} AS head FROM c))
+), up(k, lv, pos, h, n) AS (
+  SELECT k, 0, pos, leaf, n FROM d
+  UNION ALL SELECT k, lv + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (n + 7) // 8 FROM up WHERE n > 1 GROUP BY k, lv, pos // 8, n
+), sub AS (SELECT k, h, row_number() OVER (ORDER BY k) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+top(lv, pos, h, n) AS (
+  SELECT 0, pos, h, n FROM sub
+  UNION ALL SELECT lv + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (n + 7) // 8 FROM top WHERE n > 1 GROUP BY lv, pos // 8, n
+), runs AS (SELECT k, lv, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM up WHERE n > 1 GROUP BY k, lv, pos // 8),
+high AS (SELECT lv, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM top WHERE n > 1 GROUP BY lv, pos // 8),
+steps AS (
+  SELECT r, lv AS step, hs, d.pos // (8 ** lv)::BIGINT % 8 AS p FROM d JOIN runs ON runs.k = d.k AND runs.run = d.pos // (8 ** (lv + 1))::BIGINT
+  UNION ALL SELECT r, 1000 + lv, hs, sub.pos // (8 ** lv)::BIGINT % 8 FROM d JOIN sub USING (k) JOIN high ON high.run = sub.pos // (8 ** (lv + 1))::BIGINT
+), ways AS (
+  SELECT r, list(array_to_string(hs[1:p], '') || '|' || array_to_string(hs[p + 2:], '') ORDER BY step) AS way FROM steps GROUP BY r
+), tried AS (
+  SELECT d.*, sub.h AS subroot, top.h AS root, coalesce(way, []) AS way,
+    list_reduce(coalesce(way, []), lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2)), tried) AS folded_root
+  FROM d JOIN sub USING (k) JOIN top ON top.n = 1 LEFT JOIN ways USING (r)
+)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(way, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM tried""",
 }
