@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, decontamination, merkle, minhash, quality, rotation, sharding, suffixes, token_counts, toxicity, warc
+from . import bpe, decontamination, licenses, merkle, minhash, quality, rotation, sharding, suffixes, token_counts, toxicity, warc
 from .common import table
 from .labels import held_out
 
@@ -67,6 +67,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_rotation_codes": op2_rotation_codes,
@@ -79,6 +83,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op7_warc": op7_warc,
     "op12_merkle": op12_merkle,
+    "op13_licenses": op13_licenses,
 }
 
 _FOLD = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
