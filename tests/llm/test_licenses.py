@@ -104,7 +104,7 @@ def test_suppression_against_all_pairs():
             a = rng.randint(0, 20)
             found.append(licenses.Found(a, a + rng.randint(1, 9), RULES[rng.randint(0, 5)]))
         found = list({(x.start, x.stop, x.rule.rank): x for x in found}.values())
-        rank = {x: (x.rule.rank, x.start) for x in found}
+        rank = {x: (x.rule.rank, x.start, -x.stop) for x in found}
         want = [x for x in found if not any(y is not x and y.start <= x.start and x.stop <= y.stop and (rank[y] < rank[x]) for y in found)]
         assert licenses.without_contained(found) == sorted(want)
 

@@ -73,7 +73,7 @@ def without_contained(found: list[Found]) -> list[Found]:
     starts: list[int] = []
     stops: list[int] = []
     kept = []
-    for x in sorted(found, key=lambda x: (x.rule.rank, x.start)):
+    for x in sorted(found, key=lambda x: (x.rule.rank, x.start, -x.stop)):
         k = bisect_right(starts, x.start)
         if k and stops[k - 1] >= x.stop:
             continue
