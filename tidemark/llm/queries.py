@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, decontamination, licenses, merkle, minhash, quality, rotation, sharding, suffixes, token_counts, toxicity, warc
+from . import bpe, codebooks, decontamination, licenses, merkle, minhash, quality, rotation, sharding, suffixes, token_counts, toxicity, warc
 from .common import table
 from .labels import held_out
 
@@ -63,6 +63,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
 
 
+def op11_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compress(table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -82,6 +86,7 @@ QUERIES = {
     "op9_minhash": op9_minhash,
     "op10_toxicity": op10_toxicity,
     "op7_warc": op7_warc,
+    "op11_codebooks": op11_codebooks,
     "op12_merkle": op12_merkle,
     "op13_licenses": op13_licenses,
 }
@@ -90,7 +95,34 @@ _FOLD = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefg
 
 _SIZED = "coalesce(octet_length(encode({0}::VARCHAR))::VARCHAR || ':' || {0}::VARCHAR, '-')"
 
+
+def _nearest(books: str) -> str:
+    """SQL for the nearest entry of each part: least distance, lower index where equal."""
+    return f"SELECT p.r, p.part, min((list_dot_product(c.v, c.v) - 2 * list_dot_product(p.v, c.v))::HUGEINT * 256 + c.i) & 255 AS i FROM p JOIN {books} c ON c.part = p.part GROUP BY p.r, p.part"
+
+
+def _round(k: int) -> str:
+    """SQL for one round of assigning all parts and moving the entries."""
+    return f"""a{k} AS ({_nearest(f'c{k}')}),
+m{k} AS (SELECT part, i, list(floor(s / n)::DOUBLE ORDER BY j) AS v FROM (
+  SELECT part, i, j, sum(v[j]) AS s, count(*) AS n FROM a{k} JOIN p USING (r, part), range(1, {{q}} + 1) t(j) GROUP BY part, i, j) GROUP BY part, i),
+c{k + 1} AS (SELECT part, i, coalesce(m{k}.v, c{k}.v) AS v FROM c{k} LEFT JOIN m{k} USING (part, i)),
+""".replace("{q}", "(SELECT max(len(v)) FROM p)")
+
+
 ORACLES = {
+    "op11_codebooks": f"""
+WITH k AS (
+  SELECT row_number() OVER (ORDER BY vec_id, e) AS r, * FROM (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+), p AS (SELECT r, part, e[part * len(e) // 4 + 1:(part + 1) * len(e) // 4] AS v FROM k, range(4) t(part)),
+c0 AS (SELECT part, r - 1 AS i, v FROM p WHERE r <= 256),
+{''.join(_round(k) for k in range(4))}
+z AS ({_nearest('c4')}),
+x AS (SELECT r, string_agg(printf('%02x', z.i), '' ORDER BY part) AS code, sum(list_dot_product(list_transform(p.v, lambda y, n: y - c4.v[n]), list_transform(p.v, lambda y, n: y - c4.v[n])))::BIGINT AS error
+  FROM z JOIN p USING (r, part) JOIN c4 ON c4.part = p.part AND c4.i = z.i GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda y: y::BIGINT), ','), ',' ORDER BY part, i)) AS codebooks_sha256 FROM c4)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM k JOIN x USING (r), h""",
     "op2_rotation_codes": """
 WITH RECURSIVE v AS (
   SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
