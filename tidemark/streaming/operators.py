@@ -2,7 +2,8 @@
 
 Every operator takes and returns streaming DataFrames; event time must be TIMESTAMP (use
 ``event_time`` for NTZ columns). All keep bounded state: a watermark closes windows and
-joins. Results equal the batch operators on rows that are not late.
+joins, and a heartbeat (see ``state``) closes what the last rows leave open. Results equal the
+batch operators on rows that are not late.
 """
 
 from __future__ import annotations
@@ -19,15 +20,26 @@ def event_time(df, name="ts") -> DataFrame:
     return df.withColumn(name, F.col(name).cast("timestamp"))
 
 
-def drain(stream: DataFrame, mode="append") -> DataFrame:
-    """Run a stream over what is available now and read the finished rows back."""
+def drain(stream: DataFrame, mode="append", closing=None, at=None) -> DataFrame:
+    """Run a stream over what is available now and read the finished rows back.
+
+    With a heartbeat ``closing`` among its inputs, what the last watermark leaves open is closed
+    by a beat at time ``at``.
+    """
     spark = stream.sparkSession
     path, state = scratch(spark), scratch(spark)
-    query = (
-        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", state)
-        .outputMode(mode).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+
+    def run():
+        query = (
+            stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", state)
+            .outputMode(mode).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+
+    run()
+    if closing is not None:
+        closing.beat(at)
+        run()
     return spark.read.schema(stream.schema).parquet(path)
 
 
@@ -78,11 +90,12 @@ def stream_static_enrich(s, static, on) -> DataFrame:
     return s.join(static, on, "left")
 
 
-def stream_slot_context(s, key, ts, value, width, watermark, path):
+def stream_slot_context(s, key, ts, value, width, watermark, path, checkpoint):
     """Market breadth of each closed slot.
 
     All keys of a window close in the same micro-batch, so ``foreachBatch`` sees whole
-    cross-sections and can use the batch operator. Returns the streaming query.
+    cross-sections and can use the batch operator. Returns the streaming query; starting it again
+    with the same ``checkpoint`` goes on where it ended.
     """
     from ..operators.windows import market_context
 
@@ -96,27 +109,11 @@ def stream_slot_context(s, key, ts, value, width, watermark, path):
         out.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
-        bars.writeStream.foreachBatch(write).option("checkpointLocation", scratch(s.sparkSession))
+        bars.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
         .outputMode("append").trigger(availableNow=True).start()
     )
 
 
-def stream_first_signal(s, code, ts, cond: Column, cols, watermark) -> DataFrame:
-    """First qualifying row per stock-day with appearance count and last sighting.
-
-    The first row is a minimum by event time, so it never changes once seen; the state of
-    a day is dropped when the watermark passes its end.
-    """
-    hits = s.filter(holds(cond)).withWatermark(ts, watermark)
-    day = F.window(ts, "1 day").alias("window")
-    out = hits.groupBy(day, code).agg(
-        F.min_by(F.struct(ts, *cols), ts).alias("_first"), F.count(F.lit(1)).alias("appearances"), F.max(ts).alias("last_seen")
-    )
-    return out.select(
-        F.to_date("window.start").alias("day"), code, F.col(f"_first.{ts}").alias("first_seen"), *[f"_first.{c}" for c in cols], "appearances", "last_seen"
-    )
-
-
 def _settle(left, right, on, due, seen, within, watermark):
     """Outer interval join: right rows inside [due, due + within] of the left row."""
     a = left.withWatermark(due, watermark).alias("l")
@@ -128,52 +125,18 @@ def _settle(left, right, on, due, seen, within, watermark):
     return a.join(b, cond, "left").select("l.*", *keep)
 
 
-def stream_entry_settle(signals, bars, on, due, seen, price, amount, min_amount, watermark, within="0 seconds") -> DataFrame:
+def stream_entry_settle(signals, bars, on, due, seen, watermark, reasons: dict[str, Column], within="0 seconds") -> DataFrame:
     """Settle each signal on its execution bar; a bar that never comes is a NON_FILL.
 
-    The missing-bar row is emitted by the outer join when the watermark passes the due
-    time, so nothing waits for a driver-side timeout.
-    """
-    out = _settle(signals, bars, on, due, seen, within, watermark)
-    p, a = F.col(price), F.col(amount)
-    reason = F.when(p.isNull(), "missing_bar").when(~(p > 0), "bad_price").when(~holds(a >= min_amount), "thin_bar").otherwise("")
-    return out.withColumn("reason", reason).withColumn("status", F.when(F.col("reason") == "", "SETTLED").otherwise("NON_FILL"))
-
-
-def stream_truth_settle(ledger, truth, on, due, seen, value, watermark, within="1 day") -> DataFrame:
-    """Close open candidates with next-day truth; no truth in time leaves them EXPIRED.
-
-    Duplicate truth is dropped by its key first, so a replay cannot settle twice.
-    """
-    once = truth.withWatermark(seen, watermark).dropDuplicatesWithinWatermark([*on, seen])
-    a = ledger.withWatermark(due, watermark).alias("l")
-    b = once.alias("r")
-    cond = F.expr(f"r.{seen} >= l.{due} and r.{seen} < l.{due} + interval {within}")
-    for k in on:
-        cond = cond & (F.col(f"l.{k}") == F.col(f"r.{k}"))
-    out = a.join(b, cond, "left").select("l.*", F.col(f"r.{value}").alias("truth_value"), F.col(f"r.{seen}").alias("settled_at"))
-    return out.withColumn("status", F.when(F.col("truth_value").isNotNull(), "SETTLED").otherwise("EXPIRED"))
-
-
-def stream_freeze(s, ts, slot, expected_slots: list[str], freeze_at, watermark) -> DataFrame:
-    """Close each session day: rows before the freeze, slots missing, integrity status.
-
-    One flag per configured slot keeps the state a fixed-size row.
+    ``reasons`` are conditions over the signal's and the bar's columns, in order, that bar a fill;
+    all that hold are named in ``reason``, and one that can't be told counts as holding. The
+    missing-bar row comes from the outer join when the watermark passes the due time, so nothing
+    waits for a driver-side timeout.
     """
-    before = s.filter(F.date_format(ts, "HH:mm") <= freeze_at).withWatermark(ts, watermark)
-    flags = [F.max(share(F.col(slot) == x)).alias(f"_f{i}") for i, x in enumerate(expected_slots)]
-    day = before.groupBy(F.window(ts, "1 day").alias("window")).agg(F.count(F.lit(1)).alias("rows"), *flags)
-    missing = F.array_compact(F.array(*[F.when(F.col(f"_f{i}") == 0, F.lit(x)) for i, x in enumerate(expected_slots)]))
-    out = day.select(F.to_date("window.start").alias("day"), "rows", F.array_join(missing, "|").alias("missing_slots"))
-    return out.withColumn("status", F.when(F.col("missing_slots") == "", "COMPLETE").otherwise("INCOMPLETE"))
-
-
-def stream_late_tier(s, ts, arrival, limit_seconds) -> DataFrame:
-    """Tag rows by arrival: prospective, recovered the same day, or late."""
-    wait = F.unix_timestamp(arrival) - F.unix_timestamp(ts)
-    same_day = F.to_date(arrival) == F.to_date(ts)
-    tier = F.when(wait <= limit_seconds, "prospective").when(same_day, "same_day_recovered").otherwise("late")
-    return s.withColumn("tier", tier).withColumn("prospective", F.col("tier") == "prospective")
+    out = _settle(signals, bars.withColumn("_bar", F.lit(True)), on, due, seen, within, watermark)
+    named = [F.when(~holds(~c), F.lit(name)) for name, c in reasons.items()]
+    reason = F.when(F.col("_bar").isNull(), "missing_bar").otherwise(F.array_join(F.array_compact(F.array(*named)), "|"))
+    return out.withColumn("reason", reason).withColumn("status", F.when(F.col("reason") == "", "SETTLED").otherwise("NON_FILL")).drop("_bar")
 
 
 def ledger_current_state(events, key, seq) -> DataFrame:
