@@ -144,3 +144,12 @@ def test_estimates_are_unbiased_and_bounded():
         wrong.append((guess - q @ x.T) / error)
     wrong = np.array(wrong)
     assert abs(wrong.mean()) < 0.01 and 0.8 < wrong.std() < 1.2 and np.abs(wrong).max() < rotation.WIDTH
+
+
+def test_an_id_with_several_texts_keeps_all_links(spark):
+    a, b = prose(51, 60), prose(52, 60)
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, prose(53, 60)), (5, b), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for order in (docs, docs.orderBy(F.desc("text"))):
+        got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(order).collect()}
+        assert got == {(1, 56, 1, True), (2, 57, 1, False), (3, 57, 1, False), (4, 56, 4, True), (5, 56, 1, False), (5, 0, 5, True)}

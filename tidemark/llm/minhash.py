@@ -167,22 +167,26 @@ def _counted(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 def confirmed_edges(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Edges that connect all documents of a candidate group whose full sets are alike enough.
+    """Edges that connect all sets of a candidate group that are alike enough.
 
-    ``groups`` has ``(id, group, n, sig)``. The sets of these documents alone are sent, once for
-    a group of up to ``TILE_SHINGLES`` shingles; larger groups are cut into tiles. Inside one,
-    pairs with too few matches are passed over and the others compared on their full sets.
+    ``groups`` has ``(id, doc, key, group, n, sig)``: a set's number, a document that has it, and
+    its digest, by which the right one is found of several texts with one document id. The sets of
+    these documents alone are sent, once for a group of up to ``TILE_SHINGLES`` shingles; larger
+    groups are cut into tiles. Inside one, pairs with too few matches are passed over and the
+    others compared on their full sets.
     """
     sizes = groups.groupBy("group").agg(F.sum("n").alias("_all"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("_text"))
-    rows = rows.join(groups.join(sizes, "group").select("id", "group", "sig", F.ceil(F.col("_all") / TILE_SHINGLES).cast("long").alias("_p")), "id")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("_text"))
+    rows = rows.join(groups.join(sizes, "group").select("id", "doc", "key", "group", "sig", F.ceil(F.col("_all") / TILE_SHINGLES).cast("long").alias("_p")), "doc")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                sh = pa.array([shingles(t.as_buffer().to_pybytes()).tobytes() for t in part.column("_text")], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("group"), part.column("id"), part.column("_p"), part.column("sig"), sh], names=["group", "id", "_p", "sig", "sh"])
+                sets = [shingles(t.as_buffer().to_pybytes()).tobytes() if t.is_valid else b"" for t in part.column("_text")]
+                right = pa.array([xxhash.xxh3_128_digest(x) == k.as_py() for x, k in zip(sets, part.column("key"))], pa.bool_())
+                sent = [part.column(c) for c in ("group", "id", "_p", "sig")] + [pa.array(sets, pa.binary())]
+                yield pa.RecordBatch.from_arrays(sent, names=["group", "id", "_p", "sig", "sh"]).filter(right)
         _HASHES.clear()
         release_memory()
 
@@ -220,22 +224,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Documents are linked when their sets of five-word shingles (the whole sequence where there
     are fewer words) have a similarity of 0.75 or more; components are closed over links. Texts
     that are null, empty or without words have no set, link with nothing and are kept. Equal
-    sets are one document until the end. Rows that repeat an id share its component and all
-    count as kept if it is the smallest; null ids link with nothing and are kept. Other columns
-    stay behind.
+    sets are one until the end. All sets of an id that repeats with several texts belong
+    together, and its rows count as kept if it is the smallest; null ids link with nothing and
+    are kept. Other columns stay behind.
     """
     scratch = Scratch(docs.sparkSession)
     sketches = scratch.cut(sketch(docs, doc_id, text), "sketches")
     linked = sketches.where("id IS NOT NULL AND key IS NOT NULL")
-    sets = scratch.cut(linked.groupBy("key").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("n").alias("n")), "sets")
-    # an id that repeats with other texts has several sets; its first stands for it in the lists
-    own = sets.groupBy("id").agg(F.first("sig").alias("sig"), F.max("n").alias("n"))
-    near = components(candidate_edges(own, scratch), scratch)
-    groups = near.join(own, near["node"] == own["id"]).select("id", F.col("component").alias("group"), "n", "sig")
-    links = components(confirmed_edges(docs, groups, doc_id, text), scratch)
-    rep = sets.select("key", F.col("id").alias("_rep"))
-    rows = sketches.join(rep, "key", "left").join(links.select(F.col("node").alias("_rep"), "component"), "_rep", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "_rep", "id"))
+    sets = linked.groupBy("key").agg(F.min("id").alias("doc"), F.first("sig").alias("sig"), F.first("n").alias("n"))
+    sets = scratch.cut(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
+    near = components(candidate_edges(sets.select("id", "sig"), scratch), scratch)
+    groups = near.join(sets, near["node"] == sets["id"]).select("id", "doc", "key", F.col("component").alias("group"), "n", "sig")
+    # an id with several texts has several sets, which belong together
+    several = linked.groupBy("id").agg(F.min("key").alias("_low"), F.max("key").alias("_high")).where("_low <> _high").select(F.col("id").alias("doc"))
+    several = linked.select(F.col("id").alias("doc"), "key").join(several, "doc").distinct().join(sets.select("key", "id"), "key")
+    one = several.groupBy("doc").agg(F.min("id").alias("a"))
+    same = several.join(one, "doc").select("a", F.col("id").alias("b"))
+    links = components(confirmed_edges(docs, groups, doc_id, text).unionByName(same), scratch)
+    members = links.join(sets.select(F.col("id").alias("node"), "doc"), "node")
+    least = members.groupBy("component").agg(F.min("doc").alias("_least"))
+    rep = sets.join(members.join(least, "component").select(F.col("node").alias("id"), "_least"), "id", "left")
+    rows = sketches.join(rep.select("key", F.coalesce("_least", "doc").alias("_rep")), "key", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("_rep", "id"))
     return scratch.close(rows.select(
         F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
