@@ -5,6 +5,7 @@ import os
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import warc
 
@@ -65,3 +66,16 @@ def test_many_splits_and_files(spark):
     got = warc.read_archives(manifest, split_bytes=3_000)
     assert sorted(int(r.record_id) for r in got.collect()) == list(range(200))
     assert got.select("warc_path", "warc_offset").distinct().count() == 200
+
+
+def test_query_with_null_ids_reads_in_many_tasks(spark, tmp_path):
+    from tidemark.llm.queries import op7_warc
+
+    rows = [(1, "u", "a" * 1500), (None, "u", "b" * 1500), (None, None, None), (7, "u", "a" * 1500)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in op7_warc(spark, str(tmp_path)).collect()))
+    assert got == [(0, 0, "response", None), (0, 1500, "response", None), (1, 1500, "revisit", 7), (7, 1500, "response", None)]
+    pages = spark.createDataFrame([(k, "u", os.urandom(900).hex()) for k in range(100)], "page_id long, url string, html string")
+    manifest = warc.write_archives(warc.plan_revisits(pages), f"{warc.shared_dir(spark)}/split-warcs")
+    tasks = warc.read_archives(manifest, split_bytes=10_000).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 3

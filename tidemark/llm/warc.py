@@ -16,6 +16,8 @@ from .common import shared_dir
 
 _MAGIC = b"\x1f\x8b\x08"
 _STEP = 1 << 16
+#: Tasks that read ranges at most; a task takes several ranges beyond that.
+MOST_READERS = 100_000
 _MANIFEST = "path string, n_bytes long, n_records long"
 _RECORDS = (
     "warc_path string, warc_offset long, record_id string, record_type string, target_uri string, refers_to string, "
@@ -196,7 +198,9 @@ def read_archives(manifest: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
     ranges = manifest.where("n_bytes > 0").select(
         "path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bytes") - 1, step)).alias("start"), "n_bytes",
     ).select("path", "start", F.least(F.col("start") + step, "n_bytes").alias("stop"))
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    # an explicit number: ranges are tiny rows, which adaptive execution would merge into one task
+    count = manifest.where("n_bytes > 0").agg(F.sum(F.ceil(F.col("n_bytes") / split_bytes))).first()[0] or 1
+    ranges = ranges.repartition(min(int(count), MOST_READERS), F.col("path"), F.col("start"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,7 +243,7 @@ def round_trip(spark: SparkSession, pages: DataFrame, **plan) -> DataFrame:
     """Write pages as archives in the shared folder and read them back.
 
     Null html is an empty payload; pages without an id are written in full and come back with an
-    empty record id; equal rows give as many records. Other columns than id, url and html stay
+    empty record id (null where ids are numbers); equal rows give as many records. Other columns than id, url and html stay
     behind. No pages give no records.
     """
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
