@@ -3,6 +3,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from tidemark.llm import quality
 
 from .test_decontamination import plain as plain_hits
@@ -80,3 +81,13 @@ def test_odd_and_empty_tables(spark, odd_docs, no_docs):
             assert rows <= docs.count() and (k == 4 or out.columns == docs.columns)
     kept = corpus_pipeline.near_deduplication(spark, odd_docs, SF)
     assert kept.where("doc_id IS NULL").count() == 2 and kept.where("doc_id = 3").count() == 1
+
+
+def test_columns_named_like_added_ones_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    own = {"score": F.lit(-1), "predicted": F.lit("x"), "n_bytes": F.lit(-7), "n_removed": F.lit(5), "n_spans": F.lit(None).cast("string")}
+    twice = docs.unionByName(docs.select(F.col("doc_id") + 1000, *docs.columns[1:]).toDF(*docs.columns)).withColumns(own)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, twice, SF)
+        assert out.columns == twice.columns
+        assert {tuple(r) for r in out.select(*own).distinct().collect()} == {(-1, "x", -7, 5, None)}
