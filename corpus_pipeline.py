@@ -19,7 +19,7 @@ from tidemark.llm.common import shared_dir, table
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among them, doesn't reject."""
     params = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, params).where("predicted = 1").select(docs.columns)
+    return _back(quality.score(_aside(docs), params).where("predicted = 1"), docs)
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +30,9 @@ def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def suffix_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 50 bytes or more that a smaller document has; none left: gone."""
-    cut = suffixes.remove_repeats(docs)
-    cut = cut.where("n_removed = 0 OR text RLIKE '\\\\S'")
-    return _recounted(cut, docs, F.col("n_removed") > 0)
+    cut = suffixes.remove_repeats(_aside(docs))
+    cut = cut.where("n_removed = 0 OR text RLIKE '\\\\S'").withColumn("_cut", F.col("n_removed") > 0)
+    return _recounted(_back(cut, docs, "_cut"), docs, F.col("_cut"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,6 +47,19 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return bpe.encode(docs, path, decoded="decoded").withColumn("n_tokens", F.size("token_ids").cast("long"))
 
 
+#: Columns that operators add; a documents column of such a name waits under another one.
+_ADDED = ("score", "predicted", "n_bytes", "n_removed", "n_spans")
+
+
+def _aside(docs: DataFrame) -> DataFrame:
+    return docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns if c in _ADDED})
+
+
+def _back(out: DataFrame, docs: DataFrame, *more: str) -> DataFrame:
+    out = out.drop(*_ADDED).withColumnsRenamed({f"_own_{c}": c for c in docs.columns if c in _ADDED})
+    return out.select(*docs.columns, *more)
+
+
 def _recounted(out: DataFrame, docs: DataFrame, changed) -> DataFrame:
     """The columns of ``docs``, with ``n_chars`` of the text as it is now where it changed."""
     if "n_chars" in docs.columns:
