@@ -10,7 +10,7 @@ class Asked(Exception):
     pass
 
 
-@pytest.mark.parametrize("name", ["fit_logistic_blend", "fit_return_blend", "walk_forward_score"])
+@pytest.mark.parametrize("name", ["fit_logistic_blend", "fit_return_blend", "walk_forward_blend"])
 def test_default_size(spark, monkeypatch, name):
     def asked(**kw):
         raise Asked(kw["maxIter"], kw["maxDepth"])

@@ -9,11 +9,12 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clip
+from . import fits
 from .joins import bounded_array
 from .selection import union_families
 from .spread import percentile_ranks
@@ -85,57 +86,57 @@ def fit_return_blend(train, features, target, weight, iterations=10, depth=3, se
 
 @dataclass
 class Calibrator:
-    """Maps a raw probability; a single-class fit is the constant class rate."""
+    """Maps a raw probability; a single-class fit is the constant class rate.
+
+    Beta and Platt calibration are logistic in ``_calibration_terms``; an isotonic one has blocks.
+    """
 
     method: str
-    model: object = None
+    weights: list[float] | None = None
+    blocks: DataFrame | None = None
     constant: float | None = None
 
     def score(self, df: DataFrame, p: str, out: str) -> DataFrame:
-        if self.model is None:
+        if self.constant is not None:
             return df.withColumn(out, F.lit(self.constant))
-        ready = _calibration_input(df, p, self.method)
-        cols = df.columns
         if self.method == "isotonic":
-            return self.model.setPredictionCol("_cal").transform(ready).select(*cols, F.col("_cal").alias(out))
-        scored = self.model.transform(ready)
-        return scored.select(*cols, vector_to_array("_cprob")[1].alias(out))
+            return fits.isotonic_value(df.withColumn("_c", _clipped(p)), self.blocks, "_c", out).drop("_c")
+        z = sum((t * F.lit(w) for t, w in zip(_calibration_terms(p, self.method), self.weights)), F.lit(0.0))
+        return df.withColumn(out, 1 / (1 + F.exp(-z)))
 
 
-def _calibration_input(df, p, method):
-    q = F.least(F.greatest(F.col(p), F.lit(1e-4)), F.lit(1 - 1e-4))
-    if method == "isotonic":
-        return df.withColumn("_c", q)
-    if method == "beta":
-        ready = df.withColumns({"_c1": F.ln(q), "_c2": -F.ln(1 - q)})
-        return VectorAssembler(inputCols=["_c1", "_c2"], outputCol="_c").transform(ready)
-    ready = df.withColumn("_c1", F.ln(q / (1 - q)))
-    return VectorAssembler(inputCols=["_c1"], outputCol="_c").transform(ready)
+def _clipped(p) -> Column:
+    return F.least(F.greatest(F.col(p), F.lit(1e-4)), F.lit(1 - 1e-4))
+
+
+def _calibration_terms(p, method) -> list[Column]:
+    q = _clipped(p)
+    return [F.ln(q), -F.ln(1 - q), F.lit(1.0)] if method == "beta" else [F.ln(q / (1 - q)), F.lit(1.0)]
 
 
 def calibrate_probability(df, p, label, weight, method="beta") -> Calibrator:
-    """Beta, Platt or isotonic calibration of a probability column."""
-    rows = df.filter(F.col(label).isNotNull()).withColumn("_y", F.col(label).cast("double"))
-    stats = rows.agg(F.min("_y"), F.max("_y"), F.sum(F.col("_y") * F.col(weight)) / F.sum(weight)).first()
-    if stats[0] == stats[1]:
-        return Calibrator(method, None, stats[2])
-    ready = _calibration_input(rows, p, method).withColumn("_w", F.col(weight).cast("double"))
+    """Beta, Platt or isotonic calibration of a probability column.
+
+    Beta and Platt are at the optimum of the weighted log loss, by Newton's method on sums;
+    isotonic is exact, by pooling adjacent violators in range pieces. Rows without a label or a
+    probability don't count.
+    """
+    rows = df.filter(F.col(label).isNotNull() & F.col(p).isNotNull()).withColumn("_y", F.col(label).cast("double"))
+    low, high, rate = rows.agg(F.min("_y"), F.max("_y"), F.sum(F.col("_y") * F.col(weight)) / F.sum(weight)).first()
+    if low == high:
+        return Calibrator(method, constant=rate)
     if method == "isotonic":
-        return Calibrator(method, IsotonicRegression(featuresCol="_c", labelCol="_y", weightCol="_w").fit(ready))
-    fit = LogisticRegression(
-        featuresCol="_c", labelCol="_y", weightCol="_w", regParam=0.0, maxIter=50, probabilityCol="_cprob",
-        rawPredictionCol="_craw", predictionCol="_cpred",
-    )
-    return Calibrator(method, fit.fit(ready))
+        return Calibrator(method, blocks=fits.isotonic_blocks(rows.withColumn("_c", _clipped(p)), "_c", "_y", weight))
+    return Calibrator(method, fits.newton_logistic(rows, _calibration_terms(p, method), "_y", weight))
 
 
-def pairwise_rank_fit(pairs, features, weight="weight") -> dict[str, float]:
-    """Coefficients of a no-intercept logistic model on symmetric difference examples."""
-    flipped = pairs.select(*[(-F.col(f)).alias(f) for f in features], (1 - F.col("label")).alias("label"), weight)
-    both = pairs.select(*features, "label", weight).unionByName(flipped)
-    ready = VectorAssembler(inputCols=list(features), outputCol="_x").transform(both.withColumn("label", F.col("label").cast("double")))
-    model = LogisticRegression(featuresCol="_x", labelCol="label", weightCol=weight, fitIntercept=False, regParam=0.01, maxIter=25).fit(ready)
-    return dict(zip(features, (float(c) for c in model.coefficients)))
+def pairwise_rank_fit(short, cs, features, target, l2=0.01, largest=64) -> dict[str, float]:
+    """Coefficients of a no-intercept logistic model on the difference examples of a shortlist.
+
+    Examples go both ways with weights of mean one (``fits.pairwise_examples``), but are only ever
+    summed: ``fits.pairwise_newton`` works on one row a cross-section.
+    """
+    return fits.pairwise_newton(short, cs, features, target, l2, largest)
 
 
 def pairwise_rank_score(df, cs, weights: dict[str, float], out="rank_score", largest=64) -> DataFrame:

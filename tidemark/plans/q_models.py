@@ -5,8 +5,8 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..functions import hash_unit
+from ..operators import fits
 from ..operators import folds as fd
-from ..operators import joins
 from ..operators import models as md
 from ..operators.selection import topk_per_group
 from .registry import query
@@ -151,9 +151,48 @@ def _(t):
     return model.score(df.filter("fold >= 5"), "e_net")
 
 
-@query("calibrate_probability", "day:d slot:s code:i method:s p_cal:r")
+def newton_sql(table: str, names: list[str], l2: float, steps=14) -> str:
+    """SQL for the coefficients b0, b1, ... after Newton steps from zero on ``table(names..., y, w)``; two or three of them."""
+    d = len(names)
+    z = " + ".join(f"b{k} * {n}" for k, n in enumerate(names))
+    sums = [f"sum(w * (s - y) * {n}) / sum(w) + {l2} * b{k} AS g{k}" for k, n in enumerate(names)]
+    sums += [f"sum(w * s * (1 - s) * {names[i]} * {names[j]}) / sum(w) + {l2 if i == j else 0} AS h{i}{j}" for i in range(d) for j in range(i, d)]
+    h = lambda i, j: f"h{min(i, j)}{max(i, j)}"
+    if d == 2:
+        det, adj = "(h00 * h11 - h01 * h01)", [["h11", "-h01"], ["-h01", "h00"]]
+    else:
+        minor = lambda i, j: "({} * {} - {} * {})".format(*(h(a, b) for a, b in (
+            ((i + 1) % 3, (j + 1) % 3), ((i + 2) % 3, (j + 2) % 3), ((i + 1) % 3, (j + 2) % 3), ((i + 2) % 3, (j + 1) % 3))))
+        adj = [[minor(i, j) for j in range(3)] for i in range(3)]
+        det = "(" + " + ".join(f"{h(0, j)} * {adj[0][j]}" for j in range(3)) + ")"
+    moved = ", ".join(f"b{i} - (" + " + ".join(f"({adj[i][j]}) * g{j}" for j in range(d)) + f") / {det}" for i in range(d))
+    b = ", ".join(f"b{k}" for k in range(d))
+    return f"""(WITH RECURSIVE it(k, {b}) AS (SELECT 0, {', '.join(['0.0::DOUBLE'] * d)} UNION ALL SELECT k + 1, {moved} FROM (
+      SELECT k, {b}, {', '.join(sums)} FROM (SELECT *, 1 / (1 + exp(-({z}))) AS s FROM it, ({table}) WHERE k < {steps}) GROUP BY k, {b})) SELECT {b} FROM it WHERE k = {steps})"""
+
+
+CLIP = "least(greatest(round(p, 2), 0.0001::DOUBLE), 1 - 0.0001::DOUBLE)"
+TERMS = {"beta": ["ln({q})", "-ln(1 - {q})", "1.0::DOUBLE"], "platt": ["ln({q} / (1 - {q}))", "1.0::DOUBLE"]}
+
+
+def logistic_sql(method):
+    terms = [t.format(q="cq") for t in TERMS[method]]
+    train = f"SELECT {', '.join(f'{t} AS x{k}' for k, t in enumerate(terms))}, win::INT AS y, 1 + u AS w FROM (SELECT *, {CLIP} AS cq FROM scored WHERE fold < 5 AND win IS NOT NULL)"
+    z = " + ".join(f"b{k} * ({t})" for k, t in enumerate(terms))
+    return f"SELECT day, slot, code, '{method}' AS method, 1 / (1 + exp(-({z}))) AS p_cal FROM (SELECT *, {CLIP} AS cq FROM scored WHERE fold >= 5), {newton_sql(train, [f'x{k}' for k in range(len(terms))], 0)}"
+
+
+ISO = f"""SELECT day, slot, code, 'isotonic' AS method, CASE WHEN lo.x IS NULL THEN hi.v WHEN hi.x IS NULL OR hi.x = lo.x THEN lo.v ELSE lo.v + (hi.v - lo.v) * (cq - lo.x) / (hi.x - lo.x) END AS p_cal
+  FROM (SELECT *, {CLIP} AS cq FROM scored WHERE fold >= 5) t ASOF LEFT JOIN fit lo ON t.cq >= lo.x ASOF LEFT JOIN fit hi ON t.cq <= hi.x"""
+
+
+@query("calibrate_probability", "day:d slot:s code:i method:s p_cal:r",
+       f"""WITH knots AS (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(w) OVER (ORDER BY x) AS cw, sum(wy) OVER (ORDER BY x) AS cy FROM (SELECT {CLIP} AS x, sum(1 + u) AS w, sum((1 + u) * win::INT) AS wy FROM scored WHERE fold < 5 AND win IS NOT NULL GROUP BY 1)),
+       means AS (SELECT a.i AS a, c.i AS c, (c.cy - coalesce(b.cy, 0)) / (c.cw - coalesce(b.cw, 0)) AS m FROM knots a LEFT JOIN knots b ON b.i = a.i - 1 JOIN knots c ON c.i >= a.i),
+       fit AS (SELECT x, max(least_m) AS v FROM (SELECT k.x, a, min(m) AS least_m FROM knots k JOIN means ON a <= k.i AND c >= k.i GROUP BY 1, 2) GROUP BY x)
+       {logistic_sql('beta')} UNION ALL {logistic_sql('platt')} UNION ALL {ISO}""")
 def _(t):
-    df = weighted(t)
+    df = t.scored.withColumns({"w": 1 + F.col("u"), "p": F.round("p", 2)})
     out = [
         md.calibrate_probability(df.filter("fold < 5"), "p", "win", "w", m).score(df.filter("fold >= 5"), "p", "p_cal").withColumn("method", F.lit(m))
         for m in ("beta", "platt", "isotonic")
@@ -161,15 +200,65 @@ def _(t):
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
-@query("pairwise_rank_fit", "day:d slot:s code:i rank_score:r")
+TRIO = ["p", "q", "u"]
+SHORTS = "SELECT * FROM scored WHERE net IS NOT NULL {where} QUALIFY row_number() OVER (PARTITION BY day, slot ORDER BY p DESC, code) <= 5"
+
+
+def examples_sql(where):
+    """Difference examples in both directions with the weight of their cross-section."""
+    return f"""SELECT a.day, a.slot, a.code AS code_a, b.code AS code_b, a.p - b.p AS p, a.q - b.q AS q, a.u - b.u AS u, CAST(a.net > b.net AS INT) AS y, 1.0::DOUBLE / (n * (n - 1)) AS w
+      FROM (SELECT *, count(*) OVER (PARTITION BY day, slot) AS n FROM ({SHORTS.format(where=where)})) a JOIN ({SHORTS.format(where=where)}) b ON a.day = b.day AND a.slot = b.slot AND a.code <> b.code
+      WHERE NOT (abs(a.net - b.net) <= 1e-8 + 1e-5 * abs(CASE WHEN a.code < b.code THEN b.net ELSE a.net END))"""
+
+
+def shortlist(t, where):
+    return topk_per_group(t.scored.filter("net IS NOT NULL").filter(where), CS, SHORT(), 5)
+
+
+@query("pairwise_examples", "day:d slot:s code_a:i code_b:i p:r q:r label:i weight:r",
+       f"SELECT day, slot, code_a, code_b, p, q, y AS label, w / avg(w) OVER () AS weight FROM ({examples_sql('AND fold < 5')})")
 def _(t):
-    short = topk_per_group(t.scored.filter("net IS NOT NULL"), CS, SHORT(), 5)
-    pairs = joins.pairwise_self_join(short.filter("fold < 5"), CS, ["code"], ["p", "q", "u"], "net")
-    weights = md.pairwise_rank_fit(pairs, ["p", "q", "u"])
+    return fits.pairwise_examples(shortlist(t, "fold < 5"), CS, ["code"], ["p", "q"], "net")
+
+
+SUM_B = " + ".join(f"b{k} * {f}" for k, f in enumerate(TRIO))
+
+
+@query("pairwise_rank_fit", "day:d slot:s code:i rank_score:r",
+       f"""WITH s AS (SELECT day, slot, code, {SUM_B} AS s FROM (SELECT * FROM scored WHERE fold >= 5 QUALIFY row_number() OVER (PARTITION BY day, slot ORDER BY p DESC, code) <= 5), {newton_sql(examples_sql('AND fold < 5'), TRIO, 0.01)})
+       SELECT a.day, a.slot, a.code, coalesce(avg(1 / (1 + exp(b.s - a.s))), 0.5) AS rank_score FROM s a LEFT JOIN s b ON b.day = a.day AND b.slot = a.slot AND b.code <> a.code GROUP BY 1, 2, 3""")
+def _(t):
+    weights = md.pairwise_rank_fit(shortlist(t, "fold < 5"), CS, TRIO, "net")
     return md.pairwise_rank_score(topk_per_group(t.scored.filter("fold >= 5"), CS, SHORT(), 5), CS, weights)
 
 
-@query("walk_forward_score", "fold:i day:d slot:s code:i e_net:r")
+CALIBRATED = f"""WITH m AS (SELECT * FROM {newton_sql(examples_sql('AND fold < 4'), TRIO, 0.01)}),
+       c AS (SELECT a, c FROM {newton_sql(f"SELECT {SUM_B} AS z, 1.0::DOUBLE AS one, y, w FROM ({examples_sql('AND fold = 4')}), m", ['z', 'one'], 0).replace('SELECT b0, b1 FROM it', 'SELECT b0 AS a, b1 AS c FROM it')}),
+       s AS (SELECT day, slot, code, {SUM_B} AS s FROM (SELECT * FROM scored WHERE fold >= 5 QUALIFY row_number() OVER (PARTITION BY day, slot ORDER BY p DESC, code) <= 5), m)
+       SELECT x.day, x.slot, x.code, coalesce(avg((1 / (1 + exp(-(a * (x.s - y.s) + c))) + 1 - 1 / (1 + exp(-(a * (y.s - x.s) + c)))) / 2), 0.5) AS rank_score FROM c, s x LEFT JOIN s y ON y.day = x.day AND y.slot = x.slot AND y.code <> x.code GROUP BY 1, 2, 3"""
+
+
+@query("pairwise_calibrated_score", "day:d slot:s code:i rank_score:r", CALIBRATED)
+def _(t):
+    weights = md.pairwise_rank_fit(shortlist(t, "fold < 4"), CS, TRIO, "net")
+    calibration = fits.pair_calibration(shortlist(t, "fold = 4"), CS, TRIO, "net", weights)
+    return fits.pairwise_calibrated_score(topk_per_group(t.scored.filter("fold >= 5"), CS, SHORT(), 5).select(*CS, "code", *TRIO), CS, weights, calibration)
+
+
+WALK_ROWS = f"""SELECT d.fold, role, s.* EXCLUDE (fold) FROM (SELECT f.fold AS fold, k.day, CASE WHEN k.idx BETWEEN test_lo AND test_hi THEN 'test' WHEN k.idx BETWEEN train_lo AND cal_lo - 2 THEN 'train' END AS role
+       FROM ({FOLDS}) f JOIN calendar k ON k.idx BETWEEN train_lo AND test_hi) d JOIN scored s USING (day) WHERE role IS NOT NULL"""
+
+
+@query("walk_forward_score", "fold:i day:d slot:s code:i e_net:r",
+       f"""WITH r AS ({WALK_ROWS}), m AS (SELECT fold, avg(ret) AS mr, avg(gap) AS mg FROM r WHERE role = 'train' AND net IS NOT NULL GROUP BY fold),
+       f AS (SELECT r.* EXCLUDE (ret, gap), coalesce(ret, mr) AS a, coalesce(gap, mg) AS b FROM r JOIN m USING (fold)),
+       c AS (SELECT fold, avg(a) AS ma, avg(b) AS mb, avg(net) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb, covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) AS rab, covar_pop(a, net) / stddev_pop(a) AS ca, covar_pop(b, net) / stddev_pop(b) AS cb FROM f WHERE role = 'train' AND net IS NOT NULL GROUP BY fold)
+       SELECT fold, day, slot, code, my + (a - ma) / sa * (1.1::DOUBLE * ca - rab * cb) / (1.1::DOUBLE * 1.1::DOUBLE - rab * rab) + (b - mb) / sb * (1.1::DOUBLE * cb - rab * ca) / (1.1::DOUBLE * 1.1::DOUBLE - rab * rab) AS e_net FROM f JOIN c USING (fold) WHERE role = 'test'""")
+def _(t):
+    return fits.walk_forward_ridge(t.scored.drop("fold"), t.calendar, fd.walk_forward_folds(t.calendar, PLAN), PLAN, ["ret", "gap"], "net")
+
+
+@query("walk_forward_blend", "fold:i day:d slot:s code:i e_net:r")
 def _(t):
     folds = fd.walk_forward_folds(t.calendar, PLAN)
     rows = fd.assign_fold_rows(weighted(t).drop("fold"), t.calendar, folds, PLAN)
