@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import holds, ratio, share
-from .spread import best_rows, group_table, position, running
+from . import radix
+from .spread import best_rows, group_table, position
 
 
 
@@ -128,8 +129,8 @@ def _score_cells(df, label, score, by):
 def binary_rank_auc(df, label, score, by=()) -> DataFrame:
     """Mann-Whitney AUC from average ranks; NULL when a class is missing."""
     by = list(by)
-    cells = running(_score_cells(df, label, score, by), by, [F.col("_s")], {"_cum": ("sum", F.col("_n"))})
-    rank = F.col("_cum") - (F.col("_n") - 1) / 2
+    cells = radix.prefix_sums(_score_cells(df, label, score, by), by, "_s", ["_n"])
+    rank = F.col("_n_before") + (F.col("_n") + 1) / 2
     t = cells.groupBy(*by).agg(
         F.sum("_n").alias("rows"), F.sum("_pos").alias("positives"), F.sum(rank * F.col("_pos")).alias("_r")
     )
@@ -140,10 +141,8 @@ def binary_rank_auc(df, label, score, by=()) -> DataFrame:
 def average_precision(df, label, score, by=()) -> DataFrame:
     """Precision at each distinct score weighted by the recall it adds."""
     by = list(by)
-    cells = running(
-        _score_cells(df, label, score, by), by, [F.col("_s").desc()],
-        {"_tp": ("sum", F.col("_pos")), "_all": ("sum", F.col("_n"))},
-    )
+    cells = radix.prefix_sums(_score_cells(df, label, score, by), by, "_s", ["_pos", "_n"])
+    cells = cells.withColumns({f"_{a}": F.col(f"{c}_total") - F.col(f"{c}_before") for a, c in (("tp", "_pos"), ("all", "_n"))})
     t = cells.groupBy(*by).agg(F.sum("_pos").alias("positives"), F.sum(F.col("_pos") * F.col("_tp") / F.col("_all")).alias("_a"))
     return t.withColumn("average_precision", ratio("_a", "positives")).drop("_a")
 

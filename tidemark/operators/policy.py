@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import all_of, holds, ratio, share
 from .joins import grid_cross_join, grid_rows
 from .selection import first_signal_daily_cap
-from .spread import average_ranks, best_rows, group_values, percentile_rank, percentile_ranks, position
+from .spread import CALENDAR, average_ranks, best_rows, calendar_rows, group_values, percentile_rank, percentile_ranks, position
 from .statistics import profit_factor_of, wilson_bounds
 
 # a gate is (column, ">=", ">" or "<=", limit)
@@ -139,7 +139,7 @@ def policy_windows(df, day, fold, design_days, confirm_days) -> DataFrame:
     Built from one row per day; a fold with too little history has no rows.
     """
     days = df.groupBy(day).agg(F.min(fold).alias(fold))
-    days = position(days, [], [F.col(day)], "_i")
+    days = position(calendar_rows(days, []), [], [F.col(day)], "_i", bound=CALENDAR)
     starts = days.groupBy(fold).agg(F.min("_i").alias("_s")).withColumnRenamed(fold, "target_fold")
     total = design_days + confirm_days
     spans = starts.filter(F.col("_s") > total).withColumn(
@@ -238,8 +238,8 @@ def threshold_calibrate(df, fold, day, score, rate, windows=None) -> DataFrame:
 
 
 def threshold_drift(thresholds, value="threshold", events="events") -> DataFrame:
-    """Spread of fold thresholds and their rank correlation with event counts."""
-    t = average_ranks(thresholds, [], {"_a": value, "_b": events})
+    """Spread of fold thresholds (a row a fold) and their rank correlation with event counts."""
+    t = average_ranks(calendar_rows(thresholds, []), [], {"_a": value, "_b": events}, bound=CALENDAR)
     s = t.agg(
         _count().alias("scored_folds"), F.count(F.when(F.col(events) == 0, 1)).alias("zero_folds"),
         F.min(value).alias("threshold_min"), F.max(value).alias("threshold_max"), F.stddev_pop(value).alias("threshold_std"),

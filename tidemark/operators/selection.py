@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hash_int, holds
-from .spread import best_rows, fits, position
+from .spread import CALENDAR, best_rows, calendar_rows, fits, position
 
 from pyspark.sql import Window
 
@@ -133,7 +133,8 @@ def nth_threshold(eligible, by, day, score, rate, totals) -> DataFrame:
     gets +infinity, which selects nothing.
     """
     daily = eligible.groupBy(*by, day).agg(F.max(score).alias("_top"))
-    ranked = position(daily.filter("_top is not null"), by, [F.col("_top").desc(), F.col(day)], "_r")
+    daily = calendar_rows(daily.filter("_top is not null"), by)
+    ranked = position(daily, by, [F.col("_top").desc(), F.col(day)], "_r", bound=CALENDAR)
     seen = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("_m"))
     want = F.greatest(F.lit(1), F.ceil(F.lit(rate) * F.col("total_days")))
     pick = totals.join(seen, by, "left").withColumn("_r", F.least(want, F.col("_m")))

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import col
+from . import radix
 
 LIMIT = "spark.tidemark.maxGroupRows"
 DEFAULT_LIMIT = 1_000_000
@@ -98,6 +99,15 @@ def fits(df: DataFrame, by: list[str], bound: int | None = None) -> bool:
     return bound <= limit
 
 
+def declared(df: DataFrame, by: list[str], bound: int | None = None) -> bool:
+    """Whether groups have a size that is declared, by argument or contract, and fits one task."""
+    limit = group_limit(df.sparkSession)
+    if bound is not None:
+        return bound <= limit
+    sizes = [CONTRACT[b] for b in by if b in CONTRACT]
+    return bool(sizes) and min(sizes) <= limit
+
+
 def measured_once(fn):
     """For operators that never add rows: measure each key set on its first use only."""
 
@@ -281,12 +291,12 @@ def nearby(
 def group_table(df: DataFrame, by: list[str], aggs: dict, bound: int | None = None) -> DataFrame:
     """One row per group. A value is an aggregate Column or ``("quantile", column, q)``.
 
-    An exact percentile keeps all distinct values of a group in one task, so for huge
-    groups it is read off the sorted values by rank instead.
+    An exact percentile keeps all distinct values of a group in one task; only groups with a
+    declared size take it, all others are selected by ``radix.quantiles``.
     """
     plain = {n: a for n, a in aggs.items() if not isinstance(a, tuple)}
     quantiles = {n: a for n, a in aggs.items() if isinstance(a, tuple)}
-    if not quantiles or fits(df, by, bound):
+    if not quantiles or declared(df, by, bound):
         cols = {
             n: F.percentile(col(a[1]), a[2]) if isinstance(a, tuple) else a for n, a in aggs.items()
         }
@@ -298,13 +308,27 @@ def group_table(df: DataFrame, by: list[str], aggs: dict, bound: int | None = No
     for name, (_, value, q) in quantiles.items():
         inputs.setdefault(str(value), (col(value), {}))[1][name] = q
     for value, qs in inputs.values():
-        picked = _quantiles_by_rank(df, by, value, qs)
+        picked = radix.quantiles(df, by, value, qs)
         result = result.alias("l").join(picked.alias("r"), _keys(by), "left").select(
             "l.*", *[F.col(f"r.{n}") for n in qs]
         )
     return result.select(*by, *aggs)
 
 
+#: Rows of a series with one row a day, at most: five centuries of trading days.
+CALENDAR = 150_000
+
+
+def calendar_rows(df: DataFrame, by: list[str]) -> DataFrame:
+    """A series with one row a day in each group; fails where a group has more than ``CALENDAR`` rows.
+
+    The windows over such a series take that bound as theirs.
+    """
+    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
+    message = F.concat(F.lit("a daily series has more rows than a calendar: "), n.cast("string"))
+    return df.withColumn("_days_ok", F.when(n > CALENDAR, F.raise_error(message)).otherwise(F.lit(True))).where("_days_ok").drop("_days_ok")
+
+
 def _keys(by) -> Column:
     conds = [F.col(f"l.{b}").eqNullSafe(F.col(f"r.{b}")) for b in by]
     return reduce(lambda a, b: a & b, conds, F.lit(True))
@@ -316,37 +340,17 @@ def weighted_positions(df, by, value: Column) -> DataFrame:
         df.select(*by, value.alias("_value")).filter("_value is not null")
         .groupBy(*by, "_value").agg(F.count(F.lit(1)).alias("_ties"))
     )
-    ranked = running(counted, by, [F.col("_value")], {"_last": ("sum", F.col("_ties"))})
-    totals = counted.groupBy(*by).agg(F.sum("_ties").alias("_size"))
-    return ranked.alias("l").join(totals.alias("r"), _keys(by)).select("l.*", "r._size")
-
-
-def _quantiles_by_rank(df, by, value: Column, qs: dict[str, float]) -> DataFrame:
-    ranked = weighted_positions(df, by, value)
-    picks = []
-    for i, q in enumerate(qs.values()):
-        at = (F.col("_size") - 1) * F.lit(q)
-        for tag, k in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            inside = (F.col("_last") > k) & (F.col("_last") - F.col("_ties") <= k)
-            picks.append(F.max(F.when(inside, F.col("_value"))).alias(f"_{tag}{i}"))
-        picks.append(F.max(at - F.floor(at)).alias(f"_f{i}"))
-    found = ranked.groupBy(*by).agg(*picks)
-    return found.select(
-        *by,
-        *[
-            (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(n)
-            for i, n in enumerate(qs)
-        ],
-    )
+    ranked = radix.prefix_sums(counted, by, "_value", ["_ties"])
+    return ranked.select(*by, "_value", "_ties", (F.col("_ties_before") + F.col("_ties")).alias("_last"), F.col("_ties_total").alias("_size"))
 
 
 def group_values(df: DataFrame, by: list[str], aggs: dict, bound: int | None = None) -> DataFrame:
     """Add whole-group aggregates to every row.
 
-    Small groups use one unordered window; otherwise the partial-aggregated group table
-    is joined back, where adaptive execution splits a skewed left side.
+    Groups of a declared size use one unordered window; otherwise the partial-aggregated group
+    table is joined back, where adaptive execution splits a skewed left side.
     """
-    if fits(df, by, bound):
+    if declared(df, by, bound):
         w = Window.partitionBy(*by)
         return df.withColumns(
             {
@@ -368,7 +372,7 @@ def tie_ranks(df, by, value: Column, prefix="_", bound=None) -> DataFrame:
     Adds ``{prefix}lo``, ``{prefix}hi`` and ``{prefix}n``; the average rank is their middle.
     """
     lo, hi, n = f"{prefix}lo", f"{prefix}hi", f"{prefix}n"
-    if fits(df, by, bound):
+    if declared(df, by, bound):
         w = Window.partitionBy(*by)
         upto = w.orderBy(value.asc_nulls_last())
         known = value.isNotNull()
@@ -409,7 +413,7 @@ def percentile_ranks(df, by, ranks: dict, bound=None) -> DataFrame:
     """
     spec = {n: v if isinstance(v, tuple) else (v, False) for n, v in ranks.items()}
     values = {n: -col(c) if down else col(c) for n, (c, down) in spec.items()}
-    if fits(df, by, bound):
+    if declared(df, by, bound):
         w = Window.partitionBy(*by)
         return df.withColumns(
             {n: F.try_divide(_middle_rank(by, v), F.count(v).over(w)) for n, v in values.items()}
@@ -427,7 +431,7 @@ def percentile_rank(df, by, value, out, desc=False, bound=None) -> DataFrame:
 
 def average_ranks(df, by, ranks: dict, bound=None) -> DataFrame:
     """Average-tie ranks, ``{output: column}``."""
-    if fits(df, by, bound):
+    if declared(df, by, bound):
         return df.withColumns({n: _middle_rank(by, col(c)) for n, c in ranks.items()})
     for n, c in ranks.items():
         df = tie_ranks(df, by, col(c), "_ar_", bound)

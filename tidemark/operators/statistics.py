@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import clip, erfc, hash_int, ratio, share
+from . import radix
 from .spread import (
+    CALENDAR,
     average_ranks,
+    calendar_rows,
     group_table,
     group_values,
     measured_once,
@@ -127,8 +130,8 @@ def performance_summary(df, by, day, ret, entered="entry_ok", left="exit_ok", se
 def _indexed_days(df, by, day, aggs: dict[str, Column]) -> DataFrame:
     """One row per (group, day) with a 0-based index and the number of days."""
     days = df.groupBy(*by, day).agg(*[c.alias(n) for n, c in aggs.items()])
-    days = position(days, by, [F.col(day)], "_i")
-    return group_values(days, by, {"_days": _count()}).withColumn("_i", F.col("_i") - 1)
+    days = position(calendar_rows(days, by), by, [F.col(day)], "_i", bound=CALENDAR)
+    return group_values(days, by, {"_days": _count()}, bound=CALENDAR).withColumn("_i", F.col("_i") - 1)
 
 
 def _block_draws(days, by, sums: list[str], samples, block, seed) -> DataFrame:
@@ -239,11 +242,11 @@ def hac_mean_test(df, by, day, ret, max_lag=5) -> DataFrame:
     """
     by = list(by)
     days = df.filter(F.col(ret).isNotNull()).groupBy(*by, day).agg(F.avg(ret).alias("_m"))
-    days = group_values(days, by, {"_mean": F.avg("_m"), "_n": _count()})
+    days = group_values(calendar_rows(days, by), by, {"_mean": F.avg("_m"), "_n": _count()}, bound=CALENDAR)
     days = days.withColumn("_c", F.col("_m") - F.col("_mean"))
     days = nearby(
         days, by, [F.col(day)],
-        lambda w: {f"_x{k}": F.col("_c") * F.lag("_c", k).over(w) for k in range(1, max_lag + 1)}, back=max_lag,
+        lambda w: {f"_x{k}": F.col("_c") * F.lag("_c", k).over(w) for k in range(1, max_lag + 1)}, back=max_lag, bound=CALENDAR,
     )
     lags = F.least(F.lit(max_lag), F.col("n") - 1)
     t = days.groupBy(*by).agg(
@@ -456,8 +459,8 @@ def policy_overfit_probability(df, fold, day, code, slot, grid: list[float], sco
         F.sum(ret).alias("_s"), _count().alias("_n"), F.sum(neg).alias("_ls"), F.count(neg).alias("_ln")
     )
     folds = df.select(fold).distinct()
-    index = position(folds, [], [F.col(fold)], "_f")
-    index = group_values(index, [], {"_k": _count()})
+    index = position(calendar_rows(folds, []), [], [F.col(fold)], "_f", bound=CALENDAR)
+    index = group_values(index, [], {"_k": _count()}, bound=CALENDAR)
     cells = cells.join(index, fold)
     cells = cells.withColumn("_split", F.explode(F.sequence(F.lit(2).cast("bigint"), F.col("_k") - 1)))
     side = F.when(F.col("_f") <= F.col("_split"), "in").otherwise("out")
@@ -497,12 +500,13 @@ def one_sided_residual_quantile(df, slot, resid, q=0.1, min_n=100) -> DataFrame:
 def weighted_quantile(df, by, value, weight, q) -> DataFrame:
     """Smallest value whose cumulative weight reaches q of the total; 0 without weight."""
     by = list(by)
-    cells = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.sum(weight).alias("_w"))
-    cells = running(cells, by, [F.col("_v")], {"_cum": ("sum", F.col("_w"))})
-    cells = group_values(cells, by, {"_total": F.sum("_w")})
-    return cells.groupBy(*by).agg(
-        F.coalesce(F.min(F.when((F.col("_total") > 0) & (F.col("_cum") >= q * F.col("_total")), F.col("_v"))), F.lit(0.0)).alias("weighted_quantile")
-    )
+    found = radix.select_values(df, by, F.col(value), F.col(weight), {"_q": lambda total: F.lit(q) * total})
+    groups = df.filter(F.col(value).isNotNull()).select(*by, F.lit(0).alias("_every")).distinct()
+    same = F.lit(True)
+    for k in (*by, "_every"):
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    joined = groups.alias("a").join(found.withColumn("_every", F.lit(0)).alias("b"), same, "left")
+    return joined.select(*[F.col(f"a.{b}") for b in by], F.coalesce("b._q", F.lit(0.0)).alias("weighted_quantile"))
 
 
 def compounded_return(df, by, day, ret, complete) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import clip, pct, ratio, safe_ln, share
 from .spread import (
+    CALENDAR,
+    calendar_rows,
     group_values,
     measured_once,
     nearby,
@@ -435,11 +437,11 @@ def max_streak(df, key, order, cond, out="max_streak") -> DataFrame:
 def cumulative_equity_drawdown(df, by, day, ret) -> DataFrame:
     """Compounded equity of daily percent returns, its peak and the worst drawdown so far."""
     growth = 1 + F.col(ret) / 100
-    df = running(df, by, [F.col(day)], {"equity": ("product", growth)})
-    df = running(df, by, [F.col(day)], {"_peak": ("max", F.col("equity"))})
+    df = running(calendar_rows(df, by), by, [F.col(day)], {"equity": ("product", growth)}, bound=CALENDAR)
+    df = running(df, by, [F.col(day)], {"_peak": ("max", F.col("equity"))}, bound=CALENDAR)
     df = df.withColumn("peak", F.greatest("_peak", F.lit(1.0)))
     df = df.withColumn("drawdown", pct("equity", "peak"))
-    return running(df, by, [F.col(day)], {"max_drawdown": ("min", F.col("drawdown"))}).drop("_peak")
+    return running(df, by, [F.col(day)], {"max_drawdown": ("min", F.col("drawdown"))}, bound=CALENDAR).drop("_peak")
 
 
 @measured_once
