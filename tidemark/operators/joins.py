@@ -76,29 +76,39 @@ def _newest(a: Column, b: Column) -> Column:
     return F.when(holds(b["_from"] >= a["_from"]) | a.isNull(), b).otherwise(a)
 
 
+#: Sizes of cells: powers of two of a day, up to some 1,400 years.
+_CELL_SIZES = 20
+
+
+def _aligned(k: Column) -> Column:
+    """The cells of size ``2**k`` of the days ``[_s, _e)``: those at its ends that no larger cell takes."""
+    size = F.pow(F.lit(2.0), k)
+    a, b = F.ceil(F.col("_s") / size), F.floor(F.col("_e") / size)
+    cell = lambda at: F.struct(k.alias("k"), at.cast("bigint").alias("at"))
+    return F.array_compact(F.array(F.when((a < b) & (a % 2 == 1), cell(a)), F.when((a < b) & (b % 2 == 1), cell(b - 1))))
+
+
 def asof_join_interval(left, right, by, date, lo, hi, cols, pk, end_inclusive=False) -> DataFrame:
     """Among intervals active on the day, the one that started last; NULL when none is.
 
-    Open intervals never expire, so they are a plain as-of lookup. Closed intervals are
-    expanded to the years they touch and matched on (key, year), which keeps the range
-    test inside small cells even when one key owns most rows.
+    Open intervals never expire, so they are a plain as-of lookup. A closed interval is cut into
+    aligned cells of one, two, four, ... days, at most two of a size; of the intervals that cover a
+    whole cell only the one that started last can win, so a cell is one row. A day is looked up in
+    its cell of every size: each lookup meets one row at most, whatever the intervals overlap.
     """
     still = right.filter(F.col(hi).isNull())
     base = asof_join_backward(
         left, still.withColumn("_from", F.col(lo)), by, date, lo, ["_from", *cols]
     ).drop("asof_time", "lag_minutes")
     base = base.select(*left.columns, F.when(F.col("_from").isNotNull(), F.struct("_from", *cols)).alias("_open"))
-    closed = right.filter(F.col(hi) >= F.col(lo)).select(
-        *by, F.col(lo).alias("_from"), F.col(hi).alias("_to"), *cols,
-        F.explode(F.sequence(F.year(lo), F.year(hi))).alias("_year"),
-    )
-    ends = F.col("_to") >= F.col(date) if end_inclusive else F.col("_to") > F.col(date)
+    sizes = F.sequence(F.lit(0), F.lit(_CELL_SIZES - 1))
+    day = lambda c: F.unix_date(F.to_date(c)).cast("bigint") + (1 << _CELL_SIZES)
+    closed = right.filter(F.col(hi) >= F.col(lo)).withColumns({"_s": day(F.col(lo)), "_e": day(F.col(hi)) + (1 if end_inclusive else 0)})
+    cells = closed.select(*by, F.col(lo).alias("_from"), *cols, F.explode(F.flatten(F.transform(sizes, _aligned))).alias("_cell"))
+    cells = cells.groupBy(*by, "_cell.k", "_cell.at").agg(F.max(F.struct("_from", *cols)).alias("_closed"))
     dated = left.select(*pk, *[b for b in by if b not in pk], *([date] if date not in pk else []))
-    active = (
-        dated.withColumn("_year", F.year(date)).join(closed, [*by, "_year"])
-        .filter((F.col("_from") <= F.col(date)) & ends)
-        .groupBy(*pk).agg(F.max(F.struct("_from", *cols)).alias("_closed"))
-    )
+    asked = dated.withColumn("_d", day(F.col(date))).select("*", F.explode(sizes).alias("k")).withColumn("at", F.expr("shiftright(_d, k)"))
+    active = asked.join(cells, [*by, "k", "at"]).groupBy(*pk).agg(F.max("_closed").alias("_closed"))
     both = base.join(active, pk, "left").withColumn("_win", _newest(F.col("_open"), F.col("_closed")))
     both = both.withColumn("_win", F.when(F.col("_closed").isNull(), F.col("_open")).otherwise(F.col("_win")))
     return both.select(*left.columns, F.col("_win._from").alias("active_from"), *[f"_win.{c}" for c in cols])

@@ -90,6 +90,30 @@ def prefix_sums(cells: DataFrame, by: list[str], value: str, names: list[str]) -
     return done.select(*own, *[f"{n}_{x}" for n in names for x in ("before", "total")])
 
 
+def running_max(rows: DataFrame, by: list[str], order: Column, name: str, out: str, inclusive: bool) -> DataFrame:
+    """The largest ``name`` of the group's rows with a smaller ``order`` (or an equal one, if ``inclusive``).
+
+    Three levels as in ``prefix_sums``: buckets bring what came before them, and a bucket's own
+    rows are gone through in order. Nulls of ``name`` count for nothing; ``order`` is a number.
+    """
+    own = rows.columns
+    rows = _bucketed(rows.withColumn("_o", order), F.col("_o")).withColumn("_every", F.lit(0))
+    group = [*by, "_every"]
+    fine = rows.groupBy(*group, "_b1", "_b2").agg(F.max(name).alias("_m"))
+    coarse = fine.groupBy(*group, "_b1").agg(F.max("_m").alias("_m"))
+    earlier = lambda keys, at: F.max("_m").over(Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1))
+    heads = coarse.select(*group, "_b1", earlier(group, "_b1").alias("_base"))
+    fine = fine.unionByName(heads.withColumn("_b2", F.lit(-1)), allowMissingColumns=True)
+    key = [*group, "_b1"]
+    fine = fine.withColumn("_base", F.greatest(F.max("_base").over(Window.partitionBy(*key)), earlier(key, "_b2"))).where("_b2 >= 0")
+    both = rows.withColumn("_head", F.lit(1)).unionByName(fine.select(*key, "_b2", "_base", F.lit(0).alias("_head")), allowMissingColumns=True)
+    whole = Window.partitionBy(*key, "_b2")
+    value = F.when(F.col("_head") == 1, F.col(name))
+    run = whole.orderBy(F.col("_o").asc_nulls_first())  # a head has no order
+    inside = F.max(value).over(run.rangeBetween(Window.unboundedPreceding, Window.currentRow) if inclusive else run.rowsBetween(Window.unboundedPreceding, -1))
+    return both.withColumn(out, F.greatest(F.max("_base").over(whole), inside)).where("_head = 1").select(*own, out)
+
+
 def select_values(df: DataFrame, by: list[str], value: Column, weight: Column | None, targets: dict[str, tuple]) -> DataFrame:
     """One row per group: for each target the smallest value whose cumulative weight reaches it.
 

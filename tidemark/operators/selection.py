@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hash_int, holds
+from . import radix
 from .spread import CALENDAR, best_rows, calendar_rows, fits, position
 
 from pyspark.sql import Window
@@ -162,38 +163,68 @@ def near_miss_policies(metrics, gates: dict[str, tuple[str, str, float]], n=20)
     )
 
 
-def _skyline(frames):
-    """Rows of one task that no other row of it dominates; memory holds the front only."""
+#: Points that a task holds to prune with; the pruning needn't find all dominated ones.
+_PRUNERS = 256
+
+
+def _pruned(batches):
+    """Points of one task that none of its first good ones dominates: less to shuffle, nothing lost."""
     front = None
-    for pdf in frames:
-        both = pdf if front is None else pd.concat([front, pdf], ignore_index=True)
-        both = both.sort_values(list(both.columns), ascending=False, kind="stable")
-        v = both.to_numpy()
-        keep: list[int] = []
-        for i in range(len(v)):
-            k = v[keep]
-            if not len(k) or not ((k >= v[i]).all(axis=1) & (k > v[i]).any(axis=1)).any():
-                keep.append(i)
-        front = both.iloc[keep]
-    if front is not None:
-        yield front
+    for pdf in batches:
+        v = pdf.to_numpy()
+        if front is None:
+            front = v[np.argsort(-v.sum(axis=1), kind="stable")[:_PRUNERS]]
+        worse = np.zeros(len(v), bool)
+        for p in front:
+            worse |= (p >= v).all(axis=1) & (p > v).any(axis=1)
+        yield pdf[~worse]
+
+
+def _undominated(points: DataFrame, dims: list[str]) -> DataFrame:
+    """Distinct points that no other one is at least as large as in every dimension; one to three of these.
+
+    One: the largest. Two: down the first, the second must exceed all before it. Three: points
+    with equal firsts are two-dimensional; for the others the ranks of the firsts are halved again
+    and again, and on each level the half with larger firsts is laid over the other one, which is
+    two-dimensional too. A point is in one half a level, so ``n`` points make ``n log n`` rows.
+    """
+    if len(dims) == 1:
+        return points.agg(F.max(dims[0]).alias(dims[0])).where(F.col(dims[0]).isNotNull())
+    *keys, last = dims
+    best = points.groupBy(*keys).agg(F.max(last).alias(last))
+    above = radix.running_max(best, keys[:-1], -F.col(keys[-1]), last, "_above", inclusive=False)
+    best = above.where(F.col("_above").isNull() | (F.col(last) > F.col("_above"))).drop("_above")
+    if len(dims) == 2:
+        return best
+    first, second = keys
+    ranks = radix.prefix_sums(best.select((-F.col(first)).alias("_down")).distinct().withColumn("_one", F.lit(1)), [], "_down", ["_one"])
+    ranked = best.join(ranks, -F.col(first) == F.col("_down")).withColumn("_r", F.col("_one_before").cast("bigint"))
+    levels = F.sequence(F.lit(0), F.floor(F.log2(F.col("_one_total"))).cast("int"))
+    halved = ranked.select(*dims, "_r", F.explode(levels).alias("_level")).select(
+        *dims, "_level", F.expr("shiftright(_r, _level + 1)").alias("_block"), (F.expr("shiftright(_r, _level)") % 2 == 1).alias("_under"),
+    )
+    halved = halved.withColumn("_over", F.when(~F.col("_under"), F.col(last)))
+    covered = radix.running_max(halved, ["_level", "_block"], -F.col(second), "_over", "_above", inclusive=True)
+    gone = covered.where("_under").groupBy(*dims).agg(F.max((F.col("_above") >= F.col(last)).cast("int")).alias("_gone")).where("_gone = 1")
+    return best.join(gone, dims, "left_anti")
 
 
 def pareto_mask(df, maximise: list[str], out="efficient") -> DataFrame:
-    """Flag rows that no other row dominates.
+    """Flag rows that no other row dominates, in one to three measures; nulls are the worst value.
 
-    Each task reduces its distinct metric rows to a front, a few tasks reduce those, then
-    one. Dominance is transitive, so local fronts lose nothing and no pairs are formed.
+    Tasks first drop points that a few of their own dominate; what is left goes through prefix
+    maxima over value buckets (``_undominated``), so no task holds a front and no pairs are formed.
     """
+    if not 1 <= len(maximise) <= 3:
+        raise ValueError("one to three measures")
     low = F.lit(float("-inf"))
-    values = df.select(*[F.coalesce(F.col(c).cast("double"), low).alias(c) for c in maximise]).distinct()
-    schema = ", ".join(f"`{c}` double" for c in maximise)
-    front = values.mapInPandas(_skyline, schema)
-    front = front.repartition(4).mapInPandas(_skyline, schema).coalesce(1).mapInPandas(_skyline, schema)
-    marked = front.select(*[F.col(c).alias(f"_m_{c}") for c in maximise]).withColumn("_front", F.lit(True))
+    values = df.select(*[F.coalesce(F.col(c).cast("double"), low).alias(f"_m_{c}") for c in maximise]).distinct()
+    dims = values.columns
+    values = values.mapInPandas(_pruned, ", ".join(f"`{c}` double" for c in dims)).distinct()
+    marked = _undominated(values, dims).select(*dims, F.lit(True).alias("_front"))
     on = [F.coalesce(F.col(c).cast("double"), low) == F.col(f"_m_{c}") for c in maximise]
     joined = df.join(marked, reduce(lambda a, b: a & b, on), "left")
-    return joined.withColumn(out, F.col("_front").isNotNull()).drop("_front", *[f"_m_{c}" for c in maximise])
+    return joined.withColumn(out, F.col("_front").isNotNull()).drop("_front", *dims)
 
 
 def union_families(frames) -> DataFrame:
