@@ -102,8 +102,19 @@ def test_null_fails_every_gate(spark):
 
 def test_contract_checks_raise(spark):
     twice = spark.createDataFrame([(1, 2), (1, 3)], "k int, v int")
-    with pytest.raises(ValueError):
-        joins.left_join_checked(twice, twice, ["k"])
+    once = spark.createDataFrame([(1, 5), (2, 6)], "k int, w int")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup
+    before = len(jobs())
+    joined = joins.left_join_checked(once, twice, ["k"])
+    assert len(jobs()) == before  # nothing runs before the result is read
+    with pytest.raises(Exception, match="right side has 2 rows for 1"):
+        joined.collect()
+    assert joins.left_join_checked(twice, once, ["k"]).count() == 2
+    with pytest.raises(Exception, match="left side has 2 rows for 1"):
+        joins.left_join_checked(twice, once, ["k"], "1:1").collect()
+    assert joins.inner_join_identities(twice, once.where("k = 1"), ["k"]).columns == ["k", "v"]
+    with pytest.raises(Exception, match="missing identity 2"):
+        joins.inner_join_identities(twice, once, ["k"]).collect()
     with pytest.raises(ValueError):
         quality.assert_outcome_blind(spark.createDataFrame([(1,)], "net_return_pct int"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import all_of, clip, holds, log1p_floor, pct, ratio, share, signed_log
 from .aggregates import basket_rollup
-from .joins import lookback_join, prev_period_join, require_unique, shifted_days
+from .joins import lookback_join, prev_period_join, unique_rows, shifted_days
 from .spread import best_rows, group_values, measured_once, position, tie_ranks
 
 
@@ -92,7 +92,7 @@ def price_parity(df, a, b, max_bps, out="parity_ok") -> DataFrame:
 
 def auction_features(cands, auction, on=("code", "day"), price="price", ret="ret") -> DataFrame:
     """Opening-auction shape against the previous close implied by price and return."""
-    require_unique(auction, list(on), "auction")
+    auction = unique_rows(auction, list(on), "auction")
     a = auction.select(*on, *[F.col(c).alias(f"_a_{c}") for c in ("open", "high", "low", "close", "vwap", "amount", "vol")])
     df = cands.join(a, list(on), "left")
     c = {n: F.col(f"_a_{n}") for n in ("open", "high", "low", "close", "vwap", "amount", "vol")}
@@ -113,7 +113,7 @@ def auction_features(cands, auction, on=("code", "day"), price="price", ret="ret
 
 def moneyflow_shares(cands, flow, calendar, on=("code",), sizes=("sm", "lg"), large=("lg",), small="sm", net="net_flow") -> DataFrame:
     """Previous open day's signed flow by order size over gross flow."""
-    require_unique(flow, [*on, "day"], "flow")
+    flow = unique_rows(flow, [*on, "day"], "flow")
     df = prev_period_join(cands, flow, calendar, list(on))
     gross = sum((F.abs(F.col(f"{side}_{s}")) for s in sizes for side in ("buy", "sell")), F.lit(0.0))
     diff = {s: F.col(f"buy_{s}") - F.col(f"sell_{s}") for s in sizes}
@@ -138,7 +138,7 @@ def cost_distribution_features(cands, cost, calendar, on=("code",), price="price
 
     A ladder counts when complete, non-decreasing and with a sane average and winner rate.
     """
-    require_unique(cost, [*on, "day"], "cost")
+    cost = unique_rows(cost, [*on, "day"], "cost")
     steps = [F.col(b) >= F.col(a) for a, b in zip(LADDER, LADDER[1:])]
     checked = cost.withColumn("_ok", all_of([*steps, F.col("weight_avg") > 0, F.col("winner_rate").between(0, 100)]))
     df = prev_period_join(cands, checked, calendar, list(on))
@@ -164,7 +164,7 @@ def cost_distribution_features(cands, cost, calendar, on=("code",), price="price
 def margin_features(cands, margin, calendar, on=("code",)) -> DataFrame:
     """Financing and short balances of T-1, their flows and change from T-2."""
     fields = ("fin_balance", "short_balance", "total_balance", "fin_buy", "fin_repay", "short_sell", "short_repay")
-    require_unique(margin, [*on, "day"], "margin")
+    margin = unique_rows(margin, [*on, "day"], "margin")
     now = margin.select(*on, "day", *[F.col(f).alias(f"_n_{f}") for f in fields])
     old = margin.select(*on, "day", *[F.col(f).alias(f"_o_{f}") for f in fields[:2]])
     df = prev_period_join(cands, now, calendar, list(on)).drop("source_day")

@@ -4,35 +4,38 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import holds
 from .spread import running
 
 
-def require_unique(df: DataFrame, on: list[str], side: str) -> None:
-    """Key-only check with map-side combine; raises with one example."""
-    bad = df.groupBy(*on).count().filter("count > 1").first()
-    if bad is not None:
-        raise ValueError(f"{side} side has {bad['count']} rows for {[bad[c] for c in on]}")
+def unique_rows(df: DataFrame, on: list[str], side: str) -> DataFrame:
+    """``df``, failing when it is read if a key has more than one row; no job of its own.
+
+    The count is a window over the join's own keys, so the join needs no further shuffle.
+    """
+    n = F.count(F.lit(1)).over(Window.partitionBy(*on))
+    key = F.concat_ws(", ", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in on])
+    message = F.concat(F.lit(f"{side} side has "), n.cast("string"), F.lit(" rows for "), key)
+    return df.withColumn("_one", F.when(n > 1, F.raise_error(message)).otherwise(F.lit(True))).where("_one").drop("_one")
 
 
 def left_join_checked(left, right, on, validate="m:1") -> DataFrame:
     if validate not in ("1:1", "m:1"):
         raise ValueError(f"unknown cardinality {validate}")
-    require_unique(right, on, "right")
     if validate == "1:1":
-        require_unique(left, on, "left")
-    return left.join(right, on, "left")
+        left = unique_rows(left, on, "left")
+    return left.join(unique_rows(right, on, "right"), on, "left")
 
 
 def inner_join_identities(left, ids, on) -> DataFrame:
-    """Restrict to the required identities; fail when one has no row."""
-    lost = ids.select(*on).distinct().join(left, on, "left_anti").first()
-    if lost is not None:
-        raise ValueError(f"missing identity {[lost[c] for c in on]}")
-    return left.join(ids.select(*on).distinct(), on, "inner")
+    """Restrict to the required identities; reading it fails when one has no row."""
+    found = ids.select(*on).distinct().join(left.withColumn("_hit", F.lit(True)), on, "left")
+    key = F.concat_ws(", ", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in on])
+    lost = F.raise_error(F.concat(F.lit("missing identity "), key))
+    return found.withColumn("_hit", F.when(F.col("_hit").isNull(), lost).otherwise(F.col("_hit"))).where("_hit").select(*left.columns)
 
 
 def outer_join_families(frames, on) -> DataFrame:
@@ -176,16 +179,13 @@ def lookback_join(left, events, calendar, by, k, day="day") -> DataFrame:
 
 
 def time_aligned_pair_join(a, b, on) -> DataFrame:
-    require_unique(a, on, "first")
-    require_unique(b, on, "second")
-    return a.join(b, on)
+    return unique_rows(a, on, "first").join(unique_rows(b, on, "second"), on)
 
 
 def mapped_code_join(series, mapping, specs, day="day", code="code") -> DataFrame:
     """Generic code to the day's dated contract to its series; a mapping must be unique."""
-    require_unique(mapping, [day, "generic"], "mapping")
     return (
-        specs.join(mapping, "generic").join(
+        specs.join(unique_rows(mapping, [day, "generic"], "mapping"), "generic").join(
             series.withColumnRenamed(code, "contract"), [day, "contract"], "left"
         )
     )

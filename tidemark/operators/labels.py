@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import all_of, holds, pct, ratio
-from .joins import require_unique
+from .joins import unique_rows
 from .spread import group_table, group_values, measured_once, percentile_ranks
 
 
@@ -196,7 +196,7 @@ def materialize_contract(df, net, fill, name, cfg: Execution) -> DataFrame:
 def truth_hydration(pending, truth, on, due, asof, cols) -> DataFrame:
     """Fill NULL outcome columns from published truth whose due day has come."""
     facts = truth.select(*on, *[F.col(c).alias(f"_t_{c}") for c in cols])
-    require_unique(facts, on, "truth")
+    facts = unique_rows(facts, on, "truth")
     joined = pending.join(facts, on, "left")
     ready = F.col(due) <= F.to_date(F.lit(asof))
     filled = joined.withColumns(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import all_of, clip, holds, pct, ratio, share
-from .joins import require_unique
+from .joins import unique_rows
 from .spread import average_ranks, best_rows, group_values, measured_once, nearby, position, running
 
 INTRADAY = ("open", "high", "low", "close", "amount", "vol")
@@ -370,7 +370,7 @@ def futures_daily_features(fut, index, mapping, family="family", day="day", code
 
     ``mapping`` names the day's main contract. The next term is the nearest later month.
     """
-    require_unique(mapping, [day, family], "mapping")
+    mapping = unique_rows(mapping, [day, family], "mapping")
     f = nearby(fut, [day, family], [F.col(month)], lambda w: {"_next": F.lead("settle").over(w)}, back=0, ahead=1)
     f = group_values(f, [day, family], {"_oi": F.sum(F.greatest("oi", F.lit(0)))})
     main = f.join(mapping.select(day, family, F.col("main").alias(code)), [day, family, code])
@@ -449,8 +449,8 @@ def previous_limit_flags(daily, limits, cands, calendar, tick=0.005, on=("code",
     from .joins import prev_period_join
 
     keys = [*on, "day"]
-    require_unique(daily, keys, "daily")
-    require_unique(limits, keys, "limits")
+    daily = unique_rows(daily, keys, "daily")
+    limits = unique_rows(limits, keys, "limits")
     bound = F.col("up_limit")
     flags = daily.join(limits.select(*keys, "up_limit"), keys).select(
         *keys, holds((bound > 0) & (F.col("close") >= bound - tick)).alias("prev_closed_limit"),

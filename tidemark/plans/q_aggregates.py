@@ -150,8 +150,8 @@ def _(t):
     return op.loss_concentration(t.scored, "net", by=["fold"])
 
 
-@query("score_quantile_summary", "score:s n:i min:r q01:r q50:r q95:r q99:r max:r",
-       " UNION ALL ".join(f"""SELECT '{c}' AS score, count({c}) AS n, min({c}) AS min, quantile_cont({c}, 0.01) AS q01, quantile_cont({c}, 0.5) AS q50, quantile_cont({c}, 0.95) AS q95,
+@query("score_quantile_summary", "score:s n:i min:r q01:r q05:r q25:r q50:r q75:r q95:r q99:r max:r",
+       " UNION ALL ".join(f"""SELECT '{c}' AS score, count({c}) AS n, min({c}) AS min, quantile_cont({c}, 0.01) AS q01, quantile_cont({c}, 0.05) AS q05, quantile_cont({c}, 0.25) AS q25, quantile_cont({c}, 0.5) AS q50, quantile_cont({c}, 0.75) AS q75, quantile_cont({c}, 0.95) AS q95,
        quantile_cont({c}, 0.99) AS q99, max({c}) AS max FROM scored""" for c in ("p", "q", "net")))
 def _(t):
     return op.score_quantile_summary(t.scored, ["p", "q", "net"])

@@ -33,10 +33,10 @@ ctx AS (SELECT *, median(ret_from_prev_close) OVER w AS market_return, avg(coale
 lab AS (SELECT *, (exit_price / (price * 1.001::DOUBLE) - 1) * 100 - 0.25::DOUBLE AS cnet, NOT entry_ok OR (truth AND (coalesce(exit_price > 0, false) OR NOT exit_ok)) AS label_available FROM ctx),
 res AS (SELECT *, CASE WHEN eligible AND entry_ok AND exit_ok AND label_available THEN cnet WHEN label_available AND NOT entry_ok THEN 0 WHEN label_available AND entry_ok AND NOT exit_ok THEN -10 END AS net_return,
   CASE WHEN label_available THEN (eligible AND entry_ok AND exit_ok AND cnet > 0)::INT END AS target_positive FROM lab)
-SELECT * FROM res"""
+SELECT *, CASE WHEN label_available THEN ((entry_ok AND NOT exit_ok) OR (eligible AND entry_ok AND exit_ok AND cnet <= -2))::INT END AS target_severe, {pr('net_all', src='res')} AS net_rank FROM (SELECT *, CASE WHEN eligible AND label_available THEN net_return END AS net_all FROM res) res"""
 
 
-@query("causal_panel", "day:d slot:s code:i price:r ret_from_prev_close:r gap_open:r prev_5d_return:r prev_20d_volatility:r amount_ratio:r path_return:r path_max_drawdown:r industry:i market_return:r market_breadth_0:r industry_return:r return_rank:r amount_rank:r entry_ok:b exit_ok:b label_available:b net_return:r target_positive:i", PANEL)
+@query("causal_panel", "day:d slot:s code:i price:r ret_from_prev_close:r gap_open:r prev_5d_return:r prev_20d_volatility:r amount_ratio:r path_return:r path_max_drawdown:r industry:i market_return:r market_breadth_0:r industry_return:r return_rank:r amount_rank:r entry_ok:b exit_ok:b label_available:b net_return:r target_positive:i target_severe:i net_rank:r", PANEL)
 def _(t):
     return causal_panel(sources(t), CFG)
 

@@ -19,14 +19,16 @@ def wilson(w, n, side):
 PF = "CASE WHEN sum(net) FILTER (WHERE net < 0) < 0 THEN coalesce(sum(net) FILTER (WHERE net > 0), 0) / -sum(net) FILTER (WHERE net < 0) WHEN sum(net) FILTER (WHERE net > 0) > 0 THEN 'inf'::DOUBLE ELSE 0 END"
 
 
-@query("performance_summary", "slot:s events:i trade_days:i wins:i win_rate:r wilson_lower:r wilson_upper:r mean_net:r median_net:r worst_net:r severe_rate:r profit_factor:r entry_fill_rate:r exit_fill_rate:r stress_50:r day_equal_mean:r day_win_rate:r max_drawdown:r",
+@query("performance_summary", "slot:s events:i trade_days:i wins:i win_rate:r wilson_lower:r wilson_upper:r mean_net:r median_net:r worst_net:r best_net:r severe_rate:r profit_factor:r entry_fill_rate:r exit_fill_rate:r stress_50:r day_equal_mean:r day_win_rate:r log_compounded:r max_drawdown:r",
        f"""SELECT * FROM (SELECT slot, count(*) AS events, count(DISTINCT day) AS trade_days, sum(win::INT) AS wins, avg(win::INT) AS win_rate, {wilson('sum(win::INT)', 'count(*)', 'lower')} AS wilson_lower,
-       {wilson('sum(win::INT)', 'count(*)', 'upper')} AS wilson_upper, avg(net) AS mean_net, median(net) AS median_net, min(net) AS worst_net, avg((net <= -2)::INT) AS severe_rate, {PF} AS profit_factor,
+       {wilson('sum(win::INT)', 'count(*)', 'upper')} AS wilson_upper, avg(net) AS mean_net, median(net) AS median_net, min(net) AS worst_net, max(net) AS best_net, avg((net <= -2)::INT) AS severe_rate, {PF} AS profit_factor,
        avg(entry_ok::INT) AS entry_fill_rate, sum((entry_ok AND exit_ok)::INT)::DOUBLE / sum(entry_ok::INT) AS exit_fill_rate, avg(net - 0.15::DOUBLE * entry_ok::INT) AS stress_50 FROM scored GROUP BY slot)
-       JOIN (SELECT slot, avg(m) AS day_equal_mean, avg((m > 0)::INT) AS day_win_rate, min((e / greatest(pk, 1) - 1) * 100) AS max_drawdown FROM (SELECT *, max(e) OVER (PARTITION BY slot ORDER BY day) AS pk FROM (
+       JOIN (SELECT slot, avg(m) AS day_equal_mean, avg((m > 0)::INT) AS day_win_rate, ln(arg_max(e, day)) AS log_compounded, min((e / greatest(pk, 1) - 1) * 100) AS max_drawdown FROM (SELECT *, max(e) OVER (PARTITION BY slot ORDER BY day) AS pk FROM (
        SELECT *, product(1 + m / 100) OVER (PARTITION BY slot ORDER BY day) AS e FROM (SELECT slot, day, avg(net) AS m FROM scored GROUP BY slot, day))) GROUP BY slot) USING (slot)""")
 def _(t):
-    return op.performance_summary(t.scored, ["slot"], "day", "net")
+    out = op.performance_summary(t.scored, ["slot"], "day", "net")
+    # the synthetic returns compound to some 1e55, so the exponent is compared
+    return out.withColumn("log_compounded", F.log1p("compounded"))
 
 
 @query("wilson_interval", "code:i wilson_lower:r wilson_upper:r",
@@ -181,13 +183,13 @@ def _(t):
 RANKED = "SELECT day, net, row_number() OVER (PARTITION BY day ORDER BY p DESC, slot, code) AS r FROM scored"
 
 
-@query("rank_monotonicity", "ordered_pairs:i mean_1:r mean_5:r complete_days:i slope_mean:r spread_mean:r slope_lower:r slope_upper:r p_slope_negative:r",
+@query("rank_monotonicity", "ordered_pairs:i mean_1:r mean_2:r mean_3:r mean_4:r mean_5:r complete_days:i slope_mean:r spread_mean:r slope_lower:r slope_upper:r p_slope_negative:r",
        f"""WITH k AS (SELECT * FROM ({RANKED}) WHERE r <= 5), a AS (SELECT r, avg(net) AS m FROM k GROUP BY r),
        w AS (SELECT day, sum(net * (r - 3) / 10.0::DOUBLE) AS slope, max(net) FILTER (WHERE r = 1) - max(net) FILTER (WHERE r = 5) AS spread FROM k GROUP BY day HAVING count(*) = 5),
        d AS (SELECT *, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n FROM w),
        x AS (SELECT s, ({draw('n', 9)} + k) % n AS i FROM (SELECT DISTINCT n FROM d), range(2000) a(s), range(CAST(ceil(n / 5.0) AS BIGINT)) c(b), range(5) e(k) WHERE b * 5 + k < n),
        v AS (SELECT s, avg(slope) AS v FROM x JOIN d USING (i) GROUP BY s)
-       SELECT (SELECT sum((m >= nx)::INT) FROM (SELECT m, lead(m) OVER (ORDER BY r) AS nx FROM a)) AS ordered_pairs, (SELECT m FROM a WHERE r = 1) AS mean_1, (SELECT m FROM a WHERE r = 5) AS mean_5,
+       SELECT (SELECT sum((m >= nx)::INT) FROM (SELECT m, lead(m) OVER (ORDER BY r) AS nx FROM a)) AS ordered_pairs, (SELECT m FROM a WHERE r = 1) AS mean_1, (SELECT m FROM a WHERE r = 2) AS mean_2, (SELECT m FROM a WHERE r = 3) AS mean_3, (SELECT m FROM a WHERE r = 4) AS mean_4, (SELECT m FROM a WHERE r = 5) AS mean_5,
        (SELECT count(*) FROM w) AS complete_days, (SELECT avg(slope) FROM w) AS slope_mean, (SELECT avg(spread) FROM w) AS spread_mean, quantile_cont(v, 0.025) AS slope_lower, quantile_cont(v, 0.975) AS slope_upper, avg((v < 0)::INT) AS p_slope_negative FROM v""")
 def _(t):
     ranked = windows.cs_first_rank(t.scored, ["day"], "p", ["slot", "code"], "r")
