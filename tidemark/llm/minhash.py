@@ -115,10 +115,11 @@ def candidate_edges(sketches: DataFrame, scratch: Scratch) -> DataFrame:
     mine = posted.join(shared, "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("ts"))
     mine = mine.where(F.size("ts") >= MATCHES)
     prefix = F.slice("ts", F.lit(1), F.size("ts") - (MATCHES - 1))
-    lists = mine.select("id", F.explode(prefix).alias("x")).select("id", "x.t")
-    lists = scratch.cut(lists.join(sketches.select("id", "sig"), "id"), "lists")
+    lists = scratch.cut(mine.select("id", F.explode(prefix).alias("x")).select("id", "x.t"), "lists")
     sizes = lists.groupBy("t").agg(F.count("*").alias("n")).where("n > 1")
-    tiles = deal_to_tiles(lists.join(sizes, "t"), F.ceil(F.col("n") / TILE_ROWS).cast("long"))
+    # signatures come in last, so that they are shuffled once and only with lists of two or more
+    wide = lists.join(sizes, "t").join(sketches.select("id", "sig"), "id")
+    tiles = deal_to_tiles(wide, F.ceil(F.col("n") / TILE_ROWS).cast("long"))
 
     lists = tiles.select("t", "_i", "_j", "id", "sig").repartition("t", "_i", "_j").sortWithinPartitions("t", "_i", "_j", "id")
     return lists.mapInArrow(_count, "a long, b long")
