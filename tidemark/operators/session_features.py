@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import all_of, clip, holds, pct, ratio, share
-from .joins import unique_rows
+from .joins import asof_join_backward, bounded_array, unique_rows
 from .spread import average_ranks, best_rows, group_values, measured_once, nearby, position, running
 
+#: Bars of one session at most: one a minute for a whole day.
+SESSION_BARS = 1440
 INTRADAY = ("open", "high", "low", "close", "amount", "vol")
 
 
@@ -21,38 +23,39 @@ def _session(bars, by, start=None, time="ts") -> DataFrame:
     return b.withColumns(floored)
 
 
-def _visible(cands, session, pk, by, cutoff) -> DataFrame:
-    """Session rows up to each candidate's cutoff with their number ``_n``.
+class _Upto:
+    """Values of a session up to a bar: running aggregates, bars back, and spans counted from it."""
 
-    Everything that looks back only from a bar is computed per bar before this join, once
-    for all candidates of the stock-day.
-    """
-    keys = cands.select(*pk, F.col(cutoff).alias("_cut"))
-    seen = keys.join(session, list(by)).filter(F.col("_ts") <= F.col("_cut"))
-    return group_values(seen, list(pk), {"_n": F.max("_i")})
+    def __init__(self, by: list[str]):
+        self.order = Window.partitionBy(*by).orderBy("_ts")
+        self.run = self.order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
+    def __call__(self, value: Column) -> Column:
+        return value.over(self.run)
 
-def _last(value, k=0) -> Column:
-    """Value of the k-th bar from the end."""
-    return F.max(F.when(F.col("_n") - F.col("_i") == k, value if isinstance(value, Column) else F.col(value)))
+    def back(self, name: str, k: int) -> Column:
+        return F.lag(name, k).over(self.order)
 
+    def span(self, value: Column, lo: int, hi: int | None) -> Column:
+        """Over bars ``lo .. hi - 1`` counted back from this one; to the session's start without ``hi``."""
+        return value.over(self.order.rowsBetween(Window.unboundedPreceding if hi is None else 1 - hi, -lo))
 
-def _first(value) -> Column:
-    return F.max(F.when(F.col("_i") == 1, F.col(value)))
+    def pearson(self, a: Column, b: Column) -> Column:
+        return F.try_divide(self(F.covar_pop(a, b)), self(F.stddev_pop(a)) * self(F.stddev_pop(b)))
 
 
-def _pearson(a: Column, b: Column) -> Column:
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+def _picked(keys, feats, by, cutoff, names) -> DataFrame:
+    """Each candidate with the running values of its last visible bar."""
+    return asof_join_backward(keys, feats, by, cutoff, "_ts", names).drop("asof_time", "lag_minutes")
 
 
-def _tail_sum(value, n) -> Column:
-    return F.sum(F.when(F.col("_n") - F.col("_i") < n, F.col(value)))
+def _last(value, k=0) -> Column:
+    """Value of the k-th bar from the end."""
+    return F.max(F.when(F.col("_n") - F.col("_i") == k, value if isinstance(value, Column) else F.col(value)))
 
 
-def _span_mean(value, lo, hi) -> Column:
-    """Mean over bars lo..hi-1 counted from the end."""
-    back = F.col("_n") - F.col("_i")
-    return F.avg(F.when((back >= lo) & (back < hi), F.col(value)))
+def _pearson(a: Column, b: Column) -> Column:
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
 @measured_once
@@ -79,51 +82,54 @@ def _with_streaks(df, by) -> DataFrame:
 
 
 def minute_microstructure(cands, bars, pk, by=("code", "day"), cutoff="cutoff", start="13:55", base="14:00") -> DataFrame:
-    """Shape of the minute bars from ``start`` to the cutoff, one row per candidate."""
+    """Shape of the minute bars from ``start`` to the cutoff, one row per candidate.
+
+    What a candidate sees is the session up to one bar, so every feature is a running value of
+    the session, kept bar by bar, and a candidate picks the row of its last visible bar.
+    """
     by = list(by)
     session = _with_streaks(_numbered(_session(bars, by, start), by), by)
-    df = _visible(cands, session, pk, by, cutoff)
-    r, amount = F.col("_r"), F.col("amount")
-    n = F.count(F.lit(1))
-    total, volume = F.sum("amount"), F.sum("vol")
-    close, low, high = _last("close"), F.min("low"), F.max("high")
+    see = _Upto(by)
+    r, amount, close = F.col("_r"), F.col("amount"), F.col("close")
+    n, total, volume = see(F.count(F.lit(1))), see(F.sum("amount")), see(F.sum("vol"))
+    low, high = see(F.min("low")), see(F.max("high"))
     both = F.col("_pr").isNotNull() & r.isNotNull()
     lost = F.when(r < 0, r)
-    m = F.count(r)
-    move = F.abs(F.col("close") - F.col("_pc"))
+    m = see(F.count(r))
+    move = F.abs(close - F.col("_pc"))
     aggs = {
         "m_rows": n,
-        "m_zero_amount_share": F.avg(share(amount <= 0)),
-        **{f"m_ret_{k}": pct(close, _last("close", k)) for k in (1, 3, 5, 10)},
-        "m_ret_from_base": pct(close, F.max(F.when(F.date_format("_ts", "HH:mm") == base, F.col("close")))),
-        "m_volatility": F.stddev_pop(r) * 100,
-        "m_downside_volatility": F.when(F.count(lost) >= 2, F.stddev_pop(lost) * 100).otherwise(0.0),
-        "m_skew": F.when(m >= 3, F.when(F.stddev_pop(r) > 0, F.skewness(r) * F.sqrt(m * (m - 1)) / (m - 2)).otherwise(0.0)),
-        "m_autocorr": F.when(m >= 4, _pearson(F.when(both, r), F.when(both, F.col("_pr")))),
-        "m_efficiency": F.coalesce(ratio(close - _first("close"), F.sum(move)), F.lit(0.0)),
-        "m_max_drawdown": F.min(pct("close", "_peak")),
+        "m_zero_amount_share": see(F.avg(share(amount <= 0))),
+        **{f"m_ret_{k}": pct(close, see.back("close", k)) for k in (1, 3, 5, 10)},
+        "m_ret_from_base": pct(close, see(F.max(F.when(F.date_format("_ts", "HH:mm") == base, close)))),
+        "m_volatility": see(F.stddev_pop(r)) * 100,
+        "m_downside_volatility": F.when(see(F.count(lost)) >= 2, see(F.stddev_pop(lost)) * 100).otherwise(0.0),
+        "m_skew": F.when(m >= 3, F.when(see(F.stddev_pop(r)) > 0, see(F.skewness(r)) * F.sqrt(m * (m - 1)) / (m - 2)).otherwise(0.0)),
+        "m_autocorr": F.when(m >= 4, see.pearson(F.when(both, r), F.when(both, F.col("_pr")))),
+        "m_efficiency": F.coalesce(ratio(close - see(F.max(F.when(F.col("_i") == 1, close))), see(F.sum(move))), F.lit(0.0)),
+        "m_max_drawdown": see(F.min(pct("close", "_peak"))),
         "m_rebound": F.when(low > 0, pct(close, low)),
         "m_reversal": F.when(high > 0, pct(close, high)),
-        "m_up_share": F.avg(F.when(r.isNotNull(), share(r > 0))),
-        "m_down_share": F.avg(F.when(r.isNotNull(), share(r < 0))),
-        "m_max_up_streak": F.coalesce(F.max(F.when(r > 0, F.col("_i") - F.coalesce("_not_up", F.lit(0)))), F.lit(0)),
-        "m_max_down_streak": F.coalesce(F.max(F.when(r < 0, F.col("_i") - F.coalesce("_not_down", F.lit(0)))), F.lit(0)),
-        "m_imbalance": F.when(total > 0, ratio(F.sum(F.signum(F.coalesce(r, F.lit(0.0))) * amount), total)),
-        "m_amihud": F.avg(ratio(F.abs(r), amount)) * 1e8,
-        "m_concentration": F.coalesce(ratio(F.sum(amount * amount), total * total), F.lit(0.0)),
-        **{f"m_last{k}_share": F.coalesce(ratio(_tail_sum("amount", k), total), F.lit(0.0)) for k in (3, 5)},
-        "m_acceleration": F.when(n >= 10, F.when(_span_mean("amount", 5, 10) > 0, ratio(_span_mean("amount", 0, 5), _span_mean("amount", 5, 10)))),
-        "m_vwap_gap": pct(close, F.when(volume > 0, ratio(F.sum(F.col("close") * F.col("vol")), volume)).otherwise(F.avg("close"))),
+        "m_up_share": see(F.avg(F.when(r.isNotNull(), share(r > 0)))),
+        "m_down_share": see(F.avg(F.when(r.isNotNull(), share(r < 0)))),
+        "m_max_up_streak": F.coalesce(see(F.max(F.when(r > 0, F.col("_i") - F.coalesce("_not_up", F.lit(0))))), F.lit(0)),
+        "m_max_down_streak": F.coalesce(see(F.max(F.when(r < 0, F.col("_i") - F.coalesce("_not_down", F.lit(0))))), F.lit(0)),
+        "m_imbalance": F.when(total > 0, ratio(see(F.sum(F.signum(F.coalesce(r, F.lit(0.0))) * amount)), total)),
+        "m_amihud": see(F.avg(ratio(F.abs(r), amount))) * 1e8,
+        "m_concentration": F.coalesce(ratio(see(F.sum(amount * amount)), total * total), F.lit(0.0)),
+        **{f"m_last{k}_share": F.coalesce(ratio(see.span(F.sum("amount"), 0, k), total), F.lit(0.0)) for k in (3, 5)},
+        "m_acceleration": F.when(n >= 10, F.when(see.span(F.avg("amount"), 5, 10) > 0, ratio(see.span(F.avg("amount"), 0, 5), see.span(F.avg("amount"), 5, 10)))),
+        "m_vwap_gap": pct(close, F.when(volume > 0, ratio(see(F.sum(close * F.col("vol"))), volume)).otherwise(see(F.avg("close")))),
         "m_close_position": F.when(high - low > 0, ratio(close - low, high - low)).otherwise(0.5),
-        "m_upper_wick": F.avg(ratio(F.col("high") - F.greatest("open", "close"), F.abs("close"))) * 100,
-        "m_lower_wick": F.avg(ratio(F.least("open", "close") - F.col("low"), F.abs("close"))) * 100,
-        "m_high_breaks": F.sum(share(F.col("high") > F.col("_ph"))),
-        "m_low_breaks": F.sum(share(F.col("low") < F.col("_pl"))),
-        "m_last5_vs_prior5": F.when(n >= 11, (ratio(close, _last("close", 5)) - ratio(_last("close", 5), _last("close", 10))) * 100),
-        "m_latest_time": F.max("_ts"),
+        "m_upper_wick": see(F.avg(ratio(F.col("high") - F.greatest("open", "close"), F.abs("close")))) * 100,
+        "m_lower_wick": see(F.avg(ratio(F.least("open", "close") - F.col("low"), F.abs("close")))) * 100,
+        "m_high_breaks": see(F.sum(share(F.col("high") > F.col("_ph")))),
+        "m_low_breaks": see(F.sum(share(F.col("low") < F.col("_pl")))),
+        "m_last5_vs_prior5": F.when(n >= 11, (ratio(close, see.back("close", 5)) - ratio(see.back("close", 5), see.back("close", 10))) * 100),
+        "m_latest_time": F.col("_ts"),
     }
-    feats = df.groupBy(*pk).agg(*[c.alias(k) for k, c in aggs.items()])
-    return cands.select(*pk).join(feats, list(pk), "left").na.fill(0, ["m_rows"])
+    feats = session.select(*by, "_ts", *[c.alias(k) for k, c in aggs.items()])
+    return _picked(cands.select(*pk, cutoff), feats, by, cutoff, list(aggs)).drop(cutoff).na.fill(0, ["m_rows"])
 
 
 def _gain(a, b) -> Column:
@@ -158,40 +164,37 @@ def full_session_path(cands, bars, pk, by=("code", "day"), cutoff="cutoff", expe
     """
     pk = list(pk)
     session = _segments(_numbered(_session(bars, list(by)), list(by)), list(by), lunch, opening, late)
-    df = _visible(cands, session, pk, by, cutoff)
-    df = group_values(df, pk, {"_tot": F.sum("amount"), "_wp": F.sum(F.col("close") * F.col("amount")), "_ac": F.avg("close")})
-    df = df.withColumn("_vwap", F.when(F.col("_tot") > 0, ratio("_wp", "_tot")).otherwise(F.col("_ac")))
-    r, amount, zero = F.col("_r"), F.col("amount"), F.lit(0.0)
-    n, total = F.count(F.lit(1)), F.max("_tot")
-    close, first_open, hi, lo = _last("close"), _first("open"), F.max("high"), F.min("low")
+    see = _Upto(list(by))
+    r, amount, zero, close = F.col("_r"), F.col("amount"), F.lit(0.0), F.col("close")
+    n, total = F.col("_i"), see(F.sum("amount"))
+    vwap = F.when(total > 0, ratio(see(F.sum(close * amount)), total)).otherwise(see(F.avg("close")))
+    first_open, hi, lo = see(F.max(F.when(F.col("_i") == 1, F.col("open")))), see(F.max("high")), see(F.min("low"))
 
     def inside(flag, value):
         return F.when(F.col(flag), value if isinstance(value, Column) else F.col(value))
 
     def seg_ret(flag):
-        return _gain(F.max_by(inside(flag, "close"), inside(flag, "_i")), F.min_by(inside(flag, "open"), inside(flag, "_i")))
+        return _gain(see(F.max_by(inside(flag, "close"), inside(flag, "_i"))), see(F.min_by(inside(flag, "open"), inside(flag, "_i"))))
 
     def seg_imb(s):
-        signed = F.sum(F.signum(F.col(f"_r_{s}")) * amount)
-        return F.coalesce(ratio(signed, F.sum(inside(f"_{s}", "amount"))), zero)
+        signed = see(F.sum(F.signum(F.col(f"_r_{s}")) * amount))
+        return F.coalesce(ratio(signed, see(F.sum(inside(f"_{s}", "amount")))), zero)
 
-    def dev(value):
-        return F.when(F.count(value) >= 2, F.stddev_pop(value)).otherwise(zero)
+    def dev(value, lo=0, hi=None):
+        return F.when(see.span(F.count(value), lo, hi) >= 2, see.span(F.stddev_pop(value), lo, hi)).otherwise(zero)
 
-    back = F.col("_n") - F.col("_i")
-    recent_sd = dev(F.when(back < recent, r))
-    enough = F.col("_n") >= 2 * recent
-    prior_sd = dev(F.when((back >= recent) & (~enough | (back < 2 * recent)), r))
+    recent_sd = dev(r, 0, recent)
+    prior_sd = F.when(n >= 2 * recent, dev(r, recent, 2 * recent)).otherwise(dev(r, recent))
     half = recent // 2
-    amt_recent, amt_prior = _tail_sum("amount", half), F.when(n >= recent, F.sum(F.when((back >= half) & (back < recent), amount))).otherwise(zero)
-    hi_at = F.min_by(F.col("_i"), F.struct(-F.col("high"), F.col("_i"))) - 1
-    lo_at = F.min_by(F.col("_i"), F.struct(F.col("low"), F.col("_i"))) - 1
+    amt_recent, amt_prior = see.span(F.sum("amount"), 0, half), F.when(n >= recent, see.span(F.sum("amount"), half, recent)).otherwise(zero)
+    hi_at = see(F.min_by(F.col("_i"), F.struct(-F.col("high"), F.col("_i")))) - 1
+    lo_at = see(F.min_by(F.col("_i"), F.struct(F.col("low"), F.col("_i")))) - 1
     span = F.greatest(n - 1, F.lit(1))
     both = F.when(F.col("_i") > 1, r)
     lagged = F.when(F.col("_i") > 1, F.col("_pr"))
     am, pm = seg_imb("am"), seg_imb("pm")
-    am_close = F.max_by(inside("_am", "close"), inside("_am", "_i"))
-    pm_open = F.min_by(inside("_pm", "open"), inside("_pm", "_i"))
+    am_close = see(F.max_by(inside("_am", "close"), inside("_am", "_i")))
+    pm_open = see(F.min_by(inside("_pm", "open"), inside("_pm", "_i")))
     aggs = {
         "s_rows": n,
         "s_return": _gain(close, first_open),
@@ -200,39 +203,46 @@ def full_session_path(cands, bars, pk, by=("code", "day"), cutoff="cutoff", expe
         "s_afternoon_return": seg_ret("_pm"),
         "s_lunch_gap": _gain(pm_open, am_close),
         "s_late_return": seg_ret("_late"),
-        "s_morning_range": _gain(F.max(inside("_am", "high")), F.min(inside("_am", "low"))),
-        "s_afternoon_range": _gain(F.max(inside("_pm", "high")), F.min(inside("_pm", "low"))),
+        "s_morning_range": _gain(see(F.max(inside("_am", "high"))), see(F.min(inside("_am", "low")))),
+        "s_afternoon_range": _gain(see(F.max(inside("_pm", "high"))), see(F.min(inside("_pm", "low")))),
         "s_volatility": dev(r) * 100,
         "s_downside_volatility": dev(F.when(r < 0, r)) * 100,
-        "s_efficiency": F.when(first_open > 0, F.coalesce(ratio(F.abs(ratio(close, first_open) - 1), F.sum(F.abs(r))), zero)).otherwise(zero),
-        "s_max_drawdown": F.min(pct("close", "_peak")),
+        "s_efficiency": F.when(first_open > 0, F.coalesce(ratio(F.abs(ratio(close, first_open) - 1), see(F.sum(F.abs(r)))), zero)).otherwise(zero),
+        "s_max_drawdown": see(F.min(pct("close", "_peak"))),
         "s_rebound": _gain(close, lo),
         "s_reversal": _gain(close, hi),
-        "s_vwap_gap": _gain(close, F.max("_vwap")),
-        "s_above_vwap_share": F.avg(share(F.col("close") > F.col("_vwap"))),
+        "s_vwap_gap": _gain(close, vwap),
         "s_close_position": F.when(hi - lo > 0, clip(ratio(close - lo, hi - lo), 0.0, 1.0)).otherwise(0.5),
-        "s_opening_share": F.coalesce(ratio(F.sum(inside("_op", "amount")), total), zero),
-        "s_morning_share": F.coalesce(ratio(F.sum(inside("_am", "amount")), total), zero),
-        "s_recent_share": F.coalesce(ratio(_tail_sum("amount", recent), total), zero),
+        "s_opening_share": F.coalesce(ratio(see(F.sum(inside("_op", "amount"))), total), zero),
+        "s_morning_share": F.coalesce(ratio(see(F.sum(inside("_am", "amount"))), total), zero),
+        "s_recent_share": F.coalesce(ratio(see.span(F.sum("amount"), 0, recent), total), zero),
         "s_acceleration": F.when(amt_prior > 0, ratio(amt_recent, amt_prior) - 1).otherwise(zero),
-        "s_imbalance": F.coalesce(ratio(F.sum(F.signum(r) * amount), total), zero),
+        "s_imbalance": F.coalesce(ratio(see(F.sum(F.signum(r) * amount)), total), zero),
         "s_morning_imbalance": am,
         "s_afternoon_imbalance": pm,
         "s_late_imbalance": seg_imb("late"),
         "s_flow_agreement": F.signum(am) * F.signum(pm),
-        "s_price_amount_corr": F.when(n >= 3, F.coalesce(_pearson(r, amount), zero)).otherwise(zero),
-        "s_amihud": F.avg(F.coalesce(ratio(F.abs(r), amount), zero)) * 1e6,
+        "s_price_amount_corr": F.when(n >= 3, F.coalesce(see.pearson(r, amount), zero)).otherwise(zero),
+        "s_amihud": see(F.avg(F.coalesce(ratio(F.abs(r), amount), zero))) * 1e6,
         "s_high_time": ratio(hi_at, span),
         "s_low_time": ratio(lo_at, span),
         "s_since_high": ratio(n - 1 - hi_at, span),
         "s_since_low": ratio(n - 1 - lo_at, span),
-        "s_zero_amount_share": F.avg(share(amount <= 0)),
-        "s_autocorr": F.when(n >= 3, F.coalesce(_pearson(both, lagged), zero)).otherwise(zero),
+        "s_zero_amount_share": see(F.avg(share(amount <= 0))),
+        "s_autocorr": F.when(n >= 3, F.coalesce(see.pearson(both, lagged), zero)).otherwise(zero),
         "s_volatility_ratio": F.when(prior_sd > 0, ratio(recent_sd, prior_sd)).otherwise(zero),
         "s_last_close": close,
+        "_vwap": vwap,
     }
-    feats = df.groupBy(*pk).agg(*[c.alias(k) for k, c in aggs.items()])
-    names = [c for c in aggs if c != "s_last_close"]
+    feats = session.select(*by, "_ts", *[c.alias(k) for k, c in aggs.items()])
+    picked = _picked(cands.select(*pk, cutoff), feats, list(by), cutoff, list(aggs)).drop(cutoff)
+    # the one statistic that looks at earlier bars again: how many closed above what is known at the cutoff
+    closes = session.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_ts", "close"))).alias("_closes"))
+    closes = closes.withColumn("_closes", F.transform(bounded_array(F.col("_closes"), SESSION_BARS), lambda x: x["close"]))
+    seen = F.slice("_closes", 1, F.greatest(F.coalesce(F.col("s_rows"), F.lit(0)), F.lit(0)))
+    above = F.try_divide(F.size(F.filter(seen, lambda x: x > F.col("_vwap"))), F.col("s_rows"))
+    feats = picked.join(closes, list(by), "left").withColumn("s_above_vwap_share", above).drop("_closes", "_vwap")
+    names = [c for c in (*aggs, "s_above_vwap_share") if c not in ("s_last_close", "_vwap")]
     keep = [c for c in (price, expected) if c is not None]
     out = cands.select(*pk, *keep).join(feats, pk, "left").na.fill(0, names)
     checks = [F.col("s_rows") > 0, F.abs(ratio("s_last_close", price) - 1) * 10_000 <= max_bps]
