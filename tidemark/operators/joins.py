@@ -87,7 +87,7 @@ def _aligned(k: Column) -> Column:
     """The cells of size ``2**k`` of the days ``[_s, _e)``: those at its ends that no larger cell takes."""
     size = F.pow(F.lit(2.0), k)
     a, b = F.ceil(F.col("_s") / size), F.floor(F.col("_e") / size)
-    cell = lambda at: F.struct(k.alias("k"), at.cast("bigint").alias("at"))
+    cell = lambda at: F.struct(k.alias("_k"), at.cast("bigint").alias("_at"))
     return F.array_compact(F.array(F.when((a < b) & (a % 2 == 1), cell(a)), F.when((a < b) & (b % 2 == 1), cell(b - 1))))
 
 
@@ -108,10 +108,10 @@ def asof_join_interval(left, right, by, date, lo, hi, cols, pk, end_inclusive=Fa
     day = lambda c: F.unix_date(F.to_date(c)).cast("bigint") + (1 << _CELL_SIZES)
     closed = right.filter(F.col(hi) >= F.col(lo)).withColumns({"_s": day(F.col(lo)), "_e": day(F.col(hi)) + (1 if end_inclusive else 0)})
     cells = closed.select(*by, F.col(lo).alias("_from"), *cols, F.explode(F.flatten(F.transform(sizes, _aligned))).alias("_cell"))
-    cells = cells.groupBy(*by, "_cell.k", "_cell.at").agg(F.max(F.struct("_from", *cols)).alias("_closed"))
+    cells = cells.groupBy(*by, "_cell._k", "_cell._at").agg(F.max(F.struct("_from", *cols)).alias("_closed"))
     dated = left.select(*pk, *[b for b in by if b not in pk], *([date] if date not in pk else []))
-    asked = dated.withColumn("_d", day(F.col(date))).select("*", F.explode(sizes).alias("k")).withColumn("at", F.expr("shiftright(_d, k)"))
-    active = asked.join(cells, [*by, "k", "at"]).groupBy(*pk).agg(F.max("_closed").alias("_closed"))
+    asked = dated.withColumn("_d", day(F.col(date))).select("*", F.explode(sizes).alias("_k")).withColumn("_at", F.expr("shiftright(_d, _k)"))
+    active = asked.join(cells, [*by, "_k", "_at"]).groupBy(*pk).agg(F.max("_closed").alias("_closed"))
     both = base.join(active, pk, "left").withColumn("_win", _newest(F.col("_open"), F.col("_closed")))
     both = both.withColumn("_win", F.when(F.col("_closed").isNull(), F.col("_open")).otherwise(F.col("_win")))
     return both.select(*left.columns, F.col("_win._from").alias("active_from"), *[f"_win.{c}" for c in cols])
