@@ -81,6 +81,29 @@ def test_decoder_takes_any_portions(encoder):
     assert broken.feed([0, 1, 9, 2]) + broken.finish() == b"\xe6\x97a\xe6".decode("utf-8", "replace")
 
 
+def test_ids_are_read_back_in_portions(encoder, library, monkeypatch):
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choice("abcdeéß'!1") for _ in range(rng.randint(1, 9))) for _ in range(800)) + " <|endoftext|> end"
+    ids = library.encode(text, add_special_tokens=False).ids
+    want = library.decode(ids, skip_special_tokens=False)
+    machine = bpe.Joiner(encoder.token)
+    assert "".join(machine.feed(ids[k : k + 3]) for k in range(0, len(ids), 3)) == want
+    assert bpe.Joiner({1: "a", 2: "b"}).feed([9, 1, 7, 2, 9]) == "a b"
+    for portion in (1, 7, 4096):
+        monkeypatch.setattr(bpe, "PORTION", portion)
+        assert encoder.digests(text) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(want.encode()).hexdigest())
+    assert encoder.digests("") == (0, hashlib.sha256().hexdigest(), hashlib.sha256().hexdigest())
+
+
+def test_memo_keeps_what_is_used():
+    memo = bpe.Memo(3)
+    for k in range(40):
+        memo.put(f"k{k}", (k,))
+        assert memo.new.get("k0") or memo.get("k0") == (0,)
+        assert len(memo.new) + len(memo.old) <= 6
+    assert memo.get("k1") is None
+
+
 def test_frames(spark, library, odd_docs, no_docs):
     docs = odd_docs.withColumn("token_ids", F.lit(1))
     out = bpe.decode(bpe.encode(docs, PATH), PATH)

@@ -9,7 +9,6 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -18,8 +17,9 @@ from pyspark.sql import types as T
 
 from .common import release_memory
 
-#: Entries of a worker's memo of encoded chunks, and the longest chunk it keeps.
-MEMO_SIZE, MEMO_CHARS = 80_000, 64
+#: Entries of either half of a worker's memo of encoded chunks, the longest chunk it keeps, and
+#: tokens passed on together.
+MEMO_SIZE, MEMO_CHARS, PORTION = 120_000, 64, 4096
 #: Letters and numbers of the ``regex`` module's Unicode version that the
 #: splitter's version doesn't have yet, and lower case that Python's version doesn't know yet.
 _NEWER = (
@@ -79,6 +79,8 @@ class MergeList:
         self.size = {i: len(t) - len(end) if end and t.endswith(end) and t != end else len(t) for t, i in vocab.items()}
         self.letter = {c: vocab[c] for c in _byte_letters().values()}
         self.last = {c: vocab[c + end] for c in self.letter}
+        self.byte = [self.letter[c] for _, c in sorted(_byte_letters().items())]
+        self.last_byte = [self.last[c] for _, c in sorted(_byte_letters().items())]
         self.lookahead = self._sufficient_lookahead(merges)
 
     def _sufficient_lookahead(self, merges: list[tuple[str, str]]) -> int:
@@ -146,6 +148,13 @@ class MergeList:
         ids[-1] = self.last[letters[-1]]
         return self.merge(ids)
 
+    def of_bytes(self, raw: bytes) -> list[int]:
+        """``word`` of a word's bytes."""
+        byte = self.byte
+        ids = [byte[b] for b in raw]
+        ids[-1] = self.last_byte[raw[-1]]
+        return self.merge(ids)
+
     def stream(self, letters: Iterator[str], window: int | None = None) -> Iterator[int]:
         """Tokens of one word, each as soon as it is stable.
 
@@ -190,6 +199,51 @@ class Decoder:
         return self.utf8.decode(b"", True)
 
 
+class Joiner:
+    """State machine for files without a decoder: tokens in any portions, joined by spaces.
+
+    Whether a token has come before is the only state; unknown ids become nothing.
+    """
+
+    def __init__(self, token: dict[int, str]):
+        self.token, self.begun = token, False
+
+    def feed(self, ids: list[int]) -> str:
+        token = self.token
+        try:
+            out = " ".join([token[i] for i in ids])
+        except KeyError:
+            ids = [i for i in ids if i in token]
+            out = " ".join([token[i] for i in ids])
+        if ids and self.begun:
+            out = " " + out
+        self.begun |= bool(ids)
+        return out
+
+
+class Memo:
+    """A bounded memo in two halves: a full one becomes the older one, whose used entries move on."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def get(self, key: str) -> tuple[int, ...] | None:
+        got = self.old.get(key)
+        if got is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key: str, value: tuple[int, ...]) -> None:
+        if len(self.new) >= self.size:
+            self.old = self.new.copy()
+            self.new.clear()  # the same dict stays the newer one
+        self.new[key] = value
+
+    def clear(self) -> None:
+        self.new.clear()
+        self.old = {}
+
+
 class Encoder:
     """A vocabulary file's normaliser, splitter and merges, with a bounded memo of chunks.
 
@@ -220,31 +274,28 @@ class Encoder:
         self.marks = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.pattern = _pattern(pattern)
-        self.memo: dict[str, tuple[str, str, int]] = {}
-        self.word_memo: dict[str, tuple[int, ...]] = {}
+        self.memo = Memo(MEMO_SIZE)
 
     def word_ids(self, word: str) -> tuple[int, ...]:
-        raw = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-        ids = tuple(self.merges.word(raw) if len(raw) <= 512 else self.merges.stream(iter(raw)))
-        if len(word) <= MEMO_CHARS:
-            if len(self.word_memo) >= MEMO_SIZE:
-                self.word_memo.clear()
-            self.word_memo[word] = ids
-        return ids
-
-    def chunk_ids(self, chunk: str) -> Iterator[int]:
-        memo = self.word_memo
-        for word in [chunk] if chunk.isalpha() and not _FRESH.search(chunk) else self.pattern.findall(chunk):
-            yield from memo.get(word) or self.word_ids(word)
-
-    def _entry(self, chunk: str) -> tuple[str, str, int]:
-        """A chunk's ids and its tokens, each joined by spaces, and their number."""
-        ids = list(self.chunk_ids(chunk))
-        got = (" ".join([self.decimal[i] for i in ids]), " ".join([self.token[i] for i in ids]), len(ids))
+        raw = word.encode("utf-8", "surrogatepass")
+        return tuple(self.merges.of_bytes(raw) if len(raw) <= 512 else self.merges.stream(iter(raw.decode("latin-1").translate(self.letters))))
+
+    def chunk_ids(self, chunk: str) -> tuple[int, ...]:
+        """Tokens of a chunk that the memo's newer half doesn't have."""
+        memo = self.memo
+        got = memo.get(chunk)
+        if got is not None:
+            return got
+        if chunk.isalpha() and (chunk.isascii() or not _FRESH.search(chunk)):
+            got = self.word_ids(chunk)
+        else:
+            ids: list[int] = []
+            for word in self.pattern.findall(chunk):
+                # letters alone are a chunk as well, so the memo may know them
+                ids += (memo.new.get(word) or self.chunk_ids(word)) if word != chunk and word.isalpha() else self.word_ids(word)
+            got = tuple(ids)
         if len(chunk) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO_SIZE:
-                self.memo.clear()
-            self.memo[chunk] = got
+            memo.put(chunk, got)
         return got
 
     def _pieces(self, text: str) -> Iterator[tuple[str, bool]]:
@@ -255,31 +306,51 @@ class Encoder:
                 if part:
                     yield part, k % 2 == 1
 
-    def entries(self, text: str) -> list[tuple[str, str, int]]:
-        memo, out = self.memo, []
+    def portions(self, text: str) -> Iterator[list[int]]:
+        """A text's tokens in portions of about ``PORTION``."""
+        known, ids = self.memo.new, []
         for part, special in self._pieces(text):
             if special:
-                out.append((str(self.special[part]), part, 1))
+                ids.append(self.special[part])
                 continue
             part = _normal(part)
             chunks = part.split() if not _ODD_SPACE.search(part) else _SPACE.split(part)
-            out += [memo.get(c) or self._entry(c) for c in chunks if c]
-        return out
+            for c in chunks:
+                if c:
+                    ids += known.get(c) or self.chunk_ids(c)
+                    if len(ids) >= PORTION:
+                        yield ids
+                        ids = []
+        if ids:
+            yield ids
 
     def encode(self, text: str) -> list[int]:
-        return np.fromstring(" ".join([e[0] for e in self.entries(text) if e[2]]), np.int32, sep=" ").tolist()
+        return [i for ids in self.portions(text) for i in ids]
+
+    def digests(self, text: str) -> tuple[int, str, str]:
+        """Number of tokens, and SHA-256 of the decimal ids and of the text that the ids decode to.
+
+        Each portion of ids is read back by the decoding state machine; neither the ids nor the
+        decoded text are held whole.
+        """
+        n, ids_hash, text_hash, machine, decimal = 0, hashlib.sha256(), hashlib.sha256(), Joiner(self.token), self.decimal
+        for ids in self.portions(text):
+            line = " ".join([decimal[i] for i in ids])
+            ids_hash.update((" " + line if n else line).encode())
+            text_hash.update(machine.feed(ids).encode())
+            n += len(ids)
+        return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
     def decode(self, ids: list[int], plain: bool = False) -> str:
         """Tokens joined by spaces, as a file without a decoder says; ``plain``: readable text."""
         if not plain:
-            return " ".join([self.token[i] for i in ids if i in self.token])
+            return Joiner(self.token).feed(ids)
         machine = Decoder(self.spelt)
         return "".join([machine.feed(ids[k : k + 4096]) for k in range(0, len(ids), 4096)]) + machine.finish()
 
     def rest(self) -> None:
-        """Forget the memos and free their memory at the end of a task."""
+        """Forget the memo and free its memory at the end of a task."""
         self.memo.clear()
-        self.word_memo.clear()
         release_memory()
 
 
@@ -335,7 +406,7 @@ def decode(docs: DataFrame, path: str, ids: str = "token_ids", text: str = "deco
 def round_trip_digest(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``.
 
-    Encodes each whole text and decodes its ids; only digests leave the task. Null counts as
+    Encodes each whole text and decodes its ids, portion by portion; only digests leave the task. Null counts as
     empty: no tokens and the digest of nothing, twice. Other columns stay behind.
     """
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
@@ -344,12 +415,7 @@ def round_trip_digest(docs: DataFrame, path: str, doc_id: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for batch in batches:
-            n, ids, decoded = [], [], []
-            for t in batch.column("_text"):
-                got = [e for e in encoder.entries(t.as_py()) if e[2]] if t.is_valid else []
-                n.append(sum(e[2] for e in got))
-                ids.append(hashlib.sha256(" ".join([e[0] for e in got]).encode()).hexdigest())
-                decoded.append(hashlib.sha256(" ".join([e[1] for e in got]).encode()).hexdigest())
+            n, ids, decoded = zip(*[encoder.digests(t.as_py() or "") for t in batch.column("_text")]) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                 names=["_id", "n_tokens", "ids_sha256", "decoded_sha256"],
