@@ -29,56 +29,19 @@ PRIOR_WEIGHT = 0.25
 DENSE_SHARE, DENSE_TERMS, CLUSTERS, FIRST = 0.05, 2048, 64, 8
 #: More than the rounding error of a cosine summed in single precision.
 ROUNDING = 1e-4
-#: Words whose terms a task remembers.
-MEMO = 200_000
-
-
-#: Beginnings of longer words that are terms too (bytes), so that inflected forms meet.
-STEMS = (4, 5, 6, 7, 8, 10)
-
-
-def terms_of(word: bytes) -> list[bytes]:
-    """A word and its stems, which are marked with a star."""
-    return [word, *[word[:n] + b"*" for n in STEMS if len(word) > n]]
-
-
-def bag_of(found: dict[bytes, int]) -> Counter:
-    """Term counts of a text from its word counts."""
-    out: Counter = Counter()
-    for w, c in found.items():
-        for t in terms_of(w):
-            out[t] += c
-    return out
-
-
 class KnownTerms:
-    """Counts of the index's terms in a whole text."""
+    """Counts of the index's words in a whole text."""
 
     def __init__(self, terms: dict[bytes, int]):
-        self.terms, self.memo, self.sums = terms, {}, np.zeros(len(terms))
+        self.terms = terms
 
     def counts(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Terms (ascending, distinct) and their counts."""
-        found = Counter(words(text))
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        memo = self.memo
-        if not found:
-            return np.empty(0, np.int64), np.empty(0)
-        try:
-            own = [memo[w] for w in found]
-        except KeyError:
-            for w in found:
-                if w not in memo:
-                    memo[w] = np.array([self.terms[t] for t in terms_of(w) if t in self.terms], np.int64)
-            own = [memo[w] for w in found]
-        at = np.concatenate(own)
-        np.add.at(self.sums, at, np.repeat(np.fromiter(found.values(), float, len(found)), list(map(len, own))))
-        at.sort()
-        idx = at[np.diff(at, prepend=-1) > 0]
-        times = self.sums[idx]
-        self.sums[idx] = 0
-        return idx, times
+        found, terms = Counter(words(text)), self.terms
+        own = found.keys() & terms.keys() if len(found) > len(terms) else [w for w in found if w in terms]
+        idx = np.array([terms[w] for w in own], np.int64)
+        order = np.argsort(idx)
+        return idx[order], np.array([found[w] for w in own], float)[order]
 
 
 class BlockMaxIndex:
@@ -261,9 +224,10 @@ def _similar_together(rows: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES) -> BlockMaxIndex | None:
     """Index of at most ``examples`` labelled documents; None without labels.
 
-    Terms are all words (A-Z lower-cased) of the sample and their stems, with the IDF of the
-    sample. How well a term's presence tells the label (likelihood ratio on the sample) raises
-    its weight; none is left out. Spark counts the words; the driver gets the counts.
+    Terms are all words (A-Z lower-cased) of the sample, with the IDF of the sample. How well a
+    term's presence tells the label (likelihood ratio on the sample) raises its weight; none is
+    left out. Spark counts the words; the driver gets the counts, as many as the sample's bytes
+    allow. The sample has one row an id (see ``labelled_sample``); other columns aren't read.
     """
     rows = labelled_sample(docs, labels, label, examples)
 
@@ -282,13 +246,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
     known: dict[bytes, int] = {}
     kept, bare = [], []
     for r in few:
-        bag = bag_of(dict(zip(bytes(r.found).split(), np.frombuffer(r.times, np.int32).tolist())))
+        bag = bytes(r.found).split()
         if not bag:
             bare.append(r.y)
             continue
         idx = np.fromiter((known.setdefault(t, len(known)) for t in bag), np.int32, len(bag))
         order = np.argsort(idx)
-        kept.append((r.doc_id, r.y, (idx[order], np.fromiter(bag.values(), np.int32, len(bag))[order])))
+        kept.append((r.doc_id, r.y, (idx[order], np.frombuffer(r.times, np.int32)[order])))
     n, n1 = len(few), sum(r.y for r in few)
     del few
     prior = (n1 + 1) / (n + 2)
