@@ -29,6 +29,21 @@ def test_sample_leaves_the_held_out_fifth(spark, tables):
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in flags)
 
 
+def test_sample_is_bounded_in_rows_and_bytes(spark):
+    ids = [k for k in range(1, 60) if not _out(k)]
+    docs = spark.createDataFrame(
+        [(ids[0], f"text {j}") for j in range(500)] + [(ids[0], None)] + [(k, "x" * 100) for k in ids[1:]] + [(None, "no id")], "doc_id long, text string",
+    )
+    labels = spark.createDataFrame([(k, 1) for k in ids] + [(ids[0], 0), (None, 1), (ids[1], None)], "doc_id long, quality int")
+    rows = labelled_sample(docs, labels, "quality", 1000).collect()
+    assert sorted(r.doc_id for r in rows) == ids
+    assert [(r.text, r.y) for r in rows if r.doc_id == ids[0]] == [("", 1)]
+    assert len(labelled_sample(docs, labels, "quality", 2).collect()) == 2
+    few = labelled_sample(docs, labels, "quality", 1000, sample_bytes=550).collect()
+    assert sum(len(r.text) for r in few) <= 550 and 5 <= len(few) <= 6 and {tuple(r) for r in few} <= {tuple(r) for r in rows}
+    assert labelled_sample(docs.limit(0), labels, "quality", 5).count() == 0
+
+
 def test_machine_equals_the_pairwise_sum():
     rng = np.random.default_rng(1)
     m = quality.FactorisationMachine(rng.normal(size=(quality.WIDTH + 1, 1 + quality.RANK)))
