@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..functions import ieee_ratio
 from ..sources.tables import scratch
 from ..streaming import operators as op
 from ..streaming import state
@@ -123,7 +124,7 @@ def _(t):
     price, amount = F.col("price"), F.col("amount")
     reasons = {
         "bad_price": ~(price > 0), "wrong_bar": F.col("bar_slot") != F.col("due"), "thin_bar": amount < 300, "order_capacity": amount * 0.1 < 40,
-        "near_limit": (100 / price - 1) * 100 < 1, "stale_bar": ~F.col("age").between(-60, 300),
+        "near_limit": (ieee_ratio(F.lit(100.0), price) - 1) * 100 < 1, "stale_bar": ~F.col("age").between(-60, 300),
     }
     out = op.drain(op.stream_entry_settle(signals, bars, ["user_id"], "due", "bar_ts", "2 hours", reasons), closing=beats, at=close_time(t))
     return out.where("event_id IS NOT NULL").withColumns(stamp("due"))
