@@ -33,3 +33,12 @@ def test_entry_on_a_bar_of_price_zero(spark, tmp_path):
     rows += [(20, 0, 4, "view", 90.0), (20, 0, 4, "click", 1.0)]
     got, want = both(spark, tmp_path, "stream_entry_settle", rows)
     assert got == want and any("bad_price" in r[-1] for r in got)
+
+
+def test_slot_context_with_bars_that_open_at_zero(spark, tmp_path):
+    # first cross-section: one infinite return; second: most are infinite or NaN; third: none
+    rows = [(1, 0, 1, "view", 0.0), (2, 0, 1, "view", 5.0), (1, 0, 2, "view", 4.0), (2, 0, 2, "view", 6.0), (1, 0, 3, "click", 8.0)]
+    rows += [(7, 0, u, "view", 0.0) for u in (1, 2, 3)] + [(8, 0, 1, "view", 5.0), (8, 0, 2, "view", 6.0), (7, 0, 4, "view", 2.0), (8, 0, 4, "view", 1.0), (8, 0, 5, "view", 1.0)]
+    rows += [(13, 0, u, "view", u + 1.0) for u in (1, 2, 3)] + [(14, 0, u, "view", 4.0) for u in (1, 2, 3)]
+    got, want = both(spark, tmp_path, "stream_slot_context", rows)
+    assert got == want and any("inf" in r for r in got)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import holds, share
+from ..functions import holds, ieee_ratio, share
 from ..sources.tables import scratch
 
 
@@ -94,13 +94,14 @@ def stream_slot_context(s, key, ts, value, width, watermark, path, checkpoint):
     """Market breadth of each closed slot.
 
     All keys of a window close in the same micro-batch, so ``foreachBatch`` sees whole
-    cross-sections and can use the batch operator. Returns the streaming query; starting it again
-    with the same ``checkpoint`` goes on where it ended.
+    cross-sections and can use the batch operator. A bar that opens at zero has an infinite return
+    (or NaN, if it closes there too) and counts like any other. Returns the streaming query;
+    starting it again with the same ``checkpoint`` goes on where it ended.
     """
     from ..operators.windows import market_context
 
     bars = stream_bars(s, key, ts, value, width, watermark)
-    bars = bars.withColumn("ret", F.try_divide(F.col("close"), F.col("open")) * 100 - 100)
+    bars = bars.withColumn("ret", ieee_ratio("close", "open") * 100 - 100)
 
     def write(batch, batch_id):
         context = market_context(batch, ["bar_start"], "ret")
