@@ -181,3 +181,23 @@ def test_truth_ledger_survives_replays_and_restarts(spark, tmp_path):
     add(spark, folders[1], [("d", at(930), 6.0), ("e", at(999), 1.0)], truth, 9)
     state.TruthLedger(spark, path, ["code"], "id", {"code": "string", "id": "bigint"}, "1 hour").run(stream(), check)
     assert show() == [*want[:3], (4, at(930), 6.0, "SETTLED"), (5, None, None, "PENDING")]
+
+
+def test_first_signals_of_many_keys_are_few_states(spark, tmp_path):
+    folder, calls = str(tmp_path / "in"), spark.sparkContext.accumulator(0)
+
+    class Counted(state._FirstSignal):
+        def handleInputRows(self, key, rows, timerValues):
+            calls.add(1)
+            yield from super().handleInputRows(key, rows, timerValues)
+
+    plain = state._FirstSignal
+    add(spark, folder, [(f"k{k}", at(k % 600), k, 5.0) for k in range(400)], SIGNAL, 0)
+    state._FirstSignal = Counted
+    try:
+        s = state.stream_first_signal(read(spark, folder, SIGNAL), "code", "ts", F.col("value") >= 5, "id", ["id"], "30 minutes", "11:00", buckets=5)
+        got = state.updates(s).collect()
+    finally:
+        state._FirstSignal = plain
+    assert {r.event for r in got} == {"NEW"} and len({r.code for r in got}) == 400
+    assert calls.value <= 5

@@ -8,6 +8,7 @@ retried batch replaces.
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -58,6 +59,10 @@ def of_rows(ts: str, condition: Column) -> Column:
     return F.coalesce(F.when(F.col(ts).isNotNull(), condition), F.lit(False))
 
 
+def _bucket(by: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(by), F.lit(buckets)).cast("int")
+
+
 def _stateful(stream: DataFrame, key: list[str], processor: StatefulProcessor, schema: str, mode: str, time: str) -> DataFrame:
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     return stream.groupBy(*key).transformWithStateInPandas(processor, schema, mode, time)
@@ -87,39 +92,52 @@ def _ddl(df: DataFrame) -> str:
 
 
 class _FirstSignal(StatefulProcessor):
-    """State of a key's day: the first row as it was, appearances, last sighting and identities seen."""
+    """State of one bucket of a day: for each key the first row as it was, its time, appearances, last sighting and identities seen.
+
+    A bucket's keys are one value, read and written once a batch: a call per key would cost more
+    than all else.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.signal = handle.getValueState("signal", "packed string, first_us bigint, appearances bigint, last_us bigint, seen array<string>")
+        self.signals = handle.getValueState("signals", "entries string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         some = pd.concat(list(rows), ignore_index=True).sort_values(["at_us", "ident"])
-        refused, some = some[some["refused"]], some[~some["refused"]].drop_duplicates("ident")
-        for us, packed in zip(refused["at_us"], refused["packed"]):
-            yield self._row(key, "REFUSED", packed, int(us), 0, int(us))
-        held = self.signal.get() if self.signal.exists() else None
-        seen = list(held[4]) if held else []
-        some = some[~some["ident"].isin(seen)]
-        if not len(some):
-            return
-        packed, first, before = (held[0], held[1], held[2]) if held else (some["packed"].iloc[0], int(some["at_us"].iloc[0]), 0)
-        last = max(int(some["at_us"].max()), held[3] if held else 0)
-        now = (packed, first, before + len(some), last)
-        self.signal.update((*now, seen + some["ident"].tolist()))
-        if held is None:
-            self.handle.registerTimer(int(some["freeze_ms"].iloc[0]))
-        yield self._row(key, "SEEN" if held else "NEW", *now)
+        out = []
+        known = {k: (packed, first, count, last, set(seen)) for k, packed, first, count, last, seen in self._held()}
+        new, changed = not known, {}
+        for who, us, ident, packed, refused in zip(some["key_text"], some["at_us"].tolist(), some["ident"], some["packed"], some["refused"]):
+            if refused:
+                out.append((key[0], who, "REFUSED", packed, us, 0, us))
+                continue
+            held = known.get(who)
+            if held is None:
+                known[who] = (packed, us, 1, us, {ident})
+                changed[who] = "NEW"
+            elif ident not in held[4]:
+                held[4].add(ident)
+                known[who] = (held[0], held[1], held[2] + 1, max(held[3], us), held[4])
+                changed.setdefault(who, "SEEN")
+        if changed:
+            self.signals.update((json.dumps([(k, *held[:4], list(held[4])) for k, held in known.items()]),))
+            if new:
+                self.handle.registerTimer(int(some["freeze_ms"].iloc[0]))
+        out += [(key[0], who, event, *known[who][:4]) for who, event in changed.items()]
+        if out:
+            yield self._rows(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.signal.exists():
-            held = self.signal.get()
-            self.signal.clear()
-            yield self._row(key, "FROZEN", *held[:4])
+        if self.signals.exists():
+            held = self._held()
+            self.signals.clear()
+            yield self._rows([(key[0], k, "FROZEN", *rest) for k, *rest, _ in held])
 
-    def _row(self, key, event, packed, first, appearances, last) -> pd.DataFrame:
-        names = ["day_text", "key_text", "event", "packed", "first_us", "appearances", "last_us"]
-        return pd.DataFrame([[*key, event, packed, first, appearances, last]], columns=names)
+    def _held(self) -> list:
+        return json.loads(self.signals.get()[0]) if self.signals.exists() else []
+
+    def _rows(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["day_text", "key_text", "event", "packed", "first_us", "appearances", "last_us"])
 
     def close(self) -> None:
         pass
@@ -131,7 +149,7 @@ def _day_and_freeze(df: DataFrame, ts: str, freeze_at: str) -> DataFrame:
     return df.withColumns({"at_us": F.unix_micros(ts), "day_text": F.date_format(ts, "yyyy-MM-dd"), "freeze_ms": F.unix_millis(freeze), "refused": F.col(ts) > freeze})
 
 
-def stream_first_signal(s, code: str, ts: str, cond: Column, ident: str, cols: list[str], watermark: str, freeze_at: str = "23:59") -> DataFrame:
+def stream_first_signal(s, code: str, ts: str, cond: Column, ident: str, cols: list[str], watermark: str, freeze_at: str = "23:59", buckets: int = 128) -> DataFrame:
     """Changes of a stock-day's first qualifying row, as they happen (update mode).
 
     A row (``event``) comes out when the signal is first seen (NEW), with each batch that sees it
@@ -139,13 +157,14 @@ def stream_first_signal(s, code: str, ts: str, cond: Column, ident: str, cols: l
     then), and for each row after the freeze (REFUSED). The first row with its ``cols`` never
     changes, not even where an earlier one comes later. A row whose ``ident`` was seen before is a
     replay and changes nothing. ``current_signals`` gives the state that the changes lead to.
+    A day's keys are dealt over ``buckets``, each with one state and one timer.
     """
     rows = s.withWatermark(ts, watermark).filter(of_rows(ts, holds(cond)))
     rows = _day_and_freeze(rows, ts, freeze_at).select(
         ts, "day_text", F.col(code).cast("string").alias("key_text"), "at_us", F.col(ident).cast("string").alias("ident"), "refused", "freeze_ms",
         F.to_json(F.struct(code, *cols), _JSON).alias("packed"),
-    )
-    out = _stateful(rows, ["day_text", "key_text"], _FirstSignal(), "day_text string, key_text string, event string, packed string, first_us bigint, appearances bigint, last_us bigint", "update", "EventTime")
+    ).withColumn("bucket_no", _bucket("key_text", buckets))
+    out = _stateful(rows, ["day_text", "bucket_no"], _FirstSignal(), "day_text string, key_text string, event string, packed string, first_us bigint, appearances bigint, last_us bigint", "update", "EventTime")
     kinds = ", ".join(f"`{c}` {s.schema[c].dataType.simpleString()}" for c in (code, *cols))
     return out.withColumn("_p", F.from_json("packed", kinds, _JSON)).select(
         F.to_date("day_text").alias("day"), "event", F.timestamp_micros("first_us").alias("first_seen"), "_p.*", "appearances", F.timestamp_micros("last_us").alias("last_seen"),
@@ -243,7 +262,7 @@ def stream_freeze(slots, entries, settled, ts: str, slot: str, spread: str, iden
     rows = rows.unionByName(mark(entries, "entry", F.col(ident), none.alias("slot"), F.col(ident).cast("string").alias("ident"), F.col(cohort).alias("cohort")))
     rows = rows.unionByName(mark(settled, "settle", F.col(ident), none.alias("slot"), F.col(ident).cast("string").alias("ident"), none.alias("cohort")))
     rows = rows.withWatermark(ts, watermark).filter(of_rows(ts, F.col("_by").isNotNull()))
-    rows = _day_and_freeze(rows, ts, freeze_at).withColumn("bucket_no", F.pmod(F.xxhash64("_by"), F.lit(buckets)).cast("int")).drop("_by")
+    rows = _day_and_freeze(rows, ts, freeze_at).withColumn("bucket_no", _bucket("_by", buckets)).drop("_by")
     amount, unit = grace.split()
     grace_ms = int(amount) * {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}[unit.rstrip("s")]
     schema = "day_text string, bucket_no int, turn bigint, rows bigint, covered array<string>, qualified bigint, observations bigint, pending bigint, refused bigint"
