@@ -152,6 +152,28 @@ def test_late_rows_go_to_a_side_table(spark, tmp_path):
     assert main.where("id = 7").first().tier == "late"
 
 
+def test_late_rows_of_many_keys_are_few_states(spark, tmp_path):
+    folder, calls = str(tmp_path / "in"), spark.sparkContext.accumulator(0)
+
+    class Counted(state._HighWater):
+        def handleInputRows(self, key, rows, timerValues):
+            calls.add(1)
+            yield from super().handleInputRows(key, rows, timerValues)
+
+    plain, schema = state._HighWater, "code string, id long, ts timestamp, arrival timestamp"
+    for i, (t, a) in enumerate([(100, 100), (60, 101)]):
+        rows = [(f"k{k}", 1000 * i + k, at(t), at(a)) for k in range(300)]
+        add(spark, folder, [*rows, (None, 5000 + i, at(t), at(a))], schema, i)
+    state._HighWater = Counted
+    try:
+        tagged = state.stream_late_tier(read(spark, folder, schema), "code", "id", "ts", "arrival", 600, 1800, buckets=5)
+        main, side = state.split_late(tagged, str(tmp_path / "out"), str(tmp_path / "check"))
+    finally:
+        state._HighWater = plain
+    assert {r.id for r in main.collect()} == {*range(300), 5000} and {r.id for r in side.collect()} == {*range(1000, 1300), 5001}
+    assert calls.value <= 2 * 6  # a bucket more for none; each batch's state is computed once
+
+
 def test_truth_ledger_survives_replays_and_restarts(spark, tmp_path):
     cand, truth = "code string, id long, ts timestamp, due timestamp", "code string, ts timestamp, value double"
     folders = [str(tmp_path / x) for x in ("c", "t")]

@@ -286,33 +286,39 @@ def session_status(frozen: DataFrame, expected_slots: list[str], observation_tar
 
 
 class _HighWater(StatefulProcessor):
-    """State of a key: the latest event time of the rows that came in."""
+    """State of a bucket of keys: for each, the latest event time of the rows that came in."""
 
     def __init__(self, lateness_us: int):
         self.lateness_us = lateness_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.high = handle.getValueState("high", "us bigint")
+        self.high = handle.getValueState("high", "marks string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         some = pd.concat(list(rows), ignore_index=True).sort_values(["arrived_us", "at_us", "ident"])
         low = -(1 << 62)
-        high = self.high.get()[0] if self.high.exists() else low
-        marks = some["at_us"].cummax().clip(lower=high)
-        before = marks.shift(fill_value=high)
-        self.high.update((int(marks.iloc[-1]),))
+        high = dict(json.loads(self.high.get()[0])) if self.high.exists() else {}
+        held = pd.Series([high.get(k, low) for k in some["key_text"]], index=some.index, dtype="int64")
+        by = some.groupby("key_text", sort=False, dropna=False)["at_us"]
+        marks = by.cummax()
+        before = marks.groupby(some["key_text"], sort=False, dropna=False).shift(fill_value=low).clip(lower=held)
+        top = by.max()
+        for k, us in zip((None if k is None or k != k else k for k in top.index), top.tolist()):
+            high[k] = max(us, high.get(k, low))
+        self.high.update((json.dumps(list(high.items())),))
         yield pd.DataFrame({"packed": some["packed"], "behind": (before > low) & (some["at_us"] < before - self.lateness_us)})
 
     def close(self) -> None:
         pass
 
 
-def stream_late_tier(s, key: str, ident: str, ts: str, arrival: str, limit_seconds: int, lateness_seconds: int) -> DataFrame:
+def stream_late_tier(s, key: str, ident: str, ts: str, arrival: str, limit_seconds: int, lateness_seconds: int, buckets: int = 256) -> DataFrame:
     """All rows with how late they are: ``tier``, ``prospective``, and ``behind`` their key's other rows.
 
     A row is ``behind`` if its key had a row more than ``lateness_seconds`` later when it arrived:
     what a watermark would drop silently. Such rows are never prospective. Only one time a key is
-    kept, a micro-batch's rows of a key are gone through in order of arrival, and no row is lost.
+    kept (keys are dealt over ``buckets``), a micro-batch's rows of a key are gone through in order
+    of arrival, and no row is lost.
     Rows without an event time or arrival are ``late`` and not behind.
     """
     wait = F.unix_timestamp(arrival) - F.unix_timestamp(ts)
@@ -321,8 +327,8 @@ def stream_late_tier(s, key: str, ident: str, ts: str, arrival: str, limit_secon
     rows = tagged.select(
         F.col(key).cast("string").alias("key_text"), F.col(ident).cast("string").alias("ident"), F.coalesce(F.unix_micros(arrival), F.lit(0)).alias("arrived_us"),
         F.coalesce(F.unix_micros(ts), F.lit(-(1 << 61))).alias("at_us"), F.to_json(F.struct(*tagged.columns), _JSON).alias("packed"),
-    )
-    out = _stateful(rows, ["key_text"], _HighWater(lateness_seconds * 1_000_000), "packed string, behind boolean", "append", "None")
+    ).withColumn("bucket_no", _bucket("key_text", buckets))
+    out = _stateful(rows, ["bucket_no"], _HighWater(lateness_seconds * 1_000_000), "packed string, behind boolean", "append", "None")
     full = out.withColumn("_p", F.from_json("packed", _ddl(tagged), _JSON)).select("_p.*", "behind")
     full = full.withColumn("behind", F.col("behind") & F.col(ts).isNotNull())
     return full.withColumn("prospective", (F.col("tier") == "prospective") & ~F.col("behind"))
@@ -331,13 +337,12 @@ def stream_late_tier(s, key: str, ident: str, ts: str, arrival: str, limit_secon
 def split_late(tagged: DataFrame, path: str, checkpoint: str) -> tuple[DataFrame, DataFrame]:
     """Run a stream of ``stream_late_tier`` into a main table and a side table of the rows that are behind."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        for name, part in (("main", ~F.col("behind")), ("side", F.col("behind"))):
-            batch.where(part).write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+        # in one go: the batch's state is computed anew for each write
+        batch.withColumn("side", F.col("behind")).write.mode("overwrite").partitionBy("side").parquet(f"{path}/batch={batch_id}")
 
     tagged.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    spark = tagged.sparkSession
-    read = lambda name: spark.read.schema(_ddl(tagged)).parquet(f"{path}/{name}/batch=*")
-    return read("main"), read("side")
+    out = tagged.sparkSession.read.option("basePath", path).schema(f"{_ddl(tagged)}, batch bigint, side boolean").parquet(path)
+    return out.where("not side").drop("batch", "side"), out.where("side").drop("batch", "side")
 
 
 class TruthLedger:
