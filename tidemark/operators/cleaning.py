@@ -19,15 +19,20 @@ BOARD_PREFIXES = {
 
 
 def coverage_islands(df, key, start="start", end="end", gap_days=1) -> DataFrame:
-    """Merge intervals that overlap or lie at most ``gap_days`` apart."""
-    order = [F.col(start), F.col(end)]
-    seen = running(df, key, order, {"_reach": ("max", F.col(end))}, current=False)
-    opens = F.col("_reach").isNull() | (F.datediff(start, "_reach") > gap_days)
+    """Merge intervals that overlap or lie at most ``gap_days`` apart.
+
+    Equal intervals are one row with a count, so the order is total and both scans see the same.
+    An interval without a start follows all others and joins the island before it.
+    """
+    spans = df.groupBy(*key, start, end).agg(F.count(F.lit(1)).alias("_parts"))
+    order = [F.col(start).asc_nulls_last(), F.col(end).asc_nulls_last()]
+    seen = running(spans, key, order, {"_reach": ("max", F.col(end))}, current=False)
+    opens = F.col("_reach").isNull() | holds(F.datediff(start, "_reach") > gap_days)
     numbered = running(
         seen.withColumn("_new", opens.cast("int")), key, order, {"_island": ("sum", F.col("_new"))}
     )
     return numbered.groupBy(*key, "_island").agg(
-        F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("parts")
+        F.min(start).alias(start), F.max(end).alias(end), F.sum("_parts").alias("parts")
     ).drop("_island")
 
 
