@@ -249,3 +249,13 @@ def walk_forward_score(rows, folds: list[int], fit: Callable, score: Callable, f
     return union_families(frames)
 
 
+def walk_forward_days(df, days, fit: Callable, score: Callable, day="day") -> DataFrame:
+    """As ``walk_forward_score``, for rows that know their day only: no row is copied to the folds it serves.
+
+    ``days`` are the collected rows of ``fold_days``: folds by calendar days, whatever the size of ``df``.
+    """
+    frames = []
+    for f in sorted({r["fold"] for r in days}):
+        train, test = (df.filter(F.col(day).isin([r[day] for r in days if r["fold"] == f and r["role"] == role])) for role in ("train", "test"))
+        frames.append(score(fit(train), test).withColumn("fold", F.lit(f)))
+    return union_families(frames)

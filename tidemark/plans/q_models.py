@@ -9,6 +9,7 @@ from ..operators import fits
 from ..operators import folds as fd
 from ..operators import models as md
 from ..operators.selection import topk_per_group
+from ..operators.spread import stored
 from .registry import query
 from .tables import _unit
 
@@ -134,7 +135,9 @@ FEATURES = ["ret", "gap", "ret_open", "dist_up", "p", "q"]
 
 
 def weighted(t):
-    return t.scored.withColumn("w", F.lit(1.0))
+    """Rows of the model jobs, which go over them many times: the panel is built once."""
+    rows = t.scored.select("day", "slot", "code", "fold", *FEATURES, "win", "net", F.lit(1.0).alias("w"))
+    return stored(rows, "day")
 
 
 @query("fit_logistic_blend", "day:d slot:s code:i p_win:r p_win_spread:r")
@@ -260,11 +263,9 @@ def _(t):
 
 @query("walk_forward_blend", "fold:i day:d slot:s code:i e_net:r")
 def _(t):
-    folds = fd.walk_forward_folds(t.calendar, PLAN)
-    rows = fd.assign_fold_rows(weighted(t).drop("fold"), t.calendar, folds, PLAN)
-    numbers = sorted(r[0] for r in folds.select("fold").collect())  # a handful of folds
-    return md.walk_forward_score(
-        rows, numbers,
+    days = fd.fold_days(t.calendar, fd.walk_forward_folds(t.calendar, PLAN), PLAN).collect()  # a handful of folds
+    return md.walk_forward_days(
+        weighted(t).drop("fold"), days,
         lambda train: md.fit_return_blend(train, FEATURES, "net", "w"),
         lambda model, test: model.score(test, "e_net"),
     )
