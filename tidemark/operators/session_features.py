@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import all_of, clip, holds, pct, ratio, share
-from .joins import asof_join_backward, bounded_array, unique_rows
+from .joins import bounded_array, unique_rows
 from .spread import average_ranks, best_rows, group_values, measured_once, nearby, position, running
 
 #: Bars of one session at most: one a minute for a whole day.
@@ -44,9 +44,30 @@ class _Upto:
         return F.try_divide(self(F.covar_pop(a, b)), self(F.stddev_pop(a)) * self(F.stddev_pop(b)))
 
 
-def _picked(keys, feats, by, cutoff, names) -> DataFrame:
-    """Each candidate with the running values of its last visible bar."""
-    return asof_join_backward(keys, feats, by, cutoff, "_ts", names).drop("asof_time", "lag_minutes")
+def _asked(bars, cands, by, cutoff) -> DataFrame:
+    """Bars with ``_asks``, the candidates (as structs) that see the bar as their last one.
+
+    Only bars and keys as they came are stacked and sorted: the features of a bar, many times as
+    wide, are neither shuffled nor sorted, and those of bars that nobody asks for are dropped where
+    they arise. A candidate that sees no bar waits (``_seen`` false) on the session's first row,
+    which has no bar if the session has none.
+    """
+    names = [c for c in bars.columns if c not in by]
+    side = bars.dropna(subset=list(by)).select(*by, F.col("_ts").alias("_t"), F.lit(0).alias("_side"), F.struct(*names).alias("_bar"))
+    asks = cands.select(*by, F.col(cutoff).alias("_t"), F.lit(1).alias("_side"), F.struct(*cands.columns).alias("_row"))
+    w = Window.partitionBy(*by).orderBy("_t", "_side")
+    at = F.count("_bar").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = side.unionByName(asks, allowMissingColumns=True).withColumn("_at", at)
+    ask = F.when(F.col("_row").isNotNull(), F.struct("_row", (F.col("_at") > 0).alias("_seen")))
+    rows = rows.select(*by, F.greatest("_at", F.lit(1)).alias("_at"), "_bar", ask.alias("_ask"))
+    return rows.groupBy(*by, "_at").agg(F.max("_bar").alias("_bar"), F.collect_list("_ask").alias("_asks")).select(*by, "_bar.*", "_asks")
+
+
+def _picked(session, aggs) -> DataFrame:
+    """Each candidate with the values of its last visible bar; NULL where it sees none."""
+    rows = session.select("_asks", F.struct(*[c.alias(k) for k, c in aggs.items()]).alias("_v")).where(F.size("_asks") > 0)
+    rows = rows.select(F.inline("_asks"), "_v")
+    return rows.select("_row.*", *[F.when(F.col("_seen"), F.col(f"_v.{k}")).alias(k) for k in aggs])
 
 
 def _last(value, k=0) -> Column:
@@ -88,7 +109,7 @@ def minute_microstructure(cands, bars, pk, by=("code", "day"), cutoff="cutoff",
     the session, kept bar by bar, and a candidate picks the row of its last visible bar.
     """
     by = list(by)
-    session = _with_streaks(_numbered(_session(bars, by, start), by), by)
+    session = _with_streaks(_numbered(_asked(_session(bars, by, start), cands.select(*pk, cutoff), by, cutoff), by), by)
     see = _Upto(by)
     r, amount, close = F.col("_r"), F.col("amount"), F.col("close")
     n, total, volume = see(F.count(F.lit(1))), see(F.sum("amount")), see(F.sum("vol"))
@@ -128,8 +149,7 @@ def minute_microstructure(cands, bars, pk, by=("code", "day"), cutoff="cutoff",
         "m_last5_vs_prior5": F.when(n >= 11, (ratio(close, see.back("close", 5)) - ratio(see.back("close", 5), see.back("close", 10))) * 100),
         "m_latest_time": F.col("_ts"),
     }
-    feats = session.select(*by, "_ts", *[c.alias(k) for k, c in aggs.items()])
-    return _picked(cands.select(*pk, cutoff), feats, by, cutoff, list(aggs)).drop(cutoff).na.fill(0, ["m_rows"])
+    return _picked(session, aggs).drop(cutoff).na.fill(0, ["m_rows"])
 
 
 def _gain(a, b) -> Column:
@@ -163,7 +183,9 @@ def full_session_path(cands, bars, pk, by=("code", "day"), cutoff="cutoff", expe
     statistics read 0, so the family is never NULL.
     """
     pk = list(pk)
-    session = _segments(_numbered(_session(bars, list(by)), list(by)), list(by), lunch, opening, late)
+    keep = [c for c in (price, expected) if c is not None]
+    asks = cands.select(*dict.fromkeys([*pk, *keep, cutoff]))
+    session = _segments(_numbered(_asked(_session(bars, list(by)), asks, list(by), cutoff), list(by)), list(by), lunch, opening, late)
     see = _Upto(list(by))
     r, amount, zero, close = F.col("_r"), F.col("amount"), F.lit(0.0), F.col("close")
     n, total = F.col("_i"), see(F.sum("amount"))
@@ -233,18 +255,14 @@ def full_session_path(cands, bars, pk, by=("code", "day"), cutoff="cutoff", expe
         "s_volatility_ratio": F.when(prior_sd > 0, ratio(recent_sd, prior_sd)).otherwise(zero),
         "s_last_close": close,
         "_vwap": vwap,
+        "_closes": see(F.collect_list("close")),
     }
-    feats = session.select(*by, "_ts", *[c.alias(k) for k, c in aggs.items()])
-    picked = _picked(cands.select(*pk, cutoff), feats, list(by), cutoff, list(aggs)).drop(cutoff)
     # the one statistic that looks at earlier bars again: how many closed above what is known at the cutoff
-    closes = session.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_ts", "close"))).alias("_closes"))
-    closes = closes.withColumn("_closes", F.transform(bounded_array(F.col("_closes"), SESSION_BARS), lambda x: x["close"]))
-    seen = F.slice("_closes", 1, F.greatest(F.coalesce(F.col("s_rows"), F.lit(0)), F.lit(0)))
+    seen = bounded_array(F.col("_closes"), SESSION_BARS)
     above = F.try_divide(F.size(F.filter(seen, lambda x: x > F.col("_vwap"))), F.col("s_rows"))
-    feats = picked.join(closes, list(by), "left").withColumn("s_above_vwap_share", above).drop("_closes", "_vwap")
-    names = [c for c in (*aggs, "s_above_vwap_share") if c not in ("s_last_close", "_vwap")]
-    keep = [c for c in (price, expected) if c is not None]
-    out = cands.select(*pk, *keep).join(feats, pk, "left").na.fill(0, names)
+    feats = _picked(session, aggs).withColumn("s_above_vwap_share", above).drop("_closes", "_vwap")
+    names = [c for c in (*aggs, "s_above_vwap_share") if c not in ("s_last_close", "_vwap", "_closes")]
+    out = feats.drop(cutoff).na.fill(0, names)
     checks = [F.col("s_rows") > 0, F.abs(ratio("s_last_close", price) - 1) * 10_000 <= max_bps]
     if expected is not None:
         out = out.withColumn("s_coverage", F.least(F.coalesce(ratio("s_rows", expected), F.lit(0.0)), F.lit(1.0)))
