@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tidemark.operators import session_features as sf
 
-SHUFFLES = {"minute_microstructure": 2, "full_session_path": 2}
+SHUFFLES = {"minute_microstructure": 2, "full_session_path": 2, "post_alert_confirmation": 2}
 
 
 @pytest.mark.parametrize("name", SHUFFLES)

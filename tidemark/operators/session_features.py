@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import all_of, clip, holds, pct, ratio, share
-from .joins import bounded_array, unique_rows
+from .joins import bounded_array, interval_micros, micros, unique_rows
 from .spread import average_ranks, best_rows, group_values, measured_once, nearby, position, running
 
 #: Bars of one session at most: one a minute for a whole day.
@@ -272,20 +272,32 @@ def full_session_path(cands, bars, pk, by=("code", "day"), cutoff="cutoff", expe
 
 def post_alert_confirmation(cands, bars, pk, by=("code", "day"), time="ts", delay="5 minutes", entry_delay="10 minutes", prior_n=20, expected=5, slippage_bps=10.0, max_bps=1.0, price="price", entry="entry_price") -> DataFrame:
     """Behaviour of (t, t + delay] after an alert against the bars before it."""
-    pk = list(pk)
-    b = bars.select(*by, F.col(time).alias("_ts"), "high", "low", "close", F.greatest(F.col("amount"), F.lit(0.0)).alias("amount"))
+    pk, by = list(pk), list(by)
+    b = bars.dropna(subset=by).select(*by, F.col(time).alias("_ts"), "high", "low", "close", F.greatest(F.col("amount"), F.lit(0.0)).alias("amount"))
+    # what lies before an alert is a running value of the bars, what follows it a short range of them: no pairs are joined
+    back = Window.partitionBy(*by).orderBy("_ts").rowsBetween(1 - prior_n, 0)
+    b = b.withColumn("_pm", F.struct(F.avg("amount").over(back).alias("v")))
     c = cands.select(*pk, F.col(time).alias("_t"), F.col(price).alias("_p"), F.col(entry).alias("_e"))
-    near = c.join(b, list(by)).filter(F.col("_ts") <= F.expr(f"_t + interval {entry_delay}"))
-    before = best_rows(near.filter("_ts <= _t"), pk, [F.col("_ts").desc()], prior_n).groupBy(*pk).agg(F.avg("amount").alias("_pm"))
-    entry_bar = near.filter(F.col("_ts") == F.expr(f"_t + interval {entry_delay}")).groupBy(*pk).agg(
-        F.count(F.lit(1)).alias("_en"), F.max_by("close", "_ts").alias("_ec")
+    rows = b.select(*by, micros("_ts").alias("_o"), F.struct("_ts", "high", "low", "close", "amount").alias("_bar"), "_pm").unionByName(
+        c.select(*by, micros("_t").alias("_o"), F.struct(*c.columns).alias("_row")), allowMissingColumns=True
     )
-    df = near.filter((F.col("_ts") > F.col("_t")) & (F.col("_ts") <= F.expr(f"_t + interval {delay}")))
-    df = position(df, pk, [F.col("_ts")], "_i")
-    df = group_values(df, pk, {"_n": F.count(F.lit(1))})
-    df = nearby(df, pk, [F.col("_ts")], lambda w: {"_pc": F.coalesce(F.lag("close").over(w), F.col("_p"))})
+    w = Window.partitionBy(*by).orderBy("_o")
+    rows = rows.withColumns({
+        "_pm": F.last("_pm", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))["v"],
+        "_near": F.collect_list("_bar").over(w.rangeBetween(0, interval_micros(cands.sparkSession, entry_delay))),
+    }).where("_row IS NOT NULL").select(*by, *[f"_row.{k}" for k in c.columns if k not in by], "_pm", "_near")
+    entry_bar = F.filter("_near", lambda x: x["_ts"] == F.expr(f"_t + interval {entry_delay}"))
+    after = F.filter("_near", lambda x: (x["_ts"] > F.col("_t")) & (x["_ts"] <= F.expr(f"_t + interval {delay}")))
+    rows = rows.withColumns({"_near": F.sort_array(after), "_en": F.size(entry_bar), "_ec": F.get(F.array_sort(entry_bar), F.lit(0))["close"]})
+
+    def numbered(x, i):
+        before = F.when(i > 0, F.get("_near", i - 1)["close"])
+        return F.struct(x.alias("_b"), (i + 1).alias("_i"), F.size("_near").alias("_n"), F.coalesce(before, F.col("_p")).alias("_pc"))
+
+    asked = ["_t", "_p", "_e", "_pm", "_en", "_ec"]
+    df = rows.select(*pk, *asked, F.inline_outer(F.transform("_near", numbered))).select(*pk, *asked, "_b.*", "_i", "_n", "_pc")
     step = ratio("close", "_pc") - 1
-    n, total = F.count(F.lit(1)), F.sum("amount")
+    n, total = F.count("_ts"), F.sum("amount")
     close, hi, lo, p = _last("close"), F.max("high"), F.min("low"), F.max("_p")
 
     def ends(lo_i, hi_i):
@@ -308,8 +320,8 @@ def post_alert_confirmation(cands, bars, pk, by=("code", "day"), time="ts", dela
         "c_last2_return": pct(close, two_back),
         "c_zero_amount_share": F.avg(share(F.col("amount") <= 0)),
     }
-    feats = df.groupBy(*pk).agg(*[x.alias(k) for k, x in aggs.items()])
-    out = c.join(feats, pk, "left").join(before, pk, "left").join(entry_bar, pk, "left").na.fill(0, ["c_rows"])
+    # an alert without bars after it has no values, only their number
+    out = df.groupBy(*pk).agg(*[F.max(k).alias(k) for k in asked if k != "_p"], *[(x if k == "c_rows" else F.when(n > 0, x)).alias(k) for k, x in aggs.items()])
     paid = F.col("_ec") * (1 + slippage_bps / 10_000)
     error = F.abs(ratio(paid, "_e") - 1) * 10_000
     out = out.withColumns({"c_amount_ratio": F.when(F.col("_pm") > 0, ratio("_mean", "_pm")), "c_entry_error_bps": error})
@@ -318,7 +330,7 @@ def post_alert_confirmation(cands, bars, pk, by=("code", "day"), time="ts", dela
         F.col("c_rows") == expected, F.col("c_latest") == F.expr(f"_t + interval {delay}"), F.col("_en") == 1,
         F.col("c_entry_error_bps") <= max_bps, *[F.col(k).isNotNull() for k in names],
     ])
-    return out.withColumn("c_complete", full).drop("_t", "_p", "_e", "_mean", "_pm", "_en", "_ec")
+    return out.withColumn("c_complete", full).drop("_t", "_e", "_mean", "_pm", "_en", "_ec")
 
 
 # ---- pairs and derivatives -------------------------------------------------
