@@ -17,7 +17,7 @@ from ..functions import clip
 from . import fits
 from .joins import bounded_array
 from .selection import union_families
-from .spread import percentile_ranks
+from .spread import rank_sum
 
 TREE_SHARE = 0.70  # fixed value: weight of the tree in every blend
 
@@ -174,11 +174,20 @@ def _row_spread(values):
     return F.sqrt(_row_mean([(v - mean) * (v - mean) for v in values]))
 
 
-def ensemble_combine(df, members, cs, penalty=-10.0, adjustment=None) -> DataFrame:
+COMBINED = [
+    "p_entry", "p_exit", "p_round_trip", "p_positive", "p_severe", "expected_utility", "probability_spread", "fill_spread",
+    "p_round_trip_lower", "p_positive_lower", "expected_utility_lower",
+]
+
+
+def ensemble_combine(df, members, cs, penalty=-10.0, adjustment=None, keep=None) -> DataFrame:
     """Combine member outputs into factorised probabilities, bounds, spreads and a rank score.
 
-    Member ``m`` supplies entry_m, exit_m, pos_m, sev_m, csev_m, ret_m and rank_m.
+    Member ``m`` supplies entry_m, exit_m, pos_m, sev_m, csev_m, ret_m and rank_m. ``keep`` names
+    the columns of ``df`` to return, all of them by default.
     """
+    keep = list(df.columns if keep is None else keep)
+
     def each(name):
         return [F.col(f"{name}_{m}") for m in members]
 
@@ -209,10 +218,9 @@ def ensemble_combine(df, members, cs, penalty=-10.0, adjustment=None) -> DataFra
     ranked = {}
     for i, m in enumerate(members):
         ranked |= {f"_e{i}": 0.35, f"ret_{m}": 0.25, f"pos_{m}": 0.20, f"rank_{m}": 0.15, f"_w{i}": 0.05}
-    df = percentile_ranks(df, cs, {f"_q_{c}": c for c in ranked})
-    score = sum((F.coalesce(F.col(f"_q_{c}"), F.lit(0.0)) * w for c, w in ranked.items()), F.lit(0.0)) / len(members)
-    out = df.withColumn("selection_score", score)
-    return out.drop(*[n for n in out.columns if n.startswith("_")])
+    own = [*[c for c in keep if c not in COMBINED], *COMBINED]
+    out = rank_sum(df, cs, ranked, "selection_score", own)
+    return out.withColumn("selection_score", F.col("selection_score") / len(members))
 
 
 # fixed values: weights, centres and limits of the economic score

@@ -73,7 +73,9 @@ M_SQL = "SELECT day, slot, code, risk, " + ", ".join(f"{_unit(p + m)} AS {p}_{m}
 
 
 def members(t):
-    return t.scored.select("day", "slot", "code", "risk", *[hash_unit("code", "day", "slot", F.lit(p + m)).alias(f"{p}_{m}") for p in PARTS for m in MEMBERS])
+    # member values follow from the keys, so keys alone are shuffled; sections stay where they are ranked
+    rows = t.scored.select("day", "slot", "code", "risk").repartition("day", "slot").sortWithinPartitions("day", "slot")
+    return rows.select("day", "slot", "code", "risk", *[hash_unit("code", "day", "slot", F.lit(p + m)).alias(f"{p}_{m}") for p in PARTS for m in MEMBERS])
 
 
 def mean3(f):
@@ -103,7 +105,7 @@ def low10(f):
        least(({E}) * ({X}), {low10('entry_{m} * exit_{m}')}) AS p_round_trip_lower, least(({E}) * ({X}) * ({mean3('pos_{m}')}), {low10('entry_{m} * exit_{m} * pos_{m}')}) AS p_positive_lower,
        ({" + ".join(f"0.35 * {rank_of(EXP.format(m=m))} + 0.25 * {rank_of(f'ret_{m}')} + 0.2 * {rank_of(f'pos_{m}')} + 0.15 * {rank_of(f'rank_{m}')} + 0.05 * {rank_of(WORST.format(m=m))}" for m in MEMBERS)}) / 21 AS selection_score FROM ({M_SQL})""")
 def _(t):
-    out = md.ensemble_combine(members(t).withColumn("adj", -F.col("risk")), MEMBERS, CS, adjustment="adj")
+    out = md.ensemble_combine(members(t).withColumn("adj", -F.col("risk")), MEMBERS, CS, adjustment="adj", keep=["day", "slot", "code"])
     # ranks over few rows are short decimals; a seventh of them never lies on a rounding edge
     return out.withColumn("selection_score", F.col("selection_score") / 7)
 
