@@ -81,3 +81,27 @@ def test_removal(spark, odd_docs, no_docs, kw):
         assert (r.text or "") == text and r.n_removed == gone
     assert out.where("doc_id = 3").first().text is None
     assert suffixes.remove_repeats(no_docs, digest=True).count() == 0
+
+
+def test_texts_together_have_the_runs_of_each():
+    rng = random.Random(5)
+    texts = [np.frombuffer(rng.choice([b"ab" * 90, rng.randbytes(rng.randint(50, 300)), b"x" * 50]), np.uint8) for _ in range(40)]
+    (numbers, raw, ends), = suffixes.together(enumerate(texts))
+    r, = suffixes.runs_of(raw, 50, ends)
+    starts = np.append(0, ends[:-1])
+    got = [(int(t), int(a - starts[t]), int(b - starts[t]), int(h), int(k)) for t, a, b, h, k in zip(numbers[r.text], r.first, r.last, r.anchor, r.key)]
+    assert got == [(i, int(a), int(b), int(h), int(k)) for i, x in enumerate(texts) for p in suffixes.runs_of(x, 50) for a, b, h, k in zip(p.first, p.last, p.anchor, p.key)]
+
+
+def test_numbers_are_packed_byte_by_byte():
+    ids = np.random.default_rng(6).integers(0, 250_000, 20_000)
+    data = suffixes._packed(ids)
+    assert np.array_equal(suffixes._array(data, len(ids), np.int64), ids)
+    assert len(data) < 2.5 * len(ids) < len(suffixes._zipped(ids))
+
+
+@pytest.mark.parametrize("bits", [1, 6])
+def test_shared_tags_change_nothing(spark, odd_docs, bits):
+    want = sorted([w[:5] for w in _plain([tuple(r) for r in odd_docs.collect()], 50)], key=str)
+    got = suffixes.remove_repeats(odd_docs, digest=True, block_bytes=20000, hot_blocks=3, tag_bits=bits)
+    assert sorted(map(tuple, got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()), key=str) == want
