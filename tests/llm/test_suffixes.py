@@ -105,3 +105,16 @@ def test_shared_tags_change_nothing(spark, odd_docs, bits):
     want = sorted([w[:5] for w in _plain([tuple(r) for r in odd_docs.collect()], 50)], key=str)
     got = suffixes.remove_repeats(odd_docs, digest=True, block_bytes=20000, hot_blocks=3, tag_bits=bits)
     assert sorted(map(tuple, got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()), key=str) == want
+
+
+def test_copies_in_many_blocks_stay_runs():
+    import pyarrow as pa
+
+    def hot(runs):
+        stages = suffixes._Stages("doc_id", "text", 50, 1, 2, 30)
+        tag, one = np.array([5, 9], np.uint64), np.array([False, False])
+        rows = [(0, b, 2, stages.packed_tags(tag), suffixes._zipped(one), suffixes._packed(np.array([1, runs], np.int32))) for b in range(4)]
+        out = list(stages.share()((pa.scalar(0),), iter(suffixes._emitted(suffixes._MARKED, rows))))
+        return [suffixes._array(x, 2, bool).tolist() for batch in out for x in batch.column("hot").to_pylist()]
+
+    assert hot(4) == [[False, False]] * 4 and hot(5) == [[False, True]] * 4
