@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import rounded
 from ..operators import selection as op
 from .registry import query
 
@@ -126,7 +127,7 @@ def _(t):
        f"""WITH m AS (SELECT policy, round(win_rate, 9) AS a, round(mean_net, 9) AS b, -round(severe_rate, 9) AS c FROM ({METRICS}))
        SELECT policy, NOT EXISTS (SELECT 1 FROM m o WHERE o.a >= m.a AND o.b >= m.b AND o.c >= m.c AND (o.a > m.a OR o.b > m.b OR o.c > m.c)) AS efficient FROM m""")
 def _(t):
-    m = code_metrics(t).select("policy", F.round("win_rate", 9).alias("a"), F.round("mean_net", 9).alias("b"), (-F.round("severe_rate", 9)).alias("c"))
+    m = code_metrics(t).select("policy", rounded("win_rate", 9).alias("a"), rounded("mean_net", 9).alias("b"), (-rounded("severe_rate", 9)).alias("c"))
     return op.pareto_mask(m, ["a", "b", "c"])
 
 
